@@ -1,8 +1,10 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from . import mixing
+from . import mixing, secrets, token_counts
 
 QUERIES = {
+    "op7_secret_scan": secrets.query,
+    "op9_token_counts": token_counts.query,
     "op10_mix_sources": mixing.query,
 }
 
