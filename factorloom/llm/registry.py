@@ -1,13 +1,15 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from . import mixing, secrets, token_counts
+from . import mixing, secrets, token_counts, warc
 
 QUERIES = {
+    "op1_warc_archives": warc.query,
     "op7_secret_scan": secrets.query,
     "op9_token_counts": token_counts.query,
     "op10_mix_sources": mixing.query,
 }
 
 ORACLE_SQL = {
+    "op1_warc_archives": warc.ORACLE_SQL,
     "op10_mix_sources": mixing.ORACLE_SQL,
 }
