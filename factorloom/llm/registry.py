@@ -1,10 +1,12 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from . import mixing, quality, secrets, token_counts, warc
+from . import mixing, near_dedup, pieces, quality, secrets, token_counts, warc
 
 QUERIES = {
     "op1_warc_archives": warc.query,
     "op4_quality": quality.query,
+    "op5_near_dedup": near_dedup.query,
+    "op6_pieces": pieces.query,
     "op7_secret_scan": secrets.query,
     "op9_token_counts": token_counts.query,
     "op10_mix_sources": mixing.query,
