@@ -1,9 +1,10 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from . import mixing, near_dedup, pieces, quality, secrets, token_counts, warc
+from . import mixing, near_dedup, pieces, quality, secrets, token_counts, vectors, warc
 
 QUERIES = {
     "op1_warc_archives": warc.query,
+    "op3_near_vectors": vectors.query,
     "op4_quality": quality.query,
     "op5_near_dedup": near_dedup.query,
     "op6_pieces": pieces.query,
