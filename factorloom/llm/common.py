@@ -44,6 +44,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Frees a written table that no later step reads."""
+    for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+        remove(table.sparkSession, folder)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of edges(a, b): component is the least node reachable.
 

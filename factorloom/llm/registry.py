@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from . import mixing, near_dedup, pieces, quality, secrets, token_counts, vectors, warc
+from . import mixing, near_dedup, pieces, quality, repeats, secrets, token_counts, vectors, warc
 
 QUERIES = {
     "op1_warc_archives": warc.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_near_dedup": near_dedup.query,
     "op6_pieces": pieces.query,
     "op7_secret_scan": secrets.query,
+    "op8_repeats": repeats.query,
     "op9_token_counts": token_counts.query,
     "op10_mix_sources": mixing.query,
 }
