@@ -137,6 +137,14 @@ def redacted(text: Column) -> Column:
     return blank(text)
 
 
+def redacted_documents(docs: DataFrame) -> DataFrame:
+    """docs with spans blanked in text, and n_chars, where it is a column, of the new text."""
+    out = docs.withColumn("text", redacted(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     found = scan_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
