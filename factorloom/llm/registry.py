@@ -1,9 +1,10 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
-from . import mixing, near_dedup, pieces, quality, repeats, secrets, token_counts, vectors, warc
+from . import media, mixing, near_dedup, pieces, quality, repeats, secrets, token_counts, vectors, warc
 
 QUERIES = {
     "op1_warc_archives": warc.query,
+    "op2_audio_prints": media.query,
     "op3_near_vectors": vectors.query,
     "op4_quality": quality.query,
     "op5_near_dedup": near_dedup.query,
