@@ -1,4 +1,6 @@
 """Every registered panel query, with its SQL counterpart where one exists."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import feature_queries, panel_queries
+from .base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "feature_queries", "panel_queries"]
