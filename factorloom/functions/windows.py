@@ -10,28 +10,40 @@ from pyspark.sql import functions as F
 
 from .scalar import ReturnType, floored, gain
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("date")
-BY_DATE = Window.partitionBy("date")
-SO_FAR = BY_SYMBOL.rowsBetween(Window.unboundedPreceding, 0)
-WHOLE = Window.partitionBy("symbol")
+
+
+def by_symbol() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("date")
+
+
+def by_date() -> WindowSpec:
+    return Window.partitionBy("date")
+
+
+def so_far() -> WindowSpec:
+    return by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def whole_symbol() -> WindowSpec:
+    return Window.partitionBy("symbol")
 
 
 def last_rows(n: int) -> WindowSpec:
-    return BY_SYMBOL.rowsBetween(-(n - 1), 0)
+    return by_symbol().rowsBetween(-(n - 1), 0)
 
 
 def shift(x: Column, n: int) -> Column:
     """The value n rows ago; ahead for negative n."""
-    return F.lag(x, n).over(BY_SYMBOL) if n >= 0 else F.lead(x, -n).over(BY_SYMBOL)
+    return F.lag(x, n).over(by_symbol()) if n >= 0 else F.lead(x, -n).over(by_symbol())
 
 
 def fill_forward(x: Column) -> Column:
-    return F.last(x, ignorenulls=True).over(SO_FAR)
+    return F.last(x, ignorenulls=True).over(so_far())
 
 
 def fill_inside(x: Column, date: str = "date") -> Column:
     """Fills gaps between values; what follows the last value stays missing."""
-    last = F.max(F.when(x.isNotNull(), F.col(date))).over(WHOLE)
+    last = F.max(F.when(x.isNotNull(), F.col(date))).over(whole_symbol())
     return F.when(F.col(date) <= last, fill_forward(x))
 
 
@@ -93,6 +105,6 @@ def log_return(x: Column, least: float = 1e-4) -> Column:
     return F.when(real, gain(floored(x, least), floored(shift(x, 1), least), ReturnType.LOG))
 
 
-def growth(r: Column, window: WindowSpec = SO_FAR) -> Column:
+def growth(r: Column, window: WindowSpec | None = None) -> Column:
     """Cumulated growth of returns."""
-    return F.product(1 + r).over(window)
+    return F.product(1 + r).over(so_far() if window is None else window)

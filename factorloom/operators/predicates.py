@@ -39,13 +39,13 @@ def in_range(low=None, high=None, low_inclusive: bool = True, high_inclusive: bo
 def whole_column_in_range(low=None, high=None, ignore_missing: bool = True, **bounds) -> Predicate:
     """A symbol passes if all its dates do."""
     inside = in_range(low, high, **bounds)
-    return lambda x: F.bool_and(inside(x) | (x.isNull() & F.lit(ignore_missing))).over(w.WHOLE)
+    return lambda x: F.bool_and(inside(x) | (x.isNull() & F.lit(ignore_missing))).over(w.whole_symbol())
 
 
 def whole_row_in_range(low=None, high=None, ignore_missing: bool = True, **bounds) -> Predicate:
     """A date passes if all its symbols do."""
     inside = in_range(low, high, **bounds)
-    return lambda x: F.bool_and(inside(x) | (x.isNull() & F.lit(ignore_missing))).over(w.BY_DATE)
+    return lambda x: F.bool_and(inside(x) | (x.isNull() & F.lit(ignore_missing))).over(w.by_date())
 
 
 def not_missing(x: Column) -> Column:

@@ -87,13 +87,13 @@ def volatility_weights(pairs: DataFrame, k: int, target: float = 0.15, least: fl
 def _bounded_simplex(v: np.ndarray, low: float, high: float) -> np.ndarray:
     """The nearest vector with sum 1 and entries in [low, high], by bisection on the shift."""
     a, b = (v - high).min(), (v - low).max()
-    for _ in range(100):
+    for _ in range(50):
         mid = (a + b) / 2
         a, b = (mid, b) if np.clip(v - mid, low, high).sum() > 1 else (a, mid)
     return np.clip(v - (a + b) / 2, low, high)
 
 
-def least_variance(cov: np.ndarray, high: float = 0.05, steps: int = 500) -> np.ndarray:
+def least_variance(cov: np.ndarray, high: float = 0.05, steps: int = 150) -> np.ndarray:
     high = max(high, 1 / len(cov))
     x, size = np.full(len(cov), 1 / len(cov)), np.linalg.eigvalsh(cov)[-1]
     for _ in range(steps):
@@ -101,7 +101,7 @@ def least_variance(cov: np.ndarray, high: float = 0.05, steps: int = 500) -> np.
     return x
 
 
-def equal_risk(cov: np.ndarray, steps: int = 500) -> np.ndarray:
+def equal_risk(cov: np.ndarray, steps: int = 150) -> np.ndarray:
     """Weights of sum 1 whose shares of variance are as equal as bounds of half and twice 1/n allow."""
     n = len(cov)
     x = np.full(n, 1 / n)
@@ -144,6 +144,7 @@ def portfolio_value(weights: DataFrame, prices: DataFrame) -> DataFrame:
     """
     days = prices.select("date").distinct()
     placed = asof(days.select("date", F.col("date").alias("value")), weights.select("date").distinct()).filter("value IS NOT NULL")
+    placed = placed.groupBy("value").agg(F.max("date").alias("date"))  # of several dates of a trading day the last holds
     trades = weights.join(placed, "date").select(F.col("value").alias("traded"), "symbol", "weight")
     filled = prices.select("date", "symbol", w.fill_forward(F.col("price")).alias("price"))
     marks = trades.select("traded").distinct()
