@@ -29,7 +29,8 @@ def quantile_bucket(rows: DataFrame, metric: str, n: int, name: str = "bucket")
 
     Edges are exact percentiles of a date, joined back: a date is one group of symbols.
     """
-    edges = rows.groupBy("date").agg(F.expr(f"percentile({metric}, array({', '.join(str(k / n) for k in range(n + 1))}))").alias("_edges"))
+    shares = ", ".join(f"{min(1.0, k * (1 / n))!r}D" for k in range(n + 1))
+    edges = rows.groupBy("date").agg(F.expr(f"percentile({metric}, array({shares}))").alias("_edges"))
     reached = F.size(F.filter("_edges", lambda e: e <= F.col(metric)))
     return rows.join(edges, "date").withColumn(name, F.least(reached, F.lit(n))).drop("_edges")
 

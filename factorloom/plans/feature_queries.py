@@ -23,35 +23,40 @@ def _windows(name: str, base: str, columns: dict):
 
     @register(name, f"WITH {cte}, q AS (SELECT date, symbol, {inner} FROM p) SELECT date, symbol, {r6(*columns)} FROM q")
     def query(spark, d):
-        return source(spark, d).select("date", "symbol", *[c.cast("double").alias(n) for n, (_, c) in columns.items()])
+        return source(spark, d).select("date", "symbol", *[c().cast("double").alias(n) for n, (_, c) in columns.items()])
+
+
+
+
+def X():
+    return F.col(A)
 
 
-X = F.col(A)
 INSIDE = f"CASE WHEN date <= max(CASE WHEN {{x}} IS NOT NULL THEN date END) OVER (PARTITION BY symbol) THEN last_value({{x}} IGNORE NULLS) OVER ({BY} ROWS UNBOUNDED PRECEDING) END"
-_windows("shift_lag_lead", "m", {"back": (lag(A, 2), w.shift(X, 2)), "ahead": (lag(A, -3), w.shift(X, -3))})
-_windows("begin_period_lag", "m", {"begin": (lag(A, 12), w.shift(X, 12))})
-_windows("ffill_interior", "d", {"filled": (INSIDE.format(x=A), w.fill_inside(X))})
-_windows("ffill_full", "d", {"filled": (f"last_value({A} IGNORE NULLS) OVER ({BY} ROWS UNBOUNDED PRECEDING)", w.fill_forward(X))})
-_windows("rolling_sum_min_obs", "d", {"s": (rolling(A, 5, 2), w.rolling_sum(X, 5, 2)), "whole": (rolling(A, 5), w.rolling_sum(X, 5))})
-_windows("rolling_sum_nofill", "d", {"s": (f"CASE WHEN {A} IS NOT NULL THEN {rolling(A, 5, 2)} END", w.rolling_sum(X, 5, 2, fill=False))})
-_windows("rolling_mean", "d", {"m": (rolling(A, 10, 3, "avg"), w.rolling_mean(X, 10, 3))})
-_windows("rolling_std_pop", "d", {"s": (rolling(A, 10, 3, "stddev_pop"), w.rolling_deviation(X, 10, 3))})
-_windows("rolling_std_sample", "d", {"s": (rolling(A, 10, 3, "stddev_samp"), w.rolling_deviation(X, 10, 3, sample=True))})
-_windows("rolling_min", "d", {"m": (rolling(A, 63, 1, "min"), w.rolling_min(X, 63, 1))})
-_windows("rolling_null_count", "d", {"k": (f"CASE WHEN count(*) {rows(63)} >= 63 THEN count(*) {rows(63)} - count({A}) {rows(63)} END", w.rolling_missing(X, 63))})
-_windows("rolling_q01_lower", "m", {"q": (rolling("volume", 12, None, "min"), w.rolling_low_quantile(F.col("volume"), 12, 0.01))})
-_windows("rolling_return_arith", "m", {"r": (f"{A} / ({lag(A, 6)} + 1e-6) - 1", w.rolling_return(X, 6))})
-_windows("rolling_return_log", "m", {"r": (f"ln({A} / ({lag(A, 6)} + 1e-6))", w.rolling_return(X, 6, ReturnType.LOG))})
-_windows("future_return", "m", {"f1": (fut(A, 1), w.future_return(X, 1)), "f6": (fut(A, 6), w.future_return(X, 6))})
-_windows("future_return_log", "m", {"f1": (f"ln(1 + ({fut(A, 1)}))", w.future_return(X, 1, ReturnType.LOG))})
-_windows("momentum", "m", {"m3": (mom(A, 3), w.momentum(X, 3)), "m12": (mom(A, 12), w.momentum(X, 12))})
-_windows("momentum_lagged", "m", {"m": (mom(A, 12, 1), w.momentum(X, 12, 1))})
-_windows("log_returns", "d", {"r": (logret(A), w.log_return(X))})
+_windows("shift_lag_lead", "m", {"back": (lag(A, 2), lambda: w.shift(X(), 2)), "ahead": (lag(A, -3), lambda: w.shift(X(), -3))})
+_windows("begin_period_lag", "m", {"begin": (lag(A, 12), lambda: w.shift(X(), 12))})
+_windows("ffill_interior", "d", {"filled": (INSIDE.format(x=A), lambda: w.fill_inside(X()))})
+_windows("ffill_full", "d", {"filled": (f"last_value({A} IGNORE NULLS) OVER ({BY} ROWS UNBOUNDED PRECEDING)", lambda: w.fill_forward(X()))})
+_windows("rolling_sum_min_obs", "d", {"s": (rolling(A, 5, 2), lambda: w.rolling_sum(X(), 5, 2)), "whole": (rolling(A, 5), lambda: w.rolling_sum(X(), 5))})
+_windows("rolling_sum_nofill", "d", {"s": (f"CASE WHEN {A} IS NOT NULL THEN {rolling(A, 5, 2)} END", lambda: w.rolling_sum(X(), 5, 2, fill=False))})
+_windows("rolling_mean", "d", {"m": (rolling(A, 10, 3, "avg"), lambda: w.rolling_mean(X(), 10, 3))})
+_windows("rolling_std_pop", "d", {"s": (rolling(A, 10, 3, "stddev_pop"), lambda: w.rolling_deviation(X(), 10, 3))})
+_windows("rolling_std_sample", "d", {"s": (rolling(A, 10, 3, "stddev_samp"), lambda: w.rolling_deviation(X(), 10, 3, sample=True))})
+_windows("rolling_min", "d", {"m": (rolling(A, 63, 1, "min"), lambda: w.rolling_min(X(), 63, 1))})
+_windows("rolling_null_count", "d", {"k": (f"CASE WHEN count(*) {rows(63)} >= 63 THEN count(*) {rows(63)} - count({A}) {rows(63)} END", lambda: w.rolling_missing(X(), 63))})
+_windows("rolling_q01_lower", "m", {"q": (rolling("volume", 12, None, "min"), lambda: w.rolling_low_quantile(F.col("volume"), 12, 0.01))})
+_windows("rolling_return_arith", "m", {"r": (f"{A} / ({lag(A, 6)} + 1e-6) - 1", lambda: w.rolling_return(X(), 6))})
+_windows("rolling_return_log", "m", {"r": (f"ln({A} / ({lag(A, 6)} + 1e-6))", lambda: w.rolling_return(X(), 6, ReturnType.LOG))})
+_windows("future_return", "m", {"f1": (fut(A, 1), lambda: w.future_return(X(), 1)), "f6": (fut(A, 6), lambda: w.future_return(X(), 6))})
+_windows("future_return_log", "m", {"f1": (f"ln(1 + ({fut(A, 1)}))", lambda: w.future_return(X(), 1, ReturnType.LOG))})
+_windows("momentum", "m", {"m3": (mom(A, 3), lambda: w.momentum(X(), 3)), "m12": (mom(A, 12), lambda: w.momentum(X(), 12))})
+_windows("momentum_lagged", "m", {"m": (mom(A, 12, 1), lambda: w.momentum(X(), 12, 1))})
+_windows("log_returns", "d", {"r": (logret(A), lambda: w.log_return(X()))})
 _windows("scalar_math", "m", {
-    "near": ("CASE WHEN abs(close - 1500) > 1e-8 THEN close - 1500 END", null_near_zero(F.col("close") - 1500)),
-    "response": ("(close / 1000) * exp(-pow(close / 1000, 2) / 4) / 0.89", signal_response(F.col("close") / 1000)),
-    "norm": ("(close / 1000) / greatest(volume / 10000, 0.03)", normalised_momentum(F.col("close") / 1000, F.when(X.isNotNull(), F.col("volume") / 10000))),
-    "days": (f"date - lag(date) OVER ({BY})", day_gap(F.col("date"), w.shift(F.col("date"), 1))),
+    "near": ("CASE WHEN abs(close - 1500) > 1e-8 THEN close - 1500 END", lambda: null_near_zero(F.col("close") - 1500)),
+    "response": ("(close / 1000) * exp(-pow(close / 1000, 2) / 4) / 0.89", lambda: signal_response(F.col("close") / 1000)),
+    "norm": ("(close / 1000) / greatest(volume / 10000, 0.03)", lambda: normalised_momentum(F.col("close") / 1000, F.when(X().isNotNull(), F.col("volume") / 10000))),
+    "days": (f"date - lag(date) OVER ({BY})", lambda: day_gap(F.col("date"), w.shift(F.col("date"), 1))),
 })
 
 
@@ -61,7 +66,7 @@ SELECT date, round(product(1 + r) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)
 def cumprod_growth(spark, d):
     from pyspark.sql import Window
 
-    r = panel_m(spark, d).select("date", w.future_return(X, 1).alias("r")).filter("r IS NOT NULL").groupBy("date").agg(F.avg("r").alias("r"))
+    r = panel_m(spark, d).select("date", w.future_return(X(), 1).alias("r")).filter("r IS NOT NULL").groupBy("date").agg(F.avg("r").alias("r"))
     return r.select("date", w.growth(F.col("r"), Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)).alias("growth"))
 
 

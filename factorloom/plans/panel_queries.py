@@ -147,11 +147,16 @@ def _masks(name, sql_tests: dict, tests: dict):
 
     @register(name, f"WITH {PM} SELECT date, symbol, {body} FROM p")
     def query(spark, d):
-        return panel_m(spark, d).select("date", "symbol", *[t.alias(n) for n, t in tests.items()])
+        return panel_m(spark, d).select("date", "symbol", *[t().alias(n) for n, t in tests.items()])
 
 
-_V, _C = F.col("volume"), F.col("close")
-_masks("filter_equal", {"m": "coalesce(volume = 600, false)"}, {"m": equal_to(600.0)(_V)})
+
+
+def _of(field, test):
+    return lambda: test(F.col(field))
+
+
+_masks("filter_equal", {"m": "coalesce(volume = 600, false)"}, {"m": _of("volume", equal_to(600.0))})
 _masks(
     "filter_range",
     {
@@ -160,21 +165,21 @@ _masks(
         "only_low": "coalesce(volume >= 500, false)",
     },
     {
-        "both": in_range(500, 600)(_V), "neither": in_range(500, 600, False, False)(_V), "low": in_range(500, 600, True, False)(_V),
-        "high": in_range(500, 600, False, True)(_V), "only_low": in_range(500)(_V),
+        "both": _of("volume", in_range(500, 600)), "neither": _of("volume", in_range(500, 600, False, False)), "low": _of("volume", in_range(500, 600, True, False)),
+        "high": _of("volume", in_range(500, 600, False, True)), "only_low": _of("volume", in_range(500)),
     },
 )
 _masks(
     "filter_column_all",
     {"lenient": "bool_and(volume IS NULL OR volume >= 300) OVER (PARTITION BY symbol)", "strict": "bool_and(coalesce(volume >= 300, false)) OVER (PARTITION BY symbol)"},
-    {"lenient": whole_column_in_range(300)(_V), "strict": whole_column_in_range(300, ignore_missing=False)(_V)},
+    {"lenient": _of("volume", whole_column_in_range(300)), "strict": _of("volume", whole_column_in_range(300, ignore_missing=False))},
 )
 _masks(
     "filter_row_all",
     {"lenient": "bool_and(volume IS NULL OR volume >= 400) OVER (PARTITION BY date)", "strict": "bool_and(coalesce(volume >= 400, false)) OVER (PARTITION BY date)"},
-    {"lenient": whole_row_in_range(400)(_V), "strict": whole_row_in_range(400, ignore_missing=False)(_V)},
+    {"lenient": _of("volume", whole_row_in_range(400)), "strict": _of("volume", whole_row_in_range(400, ignore_missing=False))},
 )
-_masks("filter_null", {"there": "close IS NOT NULL", "gone": "close IS NULL"}, {"there": not_missing(_C), "gone": missing(_C)})
+_masks("filter_null", {"there": "close IS NOT NULL", "gone": "close IS NULL"}, {"there": _of("close", not_missing), "gone": _of("close", missing)})
 
 AT = Thresholds(min_price=1000.0, min_volume=424.0, max_return=0.7, max_missing_days=8)
 

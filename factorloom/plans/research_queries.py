@@ -21,13 +21,12 @@ from .feature_queries import FUTURE_VOL, MONTHLY_VOL, ratio_panel, vol_sql
 from .panel_queries import MASK_SQL, monthly_mask
 
 A = "adjusted_close"
-X = F.col(A)
 N = 5
 LEAST = 4
 
 METRIC = f"{PM}, m AS (SELECT date, symbol, round({mom(A, 3)}, 9) AS metric, round({fut(A, 1)}, 9) AS ret FROM p)"
 PAIRS = f"{METRIC}, pairs AS (SELECT * FROM m WHERE metric IS NOT NULL AND ret IS NOT NULL)"
-_edges = ", ".join(str(k / N) for k in range(N + 1))
+_edges = ", ".join(repr(min(1.0, k * (1 / N))) for k in range(N + 1))
 BUCKETS = f"""{PAIRS}, e AS (SELECT date, quantile_cont(metric, [{_edges}]) AS edges FROM pairs GROUP BY 1),
 b AS (SELECT pairs.*, least(len(list_filter(edges, lambda x: x <= metric)), {N}) AS bucket FROM pairs JOIN e USING (date))"""
 MEANS = f"""{BUCKETS}, means AS (SELECT c.date, c.bucket, mean_ret, coalesce(n_obs, 0) AS n_obs FROM
@@ -45,7 +44,7 @@ def _sums(by: str) -> str:
 
 def metric_panel(spark, d) -> DataFrame:
     rows = panel_m(spark, d)
-    return rows.select("date", "symbol", F.round(w.momentum(X, 3), 9).alias("metric"), F.round(w.future_return(X, 1), 9).alias("ret"))
+    return rows.select("date", "symbol", F.round(w.momentum(F.col(A), 3), 9).alias("metric"), F.round(w.future_return(F.col(A), 1), 9).alias("ret"))
 
 
 def _pairs(spark, d):
@@ -104,7 +103,7 @@ def bucket_mean_returns(spark, d):
 
 @register("bucket_mean_returns_masked", None)
 def bucket_mean_returns_masked(spark, d):
-    rows = monthly_mask(spark, d).withColumn("metric", F.round(w.momentum(X, 3), 9)).withColumn("ret", w.future_return(X, 1))
+    rows = monthly_mask(spark, d).withColumn("metric", F.round(w.momentum(F.col(A), 3), 9)).withColumn("ret", w.future_return(F.col(A), 1))
     return backtest.bucket_means(backtest.valid_pairs(rows, "metric", "ret", F.col("good"), (-0.5, 0.5)), rows, N)
 
 
@@ -137,7 +136,7 @@ SELECT {r6('low', 'high', 'overall_tstat', 'tstat_25', 'tstat_50', 'tstat_75')},
 
 @register("bucket_summary", SUMMARY)
 def bucket_summary(spark, d):
-    rows = panel_m(spark, d).withColumn("metric", F.round(w.momentum(X, 3), 9))
+    rows = panel_m(spark, d).withColumn("metric", F.round(w.momentum(F.col(A), 3), 9))
     return backtest.summary(rows, "metric", A, [1], N, LEAST)
 
 
@@ -156,7 +155,7 @@ def _labels(name: str, kind: str, sql: str, n_buckets: int = 0):
     @register(name, sql)
     def query(spark, d):
         daily = panel_d(spark, d) if kind != ForecastType.RETURNS else None
-        base = daily.groupBy(F.last_day("date").alias("date"), "symbol").agg(F.max_by(A, F.when(X.isNotNull(), F.col("date"))).alias(A)) if daily is not None else panel_m(spark, d)
+        base = daily.groupBy(F.last_day("date").alias("date"), "symbol").agg(F.max_by(A, F.when(F.col(A).isNotNull(), F.col("date"))).alias(A)) if daily is not None else panel_m(spark, d)
         return dataset.labels(base, daily, A, 3 if "vol" in kind else 1, kind, n_buckets)
 
 
@@ -176,14 +175,14 @@ samples AS (SELECT mask.date AS "timestamp", mask.symbol, y, m3, m6 FROM mask JO
 
 def samples(spark, d) -> DataFrame:
     mask = monthly_mask(spark, d)
-    features = mask.select("date", "symbol", w.momentum(X, 3).alias("m3"), w.momentum(X, 6).alias("m6"))
+    features = mask.select("date", "symbol", w.momentum(F.col(A), 3).alias("m3"), w.momentum(F.col(A), 6).alias("m6"))
     return dataset.samples(features, dataset.labels(mask, None, A, 1, ForecastType.RETURNS), mask, ["m3", "m6"], drop_missing=True)
 
 
 def all_samples(spark, d, n_buckets: int = 0) -> DataFrame:
     """Samples of all cells with features and label, whatever the mask."""
     rows = panel_m(spark, d).withColumn("good", F.lit(True))
-    features = rows.select("date", "symbol", F.round(w.momentum(X, 3), 9).alias("m3"), F.round(w.momentum(X, 6), 9).alias("m6"))
+    features = rows.select("date", "symbol", F.round(w.momentum(F.col(A), 3), 9).alias("m3"), F.round(w.momentum(F.col(A), 6), 9).alias("m6"))
     y = dataset.labels(rows, None, A, 1, ForecastType.RETURNS, n_buckets)
     return dataset.samples(features, y, rows, ["m3", "m6"], bucketed=n_buckets > 0, drop_missing=True)
 
@@ -308,12 +307,12 @@ cov AS (SELECT u.date, u.symbol AS a, v.symbol AS b, covar_samp(u.r, v.r) * 252
 
 
 def chosen(spark, d):
-    months = panel_d(spark, d).groupBy(F.last_day("date").alias("date"), "symbol").agg(F.round(F.max_by(A, F.when(X.isNotNull(), F.col("date"))), 6).alias("score"))
+    months = panel_d(spark, d).groupBy(F.last_day("date").alias("date"), "symbol").agg(F.round(F.max_by(A, F.when(F.col(A).isNotNull(), F.col("date"))), 6).alias("score"))
     return scoring.selected(months, "score", K).filter("date >= '1995-06-30'")
 
 
 def _prices(spark, d):
-    return panel_d(spark, d).select("date", "symbol", X.alias("price"))
+    return panel_d(spark, d).select("date", "symbol", F.col(A).alias("price"))
 
 
 def _cov(spark, d):
