@@ -50,6 +50,34 @@ def discard(table: DataFrame) -> None:
         remove(table.sparkSession, folder)
 
 
+BITS = 1 << 25  # of a bitmap of ids: 4 MB, however many ids there are
+
+
+def id_bitmap(ids: DataFrame, name: str) -> DataFrame:
+    """Bitmaps of the hashed ids of a column: at most BITS / 32768 rows of 4 KB each."""
+    place = F.pmod(F.xxhash64(name), F.lit(BITS))
+    return written(
+        ids.select(place.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("_bucket"))
+        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("_bits")),
+        "bitmap",
+    )
+
+
+def perhaps_in(rows: DataFrame, name: str, bitmap: DataFrame, wanted: bool = True) -> DataFrame:
+    """The rows whose id is perhaps (or, not wanted, surely not) among those of the bitmap.
+
+    The bitmap's size is bounded, so that it is broadcast and the rows are not shuffled. Where very
+    many ids fill it, it lets all rows pass: what follows must still join on the id.
+    """
+    spot = F.expr(f"bitmap_bit_position(pmod(xxhash64({name}), {BITS}L))").cast("int")
+    byte = F.conv(F.hex(F.expr("substring(_bits, _byte + 1, 1)")), 16, 10).cast("int")
+    near = rows.withColumn("_bucket", F.expr(f"bitmap_bucket_number(pmod(xxhash64({name}), {BITS}L))")).join(F.broadcast(bitmap), "_bucket", "left")
+    near = near.withColumn("_spot", spot).withColumn("_byte", F.floor(F.col("_spot") / 8).cast("int"))
+    hit = F.col("_bits").isNotNull() & (F.expr("shiftright(_b, _spot % 8)").bitwiseAND(1) == 1)
+    found = near.withColumn("_b", F.coalesce(byte, F.lit(0))).filter(hit if wanted else ~hit)
+    return found.select(*rows.columns)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of edges(a, b): component is the least node reachable.
 

@@ -8,9 +8,10 @@ documents agree in a coordinate with the probability of their similarity, and th
 is about its number of shingles, however many coordinates there are.
 
 Documents with equal multisets are one class at once; only one of each goes on. Signatures are cut
-into BANDS bands; documents that share a band are compared with the band's least document, by
-exact similarity, and every pair of a band that this leaves in different components after that:
-no link between components is lost, and no group is expanded into all pairs.
+into BANDS bands; documents that share a band are compared with the band's leader, by exact
+similarity, first the document with most copies, then one by hash; every pair of a band that this
+leaves in different components is compared after that: no link between components is lost, and a
+group of near copies is not expanded into its pairs.
 
 Defined results: nodes are doc_ids, so rows that share a doc_id share a class, and rows without one
 are in no class and are kept; texts of one to four words are one shingle; texts without a word are
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, id_bitmap, perhaps_in, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -179,7 +180,8 @@ def _similar(threshold: float):
 def checked(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """pairs(a, b) of doc_ids with `similar`: whether their exact similarity reaches the threshold."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    # texts are read again where they lie; only the units of (about) the wanted ones are shuffled
+    texts = perhaps_in(docs.select("doc_id", "text"), "doc_id", id_bitmap(ids, "doc_id"))
     sets = texts.select("doc_id", word_hashes(F.col("text")).alias("words")).mapInArrow(_sets, "doc_id long, units binary")
     sets = written(sets, "units")
     both = (
@@ -191,6 +193,38 @@ def checked(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     return written(found.groupBy("a", "b").agg(F.max("similar").alias("similar")), "checked")
 
 
+def _stars(members: DataFrame, leader: Column, tried: DataFrame | None) -> DataFrame:
+    """Pairs of each band's leader with the band's nodes in other components."""
+    chosen = written(members.groupBy("band").agg(F.max_by(F.struct("node", "component"), leader).alias("leader")), "leaders")
+    pairs = members.join(chosen, "band").filter("component <> leader.component").select(
+        F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")
+    ).distinct()
+    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+
+
+def _across(members: DataFrame, tried: DataFrame) -> DataFrame:
+    """All pairs of a band's nodes in different components: none is left but by dissimilar documents."""
+    other = members.select("band", F.col("node").alias("b"), F.col("component").alias("other"))
+    return (
+        members.join(other, "band").filter("component < other").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
+        .distinct().join(tried, ["a", "b"], "left_anti")
+    )
+
+
+def _linked(pairs, docs, threshold, links, tried, members):
+    """Checks pairs: all links and components so far, the pairs tried, and the members of bands that
+    still have several components."""
+    found = checked(written(pairs, "pairs"), docs, threshold)
+    mine = found.filter("similar").select("a", "b")
+    links = written(mine if links is None else links.unionByName(mine), "links")
+    tried = found.select("a", "b") if tried is None else tried.unionByName(found.select("a", "b"))
+    grouped = components(links)
+    placed = members.drop("component").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = written(placed, "placed")
+    several = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
+    return links, grouped, tried, written(placed.join(written(several, "several"), "band"), "members")
+
+
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id and n_units of every row of docs(doc_id, text)."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -199,33 +233,16 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         "signatures",
     )
     real = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    equal = written(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "equal")
-    nodes = real.join(equal, (real.doc_id == equal.node) & (real.k1 == equal.k1) & (real.k2 == equal.k2), "left_semi")
-    keys = written(nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band")).distinct(), "bands")
-    shared = written(
-        keys.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").drop("most"), "shared"
-    )
-    members = written(keys.join(shared, "band"), "members")
-    stars = members.filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    stars = checked(written(stars, "stars"), ids, threshold)
-    links = stars.filter("similar").select("a", "b")
-    grouped = components(links)
-    # bands that the first links leave in several components: their pairs across components
-    split = members.join(grouped, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    split = written(split, "split")
-    open_bands = written(
-        split.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band"), "open"
-    )
-    rest = split.join(open_bands, "band")
-    pairs = (
-        rest.join(rest.select("band", F.col("node").alias("b"), F.col("component").alias("other")), "band")
-        .filter("component < other").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = checked(written(pairs, "pairs"), ids, threshold).filter("similar").select("a", "b")
-    more = written(more, "more")
-    if not more.isEmpty():
-        grouped = components(links.unionByName(more))
+    equal = written(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("size")), "equal")
+    nodes = real.join(equal, (real.doc_id == equal.node) & (real.k1 == equal.k1) & (real.k2 == equal.k2)).select("node", "size", "bands")
+    keys = written(nodes.select("node", "size", F.explode("bands").alias("band")).distinct(), "bands")
+    shared = written(keys.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("band"), "shared")
+    members = written(keys.join(shared, "band").withColumn("component", F.col("node")), "members")
+    links = grouped = tried = None
+    # leaders: what has most copies, then by hash; whoever a leader has linked need not meet each other
+    for leader in (F.struct("size", -F.col("node")), F.struct(F.xxhash64("node"), "node")):
+        links, grouped, tried, members = _linked(_stars(members, leader, tried), ids, threshold, links, tried, members)
+    links, grouped, tried, members = _linked(_across(members, tried), ids, threshold, links, tried, members)
     # rows of one doc_id with different texts are one node as well
     named = equal.join(grouped, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class_id"))
     found = signed.join(written(named, "named"), ["k1", "k2"], "left")
@@ -235,8 +252,12 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
 
 def kept_documents(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The rows of docs, with all their columns, but for those whose class keeps another document."""
-    dropped = classes(docs, threshold).filter("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(written(dropped, "dropped").withColumnRenamed("doc_id", "_dropped"), F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    dropped = written(classes(docs, threshold).filter("class_id <> doc_id").select("doc_id").distinct(), "dropped")
+    bitmap, names = id_bitmap(dropped, "doc_id"), docs.columns
+    rows = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    sure = perhaps_in(rows, "_id", bitmap, wanted=False)
+    rest = perhaps_in(rows, "_id", bitmap).join(dropped.withColumnRenamed("doc_id", "_id"), "_id", "left_anti")
+    return sure.select(*names).unionByName(rest.select(*names))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
