@@ -19,6 +19,7 @@ own; a component is named by its least vec_id; an empty table gives no rows; oth
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,7 @@ def unit_rows(packed) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
+@lru_cache(maxsize=8)
 def planes(dims: int, bits: int, tables: int):
     rng = np.random.default_rng(17)
     return rng.normal(size=(dims, tables * bits)), rng.normal(size=(dims, tables))
