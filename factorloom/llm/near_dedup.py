@@ -9,9 +9,9 @@ is about its number of shingles, however many coordinates there are.
 
 Documents with equal multisets are one class at once; only one of each goes on. Signatures are cut
 into BANDS bands; documents that share a band are compared with the band's leader, by exact
-similarity, first the document with most copies, then one by hash; every pair of a band that this
-leaves in different components is compared after that: no link between components is lost, and a
-group of near copies is not expanded into its pairs.
+similarity, first the document with most copies, then one by hash; all nodes of a band that this
+leaves in different components are compared after that, block by block, and only links are written:
+no link between components is lost, and a group of near copies is not expanded into its pairs.
 
 Defined results: nodes are doc_ids, so rows that share a doc_id share a class, and rows without one
 are in no class and are kept; texts of one to four words are one shingle; texts without a word are
@@ -36,6 +36,8 @@ ROWS = 5
 BANDS = COORDINATES // ROWS
 EXTRA = 3.0
 CHUNK = 1 << 19
+BLOCK = 256  # nodes of a band that one task compares with as many others
+CELLS = 1 << 22  # of a dense part of the matrix of nodes and units
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -177,13 +179,18 @@ def _similar(threshold: float):
     return run
 
 
-def checked(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """pairs(a, b) of doc_ids with `similar`: whether their exact similarity reaches the threshold."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def unit_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and packed units of (about) the documents of ids, as a written table."""
     # texts are read again where they lie; only the units of (about) the wanted ones are shuffled
     texts = perhaps_in(docs.select("doc_id", "text"), "doc_id", id_bitmap(ids, "doc_id"))
     sets = texts.select("doc_id", word_hashes(F.col("text")).alias("words")).mapInArrow(_sets, "doc_id long, units binary")
-    sets = written(sets, "units")
+    return written(sets, "units")
+
+
+def checked(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """pairs(a, b) of doc_ids with `similar`: whether their exact similarity reaches the threshold."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = unit_sets(docs, ids)
     both = (
         pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("units").alias("left")), "a")
         .join(sets.select(F.col("doc_id").alias("b"), F.col("units").alias("right")), "b")
@@ -202,13 +209,88 @@ def _stars(members: DataFrame, leader: Column, tried: DataFrame | None) -> DataF
     return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
 
 
-def _across(members: DataFrame, tried: DataFrame) -> DataFrame:
-    """All pairs of a band's nodes in different components: none is left but by dissimilar documents."""
-    other = members.select("band", F.col("node").alias("b"), F.col("component").alias("other"))
-    return (
-        members.join(other, "band").filter("component < other").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"))
-        .distinct().join(tried, ["a", "b"], "left_anti")
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of a spanning forest of a symmetric matrix of links."""
+    todo, left, right = linked.any(axis=1), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while todo.any():
+        front = np.flatnonzero(todo)[:1]
+        todo[front] = False
+        while len(front):
+            near = linked[front] & todo
+            reached = np.flatnonzero(near.any(axis=0))
+            left.append(front[near[:, reached].argmax(axis=0)])
+            right.append(reached)
+            todo[reached] = False
+            front = reached
+    return np.concatenate(left), np.concatenate(right)
+
+
+def common_units(sets: list[np.ndarray]) -> np.ndarray:
+    """Numbers of units that any two of some documents have in common."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, unit, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times > 1
+    column, kept = np.cumsum(several) - 1, several[unit]
+    owner, column = owner[kept], column[unit[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common, width = np.zeros((len(sets), len(sets))), max(1, CELLS // len(sets))
+    for start in range(0, int(several.sum()), width):
+        low, high = np.searchsorted(column, [start, start + width])
+        part = np.zeros((len(sets), width), np.float32)
+        part[owner[low:high], column[low:high] - start] = 1
+        common += part @ part.T
+    return common
+
+
+def _block_links(threshold: float):
+    """A spanning forest of the similar documents of different components in each block of a band."""
+
+    def group(rows):
+        nodes, components, sides = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
+        sets = [np.frombuffer(r[3], np.uint32) for r in rows]
+        n, common = np.array([len(x) for x in sets]), common_units(sets)
+        similar = common >= threshold * (n[:, None] + n[None] - common) - 1e-9
+        similar &= components[:, None] != components[None]
+        if sides.any():
+            similar &= sides[:, None] != sides[None]
+        left, right = forest(similar)
+        return nodes[left], nodes[right]
+
+    def run(batches):
+        held, last, done = [], None, []
+        for batch in batches:
+            for row in zip(*[batch.column(c).to_pylist() for c in ("node", "component", "side", "units", "band", "low", "high")], strict=True):
+                if row[4:] != last and held:
+                    done.append(group(held))
+                    held = []
+                last = row[4:]
+                held.append(row)
+            if done:
+                a, b = (np.concatenate(c) for c in zip(*done, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                done = []
+        if held:
+            a, b = group(held)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def _across(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between the components of each band, where all nodes of different components are
+    compared. A band's nodes are dealt by hash to blocks of about BLOCK, and each two blocks meet in a
+    task that holds their units: the pairs are compared there and only links are written."""
+    counts = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = (
+        members.join(written(counts, "blocks"), "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .select("band", "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("band", "node", "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+                F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
     )
+    sets = unit_sets(docs, members.select(F.col("node").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "node")
+    met = dealt.join(sets.distinct(), "node").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+    return met.mapInArrow(_block_links(threshold), "a long, b long")
 
 
 def _linked(pairs, docs, threshold, links, tried, members):
@@ -242,7 +324,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     # leaders: what has most copies, then by hash; whoever a leader has linked need not meet each other
     for leader in (F.struct("size", -F.col("node")), F.struct(F.xxhash64("node"), "node")):
         links, grouped, tried, members = _linked(_stars(members, leader, tried), ids, threshold, links, tried, members)
-    links, grouped, tried, members = _linked(_across(members, tried), ids, threshold, links, tried, members)
+    grouped = components(links.unionByName(written(_across(members, ids, threshold), "across")))
     # rows of one doc_id with different texts are one node as well
     named = equal.join(grouped, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class_id"))
     found = signed.join(written(named, "named"), ["k1", "k2"], "left")

@@ -185,6 +185,27 @@ def test_near_dedup_equals_brute_force(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(found.values()))
 
 
+def test_near_dedup_in_several_blocks(spark, monkeypatch):
+    """Copies of one text, too far from each other and from it to be linked by leaders alone."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "CELLS", 500)
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(150)]
+    texts = [" ".join(f"w{rng.random()}" if rng.random() < rate else w for w in base) for rate in (0.01, 0.02, 0.03) for _ in range(25)]
+    found = {r.doc_id: r.class_id for r in near_dedup.classes(documents(spark, texts)).collect()}
+    assert found == brute_classes(texts)
+
+
+def test_common_units_and_forest():
+    sets = [np.array(x, np.uint32) for x in ([1, 2, 3], [2, 3, 4], [], [9])]
+    assert near_dedup.common_units(sets).tolist() == [[2, 2, 0, 0], [2, 2, 0, 0], [0, 0, 0, 0], [0, 0, 0, 0]]
+    linked = np.zeros((5, 5), bool)
+    linked[[0, 1, 0, 2, 3, 4, 1, 2], [1, 0, 2, 0, 4, 3, 2, 1]] = True
+    left, right = near_dedup.forest(linked)
+    assert sorted(zip(left.tolist(), right.tolist(), strict=True)) == [(0, 1), (0, 2), (3, 4)]
+    assert len(near_dedup.forest(np.zeros((2, 2), bool))[0]) == 0
+
+
 def test_near_dedup_of_nothing_and_of_rows_without_id(spark):
     assert near_dedup.classes(documents(spark, [])).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
