@@ -234,8 +234,9 @@ def common_units(sets: list[np.ndarray]) -> np.ndarray:
     owner, column = owner[kept], column[unit[kept]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    common, width = np.zeros((len(sets), len(sets))), max(1, CELLS // len(sets))
-    for start in range(0, int(several.sum()), width):
+    total = int(several.sum())
+    common, width = np.zeros((len(sets), len(sets))), max(1, min(total, CELLS // len(sets)))
+    for start in range(0, total, width):
         low, high = np.searchsorted(column, [start, start + width])
         part = np.zeros((len(sets), width), np.float32)
         part[owner[low:high], column[low:high] - start] = 1
