@@ -4,17 +4,20 @@ A recording is a column of 16-bit PCM. Frames are turned into the energies of th
 classes. Sixteen filters, each the log ratio of two areas of a window of sixteen frames, are read
 off the integral image of the frames; each gives two bits, so that a window is a 32-bit integer.
 
-Recordings with equal fingerprints are one class. To align, fingerprints are thinned by keeping the
-least hashed integer of every KEEP neighbours (any run of KEEP equal integers keeps one in common),
-queries meet the index on equal integers, offsets are counted per pair of classes, and the best
-offset of a pair is judged by the share of different bits over the overlap.
+Recordings with equal fingerprints are one class. To align, queries meet the index on every pair of
+neighbouring integers, on the one integer of recordings of a single window, and on VOTES integers at
+one offset of fingerprints thinned by keeping the least hashed integer of every KEEP neighbours. Of a
+pair of classes that meets, the equal integers at each offset met are counted in full. Offsets with
+VOTES of them (or as many as the shorter recording has windows) are judged by the share of different
+bits over the overlap. So no run of two equal windows is missed, nor a contained single window.
 
 The tables hold no audio, so the query renders each turn of `conversations` as a recording of its
 words, two tones a word. Queries are the rows with conv_id divisible by 50, the index is all rows.
 
 Defined results: a null or empty text is an empty recording, which has no fingerprint and matches
-nothing; recordings shorter than a window are padded with silence; of equally frequent offsets the
-least is taken; rows that repeat share a class; other columns are ignored.
+nothing; recordings shorter than a window are padded with silence; of the offsets within the errors
+the one with the most equal windows is taken, then the least; rows that repeat share a class; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import id_bitmap, perhaps_in, written
 
 RATE = 4096
 FRAME = 256
@@ -129,17 +132,46 @@ def thinned(codes: np.ndarray):
     return places, codes[places]
 
 
-def _postings(batches):
+THIN, PAIR, SHORT, EVERY_PLACE = range(4)
+
+
+def mixed(kind: int, *codes: np.ndarray) -> np.ndarray:
+    """A 64-bit key of a kind of posting and its integers."""
+    out = np.full(len(codes[0]), kind + 1, np.uint64)
+    for x in codes:
+        out = (out ^ x.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def posted(codes: np.ndarray, asks: bool):
+    """Keys, places and kinds of a fingerprint in the index, or of a query that meets it.
+
+    A recording of a single window meets every place of another, so that the two kinds of key are
+    swapped in queries.
+    """
+    where, thin = thinned(codes)
+    short, every = (EVERY_PLACE, SHORT) if asks else (SHORT, EVERY_PLACE)
+    all_places = np.arange(len(codes))
+    parts = [(THIN, where, mixed(THIN, thin)), (PAIR, all_places[:-1], mixed(PAIR, codes[:-1], codes[1:])), (every, all_places, mixed(every, codes))]
+    if len(codes) == 1:
+        parts.append((short, all_places, mixed(short, codes)))
+    kinds = np.concatenate([np.full(len(p), k, np.int32) for k, p, _ in parts])
+    return np.concatenate([x for _, _, x in parts]), np.concatenate([p for _, p, _ in parts]).astype(np.int32), kinds
+
+
+def _postings(batches, asks: bool):
     for batch in batches:
-        nodes, keys, places = [], [], []
+        nodes, rows = [np.zeros(0, np.int64)], [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
         for node, packed in zip(batch.column("node").to_pylist(), batch.column("print").to_pylist(), strict=True):
-            where, codes = thinned(np.frombuffer(packed, "<u4"))
-            nodes.append(np.full(len(where), node, np.int64))
-            keys.append(codes.astype(np.int64))
-            places.append(where.astype(np.int32))
-        empty = [np.zeros(0, np.int64)]
-        columns = [np.concatenate(x or empty) for x in (nodes, keys, places)]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2].astype(np.int32))], names=["node", "key", "place"])
+            rows.append(posted(np.frombuffer(packed, "<u4"), asks))
+            nodes.append(np.full(len(rows[-1][0]), node, np.int64))
+        columns = [np.concatenate(nodes), *[np.concatenate(x) for x in zip(*rows, strict=True)]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["node", "key", "place", "kind"])
+
+
+def postings_of(nodes: DataFrame, asks: bool) -> DataFrame:
+    return nodes.select("node", "print").mapInArrow(lambda batches: _postings(batches, asks), "node long, key long, place int, kind int")
 
 
 def bit_errors(a: np.ndarray, b: np.ndarray, offset: int):
@@ -151,16 +183,32 @@ def bit_errors(a: np.ndarray, b: np.ndarray, offset: int):
     return float(np.bitwise_count(x).mean() / 32), int(end - start)
 
 
-def _judge(batches):
+def equal_windows(a: np.ndarray, b: np.ndarray, offset: int) -> int:
+    """How many windows are equal where b, put off by offset, overlaps a."""
+    start, end = max(0, -offset), min(len(a), len(b) - offset)
+    return int((a[start:end] == b[start + offset : end + offset]).sum()) if end > start else 0
+
+
+def judged_offset(a: np.ndarray, b: np.ndarray, offsets, votes: int, errors: float):
+    """(offset, votes, error, overlap) of the most votes, then the least offset, or None if none is within the errors."""
+    least = min(votes, len(a), len(b))
+    for count, back in sorted(((equal_windows(a, b, o), -o) for o in offsets), reverse=True):
+        if count < least:
+            break
+        error, overlap = bit_errors(a, b, -back)
+        if error <= errors:
+            return -back, count, error, overlap
+    return None
+
+
+def _judge(batches, votes: int, errors: float):
     for batch in batches:
-        found = [
-            bit_errors(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), o)
-            for a, b, o in zip(*[batch.column(c).to_pylist() for c in ("left", "right", "offset")], strict=True)
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [*[batch.column(c) for c in ("query", "node", "offset", "votes")], pa.array([e for e, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())],
-            names=["query", "node", "offset", "votes", "error", "overlap"],
-        )
+        rows = []
+        for query, node, a, b, offsets in zip(*[batch.column(c).to_pylist() for c in ("query", "node", "left", "right", "offsets")], strict=True):
+            found = judged_offset(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), offsets, votes, errors)
+            rows += [(query, node, *found)] if found else []
+        names, types = ["query", "node", "offset", "votes", "error", "overlap"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
 
 def aligned(media: DataFrame, queries: Column, votes: int = VOTES, errors: float = ERRORS) -> tuple[DataFrame, DataFrame]:
@@ -173,18 +221,18 @@ def aligned(media: DataFrame, queries: Column, votes: int = VOTES, errors: float
     real = prints.filter(F.octet_length("print") > 0)
     grouped = real.groupBy("key").agg(F.min("rec_id").alias("class_id"), F.max(queries).alias("asks"), F.min("print").alias("print"))
     nodes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    postings = written(nodes.select("node", "print").mapInArrow(_postings, "node long, key long, place int"), "postings")
-    asked = postings.join(nodes.filter("asks").select("node"), "node").select(F.col("node").alias("query"), "key", F.col("place").alias("at"))
+    asked = written(postings_of(nodes.filter("asks"), True).select(F.col("node").alias("query"), "key", F.col("place").alias("at")), "asked")
+    postings = written(perhaps_in(postings_of(nodes, False), "key", id_bitmap(asked, "key")), "postings")
+    weight = F.when(F.col("kind") == THIN, 1).otherwise(votes)  # what other kinds meet is counted in full below
     counted = (
-        written(asked, "asked").join(postings, "key").filter("query <> node")
-        .groupBy("query", "node", (F.col("place") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= votes)
+        asked.join(postings, "key").filter("query <> node")
+        .groupBy("query", "node", (F.col("place") - F.col("at")).alias("offset")).agg(F.sum(weight).alias("weight")).filter(F.col("weight") >= votes)
     )
-    best = counted.groupBy("query", "node").agg(F.max(F.struct("votes", (-F.col("offset")).alias("back"))).alias("b"))
-    best = written(best.select("query", "node", (-F.col("b.back")).alias("offset"), "b.votes"), "best")
+    best = written(counted.groupBy("query", "node").agg(F.collect_list("offset").alias("offsets")), "best")
     both = best.join(nodes.select(F.col("node").alias("query"), F.col("print").alias("left")), "query").join(nodes.select("node", F.col("print").alias("right")), "node")
-    judged = both.select("query", "node", "offset", "votes", "left", "right").mapInArrow(
-        _judge, "query long, node long, offset int, votes long, error double, overlap long"
-    ).filter(F.col("error") <= errors)
+    judged = both.select("query", "node", "offsets", "left", "right").mapInArrow(
+        lambda batches: _judge(batches, votes, errors), "query long, node long, offset int, votes long, error double, overlap long"
+    )
     ids = nodes.select("node", "class_id")
     matches = judged.join(ids, "node").join(ids.select(F.col("node").alias("query"), F.col("class_id").alias("query_class")), "query").select(
         "query_class", "class_id", "offset", "votes", "error", "overlap"

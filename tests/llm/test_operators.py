@@ -65,6 +65,25 @@ def test_recordings_align_at_their_offset(spark):
     assert (match.query_class, match.class_id, match.offset, match.error) == (50, 1, -30, 0.0)
 
 
+def test_short_recordings_align(spark):
+    """Parts of 16, 18 and 23 words, in the index and as queries, against all offsets."""
+    words = [f"w{i * 37 % 101}" for i in range(120)]
+    parts = [words[30:46], words[50:68], words[70:93], words[3:33]]
+    other = [f"v{i * 31 % 97}" for i in range(90)]
+    rows = [(50, words), *enumerate(parts, 1), (60, other), (100, other[20:36]), (150, other[40:58]), (200, other[60:83])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    df = spark.createDataFrame(rows, "rec_id long, text string").select("rec_id", media.recordings("text").alias("pcm"))
+    _, matches = media.aligned(df, common.F.col("rec_id") % 50 == 0)
+    prints = {i: media.fingerprint(media.rendered(t)) for i, t in rows}
+    expected = set()
+    for q, n in itertools.permutations(prints, 2):
+        a, b = prints[q], prints[n]
+        at = media.judged_offset(a, b, range(-len(a), len(b) + 1), media.VOTES, media.ERRORS) if q % 50 == 0 else None
+        expected |= {(q, n, at[0])} if at else set()
+    assert {(50, 1, -30), (50, 2, -50), (50, 3, -70), (50, 4, -3), (100, 60, 20), (150, 60, 40), (200, 60, 60)} <= expected
+    assert {(r.query_class, r.class_id, r.offset) for r in matches.collect()} == expected
+
+
 def test_thinning_keeps_one_of_common_runs():
     rng = np.random.default_rng(1)
     common_run = rng.integers(0, 2**32, media.KEEP, dtype=np.uint32)
