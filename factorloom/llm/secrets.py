@@ -5,7 +5,9 @@ meets no base span. A compressor is primed with a dictionary of common identifie
 around the candidate; what the candidate adds to an empty frame, in bytes, is its novelty. Words,
 paths and names that the surroundings or the identifiers explain cost little; random keys cost
 nearly their entropy. Candidates whose novelty is at least `novelty` of their length, and which
-mix letters and digits, are reported as kind novel.
+mix letters and digits, are reported as kind novel. Copies of a candidate do not explain it: they are
+cut out of the text around. Once a string, or the value of an assign span, is judged so, all its
+occurrences outside base spans are reported.
 
 Defined results: a null text counts as empty and has no spans; ties in start are put in the order
 of KINDS; each row is judged alone, so repeated rows get equal results; other columns are ignored.
@@ -58,19 +60,53 @@ def _ordered(spans):
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def novelty(text: str, start: int, end: int) -> int:
-    """Bytes that text[start:end] adds to a frame primed with identifiers and its surroundings."""
-    around = (text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]).encode("utf-8", "surrogatepass")
+def novelty(text: str, start: int, end: int, known=()) -> int:
+    """Bytes that text[start:end] adds to a frame primed with identifiers and its surroundings.
+
+    Copies of it, and those of the known values that are parts of it, are cut out of the surroundings.
+    """
+    own = text[start:end]
+    before, after = text[max(0, start - AROUND - len(own)) : start], text[end : end + AROUND + len(own)]
+    for value in (own, *[v for v in known if v in own]):
+        before, after = before.replace(value, "\n"), after.replace(value, "\n")
+    around = (before[-AROUND:] + "\n" + after[:AROUND]).encode("utf-8", "surrogatepass")
     primer = zstandard.ZstdCompressionDict(IDENTIFIERS + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     press = zstandard.ZstdCompressor(level=9, dict_data=primer, write_content_size=False, write_dict_id=False)
     return len(press.compress(text[start:end].encode())) - len(press.compress(b""))
 
 
+def mixed(text: str) -> bool:
+    return bool(re.search("[0-9]", text) and re.search("[A-Za-z]", text))
+
+
+def copies(text: str, values, taken) -> list[tuple[str, int, int]]:
+    """Occurrences of the values that meet no taken span; longer values first."""
+    found, covered = [], bytearray(len(text))
+    for _, start, end in taken:
+        covered[start:end] = b"\1" * (end - start)
+    for value in sorted(values, key=lambda v: (-len(v), v)):
+        at = text.find(value)
+        while at >= 0:
+            end = at + len(value)
+            if not any(covered[at:end]):
+                found.append(("novel", at, end))
+                covered[at:end] = b"\1" * len(value)
+            at = text.find(value, end)
+    return found
+
+
 def novel_spans(text: str, base, ratio: float = NOVELTY) -> list[tuple[str, int, int]]:
     low = text.lower()
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
     found, seen = [], -1
+    assigned = [(m.start(2), m.end(2)) for k, s, _ in base if k == "assign" and (m := ASSIGN.match(text, s))]
+    known = {text[s:e] for s, e in assigned} | {text[s:e] for k, s, e in base if k != "assign"}
+    values = set()
+    for s, e in assigned:
+        m = CANDIDATE.fullmatch(text, s, e)
+        if m and text.count(m[0]) > 1 and mixed(m[0]) and novelty(text, s, e) >= ratio * (e - s):
+            values.add(m[0])
     for word in SENSITIVE.finditer(text):
         line = text.find("\n", word.end(), word.end() + REACH)
         for m in CANDIDATE.finditer(text, word.end(), line if line >= 0 else min(len(text), word.end() + REACH)):
@@ -80,10 +116,9 @@ def novel_spans(text: str, base, ratio: float = NOVELTY) -> list[tuple[str, int,
             if start < seen or any(start < e and s < end for _, s, e in base):
                 continue
             seen = end
-            mixed = re.search("[0-9]", text[start:end]) and re.search("[A-Za-z]", text[start:end])
-            if mixed and novelty(text, start, end) >= ratio * (end - start):
+            if mixed(text[start:end]) and novelty(text, start, end, known) >= ratio * (end - start):
                 found.append(("novel", start, end))
-    return found
+    return found + copies(text, values | {text[s:e] for _, s, e in found}, base + found)
 
 
 def all_spans(text: str | None, ratio: float = NOVELTY):

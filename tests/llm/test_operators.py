@@ -284,6 +284,17 @@ def test_secrets(spark):
     assert secrets.redact(texts[0]) == "[SECRET]' [SECRET]" and secrets.redact(None) is None
 
 
+def test_copies_of_secrets_do_not_explain_them():
+    rng = random.Random(13)
+    for _ in range(20):
+        key = "a1Z" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(29))
+        twice = f"export the credential {key} now\nand send the bearer {key} along\nor {key} alone"
+        assert [twice[s:e] for k, s, e in secrets.all_spans(twice)[1] if k == "novel"] == [key] * 3
+        assert key not in secrets.redact(twice)
+        assert key not in secrets.redact(f"token={key}\nAuthorization: Bearer {key}\nthen {key}")
+        assert key not in secrets.redact(f"token={key}\n" + "words " * 300 + key)
+
+
 # --- 8 ------------------------------------------------------------------------------------------
 def test_repeats_equal_brute_force(spark):
     rng = random.Random(11)
