@@ -1,11 +1,11 @@
 """Secret scan: fixed patterns, and strings that zstandard cannot shorten near sensitive words.
 
-A candidate is a run of 16 or more token characters that follows a sensitive word on its line and
-meets no base span. A compressor is primed with a dictionary of common identifiers and the text
+A candidate is a run of 16 or more token characters that starts within REACH after a sensitive word,
+on its line or the next, or ends within REACH before it on its line, and meets no base span. A compressor is primed with a dictionary of common identifiers and the text
 around the candidate; what the candidate adds to an empty frame, in bytes, is its novelty. Words,
 paths and names that the surroundings or the identifiers explain cost little; random keys cost
-nearly their entropy. Candidates whose novelty is at least `novelty` of their length, and which
-mix letters and digits, are reported as kind novel. Copies of a candidate do not explain it: they are
+nearly their entropy. Candidates whose novelty is at least NOVELTY of what random strings of their
+alphabet and length cost, and which mix letters and digits, are reported as kind novel. Copies of a candidate do not explain it: they are
 cut out of the text around. Once a string, or the value of an assign span, is judged so, all its
 occurrences outside base spans are reported.
 
@@ -15,8 +15,11 @@ of KINDS; each row is judged alone, so repeated rows get equal results; other co
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import random
 import re
+import string
 
 import pandas as pd
 import zstandard
@@ -39,6 +42,12 @@ IDENTIFIERS = (
     b"private_key credential username database connection localhost abcdefghijklmnopqrstuvwxyz "
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0000000000000000 xxxxxxxxxxxxxxxx "
 )
+TOKEN = frozenset(string.ascii_letters + string.digits + "+/_=-")
+ALPHABETS = (
+    "0123456789ABCDEF", "0123456789abcdef", string.digits + string.ascii_uppercase, string.digits + string.ascii_lowercase,
+    string.digits + string.ascii_letters, "".join(sorted(TOKEN)),
+)
+LONG = 4096  # beyond, a character costs no less
 NOVELTY = 0.7
 AROUND = 512
 REACH = 80
@@ -75,6 +84,43 @@ def novelty(text: str, start: int, end: int, known=()) -> int:
     return len(press.compress(text[start:end].encode())) - len(press.compress(b""))
 
 
+def alphabet_of(text: str) -> str:
+    return next(a for a in ALPHABETS if set(text) <= set(a))
+
+
+@functools.lru_cache(100_000)
+def random_cost(alphabet: str, length: int) -> float:
+    """Mean bytes that random strings of the alphabet and length cost without surroundings."""
+    rng = random.Random(length)
+    drawn = ["".join(rng.choices(alphabet, k=length)) for _ in range(3)]
+    return sum(novelty(x, 0, length) for x in drawn) / len(drawn)
+
+
+def is_novel(text: str, start: int, end: int, known, ratio: float) -> bool:
+    if not mixed(text[start:end]):
+        return False
+    cost = random_cost(alphabet_of(text[start:end]), min(end - start, LONG))
+    return novelty(text, start, end, known) >= ratio * min(1.0, cost / min(end - start, LONG)) * (end - start)
+
+
+def near(text: str, word) -> list[tuple[int, int]]:
+    """Runs of token characters near a sensitive word: after it, then before it."""
+    out = []
+    line = text.find("\n", word.end())
+    line = text.find("\n", line + 1) if line >= 0 else -1
+    stop = min(len(text) if line < 0 else line, word.end() + REACH + 15)  # a run is met by its first 16 characters
+    for m in CANDIDATE.finditer(text, word.end(), stop):
+        end = m.end()
+        while end < len(text) and text[end] in TOKEN:  # a key runs on past the reach
+            end += 1
+        out.append((m.start(), end))
+    first = text.rfind("\n", 0, word.start()) + 1
+    start = max(first, word.start() - REACH)
+    while start > first and text[start] in TOKEN and text[start - 1] in TOKEN:
+        start -= 1
+    return out + [m.span() for m in CANDIDATE.finditer(text, start, word.start()) if m.end() < word.start()]
+
+
 def mixed(text: str) -> bool:
     return bool(re.search("[0-9]", text) and re.search("[A-Za-z]", text))
 
@@ -99,24 +145,20 @@ def novel_spans(text: str, base, ratio: float = NOVELTY) -> list[tuple[str, int,
     low = text.lower()
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
-    found, seen = [], -1
+    found, seen = [], set()
     assigned = [(m.start(2), m.end(2)) for k, s, _ in base if k == "assign" and (m := ASSIGN.match(text, s))]
     known = {text[s:e] for s, e in assigned} | {text[s:e] for k, s, e in base if k != "assign"}
     values = set()
     for s, e in assigned:
         m = CANDIDATE.fullmatch(text, s, e)
-        if m and text.count(m[0]) > 1 and mixed(m[0]) and novelty(text, s, e) >= ratio * (e - s):
+        if m and text.count(m[0]) > 1 and is_novel(text, s, e, (), ratio):
             values.add(m[0])
     for word in SENSITIVE.finditer(text):
-        line = text.find("\n", word.end(), word.end() + REACH)
-        for m in CANDIDATE.finditer(text, word.end(), line if line >= 0 else min(len(text), word.end() + REACH)):
-            start, end = m.span()
-            while end < len(text) and CANDIDATE.match(text[end] * 16):  # a key runs on past the reach
-                end += 1
-            if start < seen or any(start < e and s < end for _, s, e in base):
+        for start, end in near(text, word):
+            if end in seen or any(start < e and s < end for _, s, e in base):
                 continue
-            seen = end
-            if mixed(text[start:end]) and novelty(text, start, end, known) >= ratio * (end - start):
+            seen.add(end)
+            if is_novel(text, start, end, known, ratio):
                 found.append(("novel", start, end))
     return found + copies(text, values | {text[s:e] for _, s, e in found}, base + found)
 

@@ -295,6 +295,20 @@ def test_copies_of_secrets_do_not_explain_them():
         assert key not in secrets.redact(f"token={key}\n" + "words " * 300 + key)
 
 
+def test_keys_of_small_alphabets_and_other_places():
+    rng = random.Random(14)
+    draw = lambda alphabet, n: "a1Z"[: 3 * (len(alphabet) > 16)] + "".join(rng.choice(alphabet) for _ in range(n))
+    full = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for n in (32, 64, 80, 96, 128, 256):
+        for _ in range(10):
+            key = draw("0123456789ABCDEF", n)
+            assert key not in secrets.redact(f"signature: {key}")
+    for _ in range(10):
+        key = draw(full, 30)
+        for text in (f"signature{' ' * 70}{key}", f"secret:\n  {key}\n", f"{key} is the bearer", f'"credential":\n    "{key}",'):
+            assert secrets.redact(text) == text.replace(key, "[SECRET]")
+
+
 # --- 8 ------------------------------------------------------------------------------------------
 def test_repeats_equal_brute_force(spark):
     rng = random.Random(11)
