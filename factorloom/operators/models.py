@@ -172,14 +172,17 @@ def walk_forward(model: Scorer, samples: DataFrame, intervals: DataFrame, clone:
 
 
 def cross_validated(make, samples: DataFrame, returns: str, n_folds: int = 5, k: int = 100, n_labels: int = 5, bear: bool = False) -> DataFrame:
-    """(fold, ndcg, mean_return) of a scorer fitted on the other folds, averaged over dates."""
+    """(fold, ndcg, mean_return) of a scorer fitted on the other folds, averaged over dates.
+
+    A fold is a row of figures, taken as soon as its scorer is fitted, so that plans do not pile up.
+    """
     rows, out = cv_folds(samples, n_folds), []
     for f in range(n_folds):
         found = make().fit(rows.filter(F.col("fold") != f)).predict(rows.filter(F.col("fold") == f)).withColumnRenamed("timestamp", "date")
         gains = ndcg(found, "y", "score", k, n_labels=n_labels, bear=bear).groupBy().agg(F.avg("ndcg").alias("ndcg"))
         means = top_k_mean(found, "score", returns, k).groupBy().agg(F.avg("mean").alias("mean_return"))
-        out.append(gains.crossJoin(means).withColumn("fold", F.lit(f)))
-    return reduce(DataFrame.unionByName, out)
+        out.append((*gains.crossJoin(means).select("ndcg", "mean_return").first(), f))
+    return samples.sparkSession.createDataFrame(out, "ndcg double, mean_return double, fold int")
 
 
 def grid_search(make, samples: DataFrame, options: dict, returns: str, done: DataFrame | None = None, **cv) -> DataFrame:

@@ -276,25 +276,43 @@ def random_model(spark, d):
 
 @register("gbt_ranker")
 def gbt_ranker(spark, d):
-    return BoostedRanker(["f1", "f2", "f3"], options={"maxIter": 3}).fit(_stamped(spark, d)).predict(_stamped(spark, d)).select("timestamp", "symbol", "score")
+    return BoostedRanker(["f1", "f2", "f3"]).fit(_stamped(spark, d)).predict(_stamped(spark, d)).select("timestamp", "symbol", "score")
 
 
 @register("meta_model")
 def meta_model(spark, d):
-    stack = MetaScorer([SingleFeature("f1"), SingleFeature("f2", Direction.BEAR)], BoostedRanker(["base0", "base1"], Direction.BEAR, options={"maxIter": 3}))
+    stack = MetaScorer([SingleFeature("f1"), SingleFeature("f2", Direction.BEAR)], BoostedRanker(["base0", "base1"], Direction.BEAR))
     return stack.fit(_stamped(spark, d)).predict(_stamped(spark, d)).select("timestamp", "symbol", "score")
 
 
+LABELS = 3
+#: The settings of the reference's command line: learning rate, depth, trees and share of features.
+GRID = {"stepSize": [0.01, 0.1, 1.0], "maxDepth": [2, 4, 6], "maxIter": [80, 160, 240], "featureSubsetStrategy": ["0.7", "0.85", "1.0"]}
+
+
+def ranked_samples(spark, d) -> DataFrame:
+    """Samples with bucketed labels y and, beside them, the forward returns ret that were bucketed."""
+    returns = all_samples(spark, d).select("timestamp", "symbol", F.col("y").alias("ret"))
+    return all_samples(spark, d, LABELS).join(returns, ["timestamp", "symbol"], "left")
+
+
+def ranker(**options) -> BoostedRanker:
+    return BoostedRanker(["m3", "m6"], n_labels=LABELS, options=options)
+
+
+def _kept(spark, rows: DataFrame) -> DataFrame:
+    set_shared_dir(spark)
+    return rows.checkpoint()
+
+
 @register("cross_validation")
 def cross_validation(spark, d):
-    rows = all_samples(spark, d, 3).withColumn("ret", F.col("m6"))
-    return cross_validated(lambda: SingleFeature("m3"), rows, "ret", 3, 5, 3)
+    return cross_validated(ranker, _kept(spark, ranked_samples(spark, d)), "ret", k=5, n_labels=LABELS)
 
 
 @register("grid_search")
 def grid(spark, d):
-    rows = all_samples(spark, d, 3).withColumn("ret", F.col("m6"))
-    return grid_search(lambda feature, bear: SingleFeature(feature, Direction.BEAR if bear else Direction.BULL), rows, {"feature": ["m3", "m6"], "bear": [0, 1]}, "ret", n_folds=2, k=5, n_labels=3)
+    return grid_search(ranker, _kept(spark, ranked_samples(spark, d)), GRID, "ret", k=5, n_labels=LABELS)
 
 
 K = 3
