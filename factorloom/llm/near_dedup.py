@@ -325,8 +325,12 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     # leaders: what has most copies, then by hash; whoever a leader has linked need not meet each other
     for leader in (F.struct("size", -F.col("node")), F.struct(F.xxhash64("node"), "node")):
         links, grouped, tried, members = _linked(_stars(members, leader, tried), ids, threshold, links, tried, members)
-    grouped = components(links.unionByName(written(_across(members, ids, threshold), "across")))
-    # rows of one doc_id with different texts are one node as well
+    # rows of one doc_id share a class: an id is a node that is linked with the nodes of all its texts
+    own = real.join(equal, ["k1", "k2"]).filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    several = real.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("low"), F.max(F.struct("k1", "k2")).alias("high")).filter("low <> high")
+    own = own.join(several.select(F.col("doc_id").alias("a")), "a", "left_semi")
+    across = written(_across(members, ids, threshold), "across")
+    grouped = components(links.unionByName(across).unionByName(written(own, "own")))
     named = equal.join(grouped, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class_id"))
     found = signed.join(written(named, "named"), ["k1", "k2"], "left")
     lone = (F.col("n") == 0) | F.col("doc_id").isNull()

@@ -232,6 +232,15 @@ def test_near_dedup_of_nothing_and_of_rows_without_id(spark):
     assert near_dedup.kept_documents(rows).count() == 3
 
 
+def test_rows_of_one_id_share_a_class(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b)], "doc_id long, text string")
+    assert {(r.doc_id, r.class_id) for r in near_dedup.classes(rows).collect()} == {(3, 3), (5, 3), (7, 3)}
+    rows = spark.createDataFrame([(3, a), (5, a), (5, b)], "doc_id long, text string")
+    assert {(r.doc_id, r.class_id) for r in near_dedup.classes(rows).collect()} == {(3, 3), (5, 3)}
+    assert [(r.doc_id, r.text) for r in near_dedup.kept_documents(rows).collect()] == [(3, a)]
+
+
 def test_dart_agreement_is_similarity():
     rng = np.random.default_rng(8)
     shared, a, b = rng.integers(0, 2**63, 800, dtype=np.uint64), rng.integers(0, 2**63, 100, dtype=np.uint64), rng.integers(0, 2**63, 300, dtype=np.uint64)
