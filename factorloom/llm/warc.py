@@ -34,6 +34,7 @@ from .common import scratch_path, written
 LEAST = 0
 FILE_BYTES = 64 << 20
 READ_BYTES = 4 << 20
+TASK_BYTES = 4 << 20  # of archives, for each reading task
 GAP_BYTES = 64 << 10
 DATE = "1970-01-01T00:00:00Z"
 
@@ -142,8 +143,10 @@ def _batch(rows, schema: str) -> pa.RecordBatch:
 def read_records(index: DataFrame, folder: str, read_bytes: int = READ_BYTES, gap_bytes: int = GAP_BYTES) -> DataFrame:
     """The records that the index rows name, fetched by sorted and coalesced byte ranges."""
     stretch = F.floor(F.col("offset") / read_bytes).alias("stretch")
+    # a number given, adaptive execution does not merge the partitions by the bytes of the small index rows
+    tasks = (index.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES + 1
     dealt = (
-        index.select("file", "offset", "length", stretch).repartition("file", "stretch").sortWithinPartitions("file", "offset")
+        index.select("file", "offset", "length", stretch).repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset")
     )
     return dealt.drop("stretch").mapInArrow(_reader(folder, read_bytes, gap_bytes), RECORD)
 

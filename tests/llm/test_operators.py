@@ -49,6 +49,14 @@ def test_warc_least_and_empty(spark, tmp_path):
     assert warc.read_records(warc.write_archives(pages(spark, []), folder), folder).count() == 0
 
 
+def test_warc_reading_tasks_follow_the_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 500, raising=False)
+    folder = f"file://{tmp_path}/archives"
+    index = warc.write_archives(pages(spark, [(i, f"u{i}", hashlib.sha256(b"%d" % i).hexdigest(), "f") for i in range(60)]), folder, file_bytes=1000)
+    found = warc.read_records(index, folder, read_bytes=500)
+    assert found.rdd.getNumPartitions() > 4 and found.count() == 60
+
+
 def test_ranges_coalesce():
     rows = [("a", 0, 10), ("a", 10, 10), ("a", 200, 10), ("b", 0, 5), ("b", 5, 90)]
     assert list(warc.coalesced(rows, 60, 50)) == [("a", [(0, 10), (10, 10)]), ("a", [(200, 10)]), ("b", [(0, 5)]), ("b", [(5, 90)])]
