@@ -3,39 +3,86 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from contextlib import suppress
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shipping import ship
+
+ARROW_ROWS = 1000  # of a batch that a Python worker gets: texts may be long
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_scopes: list[list[str]] = []
+
+
+def prepared(spark: SparkSession) -> None:
+    """Sends the package to the workers, and bounds the session's Arrow batches by ARROW_ROWS rows."""
+    ship(spark)
+    now = int(spark.conf.get(_ARROW))
+    if not 0 < now <= ARROW_ROWS:
+        spark.conf.set(_ARROW, ARROW_ROWS)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of this process only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder of spark.checkpoint.dir. Where that is unset, a local session gets a folder of its
+    process; on a cluster, whose executors would not see that one, it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='factorloom-')}")
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
+    """A new path in the shared folder: freed at the end of a tidy operator, or of the driver's Python."""
     path = f"{shared_dir(spark)}/factorloom/{uuid.uuid4().hex}/{name}"
-    atexit.register(remove, spark, path)
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        atexit.register(remove, spark, path)
     return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a path; of a session that is stopped, only a local one can still be reached."""
     if spark.sparkContext._jsc is None:
+        if path.startswith("file:"):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
         return
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tidy(operator):
+    """The operator with its result written, and all other tables that it wrote freed when it ends."""
+
+    @wraps(operator)
+    def run(*args, **kwargs):
+        _scopes.append([])
+        try:
+            result = operator(*args, **kwargs)
+        except BaseException:
+            for path in _scopes.pop():
+                with suppress(Exception):  # the error itself tells more
+                    remove(args[0].sparkSession, path)
+            raise
+        paths = _scopes.pop()
+        try:
+            return written(result, operator.__name__)
+        finally:
+            for path in paths:
+                remove(result.sparkSession, path)
+
+    return run
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a table in the shared folder: its lineage ends here."""
     spark = df.sparkSession
@@ -50,6 +97,21 @@ def discard(table: DataFrame) -> None:
         remove(table.sparkSession, folder)
 
 
+def at_most(table: DataFrame, count: str, n: int) -> DataFrame:
+    """The rows of a written table whose count is 2^k or more, for the least k that leaves at most n rows.
+
+    The driver gets a histogram of at most 64 rows; nothing is sorted."""
+    level = F.floor(F.log2(F.col(count))).cast("int")
+    sizes = dict(table.filter(F.col(count) > 0).groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect())
+    least, left = 64, 0
+    for k in range(63, -1, -1):
+        left += sizes.get(k, 0)
+        if left > n:
+            break
+        least = k
+    return table.filter((F.col(count) > 0) & (level >= least))
+
+
 BITS = 1 << 25  # of a bitmap of ids: 4 MB, however many ids there are
 
 
@@ -78,41 +140,38 @@ def perhaps_in(rows: DataFrame, name: str, bitmap: DataFrame, wanted: bool = Tru
     return found.select(*rows.columns)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges(a, b): component is the least node reachable.
 
-    Alternating large-star and small-star rounds, each written to the shared folder, until an
-    order-free checksum of the edges stays the same. Nodes are longs; loops are ignored.
-    """
-    spark = edges.sparkSession
-    hi, lo = F.greatest("a", "b"), F.least("a", "b")
-    stars = written(edges.filter("a <> b").select(hi.alias("a"), lo.alias("b")).distinct(), "edges")
-    last = None
-    for _ in range(max_rounds):
-        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        stars = written(_star(both, F.col("b") > F.col("a"), False), "large")
-        stars = written(_star(stars, F.lit(True), True), "small")
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError("components did not settle")
-    found = stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-    roots = stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return written(
-        found.unionByName(roots.join(found.select("node"), "node", "left_anti")), "components"
-    )
-
-
-def _star(edges: DataFrame, keep, own: bool) -> DataFrame:
-    """Each node's least neighbour m (or itself): its kept neighbours, and itself if own, point to m.
-
-    The least neighbours are a written table, so that the join reads two plain exchanges and a
-    node with very many neighbours can be split by adaptive execution.
+    Each level draws an order of the nodes by a hash; each node's parent is the first of itself and
+    its neighbours in that order. Edges between parents are the next level's, until none is left: a
+    level loses the last node of each component at least, and about half of a path or all of a star
+    but two. Parents are then followed back. Nodes are longs; loops are ignored.
     """
-    least = written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-    moved = edges.filter(keep).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    if own:
-        moved = moved.unionByName(least.select("a", F.col("m").alias("b")))
-    return moved.filter("a <> b").distinct()
+    alive = written(_between(edges.select("a", "b")), "edges")
+    levels: list[DataFrame] = []
+    while not alive.isEmpty():
+        level = F.lit(len(levels))
+        place = lambda x: F.struct(F.xxhash64(x, level).alias("h"), F.col(x).alias("x"))  # noqa: B023, E731
+        both = alive.unionByName(alive.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parents = both.groupBy("a").agg(F.min(place("b")).alias("first")).select(
+            F.col("a").alias("node"), F.least("first", place("a"))["x"].alias("parent")
+        )
+        # written tables: a join reads two plain exchanges, and a node with very many neighbours can be split
+        levels.append(written(parents, "parents"))
+        at = lambda x: levels[-1].select(F.col("node").alias(x), F.col("parent").alias(f"p{x}"))
+        moved = alive.join(at("a"), "a").join(at("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+        alive = written(_between(moved), "edges")
+    if not levels:
+        return alive.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    rooted = levels.pop()
+    for parents in reversed(levels):
+        above = rooted.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
+        rooted = written(parents.join(above, "parent", "left").select("node", F.coalesce("root", "parent").alias("parent")), "rooted")
+    least = written(rooted.groupBy("parent").agg(F.min("node").alias("component")), "least")
+    return written(rooted.join(least, "parent").select("node", "component"), "components")
+
+
+def _between(edges: DataFrame) -> DataFrame:
+    """Distinct edges without loops, the lesser node first."""
+    return edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -9,9 +9,14 @@ is about its number of shingles, however many coordinates there are.
 
 Documents with equal multisets are one class at once; only one of each goes on. Signatures are cut
 into BANDS bands; documents that share a band are compared with the band's leader, by exact
-similarity, first the document with most copies, then one by hash; all nodes of a band that this
-leaves in different components are compared after that, block by block, and only links are written:
-no link between components is lost, and a group of near copies is not expanded into its pairs.
+similarity: the document with most copies. Whoever is linked with the same leader bears its label.
+Bands in which more than BLOCK nodes do not bear the commonest label get a second leader among these.
+After that all nodes of a band that bear different labels are compared, block by block: the nodes
+beside the commonest label among themselves and with those that bear it, never those with each other.
+Only links are written: none between labels is lost, and a group is not expanded into its pairs.
+
+The exact check counts units by 32-bit hashes: of two documents of n units each, about n^2 / 2^32
+different units are taken for equal (for 1,000 units, one in every 4,000 pairs has one unit too many).
 
 Defined results: nodes are doc_ids, so rows that share a doc_id share a class, and rows without one
 are in no class and are kept; texts of one to four words are one shingle; texts without a word are
@@ -27,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, id_bitmap, perhaps_in, written
+from .common import components, id_bitmap, perhaps_in, tidy, written
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -179,34 +184,24 @@ def _similar(threshold: float):
     return run
 
 
-def unit_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and packed units of (about) the documents of ids, as a written table."""
+def unit_sets(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
+    """node and packed units of (about) the documents of ids(node), as a written table."""
     # texts are read again where they lie; only the units of (about) the wanted ones are shuffled
-    texts = perhaps_in(docs.select("doc_id", "text"), "doc_id", id_bitmap(ids, "doc_id"))
+    texts = perhaps_in(docs.select("doc_id", "text"), "doc_id", id_bitmap(ids, "node"))
+    if repeated:
+        texts = texts.dropDuplicates(["doc_id", "text"])
     sets = texts.select("doc_id", word_hashes(F.col("text")).alias("words")).mapInArrow(_sets, "doc_id long, units binary")
-    return written(sets, "units")
+    return written(sets.withColumnRenamed("doc_id", "node"), "units")
 
 
-def checked(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """pairs(a, b) of doc_ids with `similar`: whether their exact similarity reaches the threshold."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = unit_sets(docs, ids)
+def compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose exact similarity reaches the threshold."""
     both = (
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("units").alias("left")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("units").alias("right")), "b")
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("units").alias("left")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("units").alias("right")), "b")
         .select("a", "b", "left", "right")
     )
-    found = both.mapInArrow(_similar(threshold), "a long, b long, similar boolean")
-    return written(found.groupBy("a", "b").agg(F.max("similar").alias("similar")), "checked")
-
-
-def _stars(members: DataFrame, leader: Column, tried: DataFrame | None) -> DataFrame:
-    """Pairs of each band's leader with the band's nodes in other components."""
-    chosen = written(members.groupBy("band").agg(F.max_by(F.struct("node", "component"), leader).alias("leader")), "leaders")
-    pairs = members.join(chosen, "band").filter("component <> leader.component").select(
-        F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")
-    ).distinct()
-    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+    return both.mapInArrow(_similar(threshold), "a long, b long, similar boolean").filter("similar").select("a", "b")
 
 
 def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,14 +240,14 @@ def common_units(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _block_links(threshold: float):
-    """A spanning forest of the similar documents of different components in each block of a band."""
+    """A spanning forest of the similar documents of different labels in each block of a band."""
 
     def group(rows):
-        nodes, components, sides = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
+        nodes, labels, sides = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
         sets = [np.frombuffer(r[3], np.uint32) for r in rows]
         n, common = np.array([len(x) for x in sets]), common_units(sets)
         similar = common >= threshold * (n[:, None] + n[None] - common) - 1e-9
-        similar &= components[:, None] != components[None]
+        similar &= labels[:, None] != labels[None]
         if sides.any():
             similar &= sides[:, None] != sides[None]
         left, right = forest(similar)
@@ -261,7 +256,7 @@ def _block_links(threshold: float):
     def run(batches):
         held, last, done = [], None, []
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("node", "component", "side", "units", "band", "low", "high")], strict=True):
+            for row in zip(*[batch.column(c).to_pylist() for c in ("node", "label", "side", "units", "band", "kind", "low", "high")], strict=True):
                 if row[4:] != last and held:
                     done.append(group(held))
                     held = []
@@ -278,36 +273,61 @@ def _block_links(threshold: float):
     return run
 
 
-def _across(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between the components of each band, where all nodes of different components are
-    compared. A band's nodes are dealt by hash to blocks of about BLOCK, and each two blocks meet in a
-    task that holds their units: the pairs are compared there and only links are written."""
-    counts = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = (
-        members.join(written(counts, "blocks"), "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .select("band", "node", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("band", "node", "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-                F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
+def _across(placed: DataFrame, mixed_bands: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between the labels of each band of mixed_bands(band, top, tops, others).
+
+    Nodes are dealt by hash to blocks of about BLOCK, those beside the top label and those that bear
+    it apart. Each two blocks of the first meet in a task that holds their units, and each of the first
+    with each of the second: pairs are compared there and only links are written."""
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    met = placed.join(mixed_bands, "band").withColumn("no", blocks("others")).withColumn("nt", blocks("tops")).withColumn("beside", F.col("label") != F.col("top"))
+    task = lambda kind, low, high, side: F.struct(F.lit(kind).alias("kind"), low.alias("low"), high.alias("high"), side.cast("int").alias("side"))
+    every = lambda n, of: F.transform(F.sequence(F.lit(0), F.col(n) - 1), of)
+    mine = F.concat(
+        every("no", lambda k: task(0, F.least(own("no"), k), F.greatest(own("no"), k), own("no") > k)),
+        every("nt", lambda k: task(1, own("no"), k, F.lit(0))),
     )
-    sets = unit_sets(docs, members.select(F.col("node").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "node")
-    met = dealt.join(sets.distinct(), "node").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
-    return met.mapInArrow(_block_links(threshold), "a long, b long")
-
-
-def _linked(pairs, docs, threshold, links, tried, members):
-    """Checks pairs: all links and components so far, the pairs tried, and the members of bands that
-    still have several components."""
-    found = checked(written(pairs, "pairs"), docs, threshold)
-    mine = found.filter("similar").select("a", "b")
-    links = written(mine if links is None else links.unionByName(mine), "links")
-    tried = found.select("a", "b") if tried is None else tried.unionByName(found.select("a", "b"))
-    grouped = components(links)
-    placed = members.drop("component").join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = written(placed, "placed")
-    several = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
-    return links, grouped, tried, written(placed.join(written(several, "several"), "band"), "members")
-
-
+    tasks = F.when(F.col("beside"), mine).otherwise(every("no", lambda k: task(1, k, own("nt"), F.lit(1))))
+    dealt = met.select("band", "node", "label", F.explode(tasks).alias("t")).select("band", "node", "label", "t.*")
+    keys = ["band", "kind", "low", "high"]
+    whole = dealt.join(sets, "node").repartition(*keys).sortWithinPartitions(*keys)
+    return whole.mapInArrow(_block_links(threshold), "a long, b long")
+
+
+def _labels_of(placed: DataFrame) -> DataFrame:
+    """Bands with several labels: (band, top, tops, others), the commonest label and how many bear it or not."""
+    counts = placed.groupBy("band", "label").agg(F.count("*").alias("n"))
+    tops = counts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+    return written(tops.filter("all > top.n").select("band", F.col("top.label").alias("top"), F.col("top.n").alias("tops"), (F.col("all") - F.col("top.n")).alias("others")), "mixed")
+
+
+def _linked(met: DataFrame, placed: DataFrame, sets: DataFrame, threshold: float):
+    """Links of met(band, node, leader) with their leaders, and placed(band, node, label) with what they tell."""
+    links = written(compared(met.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), sets, threshold), "links")
+    found = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("with"))
+    return links, written(placed.join(written(found, "with"), "node", "left").select("band", "node", F.coalesce("with", "label").alias("label")), "placed")
+
+
+def node_links(nodes: DataFrame, docs: DataFrame, threshold: float, repeated: bool) -> DataFrame:
+    """Links (a, b) between nodes(node, size, bands) that connect all similar ones that share a band."""
+    keys = nodes.select("node", "size", F.explode("bands").alias("band"))
+    leaders = keys.groupBy("band").agg(F.max(F.struct("size", (-F.col("node")).alias("at"))).alias("top"), F.count("*").alias("n"))
+    leaders = written(leaders.filter("n > 1").select("band", (-F.col("top.at")).alias("leader")), "leaders")
+    met = written(keys.join(leaders, "band").select("band", "node", "leader"), "met")
+    sets = unit_sets(docs, met, repeated)
+    links, placed = _linked(met, met.select("band", "node", F.col("node").alias("label")), sets, threshold)
+    several = _labels_of(placed)
+    crowded = several.filter(F.col("others") > BLOCK)
+    if not crowded.isEmpty():
+        beside = placed.join(crowded.select("band", "top"), "band").filter("label <> top")
+        leaders = written(beside.groupBy("band").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("leader")), "leaders")
+        more, placed = _linked(beside.join(leaders, "band").select("band", "node", "leader"), placed, sets, threshold)
+        links, several = links.unionByName(more), _labels_of(placed)
+    return written(links.unionByName(_across(placed, several, sets, threshold)), "links")
+
+
+@tidy
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id and n_units of every row of docs(doc_id, text)."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -316,23 +336,18 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         "signatures",
     )
     real = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    equal = written(real.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count("*").alias("size")), "equal")
-    nodes = real.join(equal, (real.doc_id == equal.node) & (real.k1 == equal.k1) & (real.k2 == equal.k2)).select("node", "size", "bands")
-    keys = written(nodes.select("node", "size", F.explode("bands").alias("band")).distinct(), "bands")
-    shared = written(keys.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("band"), "shared")
-    members = written(keys.join(shared, "band").withColumn("component", F.col("node")), "members")
-    links = grouped = tried = None
-    # leaders: what has most copies, then by hash; whoever a leader has linked need not meet each other
-    for leader in (F.struct("size", -F.col("node")), F.struct(F.xxhash64("node"), "node")):
-        links, grouped, tried, members = _linked(_stars(members, leader, tried), ids, threshold, links, tried, members)
-    # rows of one doc_id share a class: an id is a node that is linked with the nodes of all its texts
-    own = real.join(equal, ["k1", "k2"]).filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    several = real.groupBy("doc_id").agg(F.min(F.struct("k1", "k2")).alias("low"), F.max(F.struct("k1", "k2")).alias("high")).filter("low <> high")
-    own = own.join(several.select(F.col("doc_id").alias("a")), "a", "left_semi")
-    across = written(_across(members, ids, threshold), "across")
-    grouped = components(links.unionByName(across).unionByName(written(own, "own")))
-    named = equal.join(grouped, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class_id"))
-    found = signed.join(written(named, "named"), ["k1", "k2"], "left")
+    # bands follow from the multiset, so that they are part of the key
+    nodes = written(real.groupBy("k1", "k2", "bands").agg(F.min("doc_id").alias("node"), F.count("*").alias("size")), "nodes")
+    repeated = written(real.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id"), "repeated")
+    some = not repeated.isEmpty()
+    links = node_links(nodes, ids, threshold, some)
+    if some:  # rows of one doc_id share a class: an id is a node that is linked with the nodes of all its texts
+        mine = real.join(repeated, "doc_id", "left_semi").select("doc_id", "k1", "k2").distinct()
+        own = mine.join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+        links = links.unionByName(own)
+    grouped = components(links)
+    named = written(nodes.join(grouped, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class_id")), "named")
+    found = signed.select("doc_id", "k1", "k2", "n").join(named, ["k1", "k2"], "left")
     lone = (F.col("n") == 0) | F.col("doc_id").isNull()
     return found.select("doc_id", F.when(lone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.col("n").alias("n_units"))
 

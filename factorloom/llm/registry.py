@@ -1,6 +1,19 @@
 """The registered queries of the corpus operators, and SQL for those that SQL can express."""
 
+from functools import wraps
+
 from . import media, mixing, near_dedup, pieces, quality, repeats, secrets, token_counts, vectors, warc
+from .common import prepared
+
+
+def _ready(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        prepared(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
 QUERIES = {
     "op1_warc_archives": warc.query,
@@ -14,6 +27,7 @@ QUERIES = {
     "op9_token_counts": token_counts.query,
     "op10_mix_sources": mixing.query,
 }
+QUERIES = {name: _ready(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL = {
     "op1_warc_archives": warc.ORACLE_SQL,
