@@ -17,14 +17,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_REPEATS = 2
-BLOCKS = 1024
-SHARDS = 64
+BLOCKS = 1024  # of a source, at least
+BLOCK_WORDS = 1 << 21  # of the mix's input, for each of a source's blocks beyond that
+SHARD_WORDS = 1 << 21  # of the mix, for each output shard
+SHARDS = 64  # at least
+
+
+def power_of_two(least: int, total, each: int) -> Column:
+    """The least power of two that is at least `least` and total / each."""
+    return F.greatest(F.lit(least), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), total / each))))).cast("long")
 
 
 def word_count(text: Column) -> Column:
@@ -67,8 +74,10 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share=SHARE, repeats=MAX_R
     return ranked.select("source", "source_no", "source_size", F.coalesce(target, F.col("cap").cast("double")).alias("target"))
 
 
-def block_draws(sized: DataFrame, targets: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(source, block, source_size, target, draws): draws are (pass, shard, words) of the block."""
+def block_draws(sized: DataFrame, targets: DataFrame, shards: int | None = None) -> DataFrame:
+    """(source, block, source_size, target, draws): draws are (pass, shard, words) of the block.
+
+    Without a number of shards there are as many as the mix's size asks for."""
     blocks = (
         sized.groupBy("source", "block").agg(F.sum("size").alias("words")).filter("words > 0")
     )
@@ -94,10 +103,11 @@ def block_draws(sized: DataFrame, targets: DataFrame, shards: int = SHARDS) -> D
         .withColumn("draw", F.col("pass") * F.col("n_blocks") + F.col("at"))
     )
     drawn = written(drawn.drop("key", "none", "order", "end", "at", "n_blocks"), "draws")
+    if shards is None:
+        shards = targets.select(power_of_two(SHARDS, F.coalesce(F.sum("target"), F.lit(0.0)), SHARD_WORDS)).first()[0]
     placed = splitting_tree(drawn.groupBy("source_no").agg(F.count("*").alias("quota")), shards)
     return (
-        drawn.join(placed, "source_no")
-        .withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("draw"))))
+        drawn.join(placed, (drawn.source_no == placed.source) & (drawn.draw >= placed.start) & (drawn.draw < placed.end)).drop(placed.source)
         .groupBy("source_no", "block")
         .agg(
             F.first("source").alias("source"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
@@ -107,28 +117,28 @@ def block_draws(sized: DataFrame, targets: DataFrame, shards: int = SHARDS) -> D
 
 
 def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = 7) -> DataFrame:
-    """(source_no, ends): how many of a source's draws lie in the shards up to each one.
+    """(source, shard, start, end): which of a source's draws each shard gets; shards are a power of two.
 
     A node of the tree is one row with the quotas of all sources; its left child gets half of its
     draws, source by source from the hypergeometric law of what is left, the right child the rest.
+    A level is a written table, dealt out by node, so that the nodes of a level are split side by side.
     """
     depth = max(0, (shards - 1).bit_length())
     nodes = quotas.groupBy().agg(F.sort_array(F.collect_list(F.struct("source_no", "quota"))).alias("q")).select(
-        F.lit(0).alias("node"), F.transform("q", lambda x: x["source_no"]).alias("sources"), F.transform("q", lambda x: x["quota"]).alias("q")
+        F.lit(0).cast("long").alias("node"), F.transform("q", lambda x: x["source_no"]).alias("sources"), F.transform("q", lambda x: x["quota"]).alias("q")
     )
     for level in range(depth):
         total = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x)
         start = F.struct(total.alias("n"), F.floor((total + 1) / 2).alias("m"), F.array().cast("array<bigint>").alias("got"))
-
-        left = F.aggregate("q", start, lambda acc, k: _draw(acc, k, seed, F.lit(level)))["got"]
-        nodes = nodes.withColumn("l", left).withColumn("r", F.zip_with("q", "l", lambda a, b: a - b)).select(
-            "sources", F.posexplode(F.array("l", "r")).alias("side", "q"), "node"
-        ).select((F.col("node") * 2 + F.col("side")).alias("node"), "sources", "q")
-    per_shard = nodes.select("node", F.explode(F.arrays_zip("sources", "q")).alias("x")).select("node", F.col("x.sources").alias("source_no"), F.col("x.q").alias("n"))
-    ends = F.sum("n").over(Window.partitionBy("source_no").orderBy("node"))
-    return per_shard.withColumn("end", ends).groupBy("source_no").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("node", "end"))), lambda x: x["end"]).alias("ends")
-    )
+        at = F.lit(level)
+        left = F.aggregate("q", start, lambda acc, k: _draw(acc, k, seed, at))["got"]  # noqa: B023
+        split = written(nodes.select("node", "sources", "q", left.alias("l")), "split")
+        nodes = split.select("sources", F.posexplode(F.array("l", F.zip_with("q", "l", lambda a, b: a - b))).alias("side", "q"), "node").select(
+            (F.col("node") * 2 + F.col("side")).alias("node"), "sources", "q")
+        nodes = nodes.repartition("node") if level > 4 else nodes
+    per_shard = nodes.select("node", F.explode(F.arrays_zip("sources", "q")).alias("x")).select(F.col("x.sources").alias("source"), F.col("node").alias("shard"), F.col("x.q").alias("n"))
+    ends = F.sum("n").over(Window.partitionBy("source").orderBy("shard"))
+    return written(per_shard.withColumn("end", ends).withColumn("start", F.col("end") - F.col("n")).filter("n > 0").drop("n"), "tree")
 
 
 def _draw(acc: Column, k: Column, seed: int, level: Column) -> Column:
@@ -183,19 +193,23 @@ def _log_factorial(x: Column) -> Column:
     return series - F.ln(product)
 
 
-def mixing_plan(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, **rule) -> DataFrame:
-    """Per row of docs(doc_id, source, text): size, source_size, target, taken and the draws of its block."""
-    sized = written(
-        docs.select(
-            "doc_id", "source", word_count(F.col("text")).alias("size"), hashed(F.col("doc_id")).alias("h"),
-            F.xxhash64("text").alias("tie"),
-        ).withColumn("block", F.col("h") % blocks),
-        "sized",
+def blocked(rows: DataFrame, blocks: int | None) -> DataFrame:
+    """rows(size, h) with their block; without a number, blocks follow the number of words."""
+    if blocks is None:
+        blocks = rows.select(power_of_two(BLOCKS, F.coalesce(F.sum("size"), F.lit(0)), BLOCK_WORDS)).first()[0]
+    return rows.withColumn("block", F.col("h") % blocks)
+
+
+@tidy
+def mixing_plan(docs: DataFrame, blocks: int | None = None, shards: int | None = None, **rule) -> DataFrame:
+    """Per row of docs(doc_id, source, text): size, source_size, source's target, taken and the draws of its block."""
+    sized = docs.select(
+        "doc_id", "source", word_count(F.col("text")).alias("size"), hashed(F.col("doc_id")).alias("h"), F.xxhash64("text").alias("tie"),
     )
-    return plan_of(sized, blocks, shards, **rule)
+    return plan_of(blocked(written(sized, "sized"), blocks), shards, **rule)
 
 
-def plan_of(sized: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, **rule) -> DataFrame:
+def plan_of(sized: DataFrame, shards: int | None = None, **rule) -> DataFrame:
     """The plan of rows that have doc_id, source, size, h, tie and block, and any other columns."""
     facts = written(source_targets(sized.select("source", "size"), **rule), "targets")
     draws = written(block_draws(sized.select("source", "block", "size"), facts, shards).drop("source"), "blocks")
@@ -235,7 +249,7 @@ def plan_of(sized: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, **rule
     )
 
 
-def mixed_documents(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, **rule) -> DataFrame:
+def mixed_documents(docs: DataFrame, blocks: int | None = None, shards: int | None = None, **rule) -> DataFrame:
     """The mix itself: docs' columns, a row for each draw of a document, dealt to shards and shuffled.
 
     A document that a target cuts keeps its first words, with the white space between them.
@@ -245,8 +259,8 @@ def mixed_documents(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS,
     sized = docs.select(
         row, "doc_id", "source", word_count(F.col("text")).alias("size"), hashed(F.col("doc_id")).alias("h"),
         F.xxhash64("text").alias("tie"),
-    ).withColumn("block", F.col("h") % blocks)
-    drawn = plan_of(written(sized, "rows"), blocks, shards, **rule).select("row", "size", F.explode("draws").alias("d"))
+    )
+    drawn = plan_of(blocked(written(sized, "rows"), blocks), shards, **rule).select("row", "size", F.explode("draws").alias("d"))
     part = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.col("d.words").cast("int")), "")
     text = F.when(F.col("d.words") >= F.col("size"), F.col("row.text")).otherwise(part)
     out = {c: F.col(f"row.`{c}`") for c in names} | {"text": text}
@@ -259,15 +273,40 @@ def mixed_documents(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS,
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns, and the shards that the tree gives a document: pass:shard:words of each draw."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mixing_plan(docs).select("doc_id", "size", "source_size", "target", "taken")
+    draws = F.transform("draws", lambda d: F.concat_ws(":", d["pass"].cast("string"), d["shard"].cast("string"), d["words"].cast("string")))
+    return mixing_plan(docs).select("doc_id", "size", "source_size", "target", "taken", F.array_join(draws, ",").alias("shards"))
+
+
+def _sql_log_factorial(x: str) -> str:
+    y = f"({x} + 9)"
+    product = " * ".join(f"({x} + {i})" for i in range(1, 9))
+    return f"(({y} - 0.5::DOUBLE) * ln({y}) - {y} + 0.9189385332046727::DOUBLE + 1::DOUBLE / (12 * {y}) - 1::DOUBLE / (360 * {y} * {y} * {y}) - ln({product}))"
+
+
+def _sql_hash(text: str) -> str:
+    return f"('0x' || substr(md5({text}), 1, 13))::BIGINT"
+
 
+#: The tree's draw for one node and source of an accumulator a(n, m, got, node, level) and a quota k.
+_SQL_DRAW = f"""list_transform([{{'u': ({_sql_hash("'7|' || a.level || '|' || a.node || '|' || len(a.got)")} + 0.5::DOUBLE) / 4503599627370496::DOUBLE,
+    'n': a.n::DOUBLE, 'm': a.m::DOUBLE, 'k': k::DOUBLE, 'mean': CASE WHEN a.n > 0 THEN a.m::DOUBLE * k / a.n ELSE 0 END}}],
+  lambda s: list_transform([CASE WHEN s.n > 1 THEN sqrt(greatest(0, s.mean * (1 - s.k / s.n) * (s.n - s.m) / (s.n - 1))) ELSE 0 END],
+  lambda spread: list_transform([CAST(least(s.k, s.m, ceil(s.mean + 12 * spread + 2)) AS BIGINT)],
+  lambda high: list_transform([CAST(least(high, greatest(0, s.m - (s.n - s.k), floor(s.mean - 12 * spread - 2))) AS BIGINT)],
+  lambda low: list_transform([list_transform(range(low, high + 1), lambda x: {_sql_log_factorial('s.k')} + {_sql_log_factorial('(s.n - s.k)')}
+    - list_sum(list_transform([x::DOUBLE, s.k - x, s.m - x, s.n - s.k - s.m + x], lambda v: {_sql_log_factorial('v')})))],
+  lambda logs: list_transform([list_transform(logs, lambda x: exp(x - list_max(logs)))],
+  lambda w: least(high, low + len(list_filter(range(1, len(w) + 1), lambda i: list_sum(w[1:i]) < s.u * list_sum(w)))))[1])[1])[1])[1])[1])[1]"""
 
-ORACLE_SQL = r"""
-WITH sized AS (
+ORACLE_SQL = rf"""
+WITH RECURSIVE raw AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13))::BIGINT AS h
+    {_sql_hash("CAST(doc_id AS VARCHAR)")} AS h
   FROM documents),
+sized AS (
+  SELECT doc_id, source, size, h, h % CAST(greatest({BLOCKS}, pow(2, ceil(log2(greatest(1, (SELECT sum(size) FROM raw) / {BLOCK_WORDS}))))) AS BIGINT) AS block FROM raw),
 src AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no
   FROM sized GROUP BY source),
@@ -288,20 +327,40 @@ g AS (
     CASE WHEN s > 0 THEN CAST(round(target) AS BIGINT) // s ELSE 0 END AS passes FROM t),
 g2 AS (SELECT *, goal - passes * s AS rest FROM g),
 b AS (
-  SELECT no, h % 1024 AS block, CAST(sum(size) AS BIGINT) AS words
+  SELECT no, block, CAST(sum(size) AS BIGINT) AS words
   FROM sized JOIN g2 ON sized.source IS NOT DISTINCT FROM g2.source GROUP BY ALL HAVING sum(size) > 0),
+p AS (SELECT b.*, passes, rest, unnest(range(passes + 1)) AS pass FROM b JOIN g2 USING (no)),
 o AS (
-  SELECT b.*, CAST(sum(words) OVER (PARTITION BY no ORDER BY ('0x' || substr(md5(no || '|' || block || '|' || passes), 1, 13))::BIGINT, block) AS BIGINT) AS fin
-  FROM b JOIN g2 USING (no)),
+  SELECT *, sum(words) OVER turn AS fin, row_number() OVER turn - 1 AS turn_no FROM p
+  WINDOW turn AS (PARTITION BY no, pass ORDER BY {_sql_hash("no || '|' || block || '|' || pass")}, block ROWS UNBOUNDED PRECEDING)),
 x AS (
-  SELECT o.no, block, words, greatest(0, least(words, rest - fin + words)) AS extra FROM o JOIN g2 USING (no)),
+  SELECT no, block, pass, words, CAST(CASE WHEN pass < passes THEN words ELSE greatest(0, least(words, rest - fin + words)) END AS BIGINT) AS got, turn_no FROM o),
 d AS (
-  SELECT doc_id, size, g2.s, g2.target, g2.passes, words, extra,
-    CAST(sum(size) OVER (PARTITION BY g2.no, h % 1024 ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fin
-  FROM sized JOIN g2 ON sized.source IS NOT DISTINCT FROM g2.source
-  LEFT JOIN x ON x.no = g2.no AND x.block = h % 1024)
-SELECT doc_id, size, s AS source_size, target,
-  CAST(CASE WHEN words IS NULL THEN 0
-    ELSE size * passes + CASE WHEN extra = words THEN size ELSE greatest(0, least(size, extra - fin + size)) END END AS BIGINT) AS taken
-FROM d
+  SELECT *, pass * count(*) FILTER (pass = 0) OVER (PARTITION BY no) + turn_no AS draw FROM x WHERE got > 0),
+quota AS (SELECT no, count(*) AS q FROM d GROUP BY no),
+tree AS (
+  SELECT 0 AS level, CAST(0 AS BIGINT) AS node, list(no ORDER BY no) AS nos, list(q ORDER BY no) AS q FROM quota
+  UNION ALL
+  SELECT level + 1, node * 2 + side, nos, CASE WHEN side = 0 THEN l ELSE list_transform(range(1, len(q) + 1), lambda i: q[i] - l[i]) END
+  FROM (
+    SELECT *, list_reduce(q, lambda a, k: list_transform([{_SQL_DRAW}], lambda x: {{'n': a.n - k, 'm': a.m - x, 'got': list_append(a.got, x), 'node': a.node, 'level': a.level}})[1],
+      {{'n': CAST(list_sum(q) AS BIGINT), 'm': CAST((list_sum(q) + 1) // 2 AS BIGINT), 'got': CAST([] AS BIGINT[]), 'node': node, 'level': level}}).got AS l
+    FROM tree WHERE level < (SELECT ceil(log2(greatest({SHARDS}, sum(target) / {SHARD_WORDS}))) FROM t)), range(2) r(side)),
+leaf AS (
+  SELECT node AS shard, unnest(nos) AS no, unnest(q) AS n FROM tree WHERE level = (SELECT max(level) FROM tree)),
+part AS (
+  SELECT no, shard, CAST(sum(n) OVER (PARTITION BY no ORDER BY shard) AS BIGINT) AS stop, n FROM leaf),
+placed AS (
+  SELECT d.no, d.block, d.pass, d.words, d.got, part.shard
+  FROM d JOIN part ON d.no = part.no AND d.draw >= stop - n AND d.draw < stop),
+r AS (
+  SELECT sized.*, row_number() OVER () AS row, g2.no, g2.s, g2.target,
+    CAST(sum(size) OVER (PARTITION BY g2.no, block ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fin
+  FROM sized JOIN g2 ON sized.source IS NOT DISTINCT FROM g2.source),
+y AS (
+  SELECT r.row, pass, shard, CASE WHEN got = words THEN size ELSE greatest(0, least(size, got - fin + size)) END AS n
+  FROM r JOIN placed USING (no, block))
+SELECT doc_id, size, s AS source_size, target, CAST(coalesce(sum(n), 0) AS BIGINT) AS taken,
+  coalesce(string_agg(pass || ':' || shard || ':' || n, ',' ORDER BY pass) FILTER (n > 0), '') AS shards
+FROM r LEFT JOIN y USING (row) GROUP BY r.row, doc_id, size, s, target
 """
