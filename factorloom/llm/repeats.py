@@ -1,22 +1,24 @@
 """Exact removal of byte strings that occur more than once in the corpus.
 
 A start is a place at which LENGTH (400) bytes of a text begin; it is removed, with its bytes, if
-the same bytes also start anywhere else. Starts are ranked as in prefix doubling: Spark groups
-(rank, place) pairs at growing lengths, places whose rank is unique drop out, the others go on to
-the next length until it passes the threshold. Sorting every place of the corpus at every length
-would take many times the corpus in shuffles, so that ranks of short lengths are taken at sampled
-places only, chosen by content such that nothing can be lost:
+the same bytes also start anywhere else. Sorting every place of the corpus at every length would take
+many times the corpus in shuffles, so that prefix doubling runs on sampled places, chosen by content
+such that nothing can be lost:
 
 * Each start has an anchor, the least hashed CORE-gram (leftmost on ties) of its 400 bytes. Equal
   strings have equal anchors at equal distances. Neighbouring starts share anchors: a run.
-* Length 32: anchors whose core is unique in the corpus end their runs.
-* The whole run: runs of one core whose bytes (first to last start's end) are equal are all removed.
-  Of each such class one run goes on as a witness if its core has several classes.
-* Length 369: the starts of a run are cut into cells of 32; the bytes that all starts of a cell
-  share are ranked, and unique cells drop out. Cells whose whole reach of 431 bytes is repeated are removed.
-* Length 400: what is left, the cells at the borders of repeats, is ranked start by start.
-
-A rank is a 64-bit hash of the bytes together with the 64-bit hash of their core.
+* Anchors whose core is unique in the corpus end their runs. Runs of one core whose bytes (first to
+  last start's end) are equal are all removed; of each such class one run goes on, as a witness, if
+  its core has several classes.
+* The places of a run are those at multiples of CELL (32) bytes from its anchor. Their ranks at 32 bytes
+  are hashes; from there Spark groups (rank, rank at an offset) pairs of one core and distance at
+  growing offsets of 1, 2 and 4 places: ranks of 64, 128 and 256 bytes, and by an offset of 3 of 352.
+  At each length, places whose rank is unique drop out, and the others' pairs are ranked anew.
+* A place that is left at 352 bytes stands for the cell of the 32 starts before it (their 400 bytes all
+  hold its 352). Cells whose whole reach of 431 bytes is repeated are removed; the others, the cells at
+  the borders of repeats, are ranked start by start at 400 bytes.
+
+A rank is a 64-bit hash, of the bytes or of the pair, together with the 64-bit hash of the core.
 
 Defined results: a null text counts as empty; texts under 400 bytes lose nothing; rows that repeat
 are texts of their own, so both lose all they share; other columns are ignored.
@@ -30,10 +32,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, tidy, written
 
 LENGTH = 400
 CORE = 32
@@ -102,7 +104,7 @@ def _runs(batches):
             whole = [rank(view[a:b]) for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)]
             n = len(anchor)
             yield _table({
-                "core": core, "whole": np.array(whole, np.int64), "id": np.full(n, doc, np.int64), "v": np.full(n, v, np.int32),
+                "core": core, "whole": np.array(whole, np.int64), "id": np.full(n, doc, np.int64), "v": np.full(n, v, np.int64),
                 "place": (anchor << 20) | ((anchor - first) << 10) | (anchor - last),
             })
 
@@ -130,33 +132,52 @@ def _slices(batches):
                 yield _table({
                     "core": pa.array([r["core"] for r in listed], pa.int64()), "whole": pa.array([r["whole"] for r in listed], pa.int64()),
                     "n": pa.array([r["n"] for r in listed], pa.int64()), "id": pa.array([row["id"]] * len(listed), pa.int64()),
-                    "v": pa.array([row["v"]] * len(listed), pa.int32()), "place": pa.array([r["place"] for r in listed], pa.int64()),
+                    "v": pa.array([row["v"]] * len(listed), pa.int64()), "place": pa.array([r["place"] for r in listed], pa.int64()),
                     "bytes": pa.array([data[a - far : a - near + LENGTH] for a, far, near in spots], pa.binary()),
                 })
 
 
 def _cells(batches):
-    """Of each slice, its cells: the rank of what their starts share and, of full cells, of their reach."""
+    """Of each slice, its places: the rank of 32 bytes, whether a full cell of starts lies before, and the rank of that cell's reach."""
     for batch in batches:
-        out = {k: [] for k in ("row", "cell", "full", "shared", "reach")}
+        out = {k: [] for k in ("row", "cell", "full", "rank", "reach")}
         for i, (place, data) in enumerate(zip(batch.column("place").to_pylist(), batch.column("bytes").to_pylist(), strict=True)):
             far, near, view = (place >> 10) & 1023, place & 1023, memoryview(data)
-            for cell in range(near // CELL, far // CELL + 1):
+            for cell in range(-((LENGTH - near) // CELL - 1), far // CELL + 1):
                 low, high = cell * CELL, cell * CELL + CELL - 1  # distances to the anchor
                 full = near <= low and high <= far
                 out["row"].append(i)
                 out["cell"].append(cell)
                 out["full"].append(full)
-                out["shared"].append(rank(view[far - low : far - high + LENGTH]))
+                out["rank"].append(rank(view[far - low : far - low + CELL]))
                 out["reach"].append(rank(view[far - high : far - low + LENGTH]) if full else 0)
         rows = pa.array(out["row"], pa.int64())
         yield _table({
             **{c: batch.column(c).take(rows) for c in ("core", "whole", "n", "id", "v", "place")},
             "cell": pa.array(out["cell"], pa.int32()), "full": pa.array(out["full"], pa.bool_()),
-            "shared": pa.array(out["shared"], pa.int64()), "reach": pa.array(out["reach"], pa.int64()),
+            "rank": pa.array(out["rank"], pa.int64()), "reach": pa.array(out["reach"], pa.int64()),
         })
 
 
+def doubled(ranks: DataFrame) -> DataFrame:
+    """Of ranks(core, whole, cell, rank) of 32 bytes, those of 352 bytes that several runs of a core share.
+
+    A run's cells count backwards, so that the place an offset ahead is the cell of so many less."""
+    for offset in (0, 1, 2, 4, 3):
+        if offset:
+            ahead = Window.partitionBy("core", "whole").orderBy("cell").rangeBetween(-offset, -offset)
+            pairs = ranks.withColumn("next", F.first("rank").over(ahead)).filter("next IS NOT NULL")
+            ranks = pairs.select("core", "whole", "cell", F.xxhash64("rank", "next").alias("rank"))
+            before, ranks = live, written(ranks, "pairs")
+            discard(before)
+        twice = ranks.groupBy("core", "cell", "rank").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
+        live = written(ranks.join(written(twice, "twice"), ["core", "cell", "rank"]).select("core", "whole", "cell", "rank"), "live")
+        if offset:
+            discard(ranks)
+        ranks = live
+    return live
+
+
 def _starts(batches):
     """The rank of each start of the listed cells."""
     for batch in batches:
@@ -170,7 +191,7 @@ def _starts(batches):
             n = len(ranks)
             yield _table({
                 "core": np.full(n, row["core"], np.int64), "rank": np.array(ranks, np.int64), "id": np.full(n, row["id"], np.int64),
-                "v": np.full(n, row["v"], np.int32), "start": np.array(starts, np.int64), "asks": np.full(n, row["n"] == 1),
+                "v": np.full(n, row["v"], np.int64), "start": np.array(starts, np.int64), "asks": np.full(n, row["n"] == 1),
             })
 
 
@@ -179,14 +200,15 @@ def identified(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"),
-        F.hash(F.col("doc_id").isNull(), text).alias("v"), text.alias("text"),
+        F.xxhash64(F.col("doc_id").isNull(), text).alias("v"), text.alias("text"),
     )
 
 
+@tidy
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, v, spans) of the documents that lose bytes; spans are (start, end) and may overlap."""
     rows = identified(docs).filter(F.octet_length("text") >= LENGTH)
-    sampled = written(rows.select("id", "v", "text").mapInArrow(_runs, "core long, whole long, id long, v int, place long"), "runs")
+    sampled = written(rows.select("id", "v", "text").mapInArrow(_runs, "core long, whole long, id long, v long, place long"), "runs")
     cores = written(sampled.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core"), "cores")
     met = written(sampled.join(cores, "core"), "met")
     discard(sampled)
@@ -201,11 +223,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     going = classes.join(written(several, "several"), "core")
     listed = going.groupBy("id", "v").agg(F.collect_list(F.struct("core", "whole", "n", "place")).alias("listed"))
     slices = rows.select("id", "v", squeezed(F.col("text")).alias("data")).join(written(listed, "listed"), ["id", "v"]).dropDuplicates(["id", "v"])
-    slices = written(slices.mapInArrow(_slices, "core long, whole long, n long, id long, v int, place long, bytes binary"), "slices")
+    slices = written(slices.mapInArrow(_slices, "core long, whole long, n long, id long, v long, place long, bytes binary"), "slices")
 
-    cells = written(slices.mapInArrow(_cells, "core long, whole long, n long, id long, v int, place long, cell int, full boolean, shared long, reach long"), "cells")
-    shared = cells.groupBy("core", "cell", "shared").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
-    live = written(cells.join(written(shared, "shared"), ["core", "cell", "shared"]), "live")
+    cells = written(slices.mapInArrow(_cells, "core long, whole long, n long, id long, v long, place long, cell int, full boolean, rank long, reach long"), "cells")
+    shared = doubled(cells.select("core", "whole", "cell", "rank")).withColumnRenamed("rank", "shared")
+    near, far = F.col("place").bitwiseAND(1023), F.shiftright("place", 10).bitwiseAND(1023)
+    starts = (F.col("cell") * CELL <= far) & (F.col("cell") * CELL + CELL > near)  # the cells that hold starts
+    live = written(cells.filter(starts).drop("rank").join(shared, ["core", "whole", "cell"]), "live")
     reach = live.filter("full").groupBy("core", "cell", "reach").agg(F.count("*").alias("k"), F.min(F.struct("whole", "place")).alias("first")).filter("k > 1")
     reach = written(reach.select("core", "cell", "reach", "first"), "reach")
     judged = written(
@@ -219,7 +243,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     asking = written(judged.filter("NOT gone AND n = 1").select("core", "cell", "shared").distinct(), "asking")
     wanted = judged.filter("stands").join(asking, ["core", "cell", "shared"]).groupBy("core", "whole").agg(F.collect_list("cell").alias("cells"))
-    starts = slices.join(written(wanted, "wanted"), ["core", "whole"]).mapInArrow(_starts, "core long, rank long, id long, v int, start long, asks boolean")
+    starts = slices.join(written(wanted, "wanted"), ["core", "whole"]).mapInArrow(_starts, "core long, rank long, id long, v long, start long, asks boolean")
     starts = written(starts, "starts")
     twice = starts.groupBy("core", "rank").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
     last = starts.filter("asks").join(written(twice, "twice"), ["core", "rank"])
@@ -276,4 +300,5 @@ def without_repeats(docs: DataFrame, keep: bool = True) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=False)
+    """The contract's columns, and whether the document holds a repeated string."""
+    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=False).withColumn("repeats", F.col("n_removed") > 0)
