@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, tidy, written
 
 COSINE = 0.95
-RECALL = 0.997
+RECALL = 0.9995
 COUNT = 2
 BLOCK = 2048
 PAIRS = 1 << 16
@@ -105,14 +105,14 @@ def _links(bits: int, tables: int, width: float, cosine: float, count: int):
     """Rows (kind, a, b): kind 0 adds b links to node a, kind 1 is an edge of a spanning forest."""
 
     def pairs_of(x, i, j, keys, places, table):
-        """Which pairs i, j pass the count and the cosine, and collide in `table` first."""
+        """Which pairs i, j pass the count, collide in `table` first, and then pass the cosine."""
         passed = []
         for at in range(0, len(i), PAIRS):
             a, b = i[at : at + PAIRS], j[at : at + PAIRS]
-            near = np.einsum("ij,ij->i", x[a], x[b]) >= cosine  # the verification is the cheaper test
-            a, b = a[near], b[near]
             met = (keys[a] == keys[b]) & (np.abs(places[a] - places[b]) <= width)
-            good = (met.sum(axis=1) >= count) & (met.argmax(axis=1) == table)
+            counted = (met.sum(axis=1) >= count) & (met.argmax(axis=1) == table)
+            a, b = a[counted], b[counted]
+            good = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
             passed.append((a[good], b[good]))
         return (np.concatenate(s) for s in zip(*passed, strict=True)) if passed else (i[:0], j[:0])
 
@@ -190,6 +190,7 @@ def _links(bits: int, tables: int, width: float, cosine: float, count: int):
     return run
 
 
+@tidy
 def linked(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, count: int = COUNT) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors(vec_id, embedding)."""
     packed = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_pack, "vec_id long, packed binary"), "packed")
