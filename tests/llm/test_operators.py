@@ -5,9 +5,11 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+import zstandard
 
 from factorloom.llm import common, media, mixing, near_dedup, pieces, quality, repeats, secrets, token_counts, vectors, warc
 from factorloom.sources.shipping import ship
@@ -128,6 +130,28 @@ def test_vectors_in_several_blocks(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in found} == {(299, 0)}
 
 
+def test_vectors_recall_at_the_threshold(spark):
+    """Pairs whose cosine lies between 0.95 and 0.96, among many others: nearly all are found, and none below."""
+    rng = np.random.default_rng(21)
+    base, other = rng.normal(size=(2, 1500, 32))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    other -= (other * base).sum(axis=1)[:, None] * base
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    cosines = rng.uniform(0.95 + 1e-9, 0.96, 1500)[:, None]
+    x = np.vstack([base, cosines * base + np.sqrt(1 - cosines**2) * other])
+    found = vectors.linked(spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    near = x @ x.T >= 0.95 * np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    np.fill_diagonal(near, False)
+    assert all(r.n_links <= near[r.vec_id].sum() for r in found)
+    assert sum(r.n_links for r in found) >= 0.999 * near.sum()
+
+
+def test_repeated_vec_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01])]
+    found = vectors.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found) == [(1, 0, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]
+
+
 def test_no_vectors(spark):
     assert vectors.linked(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -326,6 +350,41 @@ def test_keys_of_small_alphabets_and_other_places():
             assert secrets.redact(text) == text.replace(key, "[SECRET]")
 
 
+def test_secrets_take_time_in_proportion():
+    for text in ("token" * 200_000, "token " * 100_000, "secret " + "a1B2" * 100_000, "a1B2" * 100_000 + " secret", "password=" * 50_000):
+        began = time.time()
+        secrets.all_spans(text)
+        assert time.time() - began < 20
+
+
+def test_novelty_and_recall_of_planted_keys(spark):
+    """Each candidate's share equals a computation of its own; planted keys are found, words are not."""
+    rng = random.Random(16)
+    full = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys, texts = [], []
+    for i in range(300):
+        key = "k7Q" + "".join(rng.choice(full) for _ in range(rng.choice((17, 29, 45))))
+        keys.append(key)
+        texts.append(f"{' '.join(rng.choice(('river', 'stone', 'bridge', 'light')) for _ in range(20))} the {rng.choice(('bearer', 'credential', 'signature'))} {key} is here")
+    texts += [f"our secret internationalization_of_things{i % 3} and token-internationalization-{i}" for i in range(50)] + [None, ""]
+    docs = documents(spark, texts, extra="spans")
+    names = secrets.names_of(docs)
+    found = {r.doc_id: r for r in secrets.scan_documents(docs).collect()}
+    hits = sum(any(texts[i][s.start : s.end] == k and s.kind == "novel" for s in found[i].spans) for i, k in enumerate(keys))
+    assert hits >= 0.98 * len(keys)
+    assert not any(s.kind == "novel" for i in range(300, 352) for s in found[i].spans)
+    for i in range(0, 350, 7):
+        for j in found[i].judged:
+            before, own, after = texts[i][: j.start], texts[i][j.start : j.end], texts[i][j.end :]
+            around = (before.replace(own, "\n")[-512:] + "\n" + after.replace(own, "\n")[:512]).encode()
+            press = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(names + secrets.IDENTIFIERS + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+            cost = len(press.compress(own.encode())) - len(press.compress(b""))
+            assert abs(j.share - cost / secrets.Scanner(names).random_cost(own)) < 1e-9
+    assert secrets.scan_documents(documents(spark, [])).count() == 0 and secrets.redacted_documents(documents(spark, [])).count() == 0
+    mended = secrets.redacted_documents(docs)
+    assert mended.columns == docs.columns and not any(k in (r.text or "") for r in mended.collect() for k in keys if k in (texts[r.doc_id] or "") and any(texts[r.doc_id][s.start : s.end] == k for s in found[r.doc_id].spans))
+
+
 # --- 8 ------------------------------------------------------------------------------------------
 def test_repeats_equal_brute_force(spark):
     rng = random.Random(11)
@@ -347,6 +406,15 @@ def test_repeats_equal_brute_force(spark):
         assert r.n_spans == (np.diff(np.r_[0, gone.astype(int), 0]) > 0).sum()
 
 
+def test_repeats_of_rows_that_share_an_id(spark):
+    rng = random.Random(15)
+    a, b = ("".join(rng.choice("abcdefgh") for _ in range(900)) for _ in range(2))
+    rows = [(1, a), (1, b), (1, a[200:700]), (None, b[:450]), (None, b[100:600]), (None, None), (2, "z" * 399)]
+    found = repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep=False).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans) for r in found) == sorted(
+        [(1, 900, 500, 1), (1, 900, 600, 1), (1, 500, 500, 1), (0, 450, 450, 1), (0, 500, 500, 1), (0, 0, 0, 0), (2, 399, 0, 0)])
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.without_repeats(documents(spark, [])).count() == 0
 
@@ -387,7 +455,28 @@ def test_mixing(spark):
 
 def test_splitting_tree_keeps_quotas(spark):
     quotas = {0: 17, 1: 400, 2: 3}
-    ends = {r.source_no: r.ends for r in mixing.splitting_tree(spark.createDataFrame(list(quotas.items()), "source_no long, quota long"), 8).collect()}
-    assert {k: v[-1] for k, v in ends.items()} == quotas
-    sizes = np.diff(np.array([[0, *v] for v in ends.values()]), axis=1).sum(axis=0)
-    assert sizes.max() - sizes.min() <= 1
+    rows = mixing.splitting_tree(spark.createDataFrame(list(quotas.items()), "source_no long, quota long"), 128).collect()
+    shards = collections.Counter()
+    for source, quota in quotas.items():
+        parts = sorted((r.start, r.end) for r in rows if r.source == source)
+        assert parts[0][0] == 0 and parts[-1][1] == quota and all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
+    for r in rows:
+        shards[r.shard] += r.end - r.start
+    assert len(shards) == 128 and max(shards.values()) - min(shards.values()) <= 1
+
+
+def test_draws_stand_for_hypergeometric_counts(spark):
+    """Means of many draws of the quantile function against m k / n."""
+    rows = spark.range(4000).select(mixing.hypergeometric((common.F.col("id") + 0.5) / 4000, *[common.F.lit(v).cast("long") for v in (60, 18, 25)]).alias("x"))
+    mean, spread = rows.agg(common.F.avg("x"), common.F.var_pop("x")).first()
+    assert abs(mean - 25 * 18 / 60) < 0.01 and abs(spread - 25 * 0.3 * 0.7 * 35 / 59) < 0.05
+
+
+def test_mixing_of_shared_ids_and_long_texts(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "d " * 50_000, "s"), (None, "x y", None), (2, None, None), (3, "k " * 9, "t")]
+    plan = mixing.mixing_plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), blocks=4, shards=4).collect()
+    assert len(plan) == len(rows) and all(0 <= r.taken <= 2 * r.size and sum(d.words for d in r.draws) == r.taken for r in plan)
+    totals = {r.source: (r.target, 0) for r in plan}
+    for r in plan:
+        totals[r.source] = (r.target, totals[r.source][1] + r.taken)
+    assert all(abs(a - b) <= 1 for a, b in totals.values())
