@@ -6,6 +6,8 @@ A scorer has fit(samples) and predict(samples): DataFrames in, a DataFrame with
 from __future__ import annotations
 
 import copy
+import json
+import pickle
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -15,8 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import Direction, reversed_labels
+from ..sources.catalog import append_results, read_results
+from ..sources.shared import kept
 from .cross_section import ndcg, top_k_mean
 from .dataset import cv_folds, parameter_grid, split
+from .ranking import LambdaTrees
 
 
 class Scorer:
@@ -58,33 +63,56 @@ class RandomScore(Scorer):
         return samples.withColumn(self.name, F.row_number().over(order) - 1)
 
 
+MOST = 2_000_000  # samples that one fit takes, by hash order
+
+
 @dataclass
 class BoostedRanker(Scorer):
-    """Gradient-boosted trees of Spark ML on relevance labels; the bear direction learns them reversed."""
+    """Boosted trees that rank the samples of each date by relevance labels; the bear direction learns them reversed."""
 
     features: list[str]
     direction: Direction = Direction.BULL
     n_labels: int = 5
     options: dict = field(default_factory=dict)
     name: str = "score"
-    model: object = None
-
-    def _assembled(self, samples):
-        from pyspark.ml.feature import VectorAssembler
+    model: LambdaTrees | None = None
 
-        return VectorAssembler(inputCols=self.features, outputCol="_x", handleInvalid="keep").transform(samples)
+    def listed(self, samples: DataFrame) -> DataFrame:
+        """(list, y, x) of the samples that have all features."""
+        rows = samples.dropna(subset=["y", *self.features])
+        return rows.select(F.col("timestamp").cast("string").alias("list"), _label(self).alias("y"), F.array(*[F.col(f).cast("double") for f in self.features]).alias("x"))
 
     def fit(self, samples):
-        from pyspark.ml.regression import GBTRegressor
+        options = self.options
+        rows = at_most(samples, MOST)
 
-        y = F.col("y") if self.direction == Direction.BULL else reversed_labels(F.col("y"), self.n_labels)
-        rows = self._assembled(samples.dropna(subset=self.features).withColumn("_y", y.cast("double")))
-        options = {"maxIter": 10, "maxDepth": 3, "seed": 7} | self.options
-        self.model = GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol=self.name, **options).fit(rows)
+        def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"model": [pickle.dumps(fitted(pdf, options))]})
+
+        found = self.listed(rows).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(learn, "model binary").first()
+        self.model = pickle.loads(found[0]) if found else LambdaTrees()
         return self
 
     def predict(self, samples):
-        return self.model.transform(self._assembled(samples.dropna(subset=self.features))).drop("_x")
+        model = self.model
+
+        @F.pandas_udf("double")
+        def score(x: pd.Series) -> pd.Series:
+            return pd.Series(model.predict(np.array(x.tolist(), float)) if len(x) else [], dtype=float)
+
+        return samples.dropna(subset=self.features).withColumn(self.name, score(F.array(*[F.col(f).cast("double") for f in self.features])))
+
+
+def _label(ranker: BoostedRanker):
+    y = F.col("y") if ranker.direction == Direction.BULL else reversed_labels(F.col("y"), ranker.n_labels)
+    return y.cast("double")
+
+
+def fitted(rows: pd.DataFrame, options: dict) -> LambdaTrees:
+    """The ranker of rows (list, y, x); their order does not matter."""
+    x, lists = np.array(rows["x"].tolist(), float), rows["list"].to_numpy(str)
+    order = np.lexsort((*x.T, rows["y"], lists))
+    return LambdaTrees(**options).fit(x[order], rows["y"].to_numpy(float)[order], lists[order])
 
 
 @dataclass
@@ -109,23 +137,18 @@ class MetaScorer(Scorer):
 
 
 def trimmed(score: np.ndarray, against: np.ndarray, fraction: float, k: int) -> np.ndarray:
-    """Which rows stay: the worst by score and the best by the antagonist go in turns while k stay."""
-    stay = np.ones(len(score), bool)
-    done = len(score) == 0
-    while not done:
-        mixed = score.copy()
-        worst = mixed <= np.quantile(mixed[stay], fraction)
-        if stay.sum() - (stay & worst).sum() >= k:
-            stay &= ~worst
-        else:
-            done = True
-        mixed[stay] = against[stay]
-        best = mixed >= np.quantile(mixed[stay], 1 - fraction)
-        if stay.sum() - (stay & best).sum() >= k:
-            stay &= ~best
-        else:
-            done = True
-    return stay
+    """Which rows are left after cuts from two sides. A cut takes the rows up to the fraction-quantile of those
+    left, by score or by the antagonist's score from above; a pass makes both, as far as each leaves k rows.
+    Passes end with the first in which a cut did not come about. Rows without a score count in no quantile
+    and are not cut by it."""
+    left, whole = np.arange(len(score)), True
+    while whole and len(left):
+        for key in (score, -against):
+            known = key[left][~np.isnan(key[left])]
+            rest = left[~(key[left] <= np.quantile(known, fraction))] if len(known) else left
+            whole &= k <= len(rest) < len(left)
+            left = rest if len(rest) >= k else left
+    return np.isin(np.arange(len(score)), left)
 
 
 @dataclass
@@ -151,17 +174,32 @@ class TrimmedScorer(Scorer):
         return rows.groupBy("timestamp").applyInPandas(trim, schema)
 
 
+def at_most(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """The n rows of the least hash, exactly and repeatably. Counts of 65,536 ranges of the hash tell which
+    ranges are whole; only the one at the border is sorted."""
+    order = F.xxhash64(F.lit(seed), "timestamp", "symbol")
+    found = rows.groupBy(F.shiftright(order, 48).alias("range")).agg(F.count("*").alias("n")).collect()
+    border, room = None, n
+    for r in sorted(found):
+        if r["n"] > room:
+            border = r["range"]
+            break
+        room -= r["n"]
+    if border is None:
+        return rows
+    marked = rows.withColumn("_order", order)
+    edge = marked.filter(F.shiftright("_order", 48) == border).orderBy("_order", "timestamp", "symbol").limit(room)
+    return marked.filter(F.shiftright("_order", 48) < border).unionByName(edge).drop("_order")
+
+
 def subsample(rows: DataFrame, share: float, seed: int = 0) -> DataFrame:
     """That share of the rows, exactly and repeatably, by hash order."""
-    if share >= 1:
-        return rows
-    n = int(rows.count() * share)
-    return rows.orderBy(F.xxhash64(F.lit(seed), "timestamp", "symbol"), "timestamp", "symbol").limit(n)
+    return rows if share >= 1 else at_most(rows, int(rows.count() * share), seed)
 
 
 def walk_forward(model: Scorer, samples: DataFrame, intervals: DataFrame, clone: bool = True, share: float = 1.0) -> DataFrame:
     """Predictions (fold, timestamp, symbol, true, pred) of each fold's test rows by a model of its training rows."""
-    placed = split(samples, intervals)
+    placed = kept(split(samples, intervals), "placed")
     out = []
     for row in intervals.select("fold").distinct().orderBy("fold").collect():
         fold = placed.filter(F.col("fold") == row["fold"])
@@ -171,28 +209,51 @@ def walk_forward(model: Scorer, samples: DataFrame, intervals: DataFrame, clone:
     return reduce(DataFrame.unionByName, out)
 
 
-def cross_validated(make, samples: DataFrame, returns: str, n_folds: int = 5, k: int = 100, n_labels: int = 5, bear: bool = False) -> DataFrame:
-    """(fold, ndcg, mean_return) of a scorer fitted on the other folds, averaged over dates.
+def cross_validated(ranker: BoostedRanker, samples: DataFrame, returns: str, n_folds: int = 5, k: int = 100) -> DataFrame:
+    """(fold, ndcg, mean_return) of a ranker fitted on the other folds, averaged over dates.
 
-    A fold is a row of figures, taken as soon as its scorer is fitted, so that plans do not pile up.
+    The fits run side by side: each fold's task gets the samples of all others and returns its model.
     """
-    rows, out = cv_folds(samples, n_folds), []
-    for f in range(n_folds):
-        found = make().fit(rows.filter(F.col("fold") != f)).predict(rows.filter(F.col("fold") == f)).withColumnRenamed("timestamp", "date")
-        gains = ndcg(found, "y", "score", k, n_labels=n_labels, bear=bear).groupBy().agg(F.avg("ndcg").alias("ndcg"))
-        means = top_k_mean(found, "score", returns, k).groupBy().agg(F.avg("mean").alias("mean_return"))
-        out.append((*gains.crossJoin(means).select("ndcg", "mean_return").first(), f))
-    return samples.sparkSession.createDataFrame(out, "ndcg double, mean_return double, fold int")
-
-
-def grid_search(make, samples: DataFrame, options: dict, returns: str, done: DataFrame | None = None, **cv) -> DataFrame:
-    """Cross-validation of every setting that `done` (setting, ...) does not hold yet."""
-    import json
-
-    known = {r["setting"] for r in done.select("setting").distinct().collect()} if done is not None else set()
-    out = [] if done is None else [done]
+    rows = kept(at_most(cv_folds(samples, n_folds), MOST), "folds")
+    return _judged(ranker, rows, returns, n_folds, k)
+
+
+def _judged(ranker: BoostedRanker, rows: DataFrame, returns: str, n_folds: int, k: int) -> DataFrame:
+    options = ranker.options
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"fold": [pdf["out"].iloc[0]], "model": [pickle.dumps(fitted(pdf, options))]})
+
+    folds = F.array(*[F.lit(f) for f in range(n_folds)])
+    listed = rows.dropna(subset=["y", *ranker.features]).select(
+        F.explode(F.array_except(folds, F.array(F.col("fold")))).alias("out"), F.col("timestamp").cast("string").alias("list"),
+        _label(ranker).alias("y"), F.array(*[F.col(f).cast("double") for f in ranker.features]).alias("x"),
+    )
+    models = {r["fold"]: pickle.loads(r["model"]) for r in listed.groupBy("out").applyInPandas(learn, "fold int, model binary").collect()}
+    found = None
+    for fold in range(n_folds):
+        ranker.model = models.get(fold, LambdaTrees())
+        part = ranker.predict(rows.filter(F.col("fold") == fold))
+        found = part if found is None else found.unionByName(part)
+    found = found.withColumnRenamed("timestamp", "date")
+    gains = ndcg(found, "y", "score", k, n_labels=ranker.n_labels, bear=ranker.direction == Direction.BEAR)
+    means = top_k_mean(found, "score", returns, k)
+    of = found.select("date", "fold").distinct()
+    return of.join(gains, "date", "left").join(means, "date", "left").groupBy("fold").agg(F.avg("ndcg").alias("ndcg"), F.avg("mean").alias("mean_return"))
+
+
+def grid_search(make, samples: DataFrame, options: dict, returns: str, path: str, n_folds: int = 5, k: int = 100) -> DataFrame:
+    """(fold, ndcg, mean_return, setting): cross-validation of every setting, appended to the results at `path`
+    as soon as it is done; settings that are there already are not run again."""
+    spark = samples.sparkSession
+    rows = kept(at_most(cv_folds(samples, n_folds), MOST), "folds")
+    append_results(spark.createDataFrame([], RESULTS), path)
+    done = {r["setting"] for r in read_results(spark, path, RESULTS).select("setting").distinct().collect()}
     for setting in parameter_grid(options):
         text = json.dumps(setting, sort_keys=True)
-        if text not in known:
-            out.append(cross_validated(lambda setting=setting: make(**setting), samples, returns, **cv).withColumn("setting", F.lit(text)))
-    return reduce(DataFrame.unionByName, out)
+        if text not in done:
+            append_results(_judged(make(**setting), rows, returns, n_folds, k).withColumn("setting", F.lit(text)).coalesce(1), path)
+    return read_results(spark, path, RESULTS)
+
+
+RESULTS = "fold int, ndcg double, mean_return double, setting string"

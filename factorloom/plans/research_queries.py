@@ -14,7 +14,7 @@ from ..operators import cross_section as xs
 from ..operators.models import BoostedRanker, MetaScorer, RandomScore, SingleFeature, TrimmedScorer, cross_validated, grid_search, walk_forward
 from ..operators.ratios import Ratio, with_ratios
 from ..sources.catalog import Catalog
-from ..sources.shared import set_shared_dir
+from ..sources.shared import kept, new_path, set_shared_dir
 from ..sources.tables import panel_d, panel_m, scored
 from .base import BY, PD, PM, SCORED, fut, mom, r6, register
 from .feature_queries import FUTURE_VOL, MONTHLY_VOL, ratio_panel, vol_sql
@@ -286,8 +286,8 @@ def meta_model(spark, d):
 
 
 LABELS = 3
-#: The settings of the reference's command line: learning rate, depth, trees and share of features.
-GRID = {"stepSize": [0.01, 0.1, 1.0], "maxDepth": [2, 4, 6], "maxIter": [80, 160, 240], "featureSubsetStrategy": ["0.7", "0.85", "1.0"]}
+#: The settings of the command line's grid.
+GRID = {"learning_rate": [0.01, 0.1, 1.0], "max_depth": [2, 4, 6], "n_estimators": [80, 160, 240], "feature_fraction": [0.7, 0.85, 1.0]}
 
 
 def ranked_samples(spark, d) -> DataFrame:
@@ -300,19 +300,14 @@ def ranker(**options) -> BoostedRanker:
     return BoostedRanker(["m3", "m6"], n_labels=LABELS, options=options)
 
 
-def _kept(spark, rows: DataFrame) -> DataFrame:
-    set_shared_dir(spark)
-    return rows.checkpoint()
-
-
 @register("cross_validation")
 def cross_validation(spark, d):
-    return cross_validated(ranker, _kept(spark, ranked_samples(spark, d)), "ret", k=5, n_labels=LABELS)
+    return cross_validated(ranker(), ranked_samples(spark, d), "ret", k=5)
 
 
 @register("grid_search")
 def grid(spark, d):
-    return grid_search(ranker, _kept(spark, ranked_samples(spark, d)), GRID, "ret", k=5, n_labels=LABELS)
+    return grid_search(ranker, ranked_samples(spark, d), GRID, "ret", new_path(spark, "results"), k=5)
 
 
 K = 3
