@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import ITEMS
+from ..sources.tables import ITEMS, fresh
 
 _PRICES = """SELECT {date} AS date, {symbol} AS symbol, round(avg(l_extendedprice / l_quantity) + 1e-9, 6) AS close,
   round(sum(l_extendedprice) / sum(l_quantity) + 1e-9, 6) AS adjusted_close, sum(l_quantity) AS volume
@@ -13,6 +13,7 @@ _PRICES = """SELECT {date} AS date, {symbol} AS symbol, round(avg(l_extendedpric
 _DENSE = """SELECT d.date, s.symbol, close, adjusted_close, volume FROM (SELECT DISTINCT date FROM raw) d
   CROSS JOIN (SELECT DISTINCT symbol FROM raw) s LEFT JOIN raw ON raw.date = d.date AND raw.symbol = s.symbol"""
 RAW_D = f"raw AS ({_PRICES.format(date='CAST(l_shipdate AS DATE)', symbol='p_type')})"
+RAW_B = f"raw AS ({_PRICES.format(date='CAST(l_shipdate AS DATE)', symbol='p_brand')})"
 PM = f"raw AS ({_PRICES.format(date='last_day(CAST(l_shipdate AS DATE))', symbol='p_brand')}), p AS ({_DENSE})"
 PD = f"{RAW_D}, p AS ({_DENSE})"
 RATES = "rates AS (SELECT CAST(ts AS DATE) AS date, round(avg(value) + 1e-9, 6) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1)"
@@ -80,7 +81,12 @@ def register(name: str, sql: str | None = None, round_it: bool = True):
     """Adds a query (spark, sf_dir) -> DataFrame and its SQL."""
 
     def add(f):
-        QUERIES[name] = (lambda spark, d: rounded(f(spark, d))) if round_it else f
+        def run(spark, d):
+            fresh()
+            found = f(spark, d)
+            return rounded(found) if round_it else found
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE_SQL[name] = sql
         return f

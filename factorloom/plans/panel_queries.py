@@ -11,10 +11,11 @@ from ..operators import cleaning, panel
 from ..operators.predicates import (
     Thresholds, daily_rules, equal_to, in_range, missing, monthly_rules, not_missing, whole_column_in_range, whole_row_in_range,
 )
-from ..sources.tables import daily_facts, panel_d, panel_m, rates, table
-from .base import BY, PD, PM, RATES, RAW_D, lag, r6, register, rolling, rows
+from ..sources.tables import daily_facts, panel_d, panel_m, prices, rates, table
+from .base import BY, PD, PM, RATES, RAW_B, RAW_D, lag, r6, register, rolling, rows
 
 FIELDS = ("close", "adjusted_close", "volume")
+BRANDS = range(1, 26)  # the brands of the tables
 
 
 @register("dense_spine", f"WITH {PM} SELECT date, symbol, {r6(*FIELDS)} FROM p")
@@ -61,15 +62,15 @@ def downsample_ohlcv(spark, d):
     return panel.downsample(panel_d(spark, d))
 
 
-@register("pivot_panel", f"""WITH {PM} SELECT date, {', '.join(f"round(max(CASE WHEN symbol = '{s}' THEN adjusted_close END) + 1e-9, 6) + 0.0 AS {s[:5].lower()}{s[6:]}" for s in ('Brand#11', 'Brand#12', 'Brand#13'))} FROM p GROUP BY 1""")
+@register("pivot_panel", f"""WITH {PM} SELECT date, {', '.join(f"round(max(CASE WHEN symbol = 'Brand#{k}' THEN adjusted_close END) + 1e-9, 6) + 0.0 AS brand{k}" for k in BRANDS)} FROM p GROUP BY 1""")
 def pivot_panel(spark, d):
-    wide = panel.pivoted(panel_m(spark, d), "adjusted_close", ["Brand#11", "Brand#12", "Brand#13"])
-    return wide.select("date", *[F.col(f"`Brand#{k}`").alias(f"brand{k}") for k in (11, 12, 13)])
+    wide = panel.pivoted(panel_m(spark, d), "adjusted_close", [f"Brand#{k}" for k in BRANDS])
+    return wide.select("date", *[F.col(f"`Brand#{k}`").alias(f"brand{k}") for k in BRANDS])
 
 
-@register("unpivot_panel", f"WITH {PM} SELECT date, symbol, round(adjusted_close + 1e-9, 6) + 0.0 AS value FROM p WHERE symbol IN ('Brand#11', 'Brand#12', 'Brand#13')")
+@register("unpivot_panel", f"WITH {PM} SELECT date, symbol, round(adjusted_close + 1e-9, 6) + 0.0 AS value FROM p")
 def unpivot_panel(spark, d):
-    return panel.unpivoted(panel.pivoted(panel_m(spark, d), "adjusted_close", ["Brand#11", "Brand#12", "Brand#13"]))
+    return panel.unpivoted(panel.pivoted(panel_m(spark, d), "adjusted_close"))
 
 
 @register("flatten_panel", f"WITH {PM} SELECT date, symbol, {r6('adjusted_close')} FROM p WHERE coalesce(volume >= 500, false)")
@@ -131,7 +132,10 @@ def _pass(k: int) -> str:
     return f"""s{k} AS (SELECT * EXCLUDE (b, a) FROM (SELECT *, lag({x}) OVER ({BY}) AS b, lead({x}) OVER ({BY}) AS a FROM s{k - 1}) WHERE NOT coalesce({spike}, false))"""
 
 
-@register("spike_clean", f"WITH {RAW_D}, s0 AS (SELECT * FROM raw WHERE volume > 0), {', '.join(_pass(k) for k in range(1, 7))} SELECT date, symbol, {r6(*FIELDS)} FROM s6")
+SPIKES = f"s0 AS (SELECT * FROM raw WHERE volume > 0), {', '.join(_pass(k) for k in range(1, 7))}"
+
+
+@register("spike_clean", f"WITH {RAW_D}, {SPIKES} SELECT date, symbol, {r6(*FIELDS)} FROM s6")
 def spike_clean(spark, d):
     return cleaning.without_spikes(daily_facts(spark, d))
 
@@ -181,21 +185,21 @@ _masks(
 )
 _masks("filter_null", {"there": "close IS NOT NULL", "gone": "close IS NULL"}, {"there": _of("close", not_missing), "gone": _of("close", missing)})
 
-AT = Thresholds(min_price=1000.0, min_volume=424.0, max_return=0.7, max_missing_days=8)
+AT = Thresholds(min_price=1000.0, min_volume=424.0, max_return=0.7, max_missing_days=28)
 
 
 def monthly_mask(spark, d):
-    """The monthly panel with `good`, under thresholds that bite on these tables."""
-    daily = panel_d(spark, d).groupBy("date").agg(F.max("adjusted_close").alias("adjusted_close")).withColumn("symbol", F.lit("any"))
-    gaps = panel.month_last(daily.withColumn("missing_days", w.rolling_missing(F.col("adjusted_close"), 63)), "missing_days").drop("symbol")
-    return monthly_rules(AT).good(panel_m(spark, d).join(gaps, "date", "left"))
+    """The monthly panel with `good`, under thresholds that bite on these tables; missing days are those of the symbol."""
+    daily = panel.dense(prices(spark, d, "p_brand", False)).withColumn("missing_days", w.rolling_missing(F.col("adjusted_close"), 63))
+    return monthly_rules(AT).good(panel_m(spark, d).join(panel.month_last(daily, "missing_days"), panel.KEYS, "left"))
 
 
-MASK_SQL = f"""{PM}, dd AS (SELECT CAST(l_shipdate AS DATE) AS date, 'any' AS symbol, max(l_quantity) AS x FROM lineitem GROUP BY 1),
-gaps AS (SELECT last_day(date) AS date, arg_max(k, date) AS missing_days FROM (SELECT date, CASE WHEN count(*) {rows(63)} >= 63 THEN count(*) {rows(63)} - count(x) {rows(63)} END AS k FROM dd) WHERE k IS NOT NULL GROUP BY 1),
+MASK_SQL = f"""{PM}, {RAW_B.replace("raw AS", "raw_b AS")}, dd AS (SELECT d.date, s.symbol, adjusted_close AS x FROM (SELECT DISTINCT date FROM raw_b) d CROSS JOIN (SELECT DISTINCT symbol FROM raw_b) s
+  LEFT JOIN raw_b ON raw_b.date = d.date AND raw_b.symbol = s.symbol),
+gaps AS (SELECT last_day(date) AS date, symbol, arg_max(k, date) AS missing_days FROM (SELECT date, symbol, CASE WHEN count(*) {rows(63)} >= 63 THEN count(*) {rows(63)} - count(x) {rows(63)} END AS k FROM dd) WHERE k IS NOT NULL GROUP BY 1, 2),
 w AS (SELECT p.*, missing_days, {rolling('adjusted_close', 12, None, 'avg')} AS full12, {rolling('close', 3, 1, 'min')} AS c3, {rolling('adjusted_close', 3, 1, 'min')} AS a3,
-  {rolling('volume', 12, None, 'min')} AS v12, adjusted_close / {lag('adjusted_close', 1)} - 1 AS ret FROM p LEFT JOIN gaps USING (date)),
-mask AS (SELECT *, close IS NOT NULL AND adjusted_close IS NOT NULL AND full12 IS NOT NULL AND coalesce(missing_days <= 8, false) AND volume IS NOT NULL
+  {rolling('volume', 12, None, 'min')} AS v12, adjusted_close / {lag('adjusted_close', 1)} - 1 AS ret FROM p LEFT JOIN gaps USING (date, symbol)),
+mask AS (SELECT *, close IS NOT NULL AND adjusted_close IS NOT NULL AND full12 IS NOT NULL AND coalesce(missing_days <= 28, false) AND volume IS NOT NULL
   AND coalesce(c3 >= 1000, false) AND coalesce(a3 >= 1000, false) AND coalesce(v12 >= 424, false) AND bool_and(ret IS NULL OR ret <= 0.7) OVER (PARTITION BY symbol) AS good FROM w)"""
 
 
