@@ -7,32 +7,30 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import floored
 from ..functions.windows import shift
-from ..sources.shared import set_shared_dir
+from ..sources.shared import kept
 
 LEAST_DAYS = 252
 
 
-def without_spikes(prices: DataFrame, price: str = "adjusted_close", down: float = 0.5, up: float = 1.9, floor: float = 1e-4, rounds: int = 50) -> DataFrame:
+def without_spikes(prices: DataFrame, price: str = "adjusted_close", down: float = 0.5, up: float = 1.9, floor: float = 1e-4) -> DataFrame:
     """Rows with volume, less one-day spikes down or up, until none is left.
 
-    Neighbours are the surviving rows. A round's rows are kept by checkpoint, so that the number of
-    rounds does not grow the plan and a lost executor costs a read, not a rerun.
+    Neighbours are the surviving rows. A round writes its rows, so that the number of rounds does not
+    grow the plan and a lost executor costs a read, not a rerun; each but the last takes a row at least.
     """
-    set_shared_dir(prices.sparkSession)
-    rows = prices.filter(F.col("volume") > 0)
+    rows = kept(prices.filter(F.col("volume") > 0), "priced")
     now, before, after = F.col(price), F.col("_before"), F.col("_after")
     jump = F.try_divide(now, floored(before, floor))
     back = F.try_divide(after, floored(now, floor))
     spike = ((jump < down) & (back > up) | (jump > up) & (back < down)) & (before > 1) & (after > 1)
-    last = None
-    for _ in range(rounds):
+    count = rows.count()
+    while True:
         marked = rows.withColumn("_before", shift(now, 1)).withColumn("_after", shift(now, -1))
-        rows = marked.filter(~F.coalesce(spike, F.lit(False))).drop("_before", "_after").checkpoint()
-        count = rows.count()
-        if count == last:
+        rows = kept(marked.filter(~F.coalesce(spike, F.lit(False))).drop("_before", "_after"), "calm")
+        left = rows.count()
+        if left == count:
             return rows
-        last = count
-    raise RuntimeError("spikes remain")
+        count = left
 
 
 def with_history(panel: DataFrame, field: str, least: int = LEAST_DAYS) -> DataFrame:

@@ -24,16 +24,26 @@ def selected(rows: DataFrame, score: str, k: int = 100) -> DataFrame:
 
 
 def window_returns(prices: DataFrame, chosen: DataFrame, days: int = DAYS, floor: float = 1e-6) -> DataFrame:
-    """Log returns (date, symbol, day, r) of the chosen symbols over the `days` days to each date."""
-    rows = chosen.select("date", "symbol").join(prices.select("symbol", F.col("date").alias("day"), "price"), "symbol").filter(
-        (F.col("day") >= F.date_sub("date", days)) & (F.col("day") <= F.col("date"))
-    )
+    """Log returns (date, symbol, day, r) of the chosen symbols over the `days` days to each date.
+
+    A selection meets only the prices of the months that its window touches."""
+    months = F.sequence(F.trunc(F.date_sub("date", days), "month"), F.trunc("date", "month"), F.expr("interval 1 month"))
+    asked = chosen.select("date", "symbol", F.explode(months).alias("month"))
+    priced = prices.select("symbol", F.col("date").alias("day"), "price", F.trunc("date", "month").alias("month"))
+    rows = asked.join(priced, ["symbol", "month"]).filter((F.col("day") >= F.date_sub("date", days)) & (F.col("day") <= F.col("date")))
     along = Window.partitionBy("date", "symbol").orderBy("day")
     now, before = floored(F.col("price"), floor), floored(F.lag("price").over(along), floor)
     first = F.row_number().over(along) == 1
     return rows.select("date", "symbol", "day", F.ln(now / before).alias("r"), first.alias("first")).filter("NOT first").drop("first")
 
 
+def complete_returns(returns: DataFrame, most_missing: int = 10) -> DataFrame:
+    """The returns; the query fails where a chosen symbol lacks `most_missing` or more of a date's days."""
+    gaps = F.count(F.when(F.col("r").isNull(), 1)).over(Window.partitionBy("date", "symbol"))
+    ok = F.when(gaps < most_missing, F.col("date")).otherwise(F.raise_error(F.lit("too many missing days")).cast("date"))
+    return returns.withColumn("date", ok)
+
+
 def covariance(returns: DataFrame) -> DataFrame:
     """(date, a, b, cov) of all pairs of a date's symbols over common days, annualised."""
     left = returns.select("date", "day", F.col("symbol").alias("a"), F.col("r").alias("ra"))
@@ -43,7 +53,15 @@ def covariance(returns: DataFrame) -> DataFrame:
 
 
 def nearest_covariance(matrix: np.ndarray, least: float = 1e-6) -> np.ndarray:
-    """The correlation's eigenvalues lifted to `least`, at the same variances."""
+    """The correlation's eigenvalues lifted to `least`, at the same variances.
+
+    Symbols without any spread, or without a variance, stay as they are; an unknown covariance of two others is taken for 0."""
+    moves = np.nan_to_num(np.diag(matrix)) > 0
+    if not moves.all():
+        out = np.array(matrix, float)
+        if moves.any():
+            out[np.ix_(moves, moves)] = nearest_covariance(np.nan_to_num(matrix[np.ix_(moves, moves)]), least)
+        return out
     spread = np.sqrt(np.diag(matrix))
     values, vectors = np.linalg.eigh(matrix / np.outer(spread, spread))
     lifted = vectors @ np.diag(np.maximum(values, least)) @ vectors.T
@@ -95,7 +113,7 @@ def _bounded_simplex(v: np.ndarray, low: float, high: float) -> np.ndarray:
 
 def least_variance(cov: np.ndarray, high: float = 0.05, steps: int = 150) -> np.ndarray:
     high = max(high, 1 / len(cov))
-    x, size = np.full(len(cov), 1 / len(cov)), np.linalg.eigvalsh(cov)[-1]
+    x, size = np.full(len(cov), 1 / len(cov)), max(np.linalg.eigvalsh(cov)[-1], 1e-18)
     for _ in range(steps):
         x = _bounded_simplex(x - cov @ x / size, 0.0, high)
     return x
@@ -111,15 +129,25 @@ def equal_risk(cov: np.ndarray, steps: int = 150) -> np.ndarray:
     return x
 
 
-def optimised_weights(pairs: DataFrame, method: str) -> DataFrame:
-    """minvar or erc weights of each date's symbols."""
-    solve = {"minvar": least_variance, "erc": equal_risk}.get(method)
-    if solve is None:
+def at_volatility(weights: np.ndarray, cov: np.ndarray, target: float) -> np.ndarray:
+    """The weights scaled to a volatility, but to a sum of 1 at most."""
+    risk = np.sqrt(max(float(weights @ cov @ weights), 0.0))
+    return weights * min(1.0, target / risk) if risk > 0 else weights
+
+
+def optimised_weights(pairs: DataFrame, method: str, target: float | None = None) -> DataFrame:
+    """minvar or erc weights of each date's symbols; erc at a target volatility leaves a rest, which is risk-free."""
+    if method not in ("minvar", "erc"):
         raise ValueError(f"unknown weighting {method!r}")
 
     def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
         matrix = _matrix(pdf)
-        return pd.DataFrame({"date": pdf["date"].iloc[0], "symbol": matrix.index, "weight": solve(nearest_covariance(matrix.to_numpy()))})
+        cov = np.nan_to_num(nearest_covariance(matrix.to_numpy()))
+        found = least_variance(cov) if method == "minvar" else equal_risk(cov)
+        found, symbols = (found if target is None or method == "minvar" else at_volatility(found, cov, target)), list(matrix.index)
+        if target is not None and method == "erc":
+            found, symbols = [*found, max(0.0, 1 - found.sum())], [*symbols, RISK_FREE]
+        return pd.DataFrame({"date": pdf["date"].iloc[0], "symbol": symbols, "weight": found})
 
     return pairs.groupBy("date").applyInPandas(weigh, "date date, symbol string, weight double")
 
@@ -137,23 +165,29 @@ def with_risk_free(prices: DataFrame, returns: DataFrame) -> DataFrame:
     return prices.select("date", "symbol", "price").unionByName(returns.select("date", F.lit(RISK_FREE).alias("symbol"), w.growth(F.coalesce("value", F.lit(0.0)), along).alias("price")))
 
 
-def portfolio_value(weights: DataFrame, prices: DataFrame) -> DataFrame:
-    """(date, value) of 1.0 put into the weights and traded at each of their dates, to the last price.
+def portfolio_value(weights: DataFrame, prices: DataFrame, months: int | None = None) -> DataFrame:
+    """(date, value) of 1.0 put into the weights and traded at each of their dates, to the last price, or to
+    that of `months` month ends after the last weights.
 
     Weights trade on the last price date at or before their own; gaps in prices are filled forward.
+    Each price day bears the trade that it follows, so that weights meet only the prices of their period.
     """
     days = prices.select("date").distinct()
     placed = asof(days.select("date", F.col("date").alias("value")), weights.select("date").distinct()).filter("value IS NOT NULL")
     placed = placed.groupBy("value").agg(F.max("date").alias("date"))  # of several dates of a trading day the last holds
     trades = weights.join(placed, "date").select(F.col("value").alias("traded"), "symbol", "weight")
     filled = prices.select("date", "symbol", w.fill_forward(F.col("price")).alias("price"))
-    marks = trades.select("traded").distinct()
+    if months is not None:
+        end = weights.agg(month_ends_ahead(F.max("date"), months).alias("end"))
+        filled = filled.join(F.broadcast(end), F.col("date") <= F.col("end")).drop("end")
+    marks = placed.select(F.col("value").alias("traded"))
     ends = marks.withColumn("until", F.lead("traded").over(Window.orderBy("traded")))
+    opened = asof(marks.select(F.col("traded").alias("date"), F.col("traded").alias("value")), days).filter("value IS NOT NULL")
+    closing = ends.filter("until IS NOT NULL").select(F.col("until").alias("date"), F.col("traded").alias("value"))
+    periods = opened.unionByName(closing).withColumnRenamed("value", "traded")  # a trading day ends one period and opens another
     at = filled.select(F.col("date").alias("traded"), "symbol", F.col("price").alias("start"))
-    held = trades.join(at, ["traded", "symbol"]).join(ends, "traded").join(filled, "symbol").filter(
-        (F.col("date") >= F.col("traded")) & (F.col("until").isNull() | (F.col("date") <= F.col("until")))
-    )
-    inside = held.groupBy("traded", "until", "date").agg(F.sum(F.col("weight") * F.try_divide("price", "start")).alias("gain"))
+    held = filled.join(periods, "date").join(trades.join(at, ["traded", "symbol"]), ["traded", "symbol"])
+    inside = held.groupBy("traded", "date").agg(F.sum(F.col("weight") * F.try_divide("price", "start")).alias("gain")).join(ends, "traded")
     whole = inside.filter("date = until").select("traded", F.col("gain").alias("period"))
     before = marks.join(whole, "traded", "left").withColumn(
         "level", F.coalesce(F.product("period").over(Window.orderBy("traded").rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import remove
+
 METADATA = (
     "datatype string, start timestamp, end timestamp, frequency string, relative_filename string, file_format string, "
     "version int, created timestamp, n_symbols int, extras map<string,string>"
@@ -43,22 +45,30 @@ class Catalog:
         return 0 if top is None else top + 1
 
     def save(self, panel: DataFrame, datatype: str, frequency: str, file_format: str = "parquet", **extras) -> int:
-        """Writes a long panel as the next version and then its metadata row; what fails leaves no row."""
+        """Writes a long panel as the next version and then its metadata row; what fails leaves nothing."""
         if file_format != "parquet":
             raise ValueError(f"unsupported file format {file_format!r}")
         version = self.next_version(datatype)
         path = self.panel_path(datatype, version)
-        panel.write.mode("errorifexists").parquet(path)
+        if self._exists(path):
+            raise FileExistsError(path)
+        try:
+            panel.write.mode("errorifexists").parquet(path)
+            self._describe(path, datatype, version, frequency, file_format, extras).coalesce(1).write.mode("append").parquet(self.metadata_path())
+        except BaseException:
+            remove(self.spark, path)
+            raise
+        return version
+
+    def _describe(self, path: str, datatype: str, version: int, frequency: str, file_format: str, extras: dict) -> DataFrame:
         pairs = [x for k, v in extras.items() for x in (F.lit(k), F.lit(str(v)))]
-        row = self.spark.read.parquet(path).agg(
+        return self.spark.read.parquet(path).agg(
             F.min("date").cast("timestamp").alias("start"), F.max("date").cast("timestamp").alias("end"), F.countDistinct("symbol").cast("int").alias("n_symbols")
         ).select(
             F.lit(datatype).alias("datatype"), "start", "end", F.lit(frequency).alias("frequency"), F.lit(self.relative(datatype, version)).alias("relative_filename"),
             F.lit(file_format).alias("file_format"), F.lit(version).cast("int").alias("version"), F.current_timestamp().alias("created"), "n_symbols",
             (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("extras"),
         )
-        row.coalesce(1).write.mode("append").parquet(self.metadata_path())
-        return version
 
     def load(self, datatype: str, version: int | None = None, **conditions) -> DataFrame | None:
         """The panel of a version, or of the highest that meets the conditions; None if there is none."""

@@ -7,6 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import month_end
 from ..operators.panel import dense
+from .shared import kept
+
+_facts: dict = {}
+
+
+def fresh() -> None:
+    """Forgets the facts of earlier queries; their tables may have changed."""
+    _facts.clear()
+
+
+def once(spark: SparkSession, key: tuple, make) -> DataFrame:
+    """Aggregated facts, written to the shared folder once in a query, however often its plan uses them."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _facts:
+        _facts[key] = kept(make(), key[1])
+    return _facts[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def prices(spark: SparkSession, sf_dir: str, symbol: str, monthly: bool) -> DataFrame:
     """(date, symbol, close, adjusted_close, volume) by brand and month, or by part type and day."""
+    return once(spark, ("prices", sf_dir, symbol, monthly), lambda: _prices(spark, sf_dir, symbol, monthly))
+
+
+def _prices(spark: SparkSession, sf_dir: str, symbol: str, monthly: bool) -> DataFrame:
     day = F.to_date("l_shipdate")
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return rows.groupBy((month_end(day) if monthly else day).alias("date"), F.col(symbol).alias("symbol")).agg(
@@ -38,6 +58,10 @@ def panel_d(spark, sf_dir):
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarterly items by nation, derived from order lines by fixed shares."""
+    return once(spark, ("statements", sf_dir), lambda: _statements(spark, sf_dir))
+
+
+def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = (
         table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -62,6 +86,10 @@ ITEMS = {
 
 
 def market_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, ("market_caps", sf_dir), lambda: _market_caps(spark, sf_dir))
+
+
+def _market_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return rows.groupBy(F.last_day(F.to_date("o_orderdate")).alias("date"), F.col("c_nationkey").cast("string").alias("symbol")).agg(F.sum("o_totalprice").alias("market_cap"))
 
