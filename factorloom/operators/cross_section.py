@@ -56,9 +56,3 @@ def ndcg(rows: DataFrame, label: str, score: str, k: int | None = None, form: st
     ranked = rows.select("date", worth.alias("worth"), found.alias("found"), ideal.alias("ideal"))
     cut = lambda place: F.sum(F.when(F.lit(True) if k is None else F.col(place) <= k, F.col("worth") / F.log2(F.col(place) + 1)))
     return ranked.groupBy("date").agg(F.try_divide(cut("found"), cut("ideal")).alias(name))
-
-
-def random_score(rows: DataFrame, seed: int, name: str = "score") -> DataFrame:
-    """Distinct scores 0.. in an order that only seed, date and symbol settle (dates are ranked apart)."""
-    order = Window.partitionBy("date").orderBy(F.xxhash64(F.lit(seed), "date", "symbol"), "symbol")
-    return rows.withColumn(name, F.row_number().over(order) - 1)

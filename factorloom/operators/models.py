@@ -59,7 +59,7 @@ class RandomScore(Scorer):
     def predict(self, samples):
         from pyspark.sql import Window
 
-        order = Window.partitionBy("timestamp").orderBy(F.xxhash64(F.lit(self.seed), "timestamp", "symbol"), "symbol")
+        order = Window.partitionBy("timestamp").orderBy(F.md5(F.concat_ws("|", F.lit(self.seed), F.col("timestamp").cast("string"), "symbol")), "symbol")
         return samples.withColumn(self.name, F.row_number().over(order) - 1)
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as w
 from ..functions.calendar import month_end
-from ..functions.scalar import gain
 
 #: The statement items that are read.
 ITEMS = (
@@ -147,7 +146,3 @@ def with_ratios(panel: DataFrame, names=tuple(Ratio), periods: int = 12, use_div
         made[str(name)] = value(top) if bottom is None else F.try_divide(value(top), value(bottom) + TINY)
     helpers = [*first, *filled, *growths]
     return panel.withColumns(made).drop(*helpers)
-
-
-def plain_growth(x: Column, n: int) -> Column:
-    return gain(x, w.shift(x, n))

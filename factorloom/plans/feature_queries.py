@@ -9,7 +9,7 @@ from ..functions.ewma import ewma
 from ..functions.scalar import ReturnType, day_gap, normalised_momentum, null_near_zero, signal_response
 from ..operators import signals
 from ..operators.panel import asof
-from ..operators.ratios import RULES, Ratio, reported, with_ratios
+from ..operators.ratios import Ratio, reported, with_ratios
 from ..sources.tables import market_cap_panel, market_caps, panel_d, panel_m, rates, statements
 from .base import BY, PD, PM, RATES, STATEMENTS, floor, fut, lag, logret, mom, r6, register, rolling, rows
 
@@ -186,43 +186,52 @@ def _year(x: str) -> str:
     return f"CASE WHEN {x} IS NOT NULL THEN {rolling(x, 12, 4)} END"
 
 
-def _value_sql(part: str) -> str:
-    if part == "cap":
-        return "market_cap"
-    if part == "ev":
-        return "(market_cap + longTermDebt + shortTermDebt - cashAndEquivalents)"
-    if part == "payout":
-        return "s_payout"
-    if part == "taxed":
-        return "s_ebit * (1 - s_incomeTaxExpense / (s_incomeBeforeTax + 1e-10))"
-    how, _, item = part.partition(":")
-    if how in ("g", "gs"):
-        x = f"f_{item}" if how == "g" else f"fs_{item}"
-        return f"({x} / ({lag(x, 12)} + 1e-6) - 1)"
-    return {"s": f"s_{item}", "l": f"l_{item}", "c": item}[how]
+def _grown(x: str) -> str:
+    return f"{x} / ({lag(x, 12)} + 1e-6) - 1"
+
+
+def _over(x: str, y: str) -> str:
+    return f"({x}) / nullif(({y}) + 1e-10, 0)"
+
+
+_EV = "market_cap + longTermDebt + shortTermDebt - cashAndEquivalents"
+#: The SQL of each ratio, written out apart from the operator's own table of rules.
+RATIO_SQL = {
+    Ratio.ROA: _over("y_income", "assets_before"),
+    Ratio.ROE: _over("y_income", "equity_before"),
+    Ratio.ROIC: _over("y_ebit * (1 - y_tax / (y_pretax + 1e-10))", "invested_before"),
+    Ratio.GROSS_MARGIN: _over("y_gross", "y_revenue"),
+    Ratio.OPERATING_MARGIN: _over("y_ebit", "y_revenue"),
+    Ratio.NET_MARGIN: _over("y_income", "y_revenue"),
+    Ratio.FCF_YIELD: _over("y_fcf", "market_cap"),
+    Ratio.CASH_FLOW_MARGIN: _over("y_fcf", "y_revenue"),
+    Ratio.CASH_FLOW_TO_INCOME: _over("y_fcf", "y_income"),
+    Ratio.NET_PAYOUT_YIELD: _over("y_payout", "market_cap"),
+    Ratio.EQUITY_ISSUANCE: _grown("f_shares"),
+    Ratio.ASSET_GROWTH: _grown("f_assets"),
+    Ratio.BOOK_GROWTH: _grown("f_equity"),
+    Ratio.CAPEX_GROWTH: _grown("f_capex"),
+    Ratio.EARNINGS_GROWTH: _grown("f_income"),
+    Ratio.FIXED_ASSETS_GROWTH: _grown("f_fixed"),
+    Ratio.NET_DEBT_GROWTH: _grown("f_debt"),
+    Ratio.EARNINGS_TO_PRICE: _over("y_income", "market_cap"),
+    Ratio.SALES_TO_EV: _over("y_revenue", _EV),
+    Ratio.SALES_TO_PRICE: _over("y_revenue", "market_cap"),
+    Ratio.BOOK_TO_PRICE: _over("totalStockholderEquity", "market_cap"),
+    Ratio.EBITDA_TO_EV: _over("y_ebitda", _EV),
+    Ratio.FCF_TO_EV: _over("y_fcf", _EV),
+}
+_inside = lambda x, name: f"{INSIDE.format(x=x)} AS {name}"
+RATIOS = f"""{STATEMENTS}, yearly AS (SELECT *, {_year('netIncome')} AS y_income, {_year('totalRevenue')} AS y_revenue, {_year('grossProfit')} AS y_gross,
+  {_year('ebit')} AS y_ebit, {_year('ebitda')} AS y_ebitda, {_year('freeCashFlow')} AS y_fcf, {_year('incomeTaxExpense')} AS y_tax, {_year('incomeBeforeTax')} AS y_pretax,
+  {_year('(netIncome - salePurchaseOfStock)')} AS y_payout,
+  {lag('totalAssets', 12)} AS assets_before, {lag('totalStockholderEquity', 12)} AS equity_before, {lag('netInvestedCapital', 12)} AS invested_before FROM p),
+filled AS (SELECT *, {_inside('commonStockSharesOutstanding', 'f_shares')}, {_inside('totalAssets', 'f_assets')}, {_inside('totalStockholderEquity', 'f_equity')},
+  {_inside('capitalExpenditures', 'f_capex')}, {_inside('propertyPlantEquipment', 'f_fixed')}, {_inside('netDebt', 'f_debt')}, {_inside('y_income', 'f_income')} FROM yearly)"""
 
 
 def _ratio(name: Ratio):
-    top, bottom = RULES[name]
-    parts = [p for p in (top, bottom) if p and ":" in p] + (["s:ebit", "s:incomeTaxExpense", "s:incomeBeforeTax"] if top == "taxed" else [])
-    one, two = [], []
-    for part in parts:
-        how, _, item = part.partition(":")
-        if how in ("s", "gs"):
-            one.append(f"{_year(item)} AS s_{item}")
-        if how == "l":
-            one.append(f"{lag(item, 12)} AS l_{item}")
-        if how == "g":
-            two.append(f"{INSIDE.format(x=item)} AS f_{item}")
-        if how == "gs":
-            two.append(f"{INSIDE.format(x=f's_{item}')} AS fs_{item}")
-    if "payout" in (top, bottom):
-        one.append(f"{_year('(netIncome - salePurchaseOfStock)')} AS s_payout")
-    value = _value_sql(top) if bottom is None else f"{_value_sql(top)} / nullif({_value_sql(bottom)} + 1e-10, 0)"
-    sql = f"""WITH {STATEMENTS}, a AS (SELECT {', '.join(['*', *dict.fromkeys(one)])} FROM p), b AS (SELECT {', '.join(['*', *two])} FROM a)
-SELECT date, symbol, round({value} + 1e-9, 6) + 0.0 AS ratio FROM b"""
-
-    @register(f"ratio_{name.value.lower()}", sql)
+    @register(f"ratio_{name.value.lower()}", f"WITH {RATIOS} SELECT date, symbol, round({RATIO_SQL[name]} + 1e-9, 6) + 0.0 AS ratio FROM filled")
     def query(spark, d):
         return with_ratios(ratio_panel(spark, d), [name]).select("date", "symbol", F.col(str(name)).alias("ratio"))
 

@@ -11,13 +11,14 @@ from ..functions import windows as w
 from ..functions.scalar import Direction, ForecastType, reversed_labels
 from ..operators import backtest, dataset, scoring
 from ..operators import cross_section as xs
+from ..operators.panel import dense
 from ..operators.models import BoostedRanker, MetaScorer, RandomScore, SingleFeature, TrimmedScorer, cross_validated, grid_search, walk_forward
 from ..operators.ratios import Ratio, with_ratios
 from ..sources.catalog import Catalog
 from ..sources.shared import kept, new_path, set_shared_dir
-from ..sources.tables import panel_d, panel_m, scored
+from ..sources.tables import panel_d, panel_m, prices, scored
 from .base import BY, PD, PM, SCORED, fut, mom, r6, register
-from .feature_queries import FUTURE_VOL, MONTHLY_VOL, ratio_panel, vol_sql
+from .feature_queries import FUTURE_VOL, MONTHLY_VOL, RATIO_SQL, RATIOS, ratio_panel, vol_sql
 from .panel_queries import MASK_SQL, monthly_mask
 
 A = "adjusted_close"
@@ -101,7 +102,9 @@ def bucket_mean_returns(spark, d):
     return backtest.bucket_means(_pairs(spark, d), panel_m(spark, d), N)
 
 
-@register("bucket_mean_returns_masked", None)
+@register("bucket_mean_returns_masked", f"""WITH {MASK_SQL}, m AS (SELECT mask.date, mask.symbol, good, round({mom('mask.' + A, 3).replace('symbol ORDER BY date', 'mask.symbol ORDER BY mask.date')}, 9) AS metric,
+least(greatest({fut('mask.' + A, 1).replace('symbol ORDER BY date', 'mask.symbol ORDER BY mask.date')}, -0.5), 0.5) AS ret FROM mask),
+pairs AS (SELECT * FROM m WHERE metric IS NOT NULL AND ret IS NOT NULL AND good), {MEANS.partition("pairs AS (SELECT * FROM m WHERE metric IS NOT NULL AND ret IS NOT NULL),")[2]} SELECT date, bucket, {r6('mean_ret')}, n_obs FROM means""")
 def bucket_mean_returns_masked(spark, d):
     rows = monthly_mask(spark, d).withColumn("metric", F.round(w.momentum(F.col(A), 3), 9)).withColumn("ret", w.future_return(F.col(A), 1))
     return backtest.bucket_means(backtest.valid_pairs(rows, "metric", "ret", F.col("good"), (-0.5, 0.5)), rows, N)
@@ -140,15 +143,44 @@ def bucket_summary(spark, d):
     return backtest.summary(rows, "metric", A, [1], N, LEAST)
 
 
-@register("momentum_summary")
+def summary_sql(panel: str, metrics: dict, price: str, windows, n: int, least: int) -> str:
+    """A line for each metric (an expression over the panel's last table, by name) and window."""
+    lines = []
+    edges = ", ".join(repr(min(1.0, k * (1 / n))) for k in range(n + 1))
+    sums = lambda by: _sums(by).replace(f"bucket = {N}", f"bucket = {n}")
+    for name, (source, metric) in metrics.items():
+        for window in windows:
+            lines.append(f"""SELECT * FROM (WITH m AS (SELECT date, symbol, {metric} AS metric, {fut(price, window)} AS ret FROM {source}), pairs AS (SELECT * FROM m WHERE metric IS NOT NULL AND ret IS NOT NULL),
+e AS (SELECT date, quantile_cont(metric, [{edges}]) AS edges FROM pairs GROUP BY 1),
+b AS (SELECT pairs.*, least(len(list_filter(edges, lambda x: x <= metric)), {n}) AS bucket FROM pairs JOIN e USING (date)),
+cells AS (SELECT date, bucket, avg(ret) AS mean_ret, count(*) AS n_obs FROM b GROUP BY 1, 2),
+kept AS (SELECT * FROM cells WHERE date IN (SELECT date FROM cells GROUP BY 1 HAVING count(*) = {n} AND min(n_obs) >= {least})),
+perf AS (SELECT *, product(pow(1 + mean_ret, 1.0::DOUBLE / {window})) OVER (PARTITION BY bucket ORDER BY date ROWS UNBOUNDED PRECEDING) AS growth FROM kept),
+ends AS (SELECT bucket, arg_max(growth, date) AS last, count(*) AS n_dates, sum(n_obs) AS n_obs, min(n_obs) AS min_obs FROM perf GROUP BY 1),
+yr AS (SELECT *, pow(last, 1.0::DOUBLE / (n_dates / 12.0::DOUBLE)) - 1 AS y FROM ends),
+line AS (SELECT max(y) FILTER (WHERE bucket = 1) AS low, max(y) FILTER (WHERE bucket = {n}) AS high, CAST(sum(n_obs) AS BIGINT) AS n_obs, CAST(min(min_obs) AS BIGINT) AS min_obs, CAST(max(n_dates) AS BIGINT) AS n_dates FROM yr),
+o AS (SELECT {TSTAT.format(ok='h_n > 0 AND l_n > 0')} AS overall_tstat FROM ({sums('1')})),
+a AS (SELECT quantile_cont(t, 0.25) AS tstat_25, quantile_cont(t, 0.5) AS tstat_50, quantile_cont(t, 0.75) AS tstat_75 FROM (SELECT {TSTAT.format(ok='h_n > 0 AND l_n > 3')} AS t FROM ({sums('year(date)')})))
+SELECT {r6('low', 'high', 'overall_tstat', 'tstat_25', 'tstat_50', 'tstat_75')}, round(high - low + 1e-9, 6) + 0.0 AS alpha, n_obs, min_obs, n_dates, {window} AS "window", '{name}' AS metric
+FROM line LEFT JOIN o ON true LEFT JOIN a ON true WHERE n_dates IS NOT NULL)""")
+    return f"WITH {panel} " + " UNION ALL ".join(lines)
+
+
+_MOMENTA = {f"mom_{span}m" + (f"{k}" if k else ""): ("p", mom(A, span, k)) for span in (3, 6) for k in (0, 1)}
+
+
+@register("momentum_summary", summary_sql(PM, _MOMENTA, A, (1, 3), N, 3))
 def momentum_summary(spark, d):
     return backtest.momentum_summaries(panel_m(spark, d), A, [3, 6], [1, 3], lags=(1,), n=N, least=3)
 
 
-@register("ratio_summary")
+_RATIOS = f"{RATIOS}, rated AS (SELECT date, symbol, market_cap, {', '.join(f'{x} AS {name}' for name, x in RATIO_SQL.items())} FROM filled)"
+
+
+@register("ratio_summary", summary_sql(_RATIOS, {str(name): ("rated", str(name)) for name in Ratio}, "market_cap", (1,), 3, 3))
 def ratio_summary(spark, d):
-    rows = with_ratios(ratio_panel(spark, d), [Ratio.ROA, Ratio.EARNINGS_TO_PRICE])
-    return backtest.metric_summaries(rows, ["ROA", "EarningsToPrice"], "market_cap", [1], n=3, least=3)
+    rows = kept(with_ratios(ratio_panel(spark, d)).select("date", "symbol", "market_cap", *map(str, Ratio)), "rated")
+    return backtest.metric_summaries(rows, list(Ratio), "market_cap", [1], n=3, least=3)
 
 
 def _labels(name: str, kind: str, sql: str, n_buckets: int = 0):
@@ -269,7 +301,7 @@ def bb_model(spark, d):
     return TrimmedScorer(SingleFeature("f1"), SingleFeature("f2"), 0.1, 20).predict(_stamped(spark, d)).select("timestamp", "symbol", "score")
 
 
-@register("random_model")
+@register("random_model", f"""WITH {SCORED} SELECT date AS "timestamp", symbol, CAST(row_number() OVER (PARTITION BY date ORDER BY md5('5|' || date || '|' || symbol), symbol) - 1 AS INTEGER) AS score FROM scored""")
 def random_model(spark, d):
     return RandomScore(5).predict(_stamped(spark, d)).select("timestamp", "symbol", "score")
 
@@ -311,6 +343,7 @@ def grid(spark, d):
 
 
 K = 3
+WIDE = 25
 CHOSEN = f"""{PD}, months AS (SELECT last_day(date) AS date, symbol, round(arg_max({A}, date), 6) AS score FROM p GROUP BY 1, 2),
 chosen AS (SELECT date, symbol, slot FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC NULLS LAST, symbol) AS slot FROM months) WHERE slot <= {K} AND date >= DATE '1995-06-30')"""
 COV = f"""{CHOSEN}, win AS (SELECT c.date, c.symbol, p.date AS day, {A} AS x FROM chosen c JOIN p ON p.symbol = c.symbol AND p.date BETWEEN c.date - 91 AND c.date),
@@ -383,22 +416,39 @@ def portfolio_value(spark, d):
     return scoring.portfolio_value(weights, _prices(spark, d)).select("date", F.ln("value").alias("log_value"))
 
 
-@register("portfolio_with_risk_free")
+@register("portfolio_with_risk_free", f"""WITH {VOLW}, days AS (SELECT DISTINCT date FROM p),
+rf AS (SELECT date, 'RISK_FREE' AS symbol, pow(1.0001::DOUBLE, row_number() OVER (ORDER BY date)) AS price FROM days),
+fl AS (SELECT date, symbol, last_value({A} IGNORE NULLS) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS price FROM p UNION ALL SELECT * FROM rf),
+wd AS (SELECT DISTINCT date FROM volw), placed AS (SELECT wd.date, days.date AS traded FROM wd ASOF JOIN days ON wd.date >= days.date),
+lastd AS (SELECT traded, max(date) AS date FROM placed GROUP BY 1), tr AS (SELECT traded, symbol, weight FROM volw JOIN placed USING (date) JOIN lastd USING (traded, date)),
+en AS (SELECT traded, lead(traded) OVER (ORDER BY traded) AS until FROM (SELECT DISTINCT traded FROM tr)), stop AS (SELECT last_day(date_trunc('month', max(date))::DATE + INTERVAL 1 MONTH) AS stop FROM volw),
+ins AS (SELECT tr.traded, until, fl.date, sum(weight * fl.price / st.price) AS gain FROM tr JOIN fl st ON st.date = tr.traded AND st.symbol = tr.symbol JOIN en ON en.traded = tr.traded
+  JOIN fl ON fl.symbol = tr.symbol AND fl.date >= tr.traded AND (until IS NULL OR fl.date <= until) JOIN stop ON fl.date <= stop GROUP BY 1, 2, 3),
+lv AS (SELECT en.traded, coalesce(product(gain) OVER (ORDER BY en.traded ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS level FROM en LEFT JOIN ins ON ins.traded = en.traded AND ins.date = ins.until)
+SELECT date, round(ln(level * gain) + 1e-9, 6) + 0.0 AS log_value FROM ins JOIN lv USING (traded) WHERE until IS NULL OR date < until""")
 def portfolio_with_risk_free(spark, d):
     days = panel_d(spark, d).select("date").distinct().withColumn("value", F.lit(0.0001))
-    set_shared_dir(spark)
-    weights = scoring.volatility_weights(_cov(spark, d), K).checkpoint()
-    return scoring.portfolio_value(weights, scoring.with_risk_free(_prices(spark, d), days).checkpoint())
+    weights = kept(scoring.volatility_weights(_cov(spark, d), K), "weights")
+    priced = kept(scoring.with_risk_free(_prices(spark, d), days), "priced")
+    return scoring.portfolio_value(weights, priced, months=1).select("date", F.ln("value").alias("log_value"))
+
+
+def _wide_cov(spark, d):
+    """Covariances of the 25 best brands of each date, enough for bounds to bite."""
+    monthly = panel_m(spark, d).select("date", "symbol", F.col(A).alias("score"))
+    daily = dense(prices(spark, d, "p_brand", False)).select("date", "symbol", w.fill_forward(F.col(A)).alias("price"))
+    returns = scoring.window_returns(daily, scoring.selected(monthly, "score", WIDE).filter("date >= '1995-06-30'"))
+    return kept(scoring.covariance(scoring.complete_returns(returns)), "cov")
 
 
 @register("cov_nearest")
 def cov_nearest(spark, d):
-    return scoring.repaired_covariance(_cov(spark, d))
+    return scoring.repaired_covariance(_wide_cov(spark, d))
 
 
 for _method in ("minvar", "erc"):
     def _optimised(spark, d, method=_method):
-        return scoring.optimised_weights(_cov(spark, d), method)
+        return scoring.optimised_weights(_wide_cov(spark, d), method, 0.15 if method == "erc" else None)
 
     register(f"{_method}_weights")(_optimised)
 
@@ -410,19 +460,19 @@ def _catalog(spark, d) -> Catalog:
     base = panel_m(spark, d)
     volume, close = base.select("date", "symbol", F.col("volume").alias("value")), base.select("date", "symbol", F.col("close").alias("value"))
     catalog.save_prices({"volume": (volume, "m"), "close": (close, "m")})
-    catalog.save(volume.filter("symbol < 'Brand#2'"), "volume", "m", data_source="synthetic")
+    catalog.save(volume.withColumn("value", -F.col("value")), "volume", "m", data_source="synthetic")
     return catalog
 
 
 @register("catalog_versions", f"""WITH {PM}, v AS (SELECT 'volume' AS datatype, 0 AS version, '' AS source, date, symbol FROM p UNION ALL SELECT 'close', 0, '', date, symbol FROM p
-UNION ALL SELECT 'volume', 1, 'synthetic', date, symbol FROM p WHERE symbol < 'Brand#2')
+UNION ALL SELECT 'volume', 1, 'synthetic', date, symbol FROM p)
 SELECT datatype, CAST(version AS INTEGER) AS version, source, min(date) AS "start", max(date) AS "end", CAST(count(DISTINCT symbol) AS INTEGER) AS n_symbols, datatype || '_' || min(v.version) || '.parquet' AS relative_filename FROM v GROUP BY datatype, v.version, source""")
 def catalog_versions(spark, d):
     return _catalog(spark, d).metadata().select(
         "datatype", "version", F.coalesce(F.col("extras")["data_source"], F.lit("")).alias("source"), F.to_date("start").alias("start"), F.to_date("end").alias("end"), "n_symbols", "relative_filename")
 
 
-@register("catalog_latest", f"WITH {PM} SELECT date, symbol, round(volume + 1e-9, 6) + 0.0 AS value FROM p WHERE symbol < 'Brand#2'")
+@register("catalog_latest", f"WITH {PM} SELECT date, symbol, round(-volume + 1e-9, 6) + 0.0 AS value FROM p")
 def catalog_latest(spark, d):
     return _catalog(spark, d).load("volume")
 

@@ -8,11 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import windows as w
 from .functions.calendar import month_calendar
 from .functions.scalar import ForecastType
 from .operators import cleaning, dataset, panel
 from .operators.predicates import Rules, Thresholds, daily_rules, monthly_rules
-from .functions import windows as w
 from .sources.catalog import Catalog, check_dates
 from .sources.shared import kept
 
@@ -86,7 +86,7 @@ class PanelStore:
         self.symbols = found["daily_prices"].select("symbol").distinct()
         for name, (calendar, _) in PANELS.items():
             rows = check_dates(panel.between(found[name], self.start, self.end), self.calendars[calendar])
-            self.panels[name] = rows.join(self.symbols, "symbol", "left_semi")
+            self.panels[name] = rows.join(self.symbols, "symbol", "left_semi").select("date", "symbol", "value")
         return self.panels
 
     def wide(self, calendar: str) -> DataFrame:
