@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder: freed at the end of a tidy operator, or of the driver's Python."""
-    path = f"{shared_dir(spark)}/factorloom/{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/factorloom/{name}-{uuid.uuid4().hex}"
     if _scopes:
         _scopes[-1].append(path)
     else:
