@@ -210,49 +210,49 @@ def walk_forward(model: Scorer, samples: DataFrame, intervals: DataFrame, clone:
 
 
 def cross_validated(ranker: BoostedRanker, samples: DataFrame, returns: str, n_folds: int = 5, k: int = 100) -> DataFrame:
-    """(fold, ndcg, mean_return) of a ranker fitted on the other folds, averaged over dates.
+    """(fold, ndcg, mean_return) of a ranker fitted on the other folds, averaged over dates."""
+    rows = kept(at_most(cv_folds(samples, n_folds), MOST), "folds")
+    return _judged([ranker], rows, returns, n_folds, k).drop("setting")
+
 
-    The fits run side by side: each fold's task gets the samples of all others and returns its model.
+def _judged(rankers: list[BoostedRanker], rows: DataFrame, returns: str, n_folds: int, k: int) -> DataFrame:
+    """(fold, ndcg, mean_return, setting) of rankers that differ in their options only.
+
+    The fits run side by side: the task of a setting and fold gets all samples, learns from the other
+    folds' and scores its own.
     """
-    rows = kept(at_most(cv_folds(samples, n_folds), MOST), "folds")
-    return _judged(ranker, rows, returns, n_folds, k)
-
-
-def _judged(ranker: BoostedRanker, rows: DataFrame, returns: str, n_folds: int, k: int) -> DataFrame:
-    options = ranker.options
-
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"fold": [pdf["out"].iloc[0]], "model": [pickle.dumps(fitted(pdf, options))]})
-
-    folds = F.array(*[F.lit(f) for f in range(n_folds)])
-    listed = rows.dropna(subset=["y", *ranker.features]).select(
-        F.explode(F.array_except(folds, F.array(F.col("fold")))).alias("out"), F.col("timestamp").cast("string").alias("list"),
-        _label(ranker).alias("y"), F.array(*[F.col(f).cast("double") for f in ranker.features]).alias("x"),
-    )
-    models = {r["fold"]: pickle.loads(r["model"]) for r in listed.groupBy("out").applyInPandas(learn, "fold int, model binary").collect()}
-    found = None
-    for fold in range(n_folds):
-        ranker.model = models.get(fold, LambdaTrees())
-        part = ranker.predict(rows.filter(F.col("fold") == fold))
-        found = part if found is None else found.unionByName(part)
-    found = found.withColumnRenamed("timestamp", "date")
-    gains = ndcg(found, "y", "score", k, n_labels=ranker.n_labels, bear=ranker.direction == Direction.BEAR)
-    means = top_k_mean(found, "score", returns, k)
-    of = found.select("date", "fold").distinct()
-    return of.join(gains, "date", "left").join(means, "date", "left").groupBy("fold").agg(F.avg("ndcg").alias("ndcg"), F.avg("mean").alias("mean_return"))
-
-
-def grid_search(make, samples: DataFrame, options: dict, returns: str, path: str, n_folds: int = 5, k: int = 100) -> DataFrame:
-    """(fold, ndcg, mean_return, setting): cross-validation of every setting, appended to the results at `path`
-    as soon as it is done; settings that are there already are not run again."""
+    one, options = rankers[0], [r.options for r in rankers]
+    x = F.array(*[F.col(f).cast("double") for f in one.features])
+    both = F.explode(F.array(*[F.struct(F.lit(s).alias("setting"), F.lit(f).alias("out")) for s in range(len(options)) for f in range(n_folds)]))
+    listed = rows.dropna(subset=["y", *one.features]).select(
+        both.alias("to"), "fold", F.col("timestamp").cast("string").alias("list"), "symbol", _label(one).alias("y"), F.col(returns).cast("double").alias("gain"), x.alias("x"),
+    ).select("to.*", "fold", "list", "symbol", "y", "gain", "x")
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        mine = pdf["fold"] == pdf["out"]
+        model, test = fitted(pdf[~mine], options[pdf["setting"].iloc[0]]), pdf[mine]
+        score = model.predict(np.array(test["x"].tolist(), float)) if len(test) else np.zeros(0)
+        return test.assign(score=score)[["setting", "fold", "list", "symbol", "y", "gain", "score"]]
+
+    found = listed.groupBy("setting", "out").applyInPandas(judge, "setting int, fold int, list string, symbol string, y double, gain double, score double")
+    found = kept(found.withColumn("date", F.struct("setting", "fold", "list")), "scored")
+    gains, means = ndcg(found, "y", "score", k, n_labels=one.n_labels), top_k_mean(found, "score", "gain", k)
+    figures = gains.join(means, "date", "left").groupBy("date.setting", "date.fold").agg(F.avg("ndcg").alias("ndcg"), F.avg("mean").alias("mean_return"))
+    names = F.array(*[F.lit(json.dumps(o, sort_keys=True)) for o in options])
+    return figures.select("fold", "ndcg", "mean_return", names[F.col("setting")].alias("setting"))
+
+
+def grid_search(make, samples: DataFrame, options: dict, returns: str, path: str, n_folds: int = 5, k: int = 100, side_by_side: int = 9) -> DataFrame:
+    """(fold, ndcg, mean_return, setting): cross-validation of every setting. So many settings at a time are fitted
+    side by side, and appended to the results at `path` when they are done; settings that are there already
+    are not run again."""
     spark = samples.sparkSession
     rows = kept(at_most(cv_folds(samples, n_folds), MOST), "folds")
     append_results(spark.createDataFrame([], RESULTS), path)
     done = {r["setting"] for r in read_results(spark, path, RESULTS).select("setting").distinct().collect()}
-    for setting in parameter_grid(options):
-        text = json.dumps(setting, sort_keys=True)
-        if text not in done:
-            append_results(_judged(make(**setting), rows, returns, n_folds, k).withColumn("setting", F.lit(text)).coalesce(1), path)
+    todo = [s for s in parameter_grid(options) if json.dumps(s, sort_keys=True) not in done]
+    for at in range(0, len(todo), side_by_side):
+        append_results(_judged([make(**s) for s in todo[at : at + side_by_side]], rows, returns, n_folds, k).coalesce(1), path)
     return read_results(spark, path, RESULTS)
 
 
