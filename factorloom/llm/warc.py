@@ -105,9 +105,14 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, file_bytes
     return written(index, "index")
 
 
+def opened(folder: str):
+    """The file system of a folder and the path in it; Spark's names of S3 are one to Arrow."""
+    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1))
+
+
 def _writer(folder: str, file_bytes: int):
     def run(batches):
-        where, base = fs.FileSystem.from_uri(folder)
+        where, base = opened(folder)
         where.create_dir(base, recursive=True)
         out, name, at = None, None, 0
         for batch in batches:
@@ -153,7 +158,7 @@ def read_records(index: DataFrame, folder: str, read_bytes: int = READ_BYTES, ga
 
 def _reader(folder: str, read_bytes: int, gap_bytes: int):
     def run(batches):
-        where, base = fs.FileSystem.from_uri(folder)
+        where, base = opened(folder)
         for batch in batches:
             rows = list(zip(*[batch.column(c).to_pylist() for c in ("file", "offset", "length")], strict=True))
             for file, ranges in coalesced(rows, read_bytes, gap_bytes):
