@@ -2,8 +2,8 @@
 
 A text is cut into pre-tokens by the vocabulary's own pattern. Each distinct pre-token of the
 corpus is counted in pieces once, by the public tokenizer library, in a table of the shared folder.
-A text's count is the sum over its pre-tokens: the most frequent ones (a bounded number of bounded
-length) are looked up in a broadcast table, all others by a join on the pre-token. Both sides of
+A text's count is the sum over its pre-tokens: the most frequent ones (at most HEAD of at most
+HEAD_CHARS characters: those above a power of two that leaves so many) are looked up in a broadcast table, all others by a join on the pre-token. Both sides of
 the lookups are counted per document before they are shuffled, so no token is a row of its own.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; a special token's string in a text
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import at_most, tidy, written
 
 #: White space as the tokenizer's regular expressions know it (the Unicode property).
 SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -90,6 +90,7 @@ def count_pieces(path: str):
 _LOADED: dict = {}
 
 
+@tidy
 def token_counts(docs: DataFrame, path: str | None = None, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes and n_tokens of every row of docs(doc_id, text)."""
     path = path or tokenizer_path()
@@ -98,11 +99,7 @@ def token_counts(docs: DataFrame, path: str | None = None, head: int = HEAD) ->
     words = docs.select(F.explode(pre_tokens(text, specials)).alias("token"))
     distinct = words.groupBy("token").agg(F.count("*").alias("freq"))
     vocabulary = written(distinct.withColumn("pieces", count_pieces(path)("token")), "vocabulary")
-    # bounded: at most `head` pre-tokens of at most HEAD_CHARS characters, in a fixed order
-    short = vocabulary.filter(F.char_length("token") <= HEAD_CHARS)
-    frequent = written(short.orderBy(F.desc("freq"), "token").limit(head).select("token", "pieces"), "head")
-
-    bounded = frequent.toPandas()
+    bounded = at_most(vocabulary.filter(F.char_length("token") <= HEAD_CHARS), "freq", head).select("token", "pieces").toPandas()
     known = docs.sparkSession.sparkContext.broadcast((bounded["token"].tolist(), bounded["pieces"].to_numpy("int64")))
     rows = docs.select("doc_id", text.alias("text")).select(
         F.monotonically_increasing_id().alias("row"), "doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
