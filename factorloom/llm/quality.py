@@ -4,15 +4,16 @@ Words are hashed to BUCKETS rows. Each bucket has a sparse random index vector;
 word is the sum of the index vectors of its neighbours over the whole corpus, at unit length. Tasks
 sum their own table of BUCKETS x DIMS counts, which bounds what they hold and shuffle. A document
 is the mean and the spread of its words' vectors. The network is fitted on the driver by numpy on
-at most TRAIN_ROWS labelled rows (a bounded, documented sample, by hash order); a part of them that
+at most TRAIN_ROWS labelled ids (a bounded, documented sample, by hash order); a part of them that
 the fit does not see sets the temperature that calibrates its probabilities.
 
 Only the text is an input of a score. Rows whose crc32(doc_id as text) mod 4 is 2 are never learnt.
 
 Defined results: a null text counts as empty, and an empty text gets the network's score of a zero
 vector; labels that are null or other than 0 and 1 are not learnt; if fewer than two classes are
-labelled, every score is the share of label 1 among them (0.5 without any); a document with several
-labels counts once for each; repeated rows get equal scores; other columns are ignored.
+labelled, every score is the share of label 1 among them (0.5 without any); an id with several labels
+is learnt once for each, and once if several rows bear it; repeated rows get equal scores; an empty
+table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 
 BUCKETS = 1 << 14
 DIMS = 32
@@ -174,21 +175,31 @@ def scoring(network: Network):
     return score
 
 
-def fit(features: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Network:
-    """The network of at most `rows` labelled rows of features(doc_id, features), by hash order."""
+def learnt(ids: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(id, y, h): about the `rows` (1.2 times as many and a few at most) labelled ids of ids(doc_id) of the
+    least hashes, found by a threshold on the hash, so that no more than these ever reach the driver."""
     known = labels.filter(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("y"))
-    train = (
-        features.join(known, F.col("doc_id") == F.col("id")).filter(~held_out(F.col("doc_id")))
-        .select("features", "y", F.xxhash64("doc_id", F.lit(11)).alias("h")).orderBy("h", "y", "features").limit(rows).toPandas()
-    )
+    known = written(known.filter(~held_out(F.col("id"))).distinct().join(ids.select(F.col("doc_id").alias("id")), "id", "left_semi"), "known")
+    n = known.count()
+    hashed = known.withColumn("h", F.xxhash64("id", F.lit(11)))
+    share = (1.2 * rows + 100) / max(n, 1)
+    return hashed if share >= 1 else hashed.filter(F.col("h") < int(-(2**63) + share * 2**64))
+
+
+def fit(features: DataFrame, known: DataFrame, rows: int = TRAIN_ROWS) -> Network:
+    """The network of at most `rows` labelled ids of features(doc_id, features), by hash order; rows that
+    share a doc_id are learnt once, by the least of their features."""
+    train = features.join(known, F.col("doc_id") == F.col("id")).groupBy("h", "id", "y").agg(F.min("features").alias("features"))
+    train = train.toPandas().sort_values(["h", "id", "y"]).head(rows)
     return Network(np.array(train["features"].tolist(), dtype=float).reshape(-1, 2 * DIMS), train["y"].to_numpy(float))
 
 
+@tidy
 def score_documents(docs: DataFrame, labels: DataFrame, keep: float = KEEP, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs(doc_id, text)."""
     vectors = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))
     features = written(docs.select("doc_id", pooling(vectors)(word_ids(F.col("text"))).alias("features")), "features")
-    network = fit(features, labels, rows)
+    network = fit(features, learnt(features, labels, rows), rows)
     return features.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), scoring(network)("features").alias("score")
     ).withColumn("predicted", (F.col("score") >= keep).cast("int"))
@@ -198,9 +209,9 @@ def good_documents(docs: DataFrame, labels: DataFrame, keep: float = KEEP, rows:
     """The rows of docs, with all their columns, that the classifier does not reject."""
     vectors = docs.sparkSession.sparkContext.broadcast(word_vectors(docs))
     pool, names = pooling(vectors), docs.columns
-    known = labels.select("doc_id").distinct()
-    features = docs.select("doc_id", "text").join(known, "doc_id", "left_semi").select("doc_id", pool(word_ids(F.col("text"))).alias("features"))
-    network = fit(features, labels, rows)
+    known = learnt(docs, labels, rows)
+    mine = docs.select("doc_id", "text").join(known.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    network = fit(mine.select("doc_id", pool(word_ids(F.col("text"))).alias("features")), known, rows)
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
     kept = docs.select(row, scoring(network)(pool(word_ids(F.col("text")))).alias("score")).filter(F.col("score") >= keep)
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in names])
