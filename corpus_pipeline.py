@@ -8,37 +8,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from factorloom.llm import mixing, near_dedup, pieces, quality, secrets
-from factorloom.llm.common import written
-from factorloom.sources.shipping import ship
+from factorloom.llm.common import prepared, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    ship(spark)
+    prepared(spark)
     return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the least doc_id."""
-    ship(spark)
+    prepared(spark)
     return near_dedup.kept_documents(docs)
 
 
 def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; spans that the secret scan finds are replaced by a mark."""
-    ship(spark)
+    prepared(spark)
     return secrets.redacted_documents(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources at their target weights: documents as often as they are drawn."""
-    ship(spark)
+    prepared(spark)
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document of the mix."""
-    ship(spark)
+    prepared(spark)
     return pieces.encode_documents(docs)
 
 
