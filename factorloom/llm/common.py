@@ -71,7 +71,7 @@ def tidy(operator):
         except BaseException:
             for path in _scopes.pop():
                 with suppress(Exception):  # the error itself tells more
-                    remove(args[0].sparkSession, path)
+                    remove(getattr(args[0], "sparkSession", args[0]), path)
             raise
         paths = _scopes.pop()
         try:

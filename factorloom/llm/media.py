@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bitmap, perhaps_in, written
+from .common import id_bitmap, perhaps_in, tidy, written
 
 RATE = 4096
 FRAME = 256
@@ -241,6 +241,7 @@ def aligned(media: DataFrame, queries: Column, votes: int = VOTES, errors: float
     return members, matches
 
 
+@tidy
 def query(spark, sf_dir: str) -> DataFrame:
     """Every turn with its class, the length of its fingerprint and, for query classes, its matches.
 
