@@ -40,7 +40,7 @@ COORDINATES = 100
 ROWS = 5
 BANDS = COORDINATES // ROWS
 EXTRA = 3.0
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 BLOCK = 256  # nodes of a band that one task compares with as many others
 CELLS = 1 << 22  # of a dense part of the matrix of nodes and units
 

@@ -32,7 +32,7 @@ WINDOW = 2
 ENTRIES = 2
 TRAIN_ROWS = 20_000
 KEEP = 0.7
-CHUNK = 1 << 17
+CHUNK = 1 << 15
 
 
 def word_ids(text: Column) -> Column:
