@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE = 600_000
+CACHE = 128 << 20  # bytes of units and arc weights, about, that a worker holds in each of two generations
+LONG_UNIT = 64
+ARC = 100  # bytes that an arc's weight takes in a dict; half of CACHE is for arcs
 INFINITE = float("inf")
 
 
@@ -63,22 +65,36 @@ def fields(data: bytes):
             at += size
 
 
-class Units(dict):
-    """Ids of units, as bytes; emptied when it holds CACHE units."""
+class Recent(dict):
+    """What `make` gives for the keys asked for lately: two generations of at most `room` each, of which the
+    older is dropped when the younger is full. What is found in the older moves to the younger."""
 
-    def __init__(self, encode):
+    def __init__(self, make, room: int, cost):
         super().__init__()
-        self.encode = encode
-
-    def __missing__(self, unit):
-        if len(self) >= CACHE:
-            self.clear()
-        found = self[unit] = self.encode(unit)
+        self.make, self.room, self.cost, self.size, self.older = make, room, cost, 0, {}
+
+    def __missing__(self, key):
+        found = self.older.pop(key, None)
+        if found is None:
+            found = self.make(key)
+        size = self.cost(key, found)
+        if size:
+            if self.size >= self.room:
+                self.older = dict(self)
+                self.clear()
+                self.size = 0
+            self[key] = found
+            self.size += size
         return found
 
 
+def unit_cost(unit: str, ids: bytes) -> int:
+    """Bytes that a unit and its ids take in a dict; long units are not held."""
+    return 200 + 2 * len(unit) + len(ids) if len(unit) <= LONG_UNIT else 0
+
+
 class Transducer:
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         with open(path, "rb") as file:
             model = list(fields(file.read()))
         self.score, self.ids, self.bytes, self.out = {}, {}, {}, []
@@ -112,8 +128,8 @@ class Transducer:
         self.unit = re.compile(r"(?s).+" if crossing else f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
         self.lines = not crossing and not any("\n" in t for t in self.ids)
         self.kind = "<u2" if len(self.out) < 1 << 16 else "<u4"
-        self.units = Units(self.shortest_path)
-        self.weights, self.split = {}, {}
+        self.units = Recent(self.shortest_path, cache // 2, unit_cost)
+        self.weights, self.split = Recent(self.weight, cache // 2, lambda arc, weight: ARC), {}
 
     def merged(self, text: str, least: int = 1) -> list[str]:
         """Characters of text merged by the best score first, leftmost among equals, to `least` parts."""
@@ -150,15 +166,12 @@ class Transducer:
     def weight(self, arc: int) -> float:
         """Of the arc numbered state * number of pieces + piece; the last state is the start."""
         state, piece = divmod(arc, len(self.out))
-        if len(self.weights) >= 2 * CACHE:
-            self.weights.clear()
         if self.unigram:
             found = -self.score[self.text[piece]]
         elif state == len(self.out):
             found = 0.0 if self.merged(self.text[piece]) == [self.text[piece]] else INFINITE
         else:
             found = 0.0 if self.stands(self.text[state], self.text[piece]) else INFINITE
-        self.weights[arc] = found
         return found
 
     def shortest_path(self, unit: str) -> bytes:
@@ -181,7 +194,7 @@ class Transducer:
                 continue  # the path of finite weight is the only one
             start = end + 1 - length
             arc = last[start] * size + piece
-            total = cost[start] + (weights[arc] if arc in weights else self.weight(arc))
+            total = cost[start] + weights[arc]
             if total < cost[end + 1]:
                 cost[end + 1], last[end + 1] = total, piece
         found, end = [], len(text)
@@ -209,18 +222,20 @@ class Transducer:
 
 
 @lru_cache(maxsize=4)
-def transducer(path: str) -> Transducer:
+def transducer(path: str, cache: int = CACHE) -> Transducer:
     """One for each model and worker process."""
-    return Transducer(path)
+    return Transducer(path, cache)
+
 
+def encode_documents(docs: DataFrame, path: str | None = None, cache: int = CACHE) -> DataFrame:
+    """doc_id, ids and round_trip (decoding gives the normalised text) of every row of docs(doc_id, text).
 
-def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids and round_trip (decoding gives the normalised text) of every row of docs(doc_id, text)."""
+    A smaller cache costs time and no results: workers that other stages share may need the memory."""
     path = path or model_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        machine = transducer(path)
+        machine = transducer(path, cache)
         for batch in batches:
             ids, same = [], []
             for text in batch.column("text").to_pylist():
