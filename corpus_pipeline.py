@@ -38,9 +38,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document of the mix."""
     prepared(spark)
-    return pieces.encode_documents(docs)
+    return pieces.encode_documents(docs, cache=PIECES)
 
 
+#: Bytes of the pieces that a worker holds: less than by default, as the workers have served four stages before.
+PIECES = 32 << 20
+
 STAGES = [
     ("quality classifier", keep_good),
     ("minhash near-dedup", keep_one_of_each),
