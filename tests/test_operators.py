@@ -108,13 +108,13 @@ def test_unknown_ratio(spark):
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_grid_and_folds_fit_rankers_and_average_forward_returns(spark, monkeypatch):
     calls = []
-    monkeypatch.setattr(research_queries, "cross_validated", lambda make, rows, returns, **cv: calls.append((make(), rows, returns, cv)))
-    monkeypatch.setattr(research_queries, "grid_search", lambda make, rows, options, returns, **cv: calls.append((make(**{k: v[0] for k, v in options.items()}), rows, returns, cv)))
+    monkeypatch.setattr(research_queries, "cross_validated", lambda model, rows, returns, **cv: calls.append((model, rows, returns, cv)))
+    monkeypatch.setattr(research_queries, "grid_search", lambda make, rows, options, returns, path, **cv: calls.append((make(**{k: v[0] for k, v in options.items()}), rows, returns, cv)))
     research_queries.cross_validation(spark, "/root/testdata/sf0.001")
     research_queries.grid(spark, "/root/testdata/sf0.001")
     ahead = {(r.timestamp, r.symbol): r.y for r in research_queries.all_samples(spark, "/root/testdata/sf0.001").collect()}
     for model, rows, returns, cv in calls:
-        assert isinstance(model, research_queries.BoostedRanker) and model.options.get("maxIter", 10) >= 10 and cv.get("n_folds", 5) == 5
+        assert isinstance(model, research_queries.BoostedRanker) and model.options.get("n_estimators", 100) >= 80 and cv.get("n_folds", 5) == 5
         found = rows.collect()
         assert found and all(r[returns] == ahead[r.timestamp, r.symbol] and r.y in (0, 1, 2) for r in found)
     assert len(calls) == 2 and len(list(research_queries.dataset.parameter_grid(research_queries.GRID))) == 81
