@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from contextlib import suppress
+from contextvars import ContextVar
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,8 @@ from ..sources.shipping import ship
 
 ARROW_ROWS = 1000  # of a batch that a Python worker gets: texts may be long
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_scopes: list[list[str]] = []
+#: Paths that the innermost running operator wrote; each thread of the driver has its own.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def prepared(spark: SparkSession) -> None:
@@ -42,8 +44,9 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder: freed at the end of a tidy operator, or of the driver's Python."""
     path = f"{shared_dir(spark)}/factorloom/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    paths = _scope.get()
+    if paths is not None:
+        paths.append(path)
     else:
         atexit.register(remove, spark, path)
     return path
@@ -65,15 +68,17 @@ def tidy(operator):
 
     @wraps(operator)
     def run(*args, **kwargs):
-        _scopes.append([])
+        paths: list[str] = []
+        outer = _scope.set(paths)
         try:
             result = operator(*args, **kwargs)
         except BaseException:
-            for path in _scopes.pop():
+            for path in paths:
                 with suppress(Exception):  # the error itself tells more
                     remove(getattr(args[0], "sparkSession", args[0]), path)
             raise
-        paths = _scopes.pop()
+        finally:
+            _scope.reset(outer)
         try:
             return written(result, operator.__name__)
         finally:
