@@ -2,7 +2,7 @@
 
 from functools import wraps
 
-from . import media, mixing, near_dedup, pieces, quality, repeats, secrets, token_counts, vectors, warc
+from . import audit, codes, languages, media, mixing, near_dedup, pieces, quality, repeats, secrets, token_counts, vectors, warc
 from .common import prepared
 
 
@@ -26,10 +26,15 @@ QUERIES = {
     "op8_repeats": repeats.query,
     "op9_token_counts": token_counts.query,
     "op10_mix_sources": mixing.query,
+    "op11_languages": languages.query,
+    "op12_vector_codes": codes.query,
+    "op13_filter_audit": audit.query,
 }
 QUERIES = {name: _ready(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL = {
     "op1_warc_archives": warc.ORACLE_SQL,
     "op10_mix_sources": mixing.ORACLE_SQL,
+    "op12_vector_codes": codes.ORACLE_SQL,
+    "op13_filter_audit": audit.ORACLE_SQL,
 }
