@@ -1,19 +1,18 @@
 """Scorers of samples, walk-forward fits, cross-validation and grids.
 
-A scorer has fit(samples) and predict(samples): DataFrames in, a DataFrame with a score column out.
+A scorer has fit(samples) and predict(samples): DataFrames in, a DataFrame with a score column out; and
+fit_each(placed), which fits it to the training rows of every fold at once and scores all rows of each fold.
 """
 
 from __future__ import annotations
 
 import copy
 import json
-import pickle
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import Direction, reversed_labels
@@ -21,7 +20,7 @@ from ..sources.catalog import append_results, read_results
 from ..sources.shared import kept
 from .cross_section import ndcg, top_k_mean
 from .dataset import cv_folds, parameter_grid, split
-from .ranking import LambdaTrees
+from .ranking import Fits, LambdaTrees, Setting
 
 
 class Scorer:
@@ -33,6 +32,10 @@ class Scorer:
     def predict(self, samples: DataFrame) -> DataFrame:
         raise NotImplementedError
 
+    def fit_each(self, placed: DataFrame) -> DataFrame:
+        """placed(fold, split, …) with the scores of each fold's model; this one learns nothing."""
+        return self.predict(placed)
+
     def clone(self) -> Scorer:
         return copy.deepcopy(self)
 
@@ -57,18 +60,15 @@ class RandomScore(Scorer):
     name: str = "score"
 
     def predict(self, samples):
-        from pyspark.sql import Window
-
         order = Window.partitionBy("timestamp").orderBy(F.md5(F.concat_ws("|", F.lit(self.seed), F.col("timestamp").cast("string"), "symbol")), "symbol")
         return samples.withColumn(self.name, F.row_number().over(order) - 1)
 
 
-MOST = 2_000_000  # samples that one fit takes, by hash order
-
-
 @dataclass
 class BoostedRanker(Scorer):
-    """Boosted trees that rank the samples of each date by relevance labels; the bear direction learns them reversed."""
+    """Boosted trees that rank the samples of each date by relevance labels; the bear direction learns them reversed.
+
+    Samples that lack a feature are left out, those that lack a label are scored only."""
 
     features: list[str]
     direction: Direction = Direction.BULL
@@ -77,20 +77,22 @@ class BoostedRanker(Scorer):
     name: str = "score"
     model: LambdaTrees | None = None
 
-    def listed(self, samples: DataFrame) -> DataFrame:
-        """(list, y, x) of the samples that have all features."""
-        rows = samples.dropna(subset=["y", *self.features])
-        return rows.select(F.col("timestamp").cast("string").alias("list"), _label(self).alias("y"), F.array(*[F.col(f).cast("double") for f in self.features]).alias("x"))
+    def _x(self):
+        return F.array(*[F.col(f).cast("double") for f in self.features])
 
-    def fit(self, samples):
-        options = self.options
-        rows = at_most(samples, MOST)
-
-        def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"model": [pickle.dumps(fitted(pdf, options))]})
+    def listed(self, samples: DataFrame, train, test, *extra) -> DataFrame:
+        """(list, symbol, x, y, train, test, …) of the samples that have all features; train and test are arrays of folds."""
+        y = F.when(~F.isnan(F.col("y").cast("double")), _label(self))
+        learnt = F.when(y.isNotNull(), train).otherwise(F.array().cast("array<int>"))
+        return samples.dropna(subset=self.features).select(
+            F.col("timestamp").cast("string").alias("list"), "symbol", self._x().alias("x"), y.alias("y"), learnt.alias("train"), test.alias("test"), *extra
+        )
 
-        found = self.listed(rows).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(learn, "model binary").first()
-        self.model = pickle.loads(found[0]) if found else LambdaTrees()
+    def fit(self, samples):
+        rows = self.listed(samples, F.array(F.lit(0)), F.array().cast("array<int>"))
+        fits = Fits(rows, [Setting(**self.options)], 1, len(self.features))
+        fits.run(lambda n: None)
+        self.model = fits.model(0, 0)
         return self
 
     def predict(self, samples):
@@ -100,7 +102,22 @@ class BoostedRanker(Scorer):
         def score(x: pd.Series) -> pd.Series:
             return pd.Series(model.predict(np.array(x.tolist(), float)) if len(x) else [], dtype=float)
 
-        return samples.dropna(subset=self.features).withColumn(self.name, score(F.array(*[F.col(f).cast("double") for f in self.features])))
+        return samples.dropna(subset=self.features).withColumn(self.name, score(self._x()))
+
+    def fit_each(self, placed):
+        folds = placed.agg(F.max("fold")).first()[0]
+        if folds is None:
+            return placed.withColumn(self.name, F.lit(None).cast("double"))
+        names = [c for c in placed.columns if c not in ("fold", "split")]
+        once = placed.groupBy(*names).agg(F.collect_list(F.struct("fold", "split")).alias("places"))
+        of = lambda places: F.transform(places, lambda p: p["fold"].cast("int"))
+        train = of(F.filter("places", lambda p: p["split"] == "train"))
+        rows = self.listed(once, train, of(F.col("places")), F.struct(*names).alias("row"), "places")
+        found: list[DataFrame] = []
+        fits = Fits(rows, [Setting(**self.options)], folds + 1, len(self.features))
+        fits.run(lambda n: found.append(fits.scored(n)))
+        mine = found[-1].select("row.*", F.explode(F.filter("places", lambda p: p["fold"] == F.col("fold"))).alias("place"), F.col("score").alias("_score"))
+        return mine.select("place.fold", "place.split", *names, F.col("_score").alias(self.name))
 
 
 def _label(ranker: BoostedRanker):
@@ -108,13 +125,6 @@ def _label(ranker: BoostedRanker):
     return y.cast("double")
 
 
-def fitted(rows: pd.DataFrame, options: dict) -> LambdaTrees:
-    """The ranker of rows (list, y, x); their order does not matter."""
-    x, lists = np.array(rows["x"].tolist(), float), rows["list"].to_numpy(str)
-    order = np.lexsort((*x.T, rows["y"], lists))
-    return LambdaTrees(**options).fit(x[order], rows["y"].to_numpy(float)[order], lists[order])
-
-
 @dataclass
 class MetaScorer(Scorer):
     """A scorer on the scores of others."""
@@ -122,9 +132,9 @@ class MetaScorer(Scorer):
     bases: list[Scorer]
     top: Scorer
 
-    def _scores(self, samples):
+    def _scores(self, samples, each: bool = False):
         for k, base in enumerate(self.bases):
-            samples = base.predict(samples).withColumnRenamed("score", f"base{k}")
+            samples = (base.fit_each if each else base.predict)(samples).withColumnRenamed("score", f"base{k}")
         return samples
 
     def fit(self, samples):
@@ -135,6 +145,9 @@ class MetaScorer(Scorer):
     def predict(self, samples):
         return self.top.predict(self._scores(samples))
 
+    def fit_each(self, placed):
+        return self.top.fit_each(self._scores(placed, each=True))
+
 
 def trimmed(score: np.ndarray, against: np.ndarray, fraction: float, k: int) -> np.ndarray:
     """Which rows are left after cuts from two sides. A cut takes the rows up to the fraction-quantile of those
@@ -162,8 +175,14 @@ class TrimmedScorer(Scorer):
     direction: Direction = Direction.BULL
 
     def predict(self, samples):
-        rows = self.antagonist.predict(self.model.predict(samples).withColumnRenamed("score", "_a")).withColumnRenamed("score", "_b")
-        rows = rows.withColumns({"_a": F.col("_a").cast("double"), "_b": F.col("_b").cast("double")})
+        return self._trimmed(self.antagonist.predict(self.model.predict(samples).withColumnRenamed("score", "_a")), ["timestamp"])
+
+    def fit_each(self, placed):
+        scored = self.antagonist.fit_each(self.model.fit_each(placed).withColumnRenamed("score", "_a"))
+        return self._trimmed(scored, ["fold", "split", "timestamp"])
+
+    def _trimmed(self, rows: DataFrame, by: list[str]) -> DataFrame:
+        rows = rows.withColumnRenamed("score", "_b").withColumns({"_a": F.col("_a").cast("double"), "_b": F.col("_b").cast("double")})
         schema = rows.drop("_b").withColumnRenamed("_a", "score").schema
         fraction, k = self.fraction, self.k
 
@@ -171,7 +190,7 @@ class TrimmedScorer(Scorer):
             stay = trimmed(pdf["_a"].to_numpy(float), pdf["_b"].to_numpy(float), fraction, k)
             return pdf.assign(score=np.where(stay, pdf["_a"], -1e11))[schema.names]
 
-        return rows.groupBy("timestamp").applyInPandas(trim, schema)
+        return rows.groupBy(*by).applyInPandas(trim, schema)
 
 
 def at_most(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -197,62 +216,69 @@ def subsample(rows: DataFrame, share: float, seed: int = 0) -> DataFrame:
     return rows if share >= 1 else at_most(rows, int(rows.count() * share), seed)
 
 
+def subsample_each(placed: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """That share of each fold's training rows, exactly and repeatably, by hash order; other rows stay. Counts of
+    65,536 ranges of the hash tell which ranges are whole; only the one at each fold's border is sorted."""
+    if share >= 1:
+        return placed
+    train = placed.filter("split = 'train'").withColumn("_order", F.xxhash64(F.lit(seed), "timestamp", "symbol")).withColumn("_range", F.shiftright("_order", 48))
+    sizes = train.groupBy("fold", "_range").agg(F.count("*").alias("_n"))
+    upto, whole = Window.partitionBy("fold").orderBy("_range"), Window.partitionBy("fold")
+    room = (F.floor(F.sum("_n").over(whole) * share) - (F.sum("_n").over(upto) - F.col("_n"))).alias("_room")
+    ranges = kept(sizes.select("fold", "_range", "_n", room).filter("_room > 0"), "ranges")
+    met = train.join(ranges, ["fold", "_range"])
+    edge = met.filter("_room < _n").withColumn("_place", F.row_number().over(Window.partitionBy("fold", "_range").orderBy("_order", "timestamp", "symbol"))).filter("_place <= _room")
+    rest = placed.filter("split <> 'train'")
+    return rest.unionByName(met.filter("_room >= _n").select(*placed.columns)).unionByName(edge.select(*placed.columns))
+
+
 def walk_forward(model: Scorer, samples: DataFrame, intervals: DataFrame, clone: bool = True, share: float = 1.0) -> DataFrame:
-    """Predictions (fold, timestamp, symbol, true, pred) of each fold's test rows by a model of its training rows."""
-    placed = kept(split(samples, intervals), "placed")
-    out = []
-    for row in intervals.select("fold").distinct().orderBy("fold").collect():
-        fold = placed.filter(F.col("fold") == row["fold"])
-        fitted = (model.clone() if clone else model).fit(subsample(fold.filter("split = 'train'"), share))
-        found = fitted.predict(fold.filter("split = 'test'"))
-        out.append(found.select("fold", "timestamp", "symbol", F.col("y").cast("double").alias("true"), F.col("score").cast("double").alias("pred")))
-    return reduce(DataFrame.unionByName, out)
+    """Predictions (fold, timestamp, symbol, true, pred) of each fold's test rows by a model of its training rows.
+
+    All folds are fitted side by side, each from the start; `clone` leaves the given model untouched."""
+    placed = subsample_each(kept(split(samples, intervals), "placed").filter("split in ('train', 'test')"), share)
+    found = (model.clone() if clone else model).fit_each(placed).filter("split = 'test'")
+    return found.select("fold", "timestamp", "symbol", F.col("y").cast("double").alias("true"), F.col("score").cast("double").alias("pred"))
 
 
 def cross_validated(ranker: BoostedRanker, samples: DataFrame, returns: str, n_folds: int = 5, k: int = 100) -> DataFrame:
     """(fold, ndcg, mean_return) of a ranker fitted on the other folds, averaged over dates."""
-    rows = kept(at_most(cv_folds(samples, n_folds), MOST), "folds")
-    return _judged([ranker], rows, returns, n_folds, k).drop("setting")
-
+    found: list[DataFrame] = []
+    _judged([ranker], samples, returns, n_folds, k, found.append)
+    return found[0].drop("setting")
 
-def _judged(rankers: list[BoostedRanker], rows: DataFrame, returns: str, n_folds: int, k: int) -> DataFrame:
-    """(fold, ndcg, mean_return, setting) of rankers that differ in their options only.
 
-    The fits run side by side: the task of a setting and fold gets all samples, learns from the other
-    folds' and scores its own.
-    """
+def _judged(rankers: list[BoostedRanker], samples: DataFrame, returns: str, n_folds: int, k: int, done) -> None:
+    """(fold, ndcg, mean_return, setting) of rankers that differ in their options only, given to `done` for the settings
+    that end with the same number of trees, as soon as these are grown. All fits share one read of the samples."""
     one, options = rankers[0], [r.options for r in rankers]
-    x = F.array(*[F.col(f).cast("double") for f in one.features])
-    both = F.explode(F.array(*[F.struct(F.lit(s).alias("setting"), F.lit(f).alias("out")) for s in range(len(options)) for f in range(n_folds)]))
-    listed = rows.dropna(subset=["y", *one.features]).select(
-        both.alias("to"), "fold", F.col("timestamp").cast("string").alias("list"), "symbol", _label(one).alias("y"), F.col(returns).cast("double").alias("gain"), x.alias("x"),
-    ).select("to.*", "fold", "list", "symbol", "y", "gain", "x")
-
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        mine = pdf["fold"] == pdf["out"]
-        model, test = fitted(pdf[~mine], options[pdf["setting"].iloc[0]]), pdf[mine]
-        score = model.predict(np.array(test["x"].tolist(), float)) if len(test) else np.zeros(0)
-        return test.assign(score=score)[["setting", "fold", "list", "symbol", "y", "gain", "score"]]
-
-    found = listed.groupBy("setting", "out").applyInPandas(judge, "setting int, fold int, list string, symbol string, y double, gain double, score double")
-    found = kept(found.withColumn("date", F.struct("setting", "fold", "list")), "scored")
-    gains, means = ndcg(found, "y", "score", k, n_labels=one.n_labels), top_k_mean(found, "score", "gain", k)
-    figures = gains.join(means, "date", "left").groupBy("date.setting", "date.fold").agg(F.avg("ndcg").alias("ndcg"), F.avg("mean").alias("mean_return"))
+    folds = F.sequence(F.lit(0), F.lit(n_folds - 1))
+    placed = cv_folds(samples.dropna(subset=["y", *one.features]), n_folds)
+    rows = one.listed(placed, F.array_except(folds, F.array("fold")), F.array("fold"), F.col(returns).cast("double").alias("gain"))
+    fits = Fits(rows, [Setting(**o) for o in options], n_folds, len(one.features))
     names = F.array(*[F.lit(json.dumps(o, sort_keys=True)) for o in options])
-    return figures.select("fold", "ndcg", "mean_return", names[F.col("setting")].alias("setting"))
+
+    def judge(n: int) -> None:
+        found = fits.scored(n).withColumn("date", F.struct("setting", "fold", "list"))
+        gains, means = ndcg(found, "y", "score", k, n_labels=one.n_labels), top_k_mean(found, "score", "gain", k)
+        figures = gains.join(means, "date", "left").groupBy("date.setting", "date.fold").agg(F.avg("ndcg").alias("ndcg"), F.avg("mean").alias("mean_return"))
+        done(figures.select("fold", "ndcg", "mean_return", names[F.col("setting")].alias("setting")))
+
+    fits.run(judge)
 
 
-def grid_search(make, samples: DataFrame, options: dict, returns: str, path: str, n_folds: int = 5, k: int = 100, side_by_side: int = 9) -> DataFrame:
+def grid_search(make, samples: DataFrame, options: dict, returns: str, path: str, n_folds: int = 5, k: int = 100, side_by_side: int = 81) -> DataFrame:
     """(fold, ndcg, mean_return, setting): cross-validation of every setting. So many settings at a time are fitted
-    side by side, and appended to the results at `path` when they are done; settings that are there already
-    are not run again."""
+    side by side; they are appended to the results at `path` as they are done, and settings that are there
+    already are not run again."""
     spark = samples.sparkSession
-    rows = kept(at_most(cv_folds(samples, n_folds), MOST), "folds")
     append_results(spark.createDataFrame([], RESULTS), path)
     done = {r["setting"] for r in read_results(spark, path, RESULTS).select("setting").distinct().collect()}
     todo = [s for s in parameter_grid(options) if json.dumps(s, sort_keys=True) not in done]
+    if todo:
+        samples = kept(samples, "samples")
     for at in range(0, len(todo), side_by_side):
-        append_results(_judged([make(**s) for s in todo[at : at + side_by_side]], rows, returns, n_folds, k).coalesce(1), path)
+        _judged([make(**s) for s in todo[at : at + side_by_side]], samples, returns, n_folds, k, lambda found: append_results(found.coalesce(1), path))
     return read_results(spark, path, RESULTS)
 
 

@@ -54,3 +54,9 @@ def kept(rows: DataFrame, name: str = "kept") -> DataFrame:
     atexit.register(remove, spark, path)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Frees a kept table that no later step reads."""
+    for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+        remove(table.sparkSession, folder)

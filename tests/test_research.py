@@ -72,6 +72,115 @@ def test_ranker_learns_an_order(spark):
     assert [r.score for r in one.predict(samples).collect()] == [r.score for r in other.predict(samples).collect()]
 
 
+def plain_trees(x, y, lists, setting, edges):
+    """The ranker grown in one place from all samples: what fits over partitions must equal."""
+    bins, score = ranking.binned(x, edges), np.zeros(len(x))
+    model = ranking.LambdaTrees(setting, edges)
+    for t in range(setting.n_estimators):
+        pull, bend = np.zeros((2, len(x)), np.int64)
+        for name in np.unique(lists):
+            at = np.flatnonzero(lists == name)
+            first, second = ranking.lambdas(score[None, at], y[None, at], np.ones((1, len(at)), bool))
+            pull[at], bend[at] = np.rint(first[0] * ranking.SCALE), np.rint(second[0] * ranking.SCALE)
+        columns = setting.columns(x.shape[1], t)
+        node, splits = np.zeros(len(x), np.int64), []
+        for _ in range(setting.max_depth):
+            chosen = {}
+            for n in np.unique(node):
+                mine, best = node == n, None
+                for c in columns:
+                    for b in range(ranking.BINS - 1):
+                        low = mine & (bins[:, c] <= b)
+                        parts = [(int(pull[k].sum()) / ranking.SCALE, int(bend[k].sum()) / ranking.SCALE) for k in (low, mine & ~low)]
+                        gain = sum(g**2 / (h + ranking.RIDGE) for g, h in parts)
+                        if best is None or gain > best[0]:
+                            best = (gain, c, b)
+                chosen[n] = best[1:]
+            splits.append(chosen)
+            node = 2 * node + np.array([bins[i, chosen[n][0]] > chosen[n][1] for i, n in enumerate(node)])
+        tree = ranking.Tree(setting.max_depth)
+        for level, chosen in enumerate(splits):
+            for n, (c, b) in chosen.items():
+                tree.features[(1 << level) - 1 + n], tree.cuts[(1 << level) - 1 + n] = c, b
+        for n in np.unique(node):
+            tree.values[n] = ranking.leaf(np.array([pull[node == n].sum(), bend[node == n].sum(), 0]))
+        model.trees.append(tree)
+        score += setting.learning_rate * tree.values[node]
+    return model
+
+
+@pytest.mark.parametrize("small", [0, 60, 1 << 16])
+def test_fits_over_partitions_equal_one_place(spark, monkeypatch, small):
+    """By levels only, with small nodes finished by one task, and whole trees by one task; several settings and folds at once."""
+    rng = np.random.default_rng(9)
+    rows = [(f"2020-01-{d + 1:02d}", f"s{k:02d}", [float(v) for v in rng.normal(size=3)], d % 3) for d in range(9) for k in range(12)]
+    rows = [(d, s, x, float(min(3, max(0, round(x[0] - x[1] ** 2 + 1)))), [f for f in range(3) if f != fold], [fold]) for d, s, x, fold in rows]
+    df = spark.createDataFrame(rows, "list string, symbol string, x array<double>, y double, train array<int>, test array<int>").repartition(5)
+    settings = [ranking.Setting(0.3, 3, n, share) for n in (2, 5) for share in (0.6, 1.0)] + [ranking.Setting(0.1, 2, 4)]
+    monkeypatch.setattr(ranking, "KEEP", 3)
+    found = []
+    fits = ranking.Fits(df, settings, 3, 3, small)
+    assert len(fits.grown) == 3  # fewer trees of the same setting are no fit of their own
+    fits.run(lambda n: found.extend(fits.scored(n).collect()))
+    assert len(found) == len(settings) * len(rows)
+    for s, setting in enumerate(settings):
+        for fold in range(3):
+            mine = sorted(r for r in rows if fold in r[4])
+            plain = plain_trees(np.array([r[2] for r in mine]), np.array([r[3] for r in mine]), np.array([r[0] for r in mine]), setting, fits.edges)
+            held = sorted(r for r in rows if fold in r[5])
+            want = dict(zip([(r[0], r[1]) for r in held], plain.predict(np.array([r[2] for r in held])), strict=True))
+            got = {(r["list"], r["symbol"]): r["score"] for r in found if r["setting"] == s and r["fold"] == fold}
+            assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+            assert fits.model(s, fold).predict(np.array([held[0][2]]))[0] == pytest.approx(want[held[0][:2]], abs=1e-12)
+
+
+def test_sums_of_wide_integers_are_exact():
+    weight = np.array([(1 << 45) + 3, -(1 << 44) - 7, 5, -1])
+    found = ranking.histograms(np.array([0, 0, 0, 1]), np.array([[1], [1], [2], [0]], np.uint8), [weight, -weight, np.ones(4, np.int64)], 2)
+    assert found[0, 1].tolist() == [(1 << 44) - 4, 4 - (1 << 44), 2] and found[1, 0].tolist() == [-1, 1, 1] and found[0, 2].tolist() == [5, -5, 1]
+
+
+def walk_rows(spark, days=24, n=15):
+    rng = np.random.default_rng(1)
+    rows = []
+    for d in range(days):
+        a, b = rng.normal(size=(2, n))
+        rows += [(f"2020-{d // 2 + 1:02d}-{10 + d % 2}", f"s{k:02d}", int(y), float(a[k]), float(b[k])) for k, y in enumerate(np.argsort(np.argsort(a)) * 3 // n)]
+    return spark.createDataFrame(rows, "timestamp string, symbol string, y int, a double, b double").withColumn("timestamp", F.to_date("timestamp"))
+
+
+def test_walk_forward_fits_all_folds_as_one_by_one(spark):
+    samples = walk_rows(spark)
+    intervals = spark.createDataFrame([(0, "train", "2020-01-01", "2020-05-31"), (0, "test", "2020-05-31", "2020-07-31"), (1, "train", "2020-03-01", "2020-08-31"),
+                                       (1, "validation", "2020-08-31", "2020-09-30"), (1, "test", "2020-09-30", "2020-12-31")], "fold int, split string, start string, end string")
+    intervals = intervals.withColumns({"start": F.to_date("start"), "end": F.to_date("end")})
+    options = {"n_estimators": 5, "max_depth": 2}
+    for make in (lambda: models.BoostedRanker(["a", "b"], n_labels=3, options=options),
+                 lambda: models.MetaScorer([models.SingleFeature("a")], models.BoostedRanker(["base0"], n_labels=3, options=options)),
+                 lambda: models.TrimmedScorer(models.SingleFeature("a"), models.SingleFeature("b"), 0.2, 5)):
+        found = models.walk_forward(make(), samples, intervals).collect()
+        assert {r.fold for r in found} == {0, 1} and len(found) == (4 + 6) * 15
+        for fold, start, end in ((0, "2020-01-01", "2020-05-31"), (1, "2020-03-01", "2020-08-31")):
+            one = make().fit(samples.filter((F.col("timestamp") > start) & (F.col("timestamp") <= end)))
+            wanted = {(r.timestamp, r.symbol): r.score for r in one.predict(samples).collect()} if not isinstance(one, models.TrimmedScorer) else None
+            mine = {(r.timestamp, r.symbol): r.pred for r in found if r.fold == fold}
+            if isinstance(one, models.BoostedRanker):  # bins come from all folds' rows: orders agree, up to bins
+                a = [mine[k] for k in sorted(mine)]
+                b = [wanted[k] for k in sorted(mine)]
+                assert np.corrcoef(a, b)[0, 1] > 0.95
+            elif wanted is None:
+                assert {v for v in mine.values()} > {-1e11}
+
+
+def test_subsample_of_each_fold_is_exact(spark):
+    rows = spark.range(900).select((F.col("id") % 3).cast("int").alias("fold"), F.when(F.col("id") % 9 == 0, "test").otherwise("train").alias("split"),
+                                   F.lit("2020-01-31").cast("date").alias("timestamp"), F.col("id").cast("string").alias("symbol"))
+    found = {(r.fold, r.split): r["count"] for r in models.subsample_each(rows, 0.25).groupBy("fold", "split").count().collect()}
+    assert found == {(0, "test"): 100, (0, "train"): 50, (1, "train"): 75, (2, "train"): 75}
+    again = models.subsample_each(rows.repartition(7), 0.25)
+    assert again.exceptAll(models.subsample_each(rows, 0.25)).count() == 0
+
+
 def test_grid_is_appended_and_resumed(spark, tmp_path):
     rows = [(f"2020-01-{d:02d}", f"s{k}", k % 3, float(k), float(k % 3)) for d in range(1, 11) for k in range(6)]
     samples = spark.createDataFrame(rows, "timestamp string, symbol string, y int, a double, ret double")
