@@ -2,13 +2,13 @@
 
 Each language has a suffix automaton of labelled text. A text is parsed from left to right into the
 longest phrases that occur in a language's text: the automaton follows the text as long as it can, and the
-phrase ends where it has no transition. A language of m learnt symbols that needs c phrases for n symbols
+phrase ends where it has no transition; that fresh start is a transition of its own, so that a step is one lookup. A language of m learnt symbols that needs c phrases for n symbols
 is measured at c log2(m) / n bits a symbol; the least wins, ties go to the lesser name. Whole texts are
 parsed: batches of texts step through the automata side by side, and the few longest ones one by one.
 
 What is learnt is bounded: WINDOWS windows of WINDOW characters in all, an equal share for each language,
 one at a hashed place of each of the documents of the least hashed ids. Each automaton is built in
-a task of its own; together they have at most 2 x WINDOWS x (WINDOW + 1) states of SYMBOLS transitions.
+a task of its own; together they have at most 2 x WINDOWS x (WINDOW + 1) states of SYMBOLS transitions of four bytes.
 
 Only the text is an input of a prediction. Rows whose crc32(doc_id as text) mod 4 is 2 are never learnt.
 The score is 1 - least / second least entropy: 0 where two languages tie, 1 if only one was learnt.
@@ -35,13 +35,13 @@ from pyspark.sql.window import Window
 from .common import tidy, written
 from .quality import held_out
 
-WINDOWS = 512
+WINDOWS = 256
 WINDOW = 512
 SYMBOLS = 64  # columns of a transition table: space, other letters, the break between windows, and letters
 SPACE, OTHER, BREAK = 0, 1, 2
 UNKNOWN = "und"
-CHUNK = 1 << 21  # characters that a task holds at once
-LANES = 24  # texts: below that many, one by one is faster than side by side
+CHUNK = 1 << 22  # characters that a task holds at once
+LANES = 8  # texts: below that many, one by one is faster than side by side
 _CODES = 0x110000
 
 
@@ -85,7 +85,7 @@ class Alphabet:
 class Automaton:
     """The suffix automaton of a list of symbols, as a table of transitions; state 0 is the root and no target."""
 
-    def __init__(self, symbols: list[int]):
+    def __init__(self, symbols: list[int], width: int = SYMBOLS):
         steps, link, length, last = [{}], [-1], [0], 0
         for c in symbols:
             state, at = len(steps), last
@@ -109,22 +109,28 @@ class Automaton:
                     met = copy
                 link[state] = met
             last = state
-        self.table = np.zeros((len(steps), SYMBOLS), np.int32)
+        self.table = np.zeros((len(steps), width), np.int32)
         for state, to in enumerate(steps):
             self.table[state, list(to)] = list(to.values())
         self.table[:, BREAK] = 0  # a phrase never runs from one window into the next
 
 
 class Model:
-    """Automata of all languages in one table, whose targets are row offsets (0 is none), and their parses."""
+    """Automata of all languages in one table, and their parses.
+
+    An entry is 4 times the offset of the row that follows, plus the phrases that end before it: one if a phrase
+    was open and cannot go on, and one if no phrase can begin with the symbol."""
 
     def __init__(self, letters: np.ndarray, languages: list[str], tables: list[np.ndarray], learnt: list[int]):
         self.letters, self.languages = letters, languages
         self.bits = np.log2(np.maximum(2, np.array(learnt, float)))
-        base = np.cumsum([1, *[len(t) for t in tables]])[:-1] * SYMBOLS
-        self.roots = base.astype(np.int64)
-        moved = [np.where(t > 0, t * SYMBOLS + b, 0).astype(np.int32) for t, b in zip(tables, base, strict=True)]
-        self.table = np.concatenate([np.zeros((1, SYMBOLS), np.int32), *moved]).reshape(-1)
+        width = BREAK + 1 + len(letters)
+        self.roots = np.cumsum([0, *[len(t) * width for t in tables]])[:-1].astype(np.int64)
+        self.table = np.zeros(sum(t.size for t in tables), np.int32)
+        for t, root in zip(tables, self.roots.tolist(), strict=True):
+            none = t == 0
+            ended = none * ((np.arange(len(t)) > 0)[:, None] + (t[0] == 0)[None])
+            self.table[root : root + t.size] = (4 * (np.where(none, t[0], t) * width + root) + ended).reshape(-1)
         self._alphabet = None
 
     def __getstate__(self):
@@ -136,18 +142,13 @@ class Model:
             self._alphabet = Alphabet(self.letters)
         return self._alphabet
 
-    def alone(self, symbols: bytes, state: int, count: int, root: int) -> tuple[int, int]:
+    def alone(self, symbols: bytes, state: int, count: int) -> tuple[int, int]:
         """State and phrases so far after more symbols of one text and one language."""
         table = memoryview(self.table)
         for c in symbols:
             to = table[state + c]
-            if not to:
-                if state != root:
-                    count += 1
-                to = table[root + c]
-                if not to:
-                    count, to = count + 1, root
-            state = to
+            count += to & 3
+            state = to >> 2
         return state, count
 
     def phrases(self, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -156,24 +157,17 @@ class Model:
         order = np.argsort(-(ends - starts), kind="stable")
         at, sizes = starts[order], (ends - starts)[order]
         states, counts = np.tile(self.roots, (len(at), 1)), np.zeros((len(at), len(self.roots)), np.int64)
-        longest = -sizes  # ascending, so that the texts longer than t are a prefix
+        live = np.searchsorted(-sizes, -np.arange(1 + sizes.max(initial=0)), "left").tolist()  # texts longer than t are a prefix
         t = 0
-        while (live := int(np.searchsorted(longest, -t, "left"))) >= LANES:
-            c, now = symbols[at[:live] + t].astype(np.int64)[:, None], states[:live]
-            to = self.table[now + c].astype(np.int64)
-            row, column = np.nonzero(to == 0)
-            if len(row):
-                root = self.roots[column]
-                counts[row, column] += now[row, column] != root
-                again = self.table[root + c[row, 0]].astype(np.int64)
-                counts[row, column] += again == 0
-                to[row, column] = np.where(again == 0, root, again)
-            states[:live] = to
+        while (n := live[t]) >= LANES:
+            to = self.table[states[:n] + symbols[at[:n] + t][:, None]]
+            counts[:n] += to & 3
+            states[:n] = to >> 2
             t += 1
-        for row in range(int(np.searchsorted(longest, -t, "left"))):
+        for row in range(live[t]):
             rest = symbols[at[row] + t : at[row] + sizes[row]].tobytes()
-            for column, root in enumerate(self.roots.tolist()):
-                states[row, column], counts[row, column] = self.alone(rest, int(states[row, column]), int(counts[row, column]), root)
+            for column in range(len(self.roots)):
+                states[row, column], counts[row, column] = self.alone(rest, int(states[row, column]), int(counts[row, column]))
         out = np.empty_like(counts)
         out[order] = counts + (states != self.roots)
         return out
@@ -206,8 +200,8 @@ class Model:
             space = found == SPACE
             piece = found[~(space & np.r_[before, space[:-1]])].tobytes()
             before, some = bool(space[-1]), some or not space.all()
-            for k, root in enumerate(self.roots.tolist()):
-                states[k], counts[k] = self.alone(piece, states[k], counts[k], root)
+            for k in range(len(self.roots)):
+                states[k], counts[k] = self.alone(piece, states[k], counts[k])
         return np.array([counts]) + (np.array([states]) != self.roots), np.array([some])
 
     def judged(self, counts: np.ndarray, some: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -253,7 +247,7 @@ def _built(letters: np.ndarray):
         for text in sorted(group["window"]):
             symbols, _ = alphabet.symbols(code_points(text), np.array([len(text)]))
             held += [*symbols.tolist(), BREAK]
-        table = Automaton(held).table
+        table = Automaton(held, BREAK + 1 + len(letters)).table
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "table": [table.tobytes()], "learnt": [len(held)]})
 
     return build
@@ -267,7 +261,7 @@ def learn(docs: DataFrame, total: int = WINDOWS, size: int = WINDOW) -> Model:
     letters = [(-n, ord(c)) for c, n in zip(counts["c"], counts["count"], strict=True) if len(c) == 1 and is_letter[ord(c)] and small[ord(c)] == ord(c)]
     chosen = np.array([c for _, c in sorted(letters)[: SYMBOLS - BREAK - 1]], dtype=np.int64)
     built = sample.groupBy("lang").applyInPandas(_built(chosen), "lang string, table binary, learnt int").toPandas().sort_values("lang")
-    tables = [np.frombuffer(t, np.int32).reshape(-1, SYMBOLS) for t in built["table"]]
+    tables = [np.frombuffer(t, np.int32).reshape(-1, BREAK + 1 + len(chosen)) for t in built["table"]]
     return Model(chosen, built["lang"].tolist(), tables, built["learnt"].tolist())
 
 

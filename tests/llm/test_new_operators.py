@@ -99,7 +99,7 @@ def test_side_by_side_equals_one_by_one(monkeypatch):
     rng = random.Random(5)
     alphabet = languages.Alphabet(np.array(sorted(map(ord, "abcdeö"))))
     learnt = ["".join(rng.choices("abcde ", k=300)) for _ in range(2)]
-    tables = [languages.Automaton(alphabet.symbols(languages.code_points(t), np.array([len(t)]))[0].tolist()).table for t in learnt]
+    tables = [languages.Automaton(alphabet.symbols(languages.code_points(t), np.array([len(t)]))[0].tolist(), 9).table for t in learnt]
     model = languages.Model(np.array(sorted(map(ord, "abcdeö"))), ["x", "y"], tables, [300, 300])
     texts = ["".join(rng.choices("abcdeöz  .", k=rng.choice([0, 1, 5, 80, 400]))) for _ in range(90)] + [None, "a" * 5000]
     expected = model.predict(texts)
