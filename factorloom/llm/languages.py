@@ -129,7 +129,7 @@ class Model:
         self.table = np.zeros(sum(t.size for t in tables), np.int32)
         for t, root in zip(tables, self.roots.tolist(), strict=True):
             none = t == 0
-            ended = none * ((np.arange(len(t)) > 0)[:, None] + (t[0] == 0)[None])
+            ended = none * ((np.arange(len(t)) > 0).astype(np.int32)[:, None] + (t[0] == 0)[None])
             self.table[root : root + t.size] = (4 * (np.where(none, t[0], t) * width + root) + ended).reshape(-1)
         self._alphabet = None
 
