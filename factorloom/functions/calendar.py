@@ -20,9 +20,14 @@ def month_ends_ahead(date: Column, k) -> Column:
 
 
 def offset(date: Column, frequency: str, k: int = 1) -> Column:
-    """A date moved by k periods: days, weeks, month ends or year ends. Business days need a calendar."""
+    """A date moved by k periods: days, weekdays, weeks, month ends or year ends. Days of an exchange need a calendar."""
     if frequency == "d":
         return F.date_add(date, k)
+    if frequency == "b":
+        day = F.weekday(date)  # from a weekend the way begins at its Friday, back at its Monday
+        start, of = (F.date_sub(date, F.greatest(day - 4, F.lit(0))), F.least(day, F.lit(4))) if k > 0 else (
+            F.when(day > 4, F.date_add(date, F.lit(7) - day)).otherwise(date), F.when(day > 4, 0).otherwise(day))
+        return F.date_add(start, (F.lit(k) + 2 * F.floor((of + k) / 5)).cast("int"))
     if frequency == "w":
         return F.date_add(date, 7 * k)
     if frequency == "m":
@@ -35,6 +40,21 @@ def offset(date: Column, frequency: str, k: int = 1) -> Column:
     raise NotImplementedError(f"no offset for frequency {frequency!r}")
 
 
+def is_period_end(date: Column, frequency: str) -> Column:
+    """Whether a date ends a period: every day, weekdays, Sundays, month ends, year ends."""
+    if frequency == "d":
+        return date.isNotNull()
+    if frequency == "b":
+        return F.weekday(date) < 5
+    if frequency == "w":
+        return F.weekday(date) == 6
+    if frequency == "m":
+        return date == F.last_day(date)
+    if frequency == "y":
+        return (F.month(date) == 12) & (F.dayofmonth(date) == 31)
+    raise NotImplementedError(f"no periods of frequency {frequency!r}")
+
+
 def numbered(dates: DataFrame) -> DataFrame:
     """A calendar (date, pos) of the distinct dates; pos counts from 0."""
     return dates.select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date")) - 1)

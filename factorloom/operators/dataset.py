@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as w
-from ..functions.calendar import offset
+from ..functions.calendar import is_period_end, offset
 from ..functions.scalar import ForecastType, floored
 from .cross_section import rank_bucket
 from .panel import KEYS
@@ -77,13 +77,11 @@ def _intervals(fold: Column, *pairs) -> Column:
 
 
 def rolling(spark: SparkSession, start_train: str, end_train: str, end_test: str, frequency: str = "y", expanding: bool = True) -> DataFrame:
-    """A fold for each period end from end_train to a period after end_test; an empty validation, one period of test."""
-    first, last = F.lit(end_train).cast("date"), F.lit(end_test).cast("date")
+    """A fold for each period end (d, b, w, m or y) from end_train to a period after end_test; an empty validation, one period of test."""
+    first, last = F.lit(end_train).cast("date"), offset(F.lit(end_test).cast("date"), frequency)
     begin = F.lit(start_train).cast("date")
-    step = {"y": 12, "m": 1}[frequency]
-    period_end = (lambda d: F.make_date(F.year(d), F.lit(12), F.lit(31))) if frequency == "y" else F.last_day
-    ends = F.transform(F.sequence(F.lit(0), F.ceil(F.months_between(offset(last, frequency), first) / step).cast("int") + 1), lambda k: F.last_day(F.add_months(period_end(first), k * step)))
-    rows = spark.range(1).select(F.posexplode(F.filter(ends, lambda d: (d >= first) & (d <= offset(last, frequency)))).alias("fold", "e"))
+    ends = F.filter(F.sequence(first, last, F.expr("interval 1 day")), lambda d: is_period_end(d, frequency))
+    rows = spark.range(1).select(F.posexplode(ends).alias("fold", "e"))
     rows = rows.select("fold", "e", begin.alias("s") if expanding else F.date_sub(F.col("e"), F.datediff(first, begin)).alias("s"), offset(F.col("e"), frequency).alias("t"))
     return rows.select(F.inline(_intervals(F.col("fold"), ("s", "e"), ("e", "e"), ("e", "t"))))
 

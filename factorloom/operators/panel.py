@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import month_end
@@ -86,9 +86,40 @@ def zipped(*panels: DataFrame) -> DataFrame:
 
 def asof(series: DataFrame, calendar: DataFrame) -> DataFrame:
     """The series' latest row at or before each calendar date; a missing value at its own date stays missing."""
-    from pyspark.sql import Window
-
-    marked = series.select("date", F.struct(F.col("value")).alias("row"), F.lit(False).alias("asked"))
-    asked = calendar.select("date").distinct().select("date", F.lit(None).cast(marked.schema["row"].dataType).alias("row"), F.lit(True).alias("asked"))
-    order = Window.orderBy("date", "asked").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.unionByName(asked).withColumn("row", F.last("row", ignorenulls=True).over(order)).filter("asked").select("date", F.col("row.value").alias("value"))
+    return asof_join(calendar.select("date").distinct(), series.select("date", "value"))
+
+
+ASOF_DAYS = 366  # of a block of dates, in which rows are sorted
+
+
+def asof_join(left: DataFrame, series: DataFrame, by: list[str] = (), at: str = "date", days: int = ASOF_DAYS, age: int | None = None) -> DataFrame:
+    """left with the other columns of the latest row of series(by…, at, …) at or before its date, of the same keys.
+
+    Each key's dates are cut into blocks of so many days. Rows are sorted inside their block only; the last row of
+    each block is carried to those after it, over one row for each key and block. So the one key of a single series, or one
+    that has most of all rows, is spread over as many tasks as it has blocks. A row that is there counts, whatever it
+    holds; of several rows of a date the greatest counts. Keys that are null match null. With `age`, rows more than so many days
+    older are not taken. Rows of left without a date, or without a row before them, get nulls.
+    """
+    by, values = list(by), [c for c in series.columns if c not in (*by, at)]
+    if clash := set(values) & set(left.columns):
+        raise ValueError(f"{sorted(clash)[0]!r} is on both sides")
+    block = F.floor(F.unix_date(F.col(at).cast("date")) / days).alias("_block")
+    found = series.filter(F.col(at).isNotNull()).select(*by, at, block, F.struct(F.col(at).alias("_at"), *values).alias("_row"))
+    kind = found.schema["_row"].dataType
+    asked = left.select(*by, at, block, F.lit(None).cast(kind).alias("_row"), F.struct(*left.columns).alias("_left"))
+    both = found.withColumn("_left", F.lit(None).cast(asked.schema["_left"].dataType)).unionByName(asked)
+    ends = found.groupBy(*by, "_block").agg(F.max("_row").alias("_last"))
+    blocks = both.select(*by, "_block").distinct().alias("b").join(ends.alias("e"), _same([*by, "_block"], "b", "e"), "left").select("b.*", "_last")
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(*by, "_block", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    inside = Window.partitionBy(*by, "_block").orderBy(at, F.col("_left").isNotNull(), "_row").rowsBetween(Window.unboundedPreceding, 0)
+    latest = both.withColumn("_latest", F.last("_row", ignorenulls=True).over(inside)).filter("_left IS NOT NULL")
+    met = latest.alias("l").join(carried.alias("c"), _same([*by, "_block"], "l", "c"), "left").withColumn("_found", F.coalesce("l._latest", "c._carried"))
+    young = F.lit(True) if age is None else F.datediff(f"_left.{at}", "_found._at") <= age
+    known = F.when(F.col(f"_left.{at}").isNotNull() & young, F.col("_found"))
+    return met.select("_left", known.alias("_found")).select("_left.*", *[F.col(f"_found.{c}").alias(c) for c in values])
+
+
+def _same(names: list[str], a: str, b: str) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names])

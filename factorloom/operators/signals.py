@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import windows as w
 from ..functions.ewma import ewma
 from ..functions.scalar import floored, signal_response
-from .panel import asof, month_last
+from .panel import asof, asof_join, month_last
 
 DAYS_PER_YEAR = 252
 DAYS_PER_MONTH = 21
@@ -66,6 +66,12 @@ def series_on(series: DataFrame, calendar: DataFrame, name: str = "1m") -> DataF
     return asof(series.filter(F.col("series_id") == SERIES[name]).select("date", "value"), calendar)
 
 
+def every_series_on(series: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(series_id, date, value): all series of a table (series_id, date, value) on a calendar, each by its latest row."""
+    asked = calendar.select("date").distinct().crossJoin(series.select("series_id").distinct())
+    return asof_join(asked, series.select("series_id", "date", "value"), ["series_id"])
+
+
 def risk_free_returns(rates: DataFrame) -> DataFrame:
     """Return of each date from the percentage rate of the date before, by days between."""
     order = Window.orderBy("date")

@@ -14,6 +14,9 @@ _DENSE = """SELECT d.date, s.symbol, close, adjusted_close, volume FROM (SELECT
   CROSS JOIN (SELECT DISTINCT symbol FROM raw) s LEFT JOIN raw ON raw.date = d.date AND raw.symbol = s.symbol"""
 RAW_D = f"raw AS ({_PRICES.format(date='CAST(l_shipdate AS DATE)', symbol='p_type')})"
 RAW_B = f"raw AS ({_PRICES.format(date='CAST(l_shipdate AS DATE)', symbol='p_brand')})"
+RAW_N = """raw AS (SELECT CAST(l_shipdate AS DATE) AS date, CAST(c_nationkey AS VARCHAR) AS symbol, round(avg(l_extendedprice / l_quantity) + 1e-9, 6) AS close,
+  round(sum(l_extendedprice) / sum(l_quantity) + 1e-9, 6) AS adjusted_close, sum(l_quantity) AS volume
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
 PM = f"raw AS ({_PRICES.format(date='last_day(CAST(l_shipdate AS DATE))', symbol='p_brand')}), p AS ({_DENSE})"
 PD = f"{RAW_D}, p AS ({_DENSE})"
 RATES = "rates AS (SELECT CAST(ts AS DATE) AS date, round(avg(value) + 1e-9, 6) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1)"

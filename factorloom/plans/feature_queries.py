@@ -8,10 +8,10 @@ from ..functions import windows as w
 from ..functions.ewma import ewma
 from ..functions.scalar import ReturnType, day_gap, normalised_momentum, null_near_zero, signal_response
 from ..operators import signals
-from ..operators.panel import asof
+from ..operators.panel import asof, asof_join
 from ..operators.ratios import Ratio, reported, with_ratios
-from ..sources.tables import market_cap_panel, market_caps, panel_d, panel_m, rates, statements
-from .base import BY, PD, PM, RATES, STATEMENTS, floor, fut, lag, logret, mom, r6, register, rolling, rows
+from ..sources.tables import market_cap_panel, market_caps, nation_facts, panel_d, panel_m, rates, statements, table
+from .base import BY, PD, PM, RATES, RAW_N, STATEMENTS, floor, fut, lag, logret, mom, r6, register, rolling, rows
 
 A = "adjusted_close"
 
@@ -139,23 +139,52 @@ def vol_forecast_long(spark, d):
     return signals.volatility_forecast(panel_d(spark, d), A, 12)
 
 
-DAYS = "days AS (SELECT CAST(x AS DATE) AS date FROM (SELECT unnest(generate_series(DATE '2023-12-30', DATE '2024-02-03', INTERVAL 1 DAY)) AS x))"
+DAYS = "days AS (SELECT CAST(x AS DATE) AS date FROM (SELECT unnest(generate_series((SELECT min(CAST(ts AS DATE)) - 2 FROM events), (SELECT max(CAST(ts AS DATE)) + 3 FROM events), INTERVAL 1 DAY)) AS x))"
 
 
-def _days(spark):
-    return spark.range(1).select(F.explode(F.expr("sequence(date'2023-12-30', date'2024-02-03')")).alias("date"))
+def _days(spark, d):
+    """All days from two before the first event to three after the last."""
+    ends = table(spark, d, "events").agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b"))
+    return ends.select(F.explode(F.sequence(F.date_sub("a", 2), F.date_add("b", 3))).alias("date"))
 
 
-@register("asof_rate", f"WITH {RATES}, {DAYS}, few AS (SELECT * FROM rates WHERE day(date) % 3 = 1) SELECT days.date, {r6('value')} FROM days ASOF LEFT JOIN few ON days.date >= few.date")
+@register("asof_rate", f"WITH {RATES}, {DAYS} SELECT days.date, {r6('value')} FROM days ASOF LEFT JOIN rates ON days.date >= rates.date")
 def asof_rate(spark, d):
-    return signals.series_on(rates(spark, d).filter(F.dayofmonth("date") % 3 == 1), _days(spark))
+    return signals.series_on(rates(spark, d), _days(spark, d))
 
 
-@register("asof_keeps_missing", f"""WITH {RATES}, {DAYS}, few AS (SELECT date, CASE WHEN day(date) % 2 = 0 THEN value END AS value FROM rates WHERE day(date) % 3 = 1)
-SELECT days.date, {r6('value')} FROM days ASOF LEFT JOIN few ON days.date >= few.date""")
+@register("asof_keeps_missing", f"""WITH {RATES}, {DAYS}, gappy AS (SELECT date, CASE WHEN day(date) % 2 = 0 THEN value END AS value FROM rates)
+SELECT days.date, {r6('value')} FROM days ASOF LEFT JOIN gappy ON days.date >= gappy.date""")
 def asof_keeps_missing(spark, d):
-    some = rates(spark, d).filter(F.dayofmonth("date") % 3 == 1).withColumn("value", F.when(F.dayofmonth("date") % 2 == 0, F.col("value")))
-    return asof(some, _days(spark))
+    some = rates(spark, d).withColumn("value", F.when(F.dayofmonth("date") % 2 == 0, F.col("value")))
+    return asof(some, _days(spark, d))
+
+
+@register("asof_users", f"""WITH {DAYS}, seen AS (SELECT user_id, CAST(ts AS DATE) AS date, avg(value) AS value, count(*) AS n FROM events GROUP BY 1, 2),
+asked AS (SELECT date, user_id FROM days CROSS JOIN (SELECT DISTINCT user_id FROM events))
+SELECT asked.date, asked.user_id, {r6('value')}, n FROM asked ASOF LEFT JOIN seen ON asked.user_id = seen.user_id AND asked.date >= seen.date""")
+def asof_users(spark, d):
+    """Each user's latest day with events, on every day: as many series as users."""
+    events = table(spark, d, "events")
+    seen = events.groupBy("user_id", F.to_date("ts").alias("date")).agg(F.avg("value").alias("value"), F.count("*").alias("n"))
+    asked = _days(spark, d).crossJoin(events.select("user_id").distinct())
+    return asof_join(asked, seen, ["user_id"], days=7)
+
+
+@register("asof_prices", f"""WITH {STATEMENTS}, {RAW_N} SELECT caps.date, caps.symbol, round(market_cap + 1e-9, 6) + 0.0 AS market_cap, round(adjusted_close + 1e-9, 6) + 0.0 AS price
+FROM caps ASOF LEFT JOIN raw ON caps.symbol = raw.symbol AND caps.date >= raw.date""")
+def asof_prices(spark, d):
+    """The latest daily price of each symbol at every month end that has a market cap."""
+    daily = nation_facts(spark, d).select("date", "symbol", F.col(A).alias("price"))
+    return asof_join(market_caps(spark, d), daily, ["symbol"])
+
+
+@register("series_on_calendar", f"""WITH {DAYS}, kinds AS (SELECT event_type AS series_id, CAST(ts AS DATE) AS date, round(avg(value) + 1e-9, 6) AS value FROM events GROUP BY 1, 2),
+asked AS (SELECT date, series_id FROM days CROSS JOIN (SELECT DISTINCT series_id FROM kinds))
+SELECT asked.date, asked.series_id, {r6('value')} FROM asked ASOF LEFT JOIN kinds ON asked.series_id = kinds.series_id AND asked.date >= kinds.date""")
+def series_on_calendar(spark, d):
+    kinds = table(spark, d, "events").groupBy(F.col("event_type").alias("series_id"), F.to_date("ts").alias("date")).agg(F.round(F.avg("value") + 1e-9, 6).alias("value"))
+    return signals.every_series_on(kinds, _days(spark, d))
 
 
 @register("risk_free_return", f"WITH {RATES} SELECT date, round(pow(1 + lag(value) OVER (ORDER BY date) / 365 / 100, date - lag(date) OVER (ORDER BY date)) - 1 + 1e-9, 6) + 0.0 AS value FROM rates")

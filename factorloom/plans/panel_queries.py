@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import windows as w
-from ..functions.calendar import business_days_ahead, month_calendar, month_ends_ahead, numbered, offset
+from ..functions.calendar import business_days_ahead, month_ends_ahead, numbered, offset
 from ..functions.scalar import clipped, floored
 from ..operators import cleaning, panel
 from ..operators.predicates import (
@@ -23,12 +23,14 @@ def dense_spine(spark, d):
     return panel_m(spark, d)
 
 
-@register("align_panel", f"""WITH {PM}, m AS (SELECT DISTINCT last_day(CAST(x AS DATE)) AS date FROM (SELECT unnest(generate_series(DATE '1994-06-30', DATE '1996-12-31', INTERVAL 1 MONTH)) AS x))
-SELECT m.date, s.symbol, {r6(*FIELDS)} FROM m CROSS JOIN (SELECT DISTINCT p_brand AS symbol FROM part WHERE p_brand < 'Brand#3') s
-LEFT JOIN p ON p.date = m.date AND p.symbol = s.symbol""")
+@register("align_panel", f"""WITH {PM}, m AS (SELECT DISTINCT last_day(CAST(x AS DATE)) AS date FROM (SELECT unnest(generate_series(
+  (SELECT date_trunc('month', min(o_orderdate))::DATE FROM orders), (SELECT max(o_orderdate)::DATE FROM orders), INTERVAL 1 MONTH)) AS x))
+SELECT m.date, s.symbol, {r6(*FIELDS)} FROM m CROSS JOIN (SELECT DISTINCT p_brand AS symbol FROM part) s LEFT JOIN p ON p.date = m.date AND p.symbol = s.symbol""")
 def align_panel(spark, d):
-    some = table(spark, d, "part").filter("p_brand < 'Brand#3'").select(F.col("p_brand").alias("symbol"))
-    return panel.align(panel_m(spark, d), month_calendar(spark, "1994-06-30", "1996-12-31"), some)
+    """The prices on the months of the orders, and all brands."""
+    ends = table(spark, d, "orders").agg(F.min(F.to_date("o_orderdate")).alias("a"), F.max(F.to_date("o_orderdate")).alias("b"))
+    months = ends.select(F.explode(F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("interval 1 month"))).alias("m")).select(F.last_day("m").alias("date"))
+    return panel.align(panel_m(spark, d), months, table(spark, d, "part").select(F.col("p_brand").alias("symbol")))
 
 
 @register("broadcast_series", f"WITH {RATES} SELECT date, {r6('value')}, r_name AS symbol FROM rates CROSS JOIN region")

@@ -224,12 +224,22 @@ def sample_table(spark, d):
     return samples(spark, d)
 
 
-def _intervals(name: str, make, values: list[tuple]):
-    body = ", ".join(f"({f}, '{s}', DATE '{a}', DATE '{b}')" for f, s, a, b in values)
+ALL = f"""{PM}, f AS (SELECT date AS "timestamp", symbol, round({mom(A, 3)}, 9) AS m3, round({mom(A, 6)}, 9) AS m6, {fut(A, 1)} AS y FROM p),
+samples AS (SELECT * FROM f WHERE y IS NOT NULL AND m3 IS NOT NULL AND m6 IS NOT NULL)"""
+COUNTED = """SELECT CAST(fold AS INTEGER) AS fold, split, a AS "start", b AS "end", count(y) AS n, round(avg(y) + 1e-9, 6) + 0.0 AS y
+FROM iv LEFT JOIN samples ON "timestamp" > a AND "timestamp" <= b GROUP BY ALL"""
+
 
-    @register(name, f'SELECT CAST(fold AS INTEGER) AS fold, split, "start", "end" FROM (VALUES {body}) AS v(fold, split, "start", "end")')
+def _intervals(name: str, make, values: list[tuple] | str):
+    """Samples counted by interval; the intervals are given, or a SELECT of (fold, split, a, b)."""
+    if not isinstance(values, str):
+        values = "SELECT * FROM (VALUES " + ", ".join(f"({f}, '{s}', DATE '{a}', DATE '{b}')" for f, s, a, b in values) + ") AS v(fold, split, a, b)"
+
+    @register(name, f"WITH {ALL}, iv AS ({values}) {COUNTED}")
     def query(spark, d):
-        return make(spark)
+        intervals = make(spark)
+        placed = dataset.split(all_samples(spark, d), intervals).groupBy("fold", "split").agg(F.count("*").alias("n"), F.avg("y").alias("y"))
+        return intervals.join(placed, ["fold", "split"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 _intervals("splits_by_period", lambda spark: dataset.by_period(spark, "2001-10-31", "1995-01-31", 6, 12, 12), [
@@ -243,11 +253,16 @@ _FIXED = [(k, s, a, b) for k, (start, y) in enumerate((("1995-12-31", 1998), ("1
     ("train", start, f"{y}-12-31"), ("validation", f"{y}-12-31", f"{y}-12-31"), ("test", f"{y}-12-31", f"{y + 1}-12-31"))]
 _intervals("splits_rolling_fixed", lambda spark: dataset.rolling(spark, "1995-12-31", "1998-12-31", "1999-12-31", expanding=False), _FIXED)
 
-_VALUES = ", ".join(f"({f}, '{s}', DATE '{a}', DATE '{b}')" for f, s, a, b in _ROLL)
-ALL = f"""{PM}, f AS (SELECT date AS "timestamp", symbol, round({mom(A, 3)}, 9) AS m3, round({mom(A, 6)}, 9) AS m6, {fut(A, 1)} AS y FROM p),
-samples AS (SELECT * FROM f WHERE y IS NOT NULL AND m3 IS NOT NULL AND m6 IS NOT NULL)"""
-
+for _f, _days, _step, _first, _last in (
+    ("d", "true", "e + 1", "1999-12-24", "1999-12-30"), ("b", "isodow(e) < 6", "e + CASE isodow(e) WHEN 5 THEN 3 ELSE 1 END", "1999-12-24", "2000-01-04"),
+    ("w", "isodow(e) = 7", "e + 7", "1999-11-24", "2000-01-16"), ("m", "e = last_day(e)", "last_day(e + 1)", "1999-11-24", "2000-02-29"),
+):
+    _intervals(f"splits_rolling_{_f}", lambda spark, f=_f, a=_first, b=_last: dataset.rolling(spark, "1998-01-31", a, b, f, expanding=f in "dw"), f"""SELECT fold, split,
+CASE split WHEN 'train' THEN s ELSE e END AS a, CASE split WHEN 'test' THEN t ELSE e END AS b FROM (SELECT row_number() OVER (ORDER BY e) - 1 AS fold, e, {_step} AS t,
+{"DATE '1998-01-31'" if _f in "dw" else f"(e - CAST(DATE '{_first}' - DATE '1998-01-31' AS INTEGER))"} AS s FROM (SELECT CAST(x AS DATE) AS e FROM (SELECT unnest(generate_series(DATE '{_first}',
+(SELECT {_step} FROM (SELECT DATE '{_last}' AS e)), INTERVAL 1 DAY)) AS x)) WHERE {_days}), (SELECT unnest(['train', 'validation', 'test']) AS split)""")
 
+_VALUES = ", ".join(f"({f}, '{s}', DATE '{a}', DATE '{b}')" for f, s, a, b in _ROLL)
 @register("samples_by_split", f"""WITH {ALL}, iv AS (SELECT * FROM (VALUES {_VALUES}) AS v(fold, split, a, b))
 SELECT CAST(fold AS INTEGER) AS fold, split, count(*) AS n, round(avg(y) + 1e-9, 6) + 0.0 AS y FROM samples JOIN iv ON "timestamp" > a AND "timestamp" <= b GROUP BY 1, 2""")
 def samples_by_split(spark, d):
@@ -268,10 +283,16 @@ def cv_folds(spark, d):
     return dataset.cv_folds(all_samples(spark, d), 5).select("timestamp", "symbol", "fold")
 
 
-@register("param_grid", "SELECT row_number() OVER (ORDER BY a, b, c) - 1 AS position, a, b, c FROM (SELECT unnest([1, 2, 3]) AS a), (SELECT unnest([10, 20]) AS b), (SELECT unnest([5, 6]) AS c)")
+@register("param_grid", f"""WITH {ALL}, grid AS (SELECT row_number() OVER (ORDER BY least, feature) - 1 AS position, least, feature FROM (SELECT unnest([0.0, 0.1, 0.2]) AS least), (SELECT unnest(['m3', 'm6']) AS feature))
+SELECT position, least::DOUBLE AS least, feature, count(y) AS n, round(avg(y) + 1e-9, 6) + 0.0 AS y FROM grid LEFT JOIN samples ON CASE feature WHEN 'm3' THEN m3 ELSE m6 END >= least GROUP BY ALL""")
 def param_grid(spark, d):
-    rows = [(k, g["a"], g["b"], g["c"]) for k, g in enumerate(dataset.parameter_grid({"a": [1, 2, 3], "b": [10, 20], "c": [5, 6]}))]
-    return spark.createDataFrame(rows, "position long, a int, b int, c int")
+    """Each setting of a grid applied to the samples: the mean return of those whose feature reaches a level."""
+    rows = [(k, g["least"], g["feature"]) for k, g in enumerate(dataset.parameter_grid({"least": [0.0, 0.1, 0.2], "feature": ["m3", "m6"]}))]
+    grid = spark.createDataFrame(rows, "position long, least double, feature string")
+    values = all_samples(spark, d).select("y", F.explode(F.create_map(F.lit("m3"), F.col("m3"), F.lit("m6"), F.col("m6"))).alias("feature", "x"))
+    met = F.broadcast(grid).alias("g").join(values.alias("v"), (F.col("g.feature") == F.col("v.feature")) & (F.col("x") >= F.col("least")))
+    counted = met.groupBy("position").agg(F.count("*").alias("n"), F.avg("y").alias("y"))
+    return grid.join(counted, "position", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 @register("reversed_labels", f"WITH {SCORED} SELECT symbol, CAST(4 - y AS INTEGER) AS y FROM scored")
@@ -345,7 +366,7 @@ def grid(spark, d):
 K = 3
 WIDE = 25
 CHOSEN = f"""{PD}, months AS (SELECT last_day(date) AS date, symbol, round(arg_max({A}, date), 6) AS score FROM p GROUP BY 1, 2),
-chosen AS (SELECT date, symbol, slot FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC NULLS LAST, symbol) AS slot FROM months) WHERE slot <= {K} AND date >= DATE '1995-06-30')"""
+chosen AS (SELECT date, symbol, slot FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC NULLS LAST, symbol) AS slot FROM months) WHERE slot <= {K})"""
 COV = f"""{CHOSEN}, win AS (SELECT c.date, c.symbol, p.date AS day, {A} AS x FROM chosen c JOIN p ON p.symbol = c.symbol AND p.date BETWEEN c.date - 91 AND c.date),
 r AS (SELECT date, symbol, day, ln((CASE WHEN x IS NOT NULL THEN greatest(x, 1e-6) END) / (CASE WHEN b IS NOT NULL THEN greatest(b, 1e-6) END)) AS r
   FROM (SELECT *, lag(x) OVER (PARTITION BY date, symbol ORDER BY day) AS b, row_number() OVER (PARTITION BY date, symbol ORDER BY day) AS i FROM win) WHERE i > 1),
@@ -354,7 +375,7 @@ cov AS (SELECT u.date, u.symbol AS a, v.symbol AS b, covar_samp(u.r, v.r) * 252
 
 def chosen(spark, d):
     months = panel_d(spark, d).groupBy(F.last_day("date").alias("date"), "symbol").agg(F.round(F.max_by(A, F.when(F.col(A).isNotNull(), F.col("date"))), 6).alias("score"))
-    return scoring.selected(months, "score", K).filter("date >= '1995-06-30'")
+    return scoring.selected(months, "score", K)
 
 
 def _prices(spark, d):
@@ -437,7 +458,7 @@ def _wide_cov(spark, d):
     """Covariances of the 25 best brands of each date, enough for bounds to bite."""
     monthly = panel_m(spark, d).select("date", "symbol", F.col(A).alias("score"))
     daily = dense(prices(spark, d, "p_brand", False)).select("date", "symbol", w.fill_forward(F.col(A)).alias("price"))
-    returns = scoring.window_returns(daily, scoring.selected(monthly, "score", WIDE).filter("date >= '1995-06-30'"))
+    returns = scoring.window_returns(daily, scoring.selected(monthly, "score", WIDE))
     return kept(scoring.covariance(scoring.complete_returns(returns)), "cov")
 
 

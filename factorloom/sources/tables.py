@@ -44,6 +44,24 @@ def _prices(spark: SparkSession, sf_dir: str, symbol: str, monthly: bool) -> Dat
     )
 
 
+def nation_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(date, symbol, close, adjusted_close, volume) by the customer's nation and the day of shipping: prices of the
+    symbols that have statements and market caps."""
+    return once(spark, ("nation_prices", sf_dir), lambda: _nation_prices(spark, sf_dir))
+
+
+def _nation_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = (
+        table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    )
+    return rows.groupBy(F.to_date("l_shipdate").alias("date"), F.col("c_nationkey").cast("string").alias("symbol")).agg(
+        F.round(F.avg(F.col("l_extendedprice") / F.col("l_quantity")) + 1e-9, 6).alias("close"),
+        F.round(F.sum("l_extendedprice") / F.sum("l_quantity") + 1e-9, 6).alias("adjusted_close"),
+        F.sum("l_quantity").alias("volume"),
+    )
+
+
 def daily_facts(spark, sf_dir):
     return prices(spark, sf_dir, "p_type", False)
 

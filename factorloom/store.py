@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import datetime
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import windows as w
 from .functions.calendar import month_calendar
-from .functions.scalar import ForecastType
-from .operators import cleaning, dataset, panel
+from .functions.scalar import ForecastType, normalised_momentum
+from .operators import cleaning, dataset, panel, ratios, signals
 from .operators.predicates import Rules, Thresholds, daily_rules, monthly_rules
 from .sources.catalog import Catalog, check_dates
 from .sources.shared import kept
@@ -40,6 +41,7 @@ class PanelStore:
     symbols: DataFrame | None = None
     drop_empty: bool = True
     panels: dict[str, DataFrame] = field(default_factory=dict)
+    items: DataFrame | None = None
 
     def __post_init__(self):
         if not self.end:
@@ -95,11 +97,60 @@ class PanelStore:
         return panel.zipped(*named)
 
 
+    def load_market_caps(self, caps: DataFrame, least_months: int = 3) -> DataFrame:
+        """The panel `market_cap` of caps(symbol, date, market_cap): the month's last value of symbols with so many months in
+        range, on the store's month ends and symbols."""
+        if ratios.MARKET_CAP not in self.panels:
+            monthly = panel.month_last(panel.between(caps, self.start, self.end), ratios.MARKET_CAP)
+            many = monthly.groupBy("symbol").agg(F.count("*").alias("n")).filter(F.col("n") >= least_months)
+            found = monthly.join(many, "symbol", "left_semi").select("date", "symbol", F.col(ratios.MARKET_CAP).cast("double").alias("value"))
+            self.panels[ratios.MARKET_CAP] = kept(panel.align(found, self.calendars["m"], self.symbols), ratios.MARKET_CAP)
+        return self.panels[ratios.MARKET_CAP]
+
+    def load_statements(self, statements: DataFrame, delay: int = 1) -> DataFrame:
+        """The statements (symbol, report_date, items) of the store's range on its month ends and symbols, known `delay` months later."""
+        if self.items is None:
+            inside = statements.filter(F.col("report_date").between(F.lit(self.start).cast("date"), F.lit(self.end).cast("date")))
+            known = inside.join(self.symbols.select("symbol"), "symbol", "left_semi")
+            self.items = kept(ratios.reported(known, self.calendars["m"], self.symbols, delay), "items")
+        return self.items
+
+    def series(self, table: DataFrame, name: str = "1m", calendar: str = "b") -> DataFrame:
+        """(date, value) of one of the named series (rate by maturity, vix, equity) on a calendar, by its latest row."""
+        return signals.series_on(panel.between(table, self.start, self.end), self.calendars[calendar], name)
+
+    def ratios(self, names=tuple(ratios.Ratio), **options) -> DataFrame:
+        """(date, symbol, ratios) of the statements and market caps that were loaded."""
+        if self.items is None or ratios.MARKET_CAP not in self.panels:
+            raise LookupError("load statements and market caps first")
+        caps = self.panels[ratios.MARKET_CAP].withColumnRenamed("value", ratios.MARKET_CAP)
+        return ratios.with_ratios(self.items.join(caps, panel.KEYS, "left"), names, **options).select(*panel.KEYS, *map(str, names))
+
+    def momentum(self, window: int, lag: int = 0, normalised: bool = False) -> DataFrame:
+        """(date, symbol, value): momentum over so many months, over the volatility of as many (21 days each, 19 with a price) if normalised."""
+        rows = self.panels["adjusted_close"].select(*panel.KEYS, w.momentum(F.col("value"), window, lag).alias("value"))
+        if not normalised:
+            return rows
+        vol = self.volatility(window * 21, least=window * 19)
+        return rows.join(vol.withColumnRenamed("value", "_vol"), panel.KEYS, "left").select(*panel.KEYS, normalised_momentum(F.col("value"), F.col("_vol")).alias("value"))
+
+    def volatility(self, window: int, frequency: str = "m", **options) -> DataFrame:
+        """(date, symbol, value): realised volatility over so many days, daily or at month ends."""
+        return signals.realised_volatility(self.wide("b"), "adjusted_close", window, frequency=frequency, name="value", **options)
+
+    def trend(self) -> dict[str, DataFrame]:
+        """Panels of the trend signals by name, at month ends."""
+        rows = kept(signals.trend_signals(self.wide("b"), "adjusted_close"), "trend")
+        return {c: rows.select(*panel.KEYS, F.col(c).alias("value")) for c in rows.columns if c not in panel.KEYS}
+
+
 @dataclass
 class SampleSet:
     """Samples of a store's panels: features, label, filters and intervals in one place.
 
-    Features are columns by name, made of the monthly (or daily) fields of the store.
+    A feature is a column of the monthly (or daily) fields of the store, or any panel (date, symbol, value): each cell of the samples
+    takes the panel's latest row of its symbol at or before its date, at most `age` days old; a value that is missing
+    there stays missing.
     """
 
     store: PanelStore
@@ -113,11 +164,38 @@ class SampleSet:
     at: Thresholds = field(default_factory=Thresholds)
     intervals: DataFrame | None = None
     rules: Rules | None = None
+    age: int = 31
 
     def __post_init__(self):
         if self.rules is None:
             self.rules = monthly_rules(self.at) if self.frequency == "m" else daily_rules(self.at)
 
+    def add_feature_panel(self, name: str, values: DataFrame) -> SampleSet:
+        """Adds a panel (date, symbol, value) of any calendar as a feature."""
+        if missing := {"date", "symbol", "value"} - set(values.columns):
+            raise ValueError(f"no column {sorted(missing)[0]!r} in the panel of {name!r}")
+        self.features = {**self.features, name: values}
+        return self
+
+    def add_features_from_dict(self, panels: dict) -> SampleSet:
+        for name, values in panels.items():
+            self.add_feature_panel(name, values)
+        return self
+
+    def made(self, rows: DataFrame) -> DataFrame:
+        """(date, symbol, features) of the cells of rows: all panels are placed by one as-of join."""
+        columns = {n: f for n, f in self.features.items() if not isinstance(f, DataFrame)}
+        panels = {n: f for n, f in self.features.items() if isinstance(f, DataFrame)}
+        found = rows.select(*panel.KEYS, *[column.alias(name) for name, column in columns.items()])
+        if not panels:
+            return found
+        marked = [f.select("date", "symbol", F.lit(n).alias("feature"), F.col("value").cast("double").alias("value")) for n, f in panels.items()]
+        series = reduce(DataFrame.unionByName, marked)
+        asked = rows.select(*panel.KEYS, F.explode(F.array(*[F.lit(n) for n in panels])).alias("feature"))
+        placed = panel.asof_join(asked, series, ["symbol", "feature"], age=self.age)
+        wide = placed.groupBy(*panel.KEYS).agg(*[F.max(F.when(F.col("feature") == n, F.col("value"))).alias(n) for n in panels])
+        return found.join(wide, panel.KEYS, "left")
+
     def base(self) -> DataFrame:
         """The panel that features, label and filters read."""
         if self.frequency != "m":
@@ -128,7 +206,7 @@ class SampleSet:
     def frame(self) -> DataFrame:
         """(timestamp, symbol, y, sorted features) of all good samples."""
         rows = kept(self.rules.good(self.base()), "good")
-        made = rows.select(*panel.KEYS, *[column.alias(name) for name, column in self.features.items()])
+        made = self.made(rows)
         y = dataset.labels(rows, self.store.wide("b"), "adjusted_close", self.horizon, self.forecast, self.n_buckets, self.fraction, self.frequency)
         return dataset.samples(made, y, rows, list(self.features), bucketed=self.n_buckets > 0, drop_missing=self.drop_missing)
 
