@@ -106,8 +106,10 @@ def block_draws(sized: DataFrame, targets: DataFrame, shards: int | None = None)
     if shards is None:
         shards = targets.select(power_of_two(SHARDS, F.coalesce(F.sum("target"), F.lit(0.0)), SHARD_WORDS)).first()[0]
     placed = splitting_tree(drawn.groupBy("source_no").agg(F.count("*").alias("quota")), shards)
+    # a row for each draw: the join's keys spread a source over all tasks
+    slots = placed.select(F.col("source").alias("source_no"), "shard", F.explode(F.sequence("start", F.col("end") - 1)).alias("draw"))
     return (
-        drawn.join(placed, (drawn.source_no == placed.source) & (drawn.draw >= placed.start) & (drawn.draw < placed.end)).drop(placed.source)
+        drawn.join(slots, ["source_no", "draw"])
         .groupBy("source_no", "block")
         .agg(
             F.first("source").alias("source"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),

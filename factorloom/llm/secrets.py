@@ -1,8 +1,8 @@
 """Secret scan: fixed patterns, and strings that zstandard cannot shorten near sensitive words.
 
 A candidate is a run of 16 or more token characters that starts within REACH after a sensitive word,
-on its line or the next, or ends within REACH before it on its line, and meets no base span; of a run
-that holds a sensitive word, what follows the word. A compressor is primed with a dictionary of
+on its line or the next, or ends within REACH before it on its line, and that base spans do not cover; of a run
+that holds a sensitive word, what follows the word. It is judged whole; what base spans leave of it is reported. A compressor is primed with a dictionary of
 identifiers and the text around the candidate; what the candidate adds to an empty frame, in bytes,
 is its novelty. Words, paths and names that the surroundings or the identifiers explain cost little;
 random keys cost nearly their entropy. Candidates whose novelty is at least NOVELTY of what random
@@ -60,10 +60,10 @@ ALPHABETS = (
 LONG = 4096  # beyond, a character costs no less
 NOVELTY = 0.7
 AROUND = 512
-REACH = 80  # characters between a word and a candidate
+REACH = 80  # characters between a word and a candidate, by default
 NAMES = 1000  # of the corpus in the dictionary
 NAME = r"[A-Za-z]+(?:[_/.-][A-Za-z]+)*"
-LINE = r"(?i)(?:passw|secret|token|api.?key|credential|private.?key|access.?key|bearer|authorization|signature)[^\n]{0,400}"
+LINE = r"(?i)(?:passw|secret|token|api.?key|credential|private.?key|access.?key|bearer|authorization|signature)[^\n]*"
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -87,7 +87,21 @@ def alphabet_of(text: str) -> str:
 
 
 def mixed(text: str) -> bool:
-    return bool(re.search("[0-9]", text) and re.search("[A-Za-z]", text))
+    """Letters and digits; of letters alone, a case that changes at two of five steps at least."""
+    if not re.search("[A-Za-z]", text):
+        return False
+    changes = sum(a.islower() != b.islower() for a, b in zip(text, text[1:]) if a.isalpha() and b.isalpha())
+    return bool(re.search("[0-9]", text)) or (len(text) >= 20 and 5 * changes >= 2 * len(text))
+
+
+def uncovered(covered: bytearray, start: int, end: int) -> list[tuple[int, int]]:
+    """The runs of start:end that are not covered."""
+    out = []
+    while 0 <= (low := covered.find(0, start, end)):
+        high = covered.find(1, low, end)
+        start = end if high < 0 else high
+        out.append((low, start))
+    return out
 
 
 def occurrences(text: str, values) -> dict[str, list[int]]:
@@ -133,20 +147,20 @@ def covering(text: str, spans) -> bytearray:
     return covered
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
+def candidates(text: str, reach: int = REACH) -> list[tuple[int, int]]:
     """Runs of token characters near sensitive words, each once: by word, those after it before those before it."""
     runs = [m.span() for m in CANDIDATE.finditer(text)]
     starts, ends = [s for s, _ in runs], [e for _, e in runs]
     seen, out = set(), []
     for word in SENSITIVE.finditer(text):
         low, high = word.span()
-        line = text.find("\n", high, high + REACH + 16)
-        line = text.find("\n", line + 1, high + REACH + 16) if line >= 0 else -1
-        stop = (line if line >= 0 else high + REACH + 15) - 16  # the last start of 16 characters in reach
+        line = text.find("\n", high, high + reach + 16)
+        line = text.find("\n", line + 1, high + reach + 16) if line >= 0 else -1
+        stop = (line if line >= 0 else high + reach + 15) - 16  # the last start of 16 characters in reach
         k = bisect_right(ends, high)
         near = [(max(starts[k], high), ends[k])] if k < len(runs) and starts[k] < high and ends[k] - high >= 16 else []
         near += [runs[i] for i in range(bisect_left(starts, high), bisect_right(starts, stop))]
-        before = range(bisect_right(ends, low - REACH), bisect_left(ends, low))
+        before = range(bisect_right(ends, low - reach), bisect_left(ends, low))
         near += [runs[i] for i in before if "\n" not in text[ends[i] : low]]
         for start, end in near:
             if end not in seen:
@@ -158,8 +172,8 @@ def candidates(text: str) -> list[tuple[int, int]]:
 class Scanner:
     """Judges candidates by a dictionary of identifiers."""
 
-    def __init__(self, names: bytes = b"", ratio: float = NOVELTY):
-        self.names, self.ratio, self.costs = names + IDENTIFIERS, ratio, {}
+    def __init__(self, names: bytes = b"", ratio: float = NOVELTY, reach: int = REACH):
+        self.names, self.ratio, self.reach, self.costs = names + IDENTIFIERS, ratio, reach, {}
 
     def novelty(self, text: str, start: int, end: int, known=()) -> int:
         """Bytes that text[start:end] adds to a frame primed with identifiers and its surroundings.
@@ -191,12 +205,12 @@ class Scanner:
         return self.novelty(text, start, end, known) / self.random_cost(text[start:end])
 
     def judged(self, text: str, base) -> list[tuple[int, int, float, bool]]:
-        """(start, end, share, secret) of each candidate that meets no base span."""
+        """(start, end, share, secret) of each candidate that base spans do not cover."""
         covered, out = covering(text, base), []
         values = [(m.start(2), m.end(2)) if k == "assign" and (m := ASSIGN.match(text, s)) else (s, e) for k, s, e in base]
         values.sort()
-        for start, end in candidates(text):
-            if covered.find(1, start, end) >= 0:
+        for start, end in candidates(text, self.reach):
+            if covered.find(0, start, end) < 0:
                 continue
             reach = AROUND + end - start
             near = values[bisect_left(values, (start - reach,)) : bisect_left(values, (end + reach,))]
@@ -211,12 +225,13 @@ class Scanner:
         if not any(w in low for w in SENSITIVE_WORDS):
             return base, base, []
         judged = self.judged(text, base)
-        found = [("novel", s, e) for s, e, _, secret in judged if secret]
+        covered = covering(text, base)
+        found = [("novel", *part) for s, e, _, secret in judged if secret for part in uncovered(covered, s, e)]
         # values of assign spans that occur elsewhere too are judged without their names
         places = [(m[2], m.start(2)) for k, s, _ in base if k == "assign" and (m := ASSIGN.match(text, s)) and CANDIDATE.fullmatch(m[2])]
         often = Counter({v: len(x) for v, x in occurrences(text, {v for v, _ in places}).items()})
         values = {v for v, s in places if often[v] > 1 and mixed(v) and self.share(text, s, s + len(v)) >= self.ratio}
-        return base, _ordered(base + found + copies(text, values | {text[s:e] for _, s, e in found}, base + found)), judged
+        return base, _ordered(base + found + copies(text, values | {text[s:e] for _, s, e in found if e - s >= 16}, base + found)), judged
 
 
 def all_spans(text: str | None, ratio: float = NOVELTY):
@@ -237,12 +252,12 @@ SPAN = "array<struct<kind:string,start:int,end:int>>"
 JUDGED = "array<struct<start:int,end:int,share:double,secret:boolean>>"
 
 
-def secret_spans(text: Column, names: bytes = b"", ratio: float = NOVELTY) -> Column:
+def secret_spans(text: Column, names: bytes = b"", ratio: float = NOVELTY, reach: int = REACH) -> Column:
     """struct(base, spans, judged) of a text column, by an Arrow-batched function."""
 
     @F.pandas_udf(f"base {SPAN}, spans {SPAN}, judged {JUDGED}")
     def scan(texts: pd.Series) -> pd.DataFrame:
-        scanner = Scanner(names, ratio)
+        scanner = Scanner(names, ratio, reach)
         rows = [scanner.scan(t) for t in texts]
         as_dicts = lambda spans, keys: [dict(zip(keys, s, strict=True)) for s in spans]
         span = ("kind", "start", "end")
@@ -258,10 +273,10 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_documents(docs: DataFrame, ratio: float = NOVELTY, names: int = NAMES) -> DataFrame:
+def scan_documents(docs: DataFrame, ratio: float = NOVELTY, names: int = NAMES, reach: int = REACH) -> DataFrame:
     """doc_id, base, spans and judged candidates of every row of docs(doc_id, text)."""
     prepared(docs.sparkSession)
-    found = secret_spans(F.col("text"), names_of(docs, names), ratio)
+    found = secret_spans(F.col("text"), names_of(docs, names), ratio, reach)
     return docs.select("doc_id", found.alias("found")).select("doc_id", "found.base", "found.spans", "found.judged")
 
 

@@ -10,8 +10,9 @@ import threading
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from factorloom.llm import audit, codes, common, languages
+from factorloom.llm import audit, codes, common, languages, mixing, secrets
 from factorloom.sources.shipping import ship
 
 
@@ -250,3 +251,64 @@ def test_audit_of_no_documents_and_other_letters(spark):
     flags = spark.createDataFrame([("p", 3, True, False), ("p", 2, False, True)], "part string, fails int, good boolean, toxic boolean")
     found = {(r["filter_order"], r["step"]): (r["kept"], r["removed"], r["redundant"], r["unique_fails"], r["shapley"]) for r in audit.replayed(flags, "XY").collect()}
     assert found == {("XY", 1): (1, 1, 0, 0, 1), ("XY", 2): (0, 1, 1, 1, 3), ("YX", 1): (0, 2, 0, 1, 3), ("YX", 2): (0, 0, 1, 0, 1)}
+
+
+# --- 7 ------------------------------------------------------------------------------------------
+def test_no_part_of_a_judged_key_stays():
+    hexes = hashlib.sha256(b"x").hexdigest()[:32]
+    text = f"authorization: Bearer Zx9Kq2LmVt7R{hexes}GZx9Kq2LmVt7RpQw8 and more"
+    assert secrets.redact(text) == "authorization: Bearer [SECRET][SECRET][SECRET] and more"
+    base, spans, _ = secrets.Scanner().scan(text)
+    assert [k for k, *_ in base] == ["hex"] and set(base) <= set(spans) and [k for k, *_ in spans] == ["novel", "hex", "novel"]
+    assert "qzKfWvXb" not in secrets.redact("signature: qzKfWvXbNmPrTyUiGhJdLsAeCoRtBvMx")
+    assert secrets.redact("the signature of getUserAccountManagerFactory") == "the signature of getUserAccountManagerFactory"
+    far = "secret key" + " ." * 45 + " Zx9Kq2LmVt7RpQw8Yb4N"
+    assert secrets.redact(far) == far and "Zx9K" not in secrets.redact(far, scanner=secrets.Scanner(reach=200))
+
+
+def plain_candidates(text, reach):
+    """Runs near words, by looking at every word and run."""
+    found = set()
+    for word in secrets.SENSITIVE.finditer(text):
+        for run in secrets.CANDIDATE.finditer(text):
+            start, end = max(run.start(), word.end()) if run.start() < word.end() < run.end() else run.start(), run.end()
+            if end - start < 16:
+                continue
+            if start >= word.end() and start - word.end() < reach and text.count("\n", word.end(), start + 16) < 2:
+                found.add(end)
+            if end <= word.start() and word.start() - end < reach and "\n" not in text[end : word.start()]:
+                found.add(end)
+    return found
+
+
+@pytest.mark.parametrize("reach", [10, 80])
+def test_candidates_equal_brute_force(reach):
+    rng = random.Random(reach)
+    for _ in range(400):
+        parts = rng.choices(["secret", "token", "x" * 15, "Q7" * 9, "ab" * 12, "\n", " ", " . ", "=", "api key", "\n\n", "word"], k=rng.randint(1, 14))
+        text = "".join(parts)
+        assert {end for _, end in secrets.candidates(text, reach)} == plain_candidates(text, reach), text
+
+
+def test_secrets_of_repeated_rows(spark):
+    rows = [(1, "password = abcdefgh1234 token: Zx9Kq2LmVt7RpQw8Yb4N")] * 3 + [(2, None)]
+    found = secrets.scan_documents(spark.createDataFrame([(*r, "b") for r in rows], "doc_id long, text string, base string")).collect()
+    assert len(found) == 4 and len({str(r) for r in found}) == 2
+
+
+# --- 10 -----------------------------------------------------------------------------------------
+def test_draws_of_one_source_meet_their_shards(spark):
+    """Ten thousand draws of one source and of a small one: each gets the shard whose range holds it."""
+    quotas = spark.createDataFrame([(0, 10_000), (1, 37)], "source_no long, quota long")
+    tree = mixing.splitting_tree(quotas, 64)
+    ranges = {(r.source, r.shard): (r.start, r.end) for r in tree.collect()}
+    for source, quota in ((0, 10_000), (1, 37)):
+        mine = sorted(v for (s, _), v in ranges.items() if s == source)
+        assert mine[0][0] == 0 and mine[-1][1] == quota and all(a[1] == b[0] for a, b in zip(mine, mine[1:]))
+    sized = spark.range(3000).select(F.when(F.col("id") % 100 == 0, "b").otherwise("a").alias("source"), F.col("id").alias("block"), (F.col("id") % 7 + 1).alias("size"))
+    draws = mixing.block_draws(sized, mixing.source_targets(sized.select("source", "size")), 64)
+    assert "Join LeftOuter" not in draws._jdf.queryExecution().optimizedPlan().toString()
+    got = draws.select("source", "block", F.explode("draws").alias("d")).collect()
+    for source in "ab":
+        passes = {(r.block, r.d["pass"]) for r in got if r.source == source}
+        assert len(passes) == sum(r.source == source for r in got)  # each draw has one shard
