@@ -124,7 +124,7 @@ def store_series(spark, d):
 
 _TREND = CTA.removeprefix(f"WITH {PD}, ").replace("FROM p)", "FROM tp)")
 MIXED = f"""{RATIOS_N}, rated AS (SELECT date, symbol, {RATIO_SQL[Ratio.ROA]} AS roa FROM filled),
-{vol_sql(63, 56).replace("FROM p)", "FROM pd)")}, tp AS (SELECT date, symbol, {A} FROM pd), trend AS (SELECT * FROM ({{trend}})),
+{vol_sql(63, 10).replace("FROM p)", "FROM pd)")}, tp AS (SELECT date, symbol, {A} FROM pd), trend AS (SELECT * FROM ({{trend}})),
 g AS (SELECT last_day(date) AS date, symbol, arg_max(k, date) AS missing_days FROM (
   SELECT date, symbol, CASE WHEN count(*) OVER m >= 63 THEN count(*) OVER m - count({A}) OVER m END AS k FROM pd WINDOW m AS (PARTITION BY symbol ORDER BY date ROWS 62 PRECEDING)) WHERE k IS NOT NULL GROUP BY 1, 2),
 w AS (SELECT pm.*, missing_days, {rolling(A, 12, None, 'avg')} AS full12, {rolling('close', 3, 1, 'min')} AS c3, {rolling(A, 3, 1, 'min')} AS a3, {rolling('volume', 12, None, 'min')} AS v12,
@@ -133,8 +133,8 @@ good AS (SELECT *, close IS NOT NULL AND {A} IS NOT NULL AND full12 IS NOT NULL
   AND coalesce(a3 >= 1000, false) AND coalesce(v12 >= 100, false) AND bool_and(ret IS NULL OR ret <= 4.5) OVER (PARTITION BY symbol) AS good FROM w)"""
 
 
-@register("dataset_mixed_features", f"""WITH {MIXED.replace("{trend}", "WITH " + _TREND.rpartition("SELECT last_day(date) AS date")[0] + " SELECT last_day(date) AS date, symbol, arg_max(y0, date) AS y0, arg_max(z1, date) AS z1 FROM z GROUP BY 1, 2")}
-SELECT good.date AS "timestamp", good.symbol, round(good.y + 1e-9, 6) + 0.0 AS y, {r6('m3', 'roa', 'volatility')}, round(trend.y0 + 1e-9, 6) + 0.0 AS trend
+@register("dataset_mixed_features", f"""WITH {MIXED.replace("{trend}", "WITH " + _TREND.rpartition("SELECT last_day(date) AS date")[0] + " SELECT last_day(date) AS date, symbol, arg_max(x0, date) AS x0 FROM z GROUP BY 1, 2")}
+SELECT good.date AS "timestamp", good.symbol, round(good.y + 1e-9, 6) + 0.0 AS y, {r6('m3', 'roa', 'volatility')}, round(trend.x0 + 1e-9, 6) + 0.0 AS trend
 FROM good LEFT JOIN rated ON rated.date = good.date AND rated.symbol = good.symbol LEFT JOIN trend ON trend.date = good.date AND trend.symbol = good.symbol
 ASOF LEFT JOIN (SELECT date, symbol, v AS volatility FROM v) vo ON vo.symbol = good.symbol AND good.date >= vo.date WHERE good AND good.y IS NOT NULL""")
 def dataset_mixed_features(spark, d):
@@ -142,7 +142,7 @@ def dataset_mixed_features(spark, d):
     store = nation_store(spark, d)
     chosen = SampleSet(store, {"m3": w.momentum(F.col(A), 3)}, 1, forecast=ForecastType.RETURNS, at=MIXED_AT)
     chosen.add_feature_panel("roa", store.ratios([Ratio.ROA]).withColumnRenamed("ROA", "value"))
-    chosen.add_features_from_dict({"volatility": store.volatility(63, "b"), "trend": store.trend()["y0"]})
+    chosen.add_features_from_dict({"volatility": store.volatility(63, "b", least=10), "trend": store.trend()["x0"]})
     return chosen.frame()
 
 
