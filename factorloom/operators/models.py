@@ -21,6 +21,7 @@ from ..sources.shared import kept
 from .cross_section import ndcg, top_k_mean
 from .dataset import cv_folds, parameter_grid, split
 from .ranking import Fits, LambdaTrees, Setting
+from .trimming import trimmed
 
 
 class Scorer:
@@ -149,21 +150,6 @@ class MetaScorer(Scorer):
         return self.top.fit_each(self._scores(placed, each=True))
 
 
-def trimmed(score: np.ndarray, against: np.ndarray, fraction: float, k: int) -> np.ndarray:
-    """Which rows are left after cuts from two sides. A cut takes the rows up to the fraction-quantile of those
-    left, by score or by the antagonist's score from above; a pass makes both, as far as each leaves k rows.
-    Passes end with the first in which a cut did not come about. Rows without a score count in no quantile
-    and are not cut by it."""
-    left, whole = np.arange(len(score)), True
-    while whole and len(left):
-        for key in (score, -against):
-            known = key[left][~np.isnan(key[left])]
-            rest = left[~(key[left] <= np.quantile(known, fraction))] if len(known) else left
-            whole &= k <= len(rest) < len(left)
-            left = rest if len(rest) >= k else left
-    return np.isin(np.arange(len(score)), left)
-
-
 @dataclass
 class TrimmedScorer(Scorer):
     """A model's scores for what survives an antagonist, date by date; other rows score -1e11."""
@@ -182,15 +168,9 @@ class TrimmedScorer(Scorer):
         return self._trimmed(scored, ["fold", "split", "timestamp"])
 
     def _trimmed(self, rows: DataFrame, by: list[str]) -> DataFrame:
-        rows = rows.withColumnRenamed("score", "_b").withColumns({"_a": F.col("_a").cast("double"), "_b": F.col("_b").cast("double")})
-        schema = rows.drop("_b").withColumnRenamed("_a", "score").schema
-        fraction, k = self.fraction, self.k
-
-        def trim(pdf: pd.DataFrame) -> pd.DataFrame:
-            stay = trimmed(pdf["_a"].to_numpy(float), pdf["_b"].to_numpy(float), fraction, k)
-            return pdf.assign(score=np.where(stay, pdf["_a"], -1e11))[schema.names]
-
-        return rows.groupBy(*by).applyInPandas(trim, schema)
+        rows = rows.withColumnRenamed("score", "_against").withColumn("_a", F.col("_a").cast("double"))
+        found = trimmed(rows, by, "_a", "_against", self.fraction, self.k)
+        return found.withColumn("score", F.when(F.col("left"), F.col("_a")).otherwise(-1e11)).drop("_a", "_against", "left")
 
 
 def at_most(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:

@@ -102,30 +102,118 @@ def volatility_weights(pairs: DataFrame, k: int, target: float = 0.15, least: fl
     return capped.unionByName(rest)
 
 
-def _bounded_simplex(v: np.ndarray, low: float, high: float) -> np.ndarray:
-    """The nearest vector with sum 1 and entries in [low, high], by bisection on the shift."""
-    a, b = (v - high).min(), (v - low).max()
-    for _ in range(50):
-        mid = (a + b) / 2
-        a, b = (mid, b) if np.clip(v - mid, low, high).sum() > 1 else (a, mid)
-    return np.clip(v - (a + b) / 2, low, high)
-
-
-def least_variance(cov: np.ndarray, high: float = 0.05, steps: int = 150) -> np.ndarray:
-    high = max(high, 1 / len(cov))
-    x, size = np.full(len(cov), 1 / len(cov)), max(np.linalg.eigvalsh(cov)[-1], 1e-18)
-    for _ in range(steps):
-        x = _bounded_simplex(x - cov @ x / size, 0.0, high)
+TOLERANCE = 1e-9  # of the conditions that end a search, in units of the largest gradient
+
+
+def slack(gradient: np.ndarray, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> float:
+    """How far weights are from the conditions of a least value on {sum = 1, low <= x <= high}, relative to the gradient:
+    of two weights, one of which could grow and the other shrink, the one that could grow must not be the better one."""
+    edge = 1e-9 * np.maximum(1.0, np.abs(high))
+    grows, shrinks = x < high - edge, x > low + edge
+    if not grows.any() or not shrinks.any():
+        return 0.0
+    return max(0.0, float(gradient[shrinks].max() - gradient[grows].min())) / max(float(np.abs(gradient).max()), 1e-300)
+
+
+def least_quadratic(h: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The least of x'Hx / 2 + c'x over sum x = 1 and bounds, from a feasible start: a step solves the free weights exactly,
+    as far as the first bound; at the end of a step the bound that hinders most is let go. H is positive definite."""
+    x, n, size = start.copy(), len(start), max(float(np.abs(h).max()), 1e-300)
+    h, c = h / size, c / size
+    free = (x > low) & (x < high)
+    for _ in range(50 * n + 50):
+        gradient = h @ x + c
+        step = np.zeros(n)
+        if (m := int(free.sum())) > 1:
+            kkt = np.zeros((m + 1, m + 1))
+            kkt[:m, :m], kkt[m, :m], kkt[:m, m] = h[np.ix_(free, free)], 1, 1
+            step[free] = np.linalg.lstsq(kkt, np.r_[-gradient[free], 0], rcond=None)[0][:m]
+        if np.abs(step).max() > 1e-13:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                room = np.where(step > 0, (high - x) / step, np.where(step < 0, (low - x) / step, np.inf))
+            first = int(np.argmin(room))
+            if room[first] < 1:
+                x = np.clip(x + max(0.0, room[first]) * step, low, high)
+                x[first], free[first] = (high if step[first] > 0 else low)[first], False
+                continue
+            x = np.clip(x + step, low, high)
+            gradient = h @ x + c
+        level = gradient[free].mean() if free.any() else None
+        gain = np.where(free, 0.0, np.where(x <= low, -gradient, gradient))  # of letting a bound go, but for the level
+        if level is None:
+            up, down = int(np.argmin(np.where(x <= low, gradient, np.inf))), int(np.argmax(np.where(x >= high, gradient, -np.inf)))
+            if not (x[up] <= low[up] and x[down] >= high[down] and gradient[up] < gradient[down] * (1 - TOLERANCE)):
+                return x
+            free[[up, down]] = True
+            continue
+        gain = np.where(free, -np.inf, gain + np.where(x <= low, level, -level))
+        worst = int(np.argmax(gain))
+        if gain[worst] <= TOLERANCE * max(np.abs(gradient).max(), 1e-300):
+            return x
+        free[worst] = True
+    raise ArithmeticError("no least weights were found")
+
+
+def least_variance(cov: np.ndarray, high: float = 0.05) -> np.ndarray:
+    """Weights of least variance, none above `high` (or 1/n, if that is more)."""
+    n = len(cov)
+    size = max(float(np.trace(cov)) / n, 1e-300)
+    bound = np.full(n, max(high, 1 / n))
+    return least_quadratic(cov / size + 1e-12 * np.eye(n), np.zeros(n), np.zeros(n), bound, np.full(n, 1 / n))
+
+
+def spread_weights(cov: np.ndarray, pull: float, low: np.ndarray, high: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The least of pull * x'Cx / 2 - sum ln x over sum x = 1 and bounds, by Newton steps inside the bounds."""
+    value = lambda x: pull * x @ cov @ x / 2 - np.log(x).sum()
+    x = start
+    for _ in range(100):
+        gradient, bend = pull * cov @ x - 1 / x, pull * cov + np.diag(1 / x**2)
+        if slack(gradient, x, low, high) < TOLERANCE:
+            break
+        step = least_quadratic(bend, gradient - bend @ x, low, high, x) - x
+        if (worth := gradient @ step) > -1e-15:
+            break
+        size = 1.0
+        while value(x + size * step) > value(x) + size * worth / 4 and size > 1e-6:
+            size /= 2
+        x = x + size * step
     return x
 
 
-def equal_risk(cov: np.ndarray, steps: int = 150) -> np.ndarray:
-    """Weights of sum 1 whose shares of variance are as equal as bounds of half and twice 1/n allow."""
+def equal_risk(cov: np.ndarray, target: float | None = None) -> np.ndarray:
+    """Weights of sum 1 between half and twice 1/n with as equal shares of risk as may be.
+
+    They are least for a pull between x'Cx / 2 and - sum ln x, whose balance makes x (Cx) equal where no bound bites. Without a target
+    the pull is the one at which the unit sum costs nothing. With a target volatility, the
+    pull is the one whose weights have it; a target that no pull reaches gives the nearest: equal weights, or the least variance.
+    """
     n = len(cov)
+    low, high = np.full(n, 0.5 / n), np.full(n, 2 / n)
+    size = max(float(np.trace(cov)) / n, 1e-300)
+    c, goal = cov / size, None if target is None else target**2 / size
     x = np.full(n, 1 / n)
-    for _ in range(steps):
-        risk = np.maximum(x * (cov @ x), 1e-18)
-        x = _bounded_simplex(x * np.sqrt(risk.mean() / risk), 0.5 / n, 2 / n)
+    if goal is not None and x @ c @ x <= goal:
+        return x
+    bottom, top = 0.0, 1.0
+
+    def over(pull: float, x: np.ndarray) -> bool:
+        """Whether the pull is too small."""
+        if goal is not None:
+            return x @ c @ x > goal
+        inside = (x > low * (1 + 1e-9)) & (x < high * (1 - 1e-9))
+        price = (1 / x - pull * c @ x)[inside]  # of the unit sum
+        return price.mean() > 0 if len(price) else pull * (x @ c @ x) < n
+
+    x = spread_weights(c, top, low, high, x)
+    while over(top, x) and top < 1e12:
+        bottom, top = top, 8 * top
+        x = spread_weights(c, top, low, high, x)
+    for _ in range(80):
+        if top - bottom <= 1e-10 * top:
+            break
+        middle = (top + bottom) / 2 if bottom < top / 8 else np.sqrt(top * bottom)
+        x = spread_weights(c, middle, low, high, x)
+        bottom, top = (middle, top) if over(middle, x) else (bottom, middle)
     return x
 
 
@@ -135,17 +223,19 @@ def at_volatility(weights: np.ndarray, cov: np.ndarray, target: float) -> np.nda
     return weights * min(1.0, target / risk) if risk > 0 else weights
 
 
-def optimised_weights(pairs: DataFrame, method: str, target: float | None = None) -> DataFrame:
-    """minvar or erc weights of each date's symbols; erc at a target volatility leaves a rest, which is risk-free."""
+def optimised_weights(pairs: DataFrame, method: str, target: float | None = None, constrained: bool = False) -> DataFrame:
+    """minvar or erc weights of each date's symbols. erc with a target volatility is scaled to it, and what is left is
+    risk-free; or, constrained, has it as a condition beside the sum of 1."""
     if method not in ("minvar", "erc"):
         raise ValueError(f"unknown weighting {method!r}")
 
     def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
         matrix = _matrix(pdf)
         cov = np.nan_to_num(nearest_covariance(matrix.to_numpy()))
-        found = least_variance(cov) if method == "minvar" else equal_risk(cov)
-        found, symbols = (found if target is None or method == "minvar" else at_volatility(found, cov, target)), list(matrix.index)
-        if target is not None and method == "erc":
+        found = least_variance(cov) if method == "minvar" else equal_risk(cov, target if constrained else None)
+        rest = method == "erc" and target is not None and not constrained
+        found, symbols = (at_volatility(found, cov, target) if rest else found), list(matrix.index)
+        if rest:
             found, symbols = [*found, max(0.0, 1 - found.sum())], [*symbols, RISK_FREE]
         return pd.DataFrame({"date": pdf["date"].iloc[0], "symbol": symbols, "weight": found})
 

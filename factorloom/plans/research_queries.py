@@ -474,6 +474,12 @@ for _method in ("minvar", "erc"):
     register(f"{_method}_weights")(_optimised)
 
 
+@register("erc_constrained_weights")
+def erc_constrained_weights(spark, d):
+    """Equal risk with the target volatility as a condition beside the sum of 1."""
+    return scoring.optimised_weights(_wide_cov(spark, d), "erc", 0.15, constrained=True)
+
+
 def _catalog(spark, d) -> Catalog:
     import uuid
 

@@ -1,7 +1,13 @@
-"""A catalogue of versioned panels: parquet data, and a metadata table that is the commit point."""
+"""A catalogue of versioned panels: parquet data by year, and a metadata table that is the commit point.
+
+A writer claims a version by creating its claim file, which only one writer can; versions are numbered in the order of
+claims, and a version whose writer failed is free again. Readers see what the metadata names.
+"""
 
 from __future__ import annotations
 
+import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +21,24 @@ METADATA = (
 )
 
 
+YEAR = "panel_year"
+
+
+def created(spark: SparkSession, path: str) -> bool:
+    """Creates an empty file, unless it is there; of several writers one succeeds, where the file system keeps to that."""
+    if path.startswith("file:"):
+        local = "/" + path.removeprefix("file:").lstrip("/")
+        os.makedirs(os.path.dirname(local), exist_ok=True)
+        try:
+            os.close(os.open(local, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        except FileExistsError:
+            return False
+        return True
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).createNewFile(where)
+
+
 @dataclass(frozen=True)
 class Catalog:
     spark: SparkSession
@@ -38,25 +62,50 @@ class Catalog:
         """All rows of the catalogue; none if nothing has been saved."""
         if not self._exists(self.metadata_path()):
             return self.spark.createDataFrame([], METADATA)
-        return self.spark.read.schema(METADATA).parquet(self.metadata_path())
+        return self._rows().dropDuplicates(["datatype", "version"])
+
+    def _rows(self) -> DataFrame:
+        """Each save and each compaction has a folder of its own, so that no writer meets another's temporary files."""
+        return self.spark.read.schema(METADATA).option("recursiveFileLookup", True).parquet(self.metadata_path())
+
+    def compact(self) -> None:
+        """Rewrites the metadata's files as one. A reader in between sees rows twice, which count once."""
+        if not self._exists(self.metadata_path()):
+            return
+        old = self._rows()
+        files = old.inputFiles()
+        if len(files) > 1:
+            old.dropDuplicates(["datatype", "version"]).coalesce(1).write.parquet(f"{self.metadata_path()}/compact-{uuid.uuid4().hex}")
+            for file in files:
+                remove(self.spark, file)
 
     def next_version(self, datatype: str) -> int:
+        """The version after the highest that is saved."""
         top = self.metadata().filter(F.col("datatype") == datatype).agg(F.max("version")).first()[0]
         return 0 if top is None else top + 1
 
+    def _claimed(self, datatype: str) -> tuple[int, str]:
+        """The next version that no other writer holds, and its claim."""
+        version = self.next_version(datatype)
+        while not created(self.spark, claim := f"{self.base}/claims/{datatype}_{version}"):
+            version += 1
+        return version, claim
+
     def save(self, panel: DataFrame, datatype: str, frequency: str, file_format: str = "parquet", **extras) -> int:
         """Writes a long panel as the next version and then its metadata row; what fails leaves nothing."""
         if file_format != "parquet":
             raise ValueError(f"unsupported file format {file_format!r}")
-        version = self.next_version(datatype)
+        if YEAR in panel.columns:
+            raise ValueError(f"a panel cannot have a column {YEAR!r}")
+        version, claim = self._claimed(datatype)
         path = self.panel_path(datatype, version)
-        if self._exists(path):
-            raise FileExistsError(path)
         try:
-            panel.write.mode("errorifexists").parquet(path)
-            self._describe(path, datatype, version, frequency, file_format, extras).coalesce(1).write.mode("append").parquet(self.metadata_path())
+            by_year = panel.withColumn(YEAR, F.year("date")).hint("rebalance", YEAR)
+            by_year.write.mode("errorifexists").partitionBy(YEAR).parquet(path)
+            self._describe(path, datatype, version, frequency, file_format, extras).coalesce(1).write.parquet(f"{self.metadata_path()}/{datatype}_{version}")
         except BaseException:
-            remove(self.spark, path)
+            for left in (path, f"{self.metadata_path()}/{datatype}_{version}", claim):
+                remove(self.spark, left)
             raise
         return version
 
@@ -70,8 +119,10 @@ class Catalog:
             (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("extras"),
         )
 
-    def load(self, datatype: str, version: int | None = None, **conditions) -> DataFrame | None:
-        """The panel of a version, or of the highest that meets the conditions; None if there is none."""
+    def load(self, datatype: str, version: int | None = None, start=None, end=None, **conditions) -> DataFrame | None:
+        """The panel of a version, or of the highest that meets the conditions; None if there is none.
+
+        With a start or an end (both included) only the years between are read."""
         rows = self.metadata().filter(F.col("datatype") == datatype)
         known = {f.split()[0] for f in METADATA.split(", ")}
         for key, value in conditions.items():
@@ -82,7 +133,14 @@ class Catalog:
                 raise ValueError(f"{len(found)} panels of {datatype} have version {version}")
         else:
             found = rows.orderBy(F.desc("version")).limit(1).collect()
-        return self.spark.read.parquet(f"{self.base}/{found[0]['relative_filename']}") if found else None
+        if not found:
+            return None
+        rows = self.spark.read.parquet(f"{self.base}/{found[0]['relative_filename']}")
+        for bound, keep in ((start, lambda x, y: x >= y), (end, lambda x, y: x <= y)):
+            if bound is not None:
+                day = F.lit(str(bound)[:10]).cast("date")
+                rows = rows.filter(keep(F.col(YEAR), int(str(bound)[:4])) & keep(F.col("date"), day))
+        return rows.drop(YEAR)
 
     def save_prices(self, panels: dict[str, tuple[DataFrame, str]]) -> dict[str, int]:
         """Several (panel, frequency) pairs by datatype."""

@@ -82,7 +82,7 @@ class PanelStore:
         """The latest saved panels, on the symbols of the daily prices and in range; the dates must be the calendar's."""
         if self.panels:
             return self.panels
-        found = {name: self.catalog.load(name) for name in PANELS}
+        found = {name: self.catalog.load(name, start=self.start, end=self.end) for name in PANELS}
         if missing := [name for name, rows in found.items() if rows is None]:
             raise LookupError(f"no saved panel of {missing[0]}")
         self.symbols = found["daily_prices"].select("symbol").distinct()

@@ -4,22 +4,46 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factorloom.operators import models, ranking, scoring
+from factorloom.operators import models, ranking, scoring, trimming
 from factorloom.operators.cleaning import without_spikes
 from factorloom.plans.research_queries import GRID
 from factorloom.sources.catalog import Catalog, check_dates
 from factorloom.store import PanelStore
 
 
-def test_cuts_from_two_sides():
-    score, against = np.arange(20.0), np.arange(20.0)[::-1].copy()
-    left = models.trimmed(score, against, 0.1, 16)
-    assert left.tolist() == [False] * 4 + [True] * 16  # both sides take the same rows: two by score, two by the antagonist
-    assert models.trimmed(score, score, 0.1, 16).tolist() == [False] * 2 + [True] * 16 + [False] * 2
-    assert models.trimmed(score, against, 0.1, 20).all() and not len(models.trimmed(score[:0], score[:0], 0.1, 5))
-    odd = score.copy()
-    odd[7] = np.nan
-    assert models.trimmed(odd, against, 0.1, 16)[7] and models.trimmed(odd, against, 0.1, 16).sum() < 20
+def plain_cuts(score: np.ndarray, against: np.ndarray, fraction: float, k: int) -> np.ndarray:
+    """What the rounds of cuts must leave of one date. A cut takes the rows up to the fraction-quantile of those
+    left, by score or by the antagonist's score from above; a pass makes both, as far as each leaves k rows.
+    Passes end with the first in which a cut did not come about. Rows without a score count in no quantile
+    and are not cut by it."""
+    left, whole = np.arange(len(score)), True
+    while whole and len(left):
+        for key in (score, -against):
+            known = key[left][~np.isnan(key[left])]
+            rest = left[~(key[left] <= np.quantile(known, fraction))] if len(known) else left
+            whole &= k <= len(rest) < len(left)
+            left = rest if len(rest) >= k else left
+    return np.isin(np.arange(len(score)), left)
+
+
+def test_cuts_from_two_sides_equal_one_place(spark):
+    rng = np.random.default_rng(4)
+    cases = {"same": (np.arange(20.0), np.arange(20.0)[::-1]), "both": (np.arange(20.0), np.arange(20.0)), "few": (np.arange(3.0), np.arange(3.0)), "ties": (np.repeat([1.0, 2.0], 30), np.ones(60)),
+             "gone": (np.full(30, np.nan), np.full(30, np.nan)), "big": (rng.normal(size=300), rng.normal(size=300))}
+    for d in range(12):
+        n = int(rng.integers(1, 150))
+        a, b = rng.normal(size=n).round(int(rng.integers(0, 3))), rng.normal(size=n).round(1)
+        a[rng.random(n) < 0.1] = np.nan
+        cases[f"day{d}"] = (a, b)
+    rows = [(None if day == "day3" else day, i, None if i % 2 and np.isnan(x) else float(x), float(y)) for day, (a, b) in cases.items() for i, (x, y) in enumerate(zip(a, b, strict=True))]
+    df = spark.createDataFrame(rows, "day string, i int, a double, b double").repartition(4)
+    for fraction, k in ((0.1, 16), (0.25, 5)):
+        found = {}
+        for r in trimming.trimmed(df, ["day"], "a", "b", fraction, k).collect():
+            found.setdefault(r.day or "day3", {})[r.i] = r.left
+        for day, (a, b) in cases.items():
+            assert [found[day][i] for i in range(len(a))] == plain_cuts(a, b, fraction, k).tolist(), (day, fraction)
+    assert trimming.trimmed(df.limit(0), ["day"], "a", "b", 0.1, 5).count() == 0
 
 
 def test_at_most_is_exact(spark):
@@ -201,7 +225,7 @@ def test_grid_is_appended_and_resumed(spark, tmp_path):
 def test_least_variance_and_equal_risk_by_hand():
     n = 30
     spread = np.linspace(0.1, 0.5, n)
-    least = scoring.least_variance(np.diag(spread**2), steps=4000)
+    least = scoring.least_variance(np.diag(spread**2))
     raw = 1 / spread**2  # without a bound the weights go with 1 / variance: here the bound of 0.05 bites on the calmest
     capped = np.zeros(n, bool)
     while True:
@@ -210,13 +234,48 @@ def test_least_variance_and_equal_risk_by_hand():
         if (want <= 0.05 + 1e-12).all():
             break
         capped |= want > 0.05
-    assert capped.any() and np.allclose(least, want, atol=2e-4) and abs(least.sum() - 1) < 1e-9
+    assert capped.any() and np.allclose(least, want, atol=1e-9) and abs(least.sum() - 1) < 1e-9
     calm = np.linspace(0.2, 0.25, n)
     assert np.allclose(scoring.equal_risk(np.diag(calm**2)), (1 / calm) / (1 / calm).sum(), atol=1e-6)  # no bound bites: 1 / volatility
     at = scoring.at_volatility(np.full(n, 1 / n), np.diag(calm**2), 0.01)
     assert abs(np.sqrt(at @ np.diag(calm**2) @ at) - 0.01) < 1e-12 and scoring.at_volatility(np.full(n, 1 / n), np.eye(n) * 1e-9, 0.1).sum() == pytest.approx(1)
 
 
+def factor_model(n, seed, days=63):
+    """A covariance of n symbols of three factors, from fewer days than symbols, lifted as the queries lift it."""
+    rng = np.random.default_rng(seed)
+    r = rng.normal(size=(days, 3)) @ rng.normal(size=(3, n)) * 0.01 + rng.normal(size=(days, n)) * rng.uniform(0.005, 0.03, n)
+    return scoring.nearest_covariance(np.cov(r.T) * 252)
+
+
+@pytest.mark.parametrize("n, seed", [(1, 0), (2, 1), (20, 2), (25, 3), (100, 4), (100, 5)])
+def test_weights_meet_their_conditions(n, seed):
+    cov = np.atleast_2d(factor_model(n, seed)) if n > 1 else np.array([[0.04]])
+    x, high = scoring.least_variance(cov), np.full(n, max(0.05, 1 / n))
+    assert abs(x.sum() - 1) < 1e-9 and (x >= -1e-12).all() and (x <= high + 1e-12).all()
+    assert scoring.slack(cov @ x, x, np.zeros(n), high) < 1e-6
+    low, high = np.full(n, 0.5 / n), np.full(n, 2 / n)
+    free = scoring.equal_risk(cov)
+    inside = (free > low * 1.0001) & (free < high * 0.9999)
+    risk = free * (cov @ free)
+    assert abs(free.sum() - 1) < 1e-9 and (not inside.any() or np.ptp(risk[inside]) < 1e-6 * risk.mean())
+    assert (risk[free <= low * 1.0001] >= risk[inside].max(initial=0) - 1e-9).all() and (risk[free >= high * 0.9999] <= risk[inside].min(initial=np.inf) + 1e-9).all()
+    equal = np.full(n, 1 / n)
+    most = float(np.sqrt(equal @ cov @ equal))
+    calm = scoring.spread_weights(cov, 1e9, low, high, equal)
+    least = float(np.sqrt(calm @ cov @ calm))
+    for target in (most * 1.5, (most + least) / 2, least * 0.5):
+        x = scoring.equal_risk(cov, target)
+        got = float(np.sqrt(x @ cov @ x))
+        assert abs(x.sum() - 1) < 1e-9 and (x >= low - 1e-12).all() and (x <= high + 1e-12).all()
+        if n > 1 and least * 1.001 < target < most:
+            assert got == pytest.approx(target, rel=1e-6)
+            pull = np.linalg.lstsq(np.c_[cov @ x, np.ones(n)][(x > low * 1.001) & (x < high * 0.999)], (1 / x)[(x > low * 1.001) & (x < high * 0.999)], rcond=None)[0]
+            assert scoring.slack(pull[0] * cov @ x - 1 / x, x, low, high) < 1e-5
+        else:
+            assert got == pytest.approx(min(max(target, least), most), rel=1e-3)
+
+
 def test_still_prices_do_not_spoil_a_date(spark):
     still = np.array([[0.04, 0.0, np.nan], [0.0, 0.0, 0.0], [np.nan, 0.0, 0.09]])
     fixed = scoring.nearest_covariance(still)
@@ -294,3 +353,59 @@ def test_spikes_go_until_none_is_left(spark):
             break
         x = [v for i, v in enumerate(x) if i not in spike]
     assert found == x
+
+
+def test_spikes_of_many_symbols_equal_rounds_over_all_rows(spark):
+    rng = np.random.default_rng(7)
+    rows = [(f"s{s}", k, float(rng.choice([3.0, 3.1, 9.0, 10.0, 27.0, 0.5])), float(rng.random() > 0.05)) for s in range(25) for k in range(60)]
+    df = spark.createDataFrame(rows, "symbol string, k int, adjusted_close double, volume double").select(F.expr("date_add(date'2020-01-01', k)").alias("date"), "symbol", "adjusted_close", "volume")
+    found = {}
+    for r in without_spikes(df.repartition(3)).orderBy("symbol", "date").collect():
+        found.setdefault(r.symbol, []).append(r.adjusted_close)
+    for s in range(25):
+        x = [v for name, _, v, volume in rows if name == f"s{s}" and volume > 0]
+        while True:
+            spike = [i for i in range(1, len(x) - 1) if min(x[i - 1], x[i + 1]) > 1 and ((x[i] / x[i - 1] < 0.5 and x[i + 1] / x[i] > 1.9) or (x[i] / x[i - 1] > 1.9 and x[i + 1] / x[i] < 0.5))]
+            if not spike:
+                break
+            x = [v for i, v in enumerate(x) if i not in spike]
+        assert found[f"s{s}"] == x
+
+
+def test_two_writers_get_two_versions(spark, tmp_path):
+    import threading
+
+    catalog = Catalog(spark, f"file://{tmp_path}/panels")
+    panel = spark.createDataFrame([(f"{y}-01-31", "a", float(y)) for y in (2019, 2020, 2021)], "date string, symbol string, value double").withColumn("date", F.to_date("date"))
+    found, failed = [], []
+
+    def write(k):
+        try:
+            for _ in range(2):
+                found.append((catalog.save(panel.withColumn("value", F.lit(float(k))), "close", "m", writer=k), k))
+        except Exception as error:  # noqa: BLE001
+            failed.append(error)
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(3)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert not failed and sorted(v for v, _ in found) == list(range(6)) and catalog.metadata().count() == 6
+    for version, k in found:
+        assert {r.value for r in catalog.load("close", version).collect()} == {float(k)} and catalog.load("close", version).columns == ["date", "symbol", "value"]
+    before = {r.version: r.extras for r in catalog.metadata().collect()}
+    catalog.compact()
+    assert {r.version: r.extras for r in catalog.metadata().collect()} == before
+    assert len(catalog._rows().inputFiles()) == 1 and catalog.save(panel, "close", "m") == 6
+
+
+def test_loads_read_the_years_asked_for(spark, tmp_path):
+    catalog = Catalog(spark, f"file://{tmp_path}/panels")
+    panel = spark.createDataFrame([(f"{y}-{m:02d}-28", "a", float(y)) for y in range(2000, 2010) for m in (1, 6)], "date string, symbol string, value double").withColumn("date", F.to_date("date"))
+    catalog.save(panel, "close", "m")
+    found = catalog.load("close", start="2003-02-01", end="2005-03-01")
+    assert sorted(str(r.date) for r in found.collect()) == ["2003-06-28", "2004-01-28", "2004-06-28", "2005-01-28"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(panel_year" in plan
+    assert catalog.load("close").count() == 20 and catalog.load("none", start="2003-01-01") is None
+    with pytest.raises(ValueError, match="panel_year"):
+        catalog.save(panel.withColumn("panel_year", F.lit(1)), "close", "m")
