@@ -224,7 +224,7 @@ def walk_forward(model: Scorer, samples: DataFrame, intervals: DataFrame, clone:
 def cross_validated(ranker: BoostedRanker, samples: DataFrame, returns: str, n_folds: int = 5, k: int = 100) -> DataFrame:
     """(fold, ndcg, mean_return) of a ranker fitted on the other folds, averaged over dates."""
     found: list[DataFrame] = []
-    _judged([ranker], samples, returns, n_folds, k, found.append)
+    _judged([ranker], kept(samples, "samples"), returns, n_folds, k, found.append)
     return found[0].drop("setting")
 
 

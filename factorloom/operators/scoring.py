@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import windows as w
 from ..functions.calendar import month_end, month_ends_ahead
 from ..functions.scalar import floored
+from ..sources.shared import kept
 from .cross_section import top_k
 from .panel import asof
 
@@ -52,6 +53,43 @@ def covariance(returns: DataFrame) -> DataFrame:
     return both.groupBy("date", "a", "b").agg((F.covar_samp("ra", "rb") * YEAR).alias("cov"))
 
 
+def pairwise_covariance(prices: DataFrame, chosen: DataFrame, days: int = DAYS, floor: float = 1e-6) -> DataFrame:
+    """(date, a, b, cov) of all pairs of a date's chosen symbols over the common days of the `days` days to it, annualised.
+
+    The dates' windows begin and end at few days, which cut time into segments. Each price is read once: counts, sums and
+    co-moments are added up by (segment, pair) for the pairs that some window asks for, and a window is the
+    sum of its segments. A return belongs to its day, and a window to the days after its first with a price.
+    """
+    chosen = kept(chosen.select("date", "symbol").distinct(), "chosen")
+    along = Window.partitionBy("symbol").orderBy("day")
+    price = floored(F.col("price"), floor)
+    rows = prices.select("symbol", F.col("date").alias("day"), "price").withColumn("r", F.ln(price / floored(F.lag("price").over(along), floor)))
+    calendar = prices.select(F.col("date").alias("day")).distinct()
+    dates = chosen.select("date").distinct()
+    spans = calendar.join(F.broadcast(dates), (F.col("day") >= F.date_sub("date", days)) & (F.col("day") <= F.col("date")))
+    spans = kept(spans.groupBy("date").agg(F.min("day").alias("first")), "spans")  # a return of the first day looks back beyond the window
+    cuts = spans.select(F.col("first").alias("cut")).unionByName(spans.select(F.col("date").alias("cut"))).distinct()
+    segments = kept(cuts.select("cut", F.lead("cut").over(Window.orderBy("cut")).alias("until")).filter("until IS NOT NULL"), "segments")
+    parts = kept(spans.join(F.broadcast(segments), (F.col("cut") >= F.col("first")) & (F.col("until") <= F.col("date"))).select("date", "cut"), "parts")
+    of = kept(
+        chosen.join(parts, "date").select("cut", "symbol").distinct().join(F.broadcast(segments), "cut"), "asked"
+    )
+    met = kept(
+        rows.filter("r IS NOT NULL").join(F.broadcast(segments), (F.col("day") > F.col("cut")) & (F.col("day") <= F.col("until"))).select("cut", "symbol", "day", "r")
+        .join(of.select("cut", "symbol"), ["cut", "symbol"], "left_semi"), "returns"
+    )
+    asked = chosen.select("date", F.col("symbol").alias("a")).join(chosen.select("date", F.col("symbol").alias("b")), "date").join(parts, "date")
+    pairs = kept(asked, "pairs")
+    left = met.select("cut", "day", F.col("symbol").alias("a"), F.col("r").alias("x"))
+    right = met.select("cut", "day", F.col("symbol").alias("b"), F.col("r").alias("y"))
+    moments = left.join(right, ["cut", "day"]).join(pairs.select("cut", "a", "b").distinct(), ["cut", "a", "b"], "left_semi").groupBy("cut", "a", "b").agg(
+        F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.col("x") * F.col("y")).alias("sxy")
+    )
+    total = pairs.join(moments, ["cut", "a", "b"]).groupBy("date", "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy")])
+    cov = F.when(F.col("n") > 1, (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1) * YEAR)
+    return total.select("date", "a", "b", cov.alias("cov"))
+
+
 def nearest_covariance(matrix: np.ndarray, least: float = 1e-6) -> np.ndarray:
     """The correlation's eigenvalues lifted to `least`, at the same variances.
 
@@ -91,13 +129,14 @@ def equal_weights(chosen: DataFrame, k: int) -> DataFrame:
 
 def volatility_weights(pairs: DataFrame, k: int, target: float = 0.15, least: float = 0.04) -> DataFrame:
     """Weights by inverse volatility, scaled to the target; what is left of 1 is risk-free."""
+    pairs = kept(pairs, "pairs")
     start = pairs.filter("a = b").select("date", F.col("a").alias("symbol"), (target / (k * floored(F.sqrt("cov"), least))).alias("w0"))
     left = start.select("date", F.col("symbol").alias("a"), F.col("w0").alias("wa"))
     right = start.select("date", F.col("symbol").alias("b"), F.col("w0").alias("wb"))
     total = pairs.join(left, ["date", "a"]).join(right, ["date", "b"]).groupBy("date").agg(F.sqrt(F.sum(F.col("wa") * F.col("cov") * F.col("wb"))).alias("vol"))
     scaled = start.join(total, "date").withColumn("w", F.col("w0") * target / F.col("vol"))
     sums = F.sum("w").over(Window.partitionBy("date"))
-    capped = scaled.withColumn("weight", F.when(sums > 1, F.col("w") / sums).otherwise(F.col("w"))).select("date", "symbol", "weight")
+    capped = kept(scaled.withColumn("weight", F.when(sums > 1, F.col("w") / sums).otherwise(F.col("w"))).select("date", "symbol", "weight"), "capped")
     rest = capped.groupBy("date").agg(F.greatest(F.lit(0.0), 1 - F.sum("weight")).alias("weight")).select("date", F.lit(RISK_FREE).alias("symbol"), "weight")
     return capped.unionByName(rest)
 
@@ -262,11 +301,12 @@ def portfolio_value(weights: DataFrame, prices: DataFrame, months: int | None =
     Weights trade on the last price date at or before their own; gaps in prices are filled forward.
     Each price day bears the trade that it follows, so that weights meet only the prices of their period.
     """
-    days = prices.select("date").distinct()
+    weights = kept(weights.select("date", "symbol", "weight"), "weights")
+    filled = kept(prices.select("date", "symbol", w.fill_forward(F.col("price")).alias("price")), "filled")
+    days = kept(filled.select("date").distinct(), "days")
     placed = asof(days.select("date", F.col("date").alias("value")), weights.select("date").distinct()).filter("value IS NOT NULL")
-    placed = placed.groupBy("value").agg(F.max("date").alias("date"))  # of several dates of a trading day the last holds
+    placed = kept(placed.groupBy("value").agg(F.max("date").alias("date")), "placed")  # of several dates of a trading day the last holds
     trades = weights.join(placed, "date").select(F.col("value").alias("traded"), "symbol", "weight")
-    filled = prices.select("date", "symbol", w.fill_forward(F.col("price")).alias("price"))
     if months is not None:
         end = weights.agg(month_ends_ahead(F.max("date"), months).alias("end"))
         filled = filled.join(F.broadcast(end), F.col("date") <= F.col("end")).drop("end")
@@ -274,10 +314,10 @@ def portfolio_value(weights: DataFrame, prices: DataFrame, months: int | None =
     ends = marks.withColumn("until", F.lead("traded").over(Window.orderBy("traded")))
     opened = asof(marks.select(F.col("traded").alias("date"), F.col("traded").alias("value")), days).filter("value IS NOT NULL")
     closing = ends.filter("until IS NOT NULL").select(F.col("until").alias("date"), F.col("traded").alias("value"))
-    periods = opened.unionByName(closing).withColumnRenamed("value", "traded")  # a trading day ends one period and opens another
+    periods = kept(opened.unionByName(closing).withColumnRenamed("value", "traded"), "periods")  # a trading day ends one period and opens another
     at = filled.select(F.col("date").alias("traded"), "symbol", F.col("price").alias("start"))
     held = filled.join(periods, "date").join(trades.join(at, ["traded", "symbol"]), ["traded", "symbol"])
-    inside = held.groupBy("traded", "date").agg(F.sum(F.col("weight") * F.try_divide("price", "start")).alias("gain")).join(ends, "traded")
+    inside = kept(held.groupBy("traded", "date").agg(F.sum(F.col("weight") * F.try_divide("price", "start")).alias("gain")).join(ends, "traded"), "gains")
     whole = inside.filter("date = until").select("traded", F.col("gain").alias("period"))
     before = marks.join(whole, "traded", "left").withColumn(
         "level", F.coalesce(F.product("period").over(Window.orderBy("traded").rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))

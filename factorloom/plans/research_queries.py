@@ -8,17 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import windows as w
-from ..functions.scalar import Direction, ForecastType, reversed_labels
-from ..operators import backtest, dataset, scoring
+from ..functions.scalar import Direction, ForecastType, normalised_momentum, reversed_labels
+from ..operators import backtest, dataset, scoring, signals
 from ..operators import cross_section as xs
-from ..operators.panel import dense
+from ..operators.panel import dense, month_last
 from ..operators.models import BoostedRanker, MetaScorer, RandomScore, SingleFeature, TrimmedScorer, cross_validated, grid_search, walk_forward
 from ..operators.ratios import Ratio, with_ratios
 from ..sources.catalog import Catalog
 from ..sources.shared import kept, new_path, set_shared_dir
 from ..sources.tables import panel_d, panel_m, prices, scored
-from .base import BY, PD, PM, SCORED, fut, mom, r6, register
-from .feature_queries import FUTURE_VOL, MONTHLY_VOL, RATIO_SQL, RATIOS, ratio_panel, vol_sql
+from .base import BY, PD, PM, RAW_B, SCORED, fut, logret, mom, r6, register, rolling
+from .feature_queries import _XYZU, CTA, FUTURE_VOL, MONTHLY_VOL, RATIO_SQL, RATIOS, ratio_panel, vol_sql
 from .panel_queries import MASK_SQL, monthly_mask
 
 A = "adjusted_close"
@@ -343,24 +343,55 @@ LABELS = 3
 GRID = {"learning_rate": [0.01, 0.1, 1.0], "max_depth": [2, 4, 6], "n_estimators": [80, 160, 240], "feature_fraction": [0.7, 0.85, 1.0]}
 
 
-def ranked_samples(spark, d) -> DataFrame:
-    """Samples with bucketed labels y and, beside them, the forward returns ret that were bucketed."""
-    returns = all_samples(spark, d).select("timestamp", "symbol", F.col("y").alias("ret"))
-    return all_samples(spark, d, LABELS).join(returns, ["timestamp", "symbol"], "left")
+MOMENTA = (3, 6, 12)
+_SCRIPT = [x for n in MOMENTA for x in (f"mom_{n}m", f"mom_{n}m_norm")] + _XYZU
+FILLED = f"""{RAW_B}, p0 AS (SELECT d.date, s.symbol, adjusted_close FROM (SELECT DISTINCT date FROM raw) d CROSS JOIN (SELECT DISTINCT symbol FROM raw) s LEFT JOIN raw ON raw.date = d.date AND raw.symbol = s.symbol),
+p AS (SELECT date, symbol, last_value({A} IGNORE NULLS) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS {A} FROM p0)"""
+_vols = ", ".join(f"({rolling('r', 21 * n, 19 * n, 'stddev_samp')}) * sqrt(252) AS v{n}" for n in MOMENTA)
+SCRIPT = f"""{FILLED}, {MONTHS}, r AS (SELECT date, symbol, {logret(A)} AS r FROM p), v AS (SELECT date, symbol, {_vols}, ({rolling('r', 63, 56, 'stddev_samp')}) * sqrt(252) AS v FROM r),
+mv AS (SELECT last_day(date) AS date, symbol, arg_max(v, date) AS v, {', '.join(f'arg_max(v{n}, date) AS v{n}' for n in MOMENTA)} FROM v GROUP BY 1, 2),
+mm AS (SELECT date, symbol, {fut(A, 1)} AS ret, {', '.join(f'{mom(A, n)} AS m{n}' for n in MOMENTA)} FROM months),
+fs AS (SELECT mm.date, mm.symbol, ret, ret / CASE WHEN v IS NOT NULL THEN greatest(v, 0.01) END AS y,
+  {', '.join(f'm{n} AS mom_{n}m, m{n} / CASE WHEN v{n} IS NOT NULL THEN greatest(v{n}, 0.03) END AS mom_{n}m_norm' for n in MOMENTA)} FROM mm LEFT JOIN mv ON mv.date = mm.date AND mv.symbol = mm.symbol),
+bk AS (SELECT *, count(y) OVER (PARTITION BY date) AS k, row_number() OVER (PARTITION BY date ORDER BY y NULLS LAST, symbol) - 1 AS i FROM fs),
+trend AS ({{trend}})"""
+SCRIPT = SCRIPT.replace("{trend}", CTA.replace(f"WITH {PD}, ", "WITH "))
+
+
+def script_samples(spark, d) -> DataFrame:
+    """The samples of the command line's grid: momentum over 3, 6 and 12 months, plain and over volatility, and the trend signals;
+    labels are buckets of normalised returns, beside them the forward returns. Gaps of daily prices are filled."""
+    facts = dense(prices(spark, d, "p_brand", False))
+    daily = kept(facts.select("date", "symbol", w.fill_forward(F.col(A)).alias(A)), "filled")
+    monthly = kept(month_last(daily, A), "months")
+    rows = monthly.select("date", "symbol", w.future_return(F.col(A), 1).alias("ret"), *[w.momentum(F.col(A), n).alias(f"mom_{n}m") for n in MOMENTA])
+    for n in MOMENTA:
+        rows = rows.join(signals.realised_volatility(daily, A, 21 * n, least=19 * n, name=f"_v{n}"), ["date", "symbol"], "left")
+    rows = rows.withColumns({f"mom_{n}m_norm": normalised_momentum(F.col(f"mom_{n}m"), F.col(f"_v{n}")) for n in MOMENTA})
+    rows = rows.join(signals.trend_signals(daily, A), ["date", "symbol"], "left").withColumn("good", F.lit(True))
+    rows = kept(rows.select("date", "symbol", "good", "ret", *_SCRIPT), "features")
+    y = dataset.labels(monthly, daily, A, 1, ForecastType.NORMALISED_RETURNS, LABELS)
+    return dataset.samples(rows, y, rows, ["ret", *_SCRIPT], bucketed=True, drop_missing=True)
+
+
+@register("grid_samples", f"""WITH {SCRIPT} SELECT bk.date AS "timestamp", bk.symbol, CAST(CASE WHEN k = 1 THEN 2 ELSE least(i * 3 // (k - 1), 2) END AS INTEGER) AS y, {r6('ret', *_SCRIPT)}
+FROM bk JOIN trend ON trend.date = bk.date AND trend.symbol = bk.symbol WHERE bk.y IS NOT NULL AND ret IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in _SCRIPT)}""")
+def grid_samples(spark, d):
+    return script_samples(spark, d)
 
 
 def ranker(**options) -> BoostedRanker:
-    return BoostedRanker(["m3", "m6"], n_labels=LABELS, options=options)
+    return BoostedRanker(_SCRIPT, n_labels=LABELS, options=options)
 
 
 @register("cross_validation")
 def cross_validation(spark, d):
-    return cross_validated(ranker(), ranked_samples(spark, d), "ret", k=5)
+    return cross_validated(ranker(), script_samples(spark, d), "ret", k=5)
 
 
 @register("grid_search")
 def grid(spark, d):
-    return grid_search(ranker, ranked_samples(spark, d), GRID, "ret", new_path(spark, "results"), k=5)
+    return grid_search(ranker, script_samples(spark, d), GRID, "ret", new_path(spark, "results"), k=5)
 
 
 K = 3
@@ -383,7 +414,7 @@ def _prices(spark, d):
 
 
 def _cov(spark, d):
-    return scoring.covariance(scoring.window_returns(_prices(spark, d), chosen(spark, d)))
+    return scoring.pairwise_covariance(_prices(spark, d), chosen(spark, d))
 
 
 @register("selected_symbols", f"WITH {CHOSEN} SELECT date, symbol, CAST(slot AS INTEGER) AS slot FROM chosen")

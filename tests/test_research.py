@@ -1,11 +1,14 @@
 """Models, portfolios, the catalogue and the store on cases worked out by hand or by brute force."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from factorloom.operators import models, ranking, scoring, trimming
 from factorloom.operators.cleaning import without_spikes
+from factorloom.plans.registry import QUERIES
 from factorloom.plans.research_queries import GRID
 from factorloom.sources.catalog import Catalog, check_dates
 from factorloom.store import PanelStore
@@ -286,6 +289,26 @@ def test_still_prices_do_not_spoil_a_date(spark):
         assert abs(sum(r.weight for r in found) - 1) < 1e-9
 
 
+def test_covariances_of_segments_equal_those_of_whole_windows(spark):
+    rng = np.random.default_rng(3)
+    days = [f"2020-{m:02d}-{d:02d}" for m in range(1, 9) for d in range(1, 29)]
+    rows = [(d, s, float(rng.uniform(5, 9)) if rng.random() > 0.1 else None) for d in days for s in "abcde"]
+    prices = spark.createDataFrame(rows, "date string, symbol string, price double").withColumn("date", F.to_date("date"))
+    chosen = [(f"2020-{m:02d}-28", s) for m in (1, 3, 4, 5, 8) for s in rng.choice(list("abcde"), 3, replace=False)] + [("2020-04-28", "zz"), ("2019-01-31", "a")]
+    chosen = spark.createDataFrame(chosen, "date string, symbol string").withColumn("date", F.to_date("date"))
+    want = {(r.date, r.a, r.b): r.cov for r in scoring.covariance(scoring.window_returns(prices, chosen)).collect()}
+    got = {(r.date, r.a, r.b): r.cov for r in scoring.pairwise_covariance(prices, chosen).collect()}
+    assert got.keys() == want.keys() and len(want) > 40 and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+    assert scoring.pairwise_covariance(prices, chosen.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", ["vol_weights", "portfolio_value", "ratio_summary", "momentum_summary"])
+def test_summaries_and_portfolios_read_little(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 4
+
+
 def test_missing_days_fail(spark):
     rows = [("2020-03-31", "a", f"2020-03-{d:02d}", None if d < 12 else 0.1) for d in range(1, 20)]
     returns = spark.createDataFrame(rows, "date string, symbol string, day string, r double").withColumns({"date": F.to_date("date"), "day": F.to_date("day")})
