@@ -8,11 +8,14 @@ pair at the threshold passes with probability RECALL; K follows the number of ve
 stay small. Pairs that pass the count are verified by cosine in double precision, in the first table
 in which they collide, so that each pair is met once.
 
+Without a chance, `exact` keeps all vectors in one cell and one table: a window of the projection's length times the
+distance at the threshold holds every link, and blocks of the cell meet each other, at a cost that is quadratic.
+
 Equal vectors are one node. A cell with more than BLOCK rows is cut into blocks and its pairs of
 blocks are dealt out. Tasks return sums of links and a spanning forest, never the pairs themselves.
 
-Defined results: vectors that are null, empty, zero or hold null or non-finite components link with
-nothing; vectors of different lengths do not link; rows that repeat a vec_id are vectors of their
+Defined results: vectors that are null, empty, zero or hold null or non-finite components, or whose squares
+overflow or vanish in double precision, link with nothing; vectors of different lengths do not link; rows that repeat a vec_id are vectors of their
 own; a component is named by its least vec_id; an empty table gives no rows; other columns are ignored.
 """
 
@@ -101,10 +104,15 @@ def _cells(bits: int, tables: int):
     return run
 
 
-def _links(bits: int, tables: int, width: float, cosine: float, count: int):
-    """Rows (kind, a, b): kind 0 adds b links to node a, kind 1 is an edge of a spanning forest."""
+def sufficient(dims: int, cosine: float) -> float:
+    """How far two vectors with that cosine can lie apart on the first projection."""
+    return float(np.linalg.norm(planes(dims, 0, 1)[1])) * math.sqrt(2 - 2 * cosine) * (1 + 1e-9) + 1e-9
+
 
-    def pairs_of(x, i, j, keys, places, table):
+def _links(bits: int, tables: int, width: float | None, cosine: float, count: int):
+    """Rows (kind, a, b): kind 0 adds b links to node a, kind 1 is an edge of a spanning forest. No width is a sufficient one."""
+
+    def pairs_of(x, i, j, keys, places, table, width):
         """Which pairs i, j pass the count, collide in `table` first, and then pass the cosine."""
         passed = []
         for at in range(0, len(i), PAIRS):
@@ -127,11 +135,12 @@ def _links(bits: int, tables: int, width: float, cosine: float, count: int):
         return [np.concatenate(p) for p in zip(*found, strict=True)]
 
     def same_length(nodes, sizes, side, x, cell):
+        wide = sufficient(x.shape[1], cosine) if width is None else width
         keys, places = cells_of(x, bits, tables), x @ planes(x.shape[1], bits, tables)[1]
         table = int(cell) >> 48
         order = np.argsort(places[:, table], kind="stable")  # the sorted projection of this cell
         line = places[order, table]
-        last = np.searchsorted(line, line + width, side="right")
+        last = np.searchsorted(line, line + wide, side="right")
         degree, forest = np.zeros(len(nodes), np.int64), {}
 
         def root(v):
@@ -151,7 +160,7 @@ def _links(bits: int, tables: int, width: float, cosine: float, count: int):
             if across:
                 other = side[i] != side[j]
                 i, j = i[other], j[other]
-            i, j = pairs_of(x, i, j, keys, places, table)
+            i, j = pairs_of(x, i, j, keys, places, table, wide)
             np.add.at(degree, i, sizes[j])
             np.add.at(degree, j, sizes[i])
             for a, b in zip(i.tolist(), j.tolist(), strict=True):
@@ -191,15 +200,18 @@ def _links(bits: int, tables: int, width: float, cosine: float, count: int):
 
 
 @tidy
-def linked(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, count: int = COUNT) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every row of vectors(vec_id, embedding)."""
+def linked(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, count: int = COUNT, exact: bool = False) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every row of vectors(vec_id, embedding); exact takes no chance of a lost link."""
     packed = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_pack, "vec_id long, packed binary"), "packed")
     whole = packed.filter("packed IS NOT NULL").withColumn("key", F.sha2("packed", 256))
     grouped = whole.groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"), F.min("packed").alias("packed"))
     nodes = written(grouped.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    bits, tables, width = calibrated(nodes.count(), cosine, recall, count)
-
-    cells = nodes.select("node", "packed").mapInArrow(_cells(bits, tables), "node long, cell long")
+    if exact:
+        bits, tables, width, count = 0, 1, None, 1
+        cells = nodes.select("node", F.lit(0).cast("long").alias("cell"))
+    else:
+        bits, tables, width = calibrated(nodes.count(), cosine, recall, count)
+        cells = nodes.select("node", "packed").mapInArrow(_cells(bits, tables), "node long, cell long")
     cells = written(cells, "cells")
     shared = written(cells.groupBy("cell").agg(F.count("*").alias("rows")).filter("rows > 1"), "shared")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")

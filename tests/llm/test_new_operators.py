@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factorloom.llm import audit, codes, common, languages, mixing, secrets
+from factorloom.llm import audit, codes, common, languages, mixing, quality, secrets, vectors
 from factorloom.sources.shipping import ship
 
 
@@ -312,3 +312,51 @@ def test_draws_of_one_source_meet_their_shards(spark):
     for source in "ab":
         passes = {(r.block, r.d["pass"]) for r in got if r.source == source}
         assert len(passes) == sum(r.source == source for r in got)  # each draw has one shard
+
+
+# --- 3 ------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("block", [40, 2048])
+def test_exact_links_equal_brute_force_at_the_threshold(spark, monkeypatch, block):
+    """Pairs a hair above and below the threshold, blocks that meet each other, two lengths."""
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    x = []
+    for _ in range(60):
+        a, b = rng.normal(size=(2, 24))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        for cosine in (0.9501, 0.9499):
+            x.append(cosine * a + math.sqrt(1 - cosine**2) * b)
+        x.append(3 * a)
+    x += [rng.normal(size=8) for _ in range(10)]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.linked(df, exact=True).collect()}
+    unit = [v / np.linalg.norm(v) for v in x]
+    near = {i: [j for j in range(len(x)) if j != i and len(x[i]) == len(x[j]) and unit[i] @ unit[j] >= 0.95] for i in range(len(x))}
+    for i in range(len(x)):
+        reach, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in reach:
+                    reach.add(j)
+                    todo.append(j)
+        assert found[i] == (len(near[i]), min(reach))
+    assert sum(map(len, near.values())) >= 120
+
+
+# --- 4 ------------------------------------------------------------------------------------------
+def test_temperature_lowers_the_loss_of_rows_not_seen():
+    """Noisy labels and few rows make a network too sure; the temperature must take that back."""
+    rng = np.random.default_rng(0)
+    w = rng.normal(size=quality.DIMS * 2)
+    x = rng.normal(size=(4400, quality.DIMS * 2))
+    y = ((x @ w / np.linalg.norm(w) + rng.normal(size=4400) * 1.2) > 0).astype(float)
+    network = quality.Network(x[:400], y[:400], epochs=150)
+    logits, sign = network.logits(x[400:]), 2 * y[400:] - 1
+    loss = lambda t: np.logaddexp(0, -sign * logits / t).mean()
+    assert network.temperature > 1.2 and loss(network.temperature) < loss(1.0) - 0.05
+    score = network.score(x[400:])
+    for low in np.arange(0.1, 0.9, 0.2):  # shares of label 1 follow the scores
+        part = (score >= low) & (score < low + 0.2)
+        assert abs(y[400:][part].mean() - score[part].mean()) < 0.12
