@@ -317,7 +317,15 @@ def walk_forward_single_feature(spark, d):
     return walk_forward(SingleFeature("m3"), all_samples(spark, d), dataset.rolling(spark, "1995-01-31", "1998-12-31", "1999-12-31"))
 
 
-@register("bb_model")
+_cut = lambda source, x, k: f"""(SELECT * FROM (SELECT *, count(*) FILTER ({x} > q{k}) OVER (PARTITION BY date) AS rest{k} FROM (
+  SELECT *, quantile_cont({x}, 0.1) OVER (PARTITION BY date) AS q{k}, count(*) OVER (PARTITION BY date) AS n{k} FROM {source})) WHERE rest{k} < 20 OR {x} > q{k})"""
+
+
+@register("bb_model", f"""WITH RECURSIVE {SCORED}, t AS (SELECT 0 AS step, date, symbol, f1 AS a, -f2 AS b, true AS going FROM scored UNION ALL
+SELECT step + 1, date, symbol, a, b, rest1 >= 20 AND rest1 < n1 AND rest2 >= 20 AND rest2 < n2 FROM {_cut(_cut("(SELECT * FROM t WHERE going)", "a", 1), "b", 2)}),
+stay AS (SELECT date, symbol FROM t SEMI JOIN (SELECT date, max(step) AS step FROM t GROUP BY 1) USING (date, step))
+SELECT scored.date AS "timestamp", scored.symbol, CASE WHEN stay.symbol IS NOT NULL THEN round(f1 + 1e-9, 6) + 0.0 ELSE -1e11 END AS score
+FROM scored LEFT JOIN stay ON stay.date = scored.date AND stay.symbol = scored.symbol""")
 def bb_model(spark, d):
     return TrimmedScorer(SingleFeature("f1"), SingleFeature("f2"), 0.1, 20).predict(_stamped(spark, d)).select("timestamp", "symbol", "score")
 

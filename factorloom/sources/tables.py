@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,20 +11,23 @@ from ..functions.calendar import month_end
 from ..operators.panel import dense
 from .shared import kept
 
-_facts: dict = {}
+#: Facts of the query that runs; each thread of the driver has its own.
+_facts: ContextVar[dict | None] = ContextVar("facts", default=None)
 
 
 def fresh() -> None:
     """Forgets the facts of earlier queries; their tables may have changed."""
-    _facts.clear()
+    _facts.set({})
 
 
 def once(spark: SparkSession, key: tuple, make) -> DataFrame:
     """Aggregated facts, written to the shared folder once in a query, however often its plan uses them."""
-    key = (spark.sparkContext.applicationId, *key)
-    if key not in _facts:
-        _facts[key] = kept(make(), key[1])
-    return _facts[key]
+    key, facts = (spark.sparkContext.applicationId, *key), _facts.get()
+    if facts is None:
+        _facts.set(facts := {})
+    if key not in facts:
+        facts[key] = kept(make(), key[1])
+    return facts[key]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

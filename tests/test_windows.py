@@ -24,6 +24,7 @@ def grid(df, name="y"):
     return [[None if x is None or math.isnan(x) else round(x, 9) for x in r] for r in wide.to_numpy(float).tolist()]
 
 
+# Inputs and results that must come out the same.
 SUMS = [[0, 1, 2], [3, 5, 7], [9, 12, 15], [18, 22, 26], [30, 35, 40]]
 GAP = [[0, 1, 2], [3, 5, N], [9, 12, 15], [18, 22, 26], [30, 35, 40]]
 
