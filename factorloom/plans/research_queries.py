@@ -14,7 +14,7 @@ from ..operators import cross_section as xs
 from ..operators.panel import dense, month_last
 from ..operators.models import BoostedRanker, MetaScorer, RandomScore, SingleFeature, TrimmedScorer, cross_validated, grid_search, walk_forward
 from ..operators.ratios import Ratio, with_ratios
-from ..sources.catalog import Catalog
+from ..sources.catalog import Catalog, append_results, read_results
 from ..sources.shared import kept, new_path, set_shared_dir
 from ..sources.tables import panel_d, panel_m, prices, scored
 from .base import BY, PD, PM, RAW_B, SCORED, fut, logret, mom, r6, register, rolling
@@ -270,6 +270,16 @@ def samples_by_split(spark, d):
     return placed.groupBy("fold", "split").agg(F.count("*").alias("n"), F.avg("y").alias("y"))
 
 
+@register("results_by_append", f"""WITH {ALL}, iv AS (SELECT * FROM (VALUES {_VALUES}) AS v(fold, split, a, b)), r AS (SELECT CAST(fold AS INTEGER) AS fold, split, count(*) AS n, round(avg(y) + 1e-9, 6) + 0.0 AS y
+FROM samples JOIN iv ON "timestamp" > a AND "timestamp" <= b GROUP BY 1, 2) SELECT * FROM r UNION ALL SELECT fold, split, -n, y FROM r""")
+def results_by_append(spark, d):
+    """Results appended twice as JSON lines, and read back."""
+    found, path = kept(samples_by_split(spark, d), "found"), new_path(spark, "results")
+    append_results(found, path)
+    append_results(found.withColumn("n", -F.col("n")), path)
+    return read_results(spark, path, "fold int, split string, n bigint, y double")
+
+
 _K = f"""WITH {ALL}, k AS (SELECT *, dense_rank() OVER (ORDER BY "timestamp") - 1 AS k FROM samples), t AS (SELECT *, (SELECT count(DISTINCT "timestamp") FROM samples) AS n FROM k)"""
 
 
