@@ -11,10 +11,11 @@ from factorloom.functions.calendar import month_ends_ahead
 from factorloom.operators import cross_section as xs
 from factorloom.operators import dataset, panel, scoring
 from factorloom.operators.cleaning import without_spikes
-from factorloom.operators.models import trimmed
 from factorloom.operators.ratios import with_ratios
+from factorloom.operators.trimming import trimmed
 from factorloom.plans import research_queries
 from factorloom.sources.catalog import Catalog
+from factorloom.sources.tables import prices
 
 
 def day(n):
@@ -94,10 +95,10 @@ def test_solvers():
     assert np.linalg.eigvalsh(scoring.nearest_covariance(np.array([[1, 0.99, -0.99], [0.99, 1, 0.99], [-0.99, 0.99, 1]])))[0] > 0
 
 
-def test_trimming_keeps_k():
+def test_trimming_keeps_k(spark):
     rng = np.random.default_rng(2)
-    stay = trimmed(rng.normal(size=200), rng.normal(size=200), 0.1, 50)
-    assert 50 <= stay.sum() < 200
+    rows = spark.createDataFrame([("d", float(a), float(b)) for a, b in rng.normal(size=(200, 2))], "day string, a double, b double")
+    assert 50 <= trimmed(rows, ["day"], "a", "b", 0.1, 50).filter("left").count() < 200
 
 
 def test_unknown_ratio(spark):
@@ -112,9 +113,11 @@ def test_grid_and_folds_fit_rankers_and_average_forward_returns(spark, monkeypat
     monkeypatch.setattr(research_queries, "grid_search", lambda make, rows, options, returns, path, **cv: calls.append((make(**{k: v[0] for k, v in options.items()}), rows, returns, cv)))
     research_queries.cross_validation(spark, "/root/testdata/sf0.001")
     research_queries.grid(spark, "/root/testdata/sf0.001")
-    ahead = {(r.timestamp, r.symbol): r.y for r in research_queries.all_samples(spark, "/root/testdata/sf0.001").collect()}
+    daily = prices(spark, "/root/testdata/sf0.001", "p_brand", False).toPandas().pivot(index="date", columns="symbol", values="adjusted_close").ffill()
+    monthly = daily.groupby(lambda d: (d.year, d.month)).last()
+    ahead = (monthly.shift(-1) / monthly - 1).stack().to_dict()
     for model, rows, returns, cv in calls:
         assert isinstance(model, research_queries.BoostedRanker) and model.options.get("n_estimators", 100) >= 80 and cv.get("n_folds", 5) == 5
         found = rows.collect()
-        assert found and all(r[returns] == ahead[r.timestamp, r.symbol] and r.y in (0, 1, 2) for r in found)
+        assert found and all(r[returns] == pytest.approx(ahead[(r.timestamp.year, r.timestamp.month), r.symbol]) and r.y in (0, 1, 2) for r in found)
     assert len(calls) == 2 and len(list(research_queries.dataset.parameter_grid(research_queries.GRID))) == 81
