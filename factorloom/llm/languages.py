@@ -7,7 +7,8 @@ is measured at c log2(m) / n bits a symbol; the least wins, ties go to the lesse
 parsed: batches of texts step through the automata side by side, and the few longest ones one by one.
 
 What is learnt is bounded: WINDOWS windows of WINDOW characters in all, an equal share for each language,
-one at a hashed place of each of the documents of the least hashed ids. Each automaton is built in
+one at a hashed place of each of the documents of the least hashed ids; of more than WINDOWS languages those
+of the least names are learnt. Each automaton is built in
 a task of its own; together they have at most 2 x WINDOWS x (WINDOW + 1) states of SYMBOLS transitions of four bytes.
 
 Only the text is an input of a prediction. Rows whose crc32(doc_id as text) mod 4 is 2 are never learnt.
@@ -228,12 +229,12 @@ def windows(docs: DataFrame, total: int = WINDOWS, size: int = WINDOW) -> DataFr
     ids = written(known.select("lang", h.alias("h")).distinct(), "learnable")
     level = F.floor(F.log2(F.col("h") + 1)).cast("int")  # documents below 2^(level + 1)
     sizes = ids.groupBy("lang", level.alias("level")).agg(F.count("*").alias("n"))
-    share = F.lit(total) / F.size(F.collect_set("lang").over(Window.partitionBy(F.lit(1))))
-    upto = sizes.withColumn("share", F.greatest(F.lit(1), F.floor(share))).withColumn("n", F.sum("n").over(Window.partitionBy("lang").orderBy("level")))
-    limit = upto.groupBy("lang").agg(F.first("share").alias("share"), F.min(F.when(F.col("n") >= F.col("share"), F.col("level"))).alias("top"))
-    limit = written(limit.select("lang", "share", F.coalesce("top", F.lit(63)).alias("top")).orderBy("lang").limit(total), "limits")
+    share = max(1, total // max(1, ids.select("lang").distinct().count()))
+    upto = sizes.withColumn("n", F.sum("n").over(Window.partitionBy("lang").orderBy("level")))
+    limit = upto.groupBy("lang").agg(F.min(F.when(F.col("n") >= share, F.col("level"))).alias("top"))
+    limit = written(limit.select("lang", F.coalesce("top", F.lit(63)).alias("top")).orderBy("lang").limit(total), "limits")
     near = ids.join(limit, "lang").filter(level <= F.col("top"))
-    ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter("place <= share").select("lang", "h")
+    ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("place") <= share).select("lang", "h")
     length = F.length("text")
     spot = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.greatest(length - size + 1, F.lit(1)))
     found = known.withColumn("h", h).join(F.broadcast(written(ranked, "chosen")), ["lang", "h"])
