@@ -268,7 +268,8 @@ class Fits:
         columns = {k: self.grown[self.fits[k][0]].columns(self.features, tree) for k in todo}
         rates = [self.grown[j].learning_rate for j, _ in self.fits]
         value = {
-            "todo": todo, "level": level, "past": past, "fresh": fresh or {}, "columns": columns, "rates": rates,
+            "todo": todo, "level": level, "past": [_stacked(past[at : at + self.block], rates[at : at + self.block]) for at in range(0, len(past), self.block)],
+            "fresh": fresh or {}, "columns": columns,
             "folds": [fold for _, fold in self.fits], "block": self.block, "features": self.features, "stored": not any(past) and self.since == tree,
         }
         return self.state.sparkSession.sparkContext.broadcast(value)
@@ -335,11 +336,29 @@ def _opened(row: dict, features: int):
     )
 
 
-def _replayed(known: dict, first: int, bins: np.ndarray, score: np.ndarray) -> np.ndarray:
+def _stacked(past: list[list[Tree]], rates: list[float]) -> list[tuple]:
+    """The trees of a block's fits that are not written yet, those of one turn and depth side by side."""
+    out = []
+    for turn in range(max(map(len, past), default=0)):
+        depths: dict[int, list[int]] = {}
+        for i, trees in enumerate(past):
+            if turn < len(trees):
+                depths.setdefault(trees[turn].depth, []).append(i)
+        for depth, fits in depths.items():
+            parts = [np.stack([getattr(past[i][turn], name) for i in fits]) for name in ("features", "cuts", "values")]
+            out.append((depth, fits, np.array([rates[i] for i in fits])[:, None], *parts))
+    return out
+
+
+def _replayed(known: dict, block: int, bins: np.ndarray, score: np.ndarray) -> np.ndarray:
     """Scores of a block's fits after the trees that are not written yet."""
-    for i in range(len(score)):
-        for tree in known["past"][first + i]:
-            score[i] += known["rates"][first + i] * tree.score(bins)
+    rows = np.arange(len(bins))
+    for depth, fits, rates, features, cuts, values in known["past"][block]:
+        node = np.zeros((len(fits), len(bins)), np.int64)
+        for level in range(depth):
+            at = (1 << level) - 1 + node
+            node = 2 * node + (bins[rows, np.take_along_axis(features, at, 1)] > np.take_along_axis(cuts, at, 1))
+        score[fits] += rates * np.take_along_axis(values, node, 1)
     return score
 
 
@@ -362,7 +381,7 @@ def _advancing(shared, gradients: bool):
             out = []
             for row in batch.to_pylist():
                 y, bins, train, score = _opened(row, known["features"])
-                score = _replayed(known, row["block"] * known["block"], bins, score)
+                score = _replayed(known, row["block"], bins, score)
                 row |= {"score": score.tobytes(), "pull": None, "bend": None}
                 if gradients:
                     folds = known["folds"][row["block"] * known["block"] :][: len(score)]
@@ -406,7 +425,7 @@ def _emitting(shared):
                     pull, bend = (np.frombuffer(row[c], np.int64).reshape(score.shape) for c in ("pull", "bend"))
                 else:
                     there[[i for i in range(len(score)) if i not in set(mine)]] = False
-                    pull, bend = _gradients(y, _replayed(known, first, bins, score), there)
+                    pull, bend = _gradients(y, _replayed(known, row["block"], bins, score), there)
                 for i in mine:
                     k, some = first + i, np.flatnonzero(there[i])
                     if not len(some):
