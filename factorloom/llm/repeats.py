@@ -14,9 +14,10 @@ such that nothing can be lost:
   are hashes; from there Spark groups (rank, rank at an offset) pairs of one core and distance at
   growing offsets of 1, 2 and 4 places: ranks of 64, 128 and 256 bytes, and by an offset of 3 of 352.
   At each length, places whose rank is unique drop out, and the others' pairs are ranked anew.
-* A place that is left at 352 bytes stands for the cell of the 32 starts before it (their 400 bytes all
-  hold its 352). Cells whose whole reach of 431 bytes is repeated are removed; the others, the cells at
-  the borders of repeats, are ranked start by start at 400 bytes.
+* A place that is left at 352 bytes stands for the cell of the 32 starts before it: the 400 bytes of each hold
+  the place's 352 and 48 more, before and after. The last ranks are pairs of the rank that doubling gave the
+  place and the rank of those ends. Cells whose whole reach (431 bytes, ends of 31 and 48) is repeated are removed;
+  the others, the cells at the borders of repeats, are ranked start by start, with ends of 48 bytes.
 
 A rank is a 64-bit hash, of the bytes or of the pair, together with the 64-bit hash of the core.
 
@@ -40,6 +41,7 @@ from .common import discard, tidy, written
 LENGTH = 400
 CORE = 32
 CELL = 32
+SHARED = 352  # bytes that doubling ranks: all starts of a cell hold them, as SHARED + CELL <= LENGTH + 1
 SEGMENT = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
 
@@ -138,29 +140,29 @@ def _slices(batches):
 
 
 def _cells(batches):
-    """Of each slice, its places: the rank of 32 bytes, whether a full cell of starts lies before, and the rank of that cell's reach."""
+    """Of each slice, its places: the rank of 32 bytes, whether a full cell of starts lies before, and the rank of the ends of that cell's reach."""
     for batch in batches:
-        out = {k: [] for k in ("row", "cell", "full", "rank", "reach")}
+        out = {k: [] for k in ("row", "cell", "full", "rank", "ends")}
         for i, (place, data) in enumerate(zip(batch.column("place").to_pylist(), batch.column("bytes").to_pylist(), strict=True)):
             far, near, view = (place >> 10) & 1023, place & 1023, memoryview(data)
             for cell in range(-((LENGTH - near) // CELL - 1), far // CELL + 1):
                 low, high = cell * CELL, cell * CELL + CELL - 1  # distances to the anchor
-                full = near <= low and high <= far
+                full, at = near <= low and high <= far, far - low
                 out["row"].append(i)
                 out["cell"].append(cell)
                 out["full"].append(full)
-                out["rank"].append(rank(view[far - low : far - low + CELL]))
-                out["reach"].append(rank(view[far - high : far - low + LENGTH]) if full else 0)
+                out["rank"].append(rank(view[at : at + CELL]))
+                out["ends"].append(rank(data[far - high : at] + data[at + SHARED : at + LENGTH]) if full else 0)
         rows = pa.array(out["row"], pa.int64())
         yield _table({
             **{c: batch.column(c).take(rows) for c in ("core", "whole", "n", "id", "v", "place")},
             "cell": pa.array(out["cell"], pa.int32()), "full": pa.array(out["full"], pa.bool_()),
-            "rank": pa.array(out["rank"], pa.int64()), "reach": pa.array(out["reach"], pa.int64()),
+            "rank": pa.array(out["rank"], pa.int64()), "ends": pa.array(out["ends"], pa.int64()),
         })
 
 
 def doubled(ranks: DataFrame) -> DataFrame:
-    """Of ranks(core, whole, cell, rank) of 32 bytes, those of 352 bytes that several runs of a core share.
+    """Of ranks(core, whole, cell, rank) of 32 bytes, those of SHARED bytes that several runs of a core share.
 
     A run's cells count backwards, so that the place an offset ahead is the cell of so many less."""
     for offset in (0, 1, 2, 4, 3):
@@ -179,19 +181,22 @@ def doubled(ranks: DataFrame) -> DataFrame:
 
 
 def _starts(batches):
-    """The rank of each start of the listed cells."""
+    """Each start of the listed cells: its distance to the anchor, the cell's rank, and the rank of the ends."""
     for batch in batches:
         for row in batch.to_pylist():
-            far, near, anchor = (row["place"] >> 10) & 1023, row["place"] & 1023, row["place"] >> 20
-            view, ranks, starts = memoryview(row["bytes"]), [], []
+            far, near, anchor, data = (row["place"] >> 10) & 1023, row["place"] & 1023, row["place"] >> 20, row["bytes"]
+            distances, shared, ends = [], [], []
             for cell in row["cells"]:
-                for d in range(max(near, cell * CELL), min(far, cell * CELL + CELL - 1) + 1):
-                    ranks.append(rank(view[far - d : far - d + LENGTH]))
-                    starts.append(anchor - d)
-            n = len(ranks)
+                at = far - cell["cell"] * CELL
+                for d in range(max(near, cell["cell"] * CELL), min(far, cell["cell"] * CELL + CELL - 1) + 1):
+                    ends.append(rank(data[far - d : at] + data[at + SHARED : far - d + LENGTH]))
+                    shared.append(cell["shared"])
+                    distances.append(d)
+            n = len(ends)
             yield _table({
-                "core": np.full(n, row["core"], np.int64), "rank": np.array(ranks, np.int64), "id": np.full(n, row["id"], np.int64),
-                "v": np.full(n, row["v"], np.int64), "start": np.array(starts, np.int64), "asks": np.full(n, row["n"] == 1),
+                "core": np.full(n, row["core"], np.int64), "distance": np.array(distances, np.int32), "shared": np.array(shared, np.int64),
+                "ends": np.array(ends, np.int64), "id": np.full(n, row["id"], np.int64), "v": np.full(n, row["v"], np.int64),
+                "start": anchor - np.array(distances, np.int64), "asks": np.full(n, row["n"] == 1),
             })
 
 
@@ -225,15 +230,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     slices = rows.select("id", "v", squeezed(F.col("text")).alias("data")).join(written(listed, "listed"), ["id", "v"]).dropDuplicates(["id", "v"])
     slices = written(slices.mapInArrow(_slices, "core long, whole long, n long, id long, v long, place long, bytes binary"), "slices")
 
-    cells = written(slices.mapInArrow(_cells, "core long, whole long, n long, id long, v long, place long, cell int, full boolean, rank long, reach long"), "cells")
+    cells = written(slices.mapInArrow(_cells, "core long, whole long, n long, id long, v long, place long, cell int, full boolean, rank long, ends long"), "cells")
     shared = doubled(cells.select("core", "whole", "cell", "rank")).withColumnRenamed("rank", "shared")
     near, far = F.col("place").bitwiseAND(1023), F.shiftright("place", 10).bitwiseAND(1023)
     starts = (F.col("cell") * CELL <= far) & (F.col("cell") * CELL + CELL > near)  # the cells that hold starts
     live = written(cells.filter(starts).drop("rank").join(shared, ["core", "whole", "cell"]), "live")
-    reach = live.filter("full").groupBy("core", "cell", "reach").agg(F.count("*").alias("k"), F.min(F.struct("whole", "place")).alias("first")).filter("k > 1")
-    reach = written(reach.select("core", "cell", "reach", "first"), "reach")
+    reach = live.filter("full").groupBy("core", "cell", "shared", "ends").agg(F.count("*").alias("k"), F.min(F.struct("whole", "place")).alias("first")).filter("k > 1")
+    reach = written(reach.select("core", "cell", "shared", "ends", "first"), "reach")
     judged = written(
-        live.join(reach.withColumn("full", F.lit(True)), ["core", "cell", "reach", "full"], "left")
+        live.join(reach.withColumn("full", F.lit(True)), ["core", "cell", "shared", "ends", "full"], "left")
         .withColumn("gone", F.col("first").isNotNull())
         .withColumn("stands", ~F.col("gone") | (F.col("first.whole") == F.col("whole"))).drop("first"),
         "judged",
@@ -242,9 +247,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spans.append(judged.filter("gone AND n = 1").select("id", "v", (anchor - low - CELL + 1).alias("start"), (anchor - low + LENGTH).alias("end")))
 
     asking = written(judged.filter("NOT gone AND n = 1").select("core", "cell", "shared").distinct(), "asking")
-    wanted = judged.filter("stands").join(asking, ["core", "cell", "shared"]).groupBy("core", "whole").agg(F.collect_list("cell").alias("cells"))
-    starts = slices.join(written(wanted, "wanted"), ["core", "whole"]).mapInArrow(_starts, "core long, rank long, id long, v long, start long, asks boolean")
-    starts = written(starts, "starts")
+    wanted = judged.filter("stands").join(asking, ["core", "cell", "shared"]).groupBy("core", "whole").agg(F.collect_list(F.struct("cell", "shared")).alias("cells"))
+    starts = slices.join(written(wanted, "wanted"), ["core", "whole"]).mapInArrow(
+        _starts, "core long, distance int, shared long, ends long, id long, v long, start long, asks boolean"
+    )
+    starts = written(starts.withColumn("rank", F.xxhash64("distance", "shared", "ends")).drop("distance", "shared", "ends"), "starts")
     twice = starts.groupBy("core", "rank").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
     last = starts.filter("asks").join(written(twice, "twice"), ["core", "rank"])
     spans.append(last.select("id", "v", "start", (F.col("start") + LENGTH).alias("end")))
