@@ -1,7 +1,11 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The transducer of a model has a state for each piece that may have been written last. Its arcs read
-the characters of a piece and write its id; characters of no piece write their UTF-8 bytes' ids.
+The normaliser of a model is a transducer of rules, read from the model: at each place the longest rule
+that applies writes its target, and a character of no rule writes itself. Its output is the input of
+the pieces' transducer, which has a state for each piece that may have been written last. Arcs read
+the characters of a piece and write its id; characters of no piece write their UTF-8 bytes' ids, or the
+unknown id, once for neighbours, if the model has no byte pieces. User-defined pieces of byte-pair models
+are found first, leftmost and longest, are not normalised, and end what stands before them.
 Weights are tropical. For byte-pair models an arc from piece p to piece t weighs 0 if merging the
 characters of p and t gives back p, t, and infinity otherwise: the path of finite weight is unique
 and is the byte-pair segmentation, because a sequence of pieces is one exactly if all neighbours
@@ -11,7 +15,9 @@ after it), which no piece crosses; results of units are kept in a bounded cache
 
 Defined results: a null text counts as empty, and an empty text has no pieces; decoding gives the
 normalised text, in which the piece for white space reads as a space; repeated rows are encoded
-each; other columns are ignored.
+each; other columns are ignored. Unknown ids read as the model's mark, so that such texts have no round trip.
+Models with unused pieces, denormalisers, white space as a suffix, or user-defined pieces beside unigram
+scores are an error.
 """
 
 from __future__ import annotations
@@ -93,11 +99,73 @@ def unit_cost(unit: str, ids: bytes) -> int:
     return 200 + 2 * len(unit) + len(ids) if len(unit) <= LONG_UNIT else 0
 
 
+class Normaliser:
+    """The rules of a model, as the double array of their sources' bytes that the model holds, and its handling of spaces."""
+
+    def __init__(self, rules: bytes, squeeze: bool, special: re.Pattern | None):
+        self.squeeze, self.special = squeeze, special
+        size = int.from_bytes(rules[:4], "little")
+        self.units, self.targets = np.frombuffer(rules[4 : 4 + size], "<u4").tolist(), rules[4 + size :]
+        # ASCII that stands before ASCII is mapped at once, unless rules read two such characters
+        found = [self.longest(bytes([c])) for c in range(128)]
+        self.table = {c: target for c, (length, target) in enumerate(found) if length}
+        pairs = any(self.begins(bytes([a, b])) for a in range(128) for b in range(128))
+        self.part = re.compile(rb"(?s)[\x00-\x7f]|[\xc0-\xff][\x80-\xbf]*" if pairs else rb"(?s)[\x00-\x7f]+(?![\x80-\xff])|[\x00-\x7f]|[\xc0-\xff][\x80-\xbf]*")
+
+    def nodes(self, data: bytes, at: int = 0):
+        """Numbers of bytes of data from `at` on, and the places of the units that they lead to."""
+        place = self.child(0) if self.units else 0
+        for i in range(at, len(data) if self.units else 0):
+            node = place ^ data[i]
+            if node >= len(self.units) or self.units[node] & 0x800000FF != data[i]:
+                return
+            yield i + 1 - at, node
+            place = self.child(node)
+
+    def child(self, node: int) -> int:
+        unit = self.units[node]
+        return node ^ ((unit >> 10) << ((unit & 0x200) >> 6))
+
+    def begins(self, data: bytes) -> bool:
+        """Whether the source of any rule begins with data."""
+        return any(n == len(data) for n, _ in self.nodes(data))
+
+    def longest(self, data: bytes, at: int = 0) -> tuple[int, str]:
+        """The bytes that the longest rule reads from `at` on (0: no rule applies) and its target."""
+        length, target = 0, ""
+        for n, node in self.nodes(data, at):
+            if self.units[node] & 0x100:
+                start = self.units[self.child(node)] & 0x7FFFFFFF
+                length, target = n, self.targets[start : self.targets.index(b"\0", start)].decode()
+        return length, target
+
+    def mapped(self, text: str) -> str:
+        data, out, at = text.encode("utf-8", "replace"), [], 0
+        while at < len(data):
+            part = self.part.match(data, at)[0]
+            if len(part) > 1 and part[0] < 128:
+                out.append(part.decode().translate(self.table))
+                at += len(part)
+            else:
+                length, target = self.longest(data, at)
+                out.append(target if length else part.decode())
+                at += length or len(part)
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        """The normalised text, without the space that the model may set before it."""
+        parts = self.special.split(text) if self.special else [text]
+        parts[::2] = map(self.mapped, parts[::2])
+        text = "".join(parts)
+        return re.sub(" +", " ", text).lstrip(" ").rstrip(" " + SPACE) if self.squeeze else text
+
+
 class Transducer:
     def __init__(self, path: str, cache: int = CACHE):
         with open(path, "rb") as file:
             model = list(fields(file.read()))
-        self.score, self.ids, self.bytes, self.out = {}, {}, {}, []
+        self.score, self.ids, self.bytes, self.out, self.given, self.unknown = {}, {}, {}, [], {}, None
+        trainer, normal, back = (dict(fields(b"".join(v for n, v in model if n == k))) for k in (2, 3, 5))
         for number, value in model:
             if number != 1:
                 continue
@@ -110,14 +178,22 @@ class Transducer:
             if kind == 1:
                 self.ids[text] = at
                 self.score[text] = struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0
+            elif kind == 2:
+                self.unknown = at
             elif kind == 4:
-                raise ValueError("user-defined pieces are not supported")
-            self.out.append(text.replace(SPACE, " ").encode() if kind == 1 else b"")
-        trainer, normal = (dict(fields(b"".join(v for n, v in model if n == k))) for k in (2, 3))
-        if normal.get(2) or normal.get(4, 1) or not self.bytes:
-            raise ValueError("only models with the identity normaliser and byte fallback are supported")
+                self.given[text] = at
+            elif kind == 5:
+                raise ValueError("unused pieces are not supported")
+            mark = trainer.get(44, " ⁇ ".encode())
+            self.out.append(text.replace(SPACE, " ").encode() if kind in (1, 4) else mark if kind == 2 and not trainer.get(35) else b"")
         self.prefix = SPACE if normal.get(3, 1) else ""
         self.unigram = trainer.get(3, 1) == 1
+        if back.get(2) or trainer.get(24) or not normal.get(5, 1) or (self.given and self.unigram):
+            raise ValueError("denormalisers, white space as a suffix or kept, and user-defined pieces beside unigram scores are not supported")
+        longest = sorted(self.given, key=len, reverse=True)
+        self.special = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+        self.squeeze = bool(normal.get(4, 1))
+        self.normaliser = Normaliser(normal.get(2, b""), self.squeeze, self.special) if normal.get(2) or self.squeeze else None
         self.text = {at: text for text, at in self.ids.items()}
         automaton = ahocorasick.Automaton()  # finds all pieces in an input, by end, longest first
         for text, at in self.ids.items():
@@ -125,8 +201,11 @@ class Transducer:
         automaton.make_automaton()
         self.matches = automaton.iter
         crossing = any(SPACE in t.lstrip(SPACE) for t in self.ids)
-        self.unit = re.compile(r"(?s).+" if crossing else f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
-        self.lines = not crossing and not any("\n" in t for t in self.ids)
+        plain = f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n"
+        if not self.bytes:  # unknown neighbours are one, so that units end at known characters only
+            crossing, plain = crossing or SPACE not in self.ids, f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
+        self.unit = re.compile(r"(?s).+" if crossing else plain)
+        self.lines = bool(self.bytes) and not crossing and not any("\n" in t for t in self.ids)
         self.kind = "<u2" if len(self.out) < 1 << 16 else "<u4"
         self.units = Recent(self.shortest_path, cache // 2, unit_cost)
         self.weights, self.split = Recent(self.weight, cache // 2, lambda arc, weight: ARC), {}
@@ -181,8 +260,10 @@ class Transducer:
         for at in range(len(unit) + 1):
             if at == len(unit) or unit[at] not in self.score:
                 ids += self._path(unit[start:at])
-                if at < len(unit):
+                if at < len(unit) and self.bytes:
                     ids += [self.bytes[b] for b in unit[at].encode("utf-8", "replace")]
+                elif at < len(unit) and (at == 0 or start < at):
+                    ids.append(self.unknown)
                 start = at + 1
         return np.array(ids, self.kind).tobytes()
 
@@ -204,21 +285,34 @@ class Transducer:
         return found[::-1]
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
+        if text and self.normaliser:
+            text = self.normaliser(text)
+            empty = not text and self.squeeze
+        else:
+            empty = not text
+        if empty:
             return np.zeros(0, self.kind)
         text = self.prefix + text
-        if self.lines and "\n" not in text and "  " not in text and SPACE not in text[1:] and " " not in (text[:1], text[1:2], text[-1]):
+        if self.special:
+            parts = self.special.split(text.replace(" ", SPACE))
+            found = [np.array([self.given[p]], self.kind).tobytes() if i % 2 else self.units_of(p) for i, p in enumerate(parts)]
+            return np.frombuffer(b"".join(found), self.kind)
+        return np.frombuffer(self.units_of(text), self.kind)
+
+    def units_of(self, text: str) -> bytes:
+        """Ids of the units of a normalised text."""
+        if self.lines and "\n" not in text and "  " not in text and SPACE not in text[1:] and " " not in (text[:1], text[1:2], text[-1:]):
             units = text.replace(" ", " " + SPACE).split(" ")  # the units of the pattern below, sooner
         else:
             units = self.unit.findall(text.replace(" ", SPACE))
-        return np.frombuffer(b"".join(map(self.units.__getitem__, units)), self.kind)
+        return b"".join(map(self.units.__getitem__, units))
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
     def normalised(self, text: str) -> str:
-        return text.replace(SPACE, " ")
+        return (self.normaliser(text) if self.normaliser else text).replace(SPACE, " ")
 
 
 @lru_cache(maxsize=4)
