@@ -5,7 +5,8 @@ the TOP by score, pull apart in proportion to what swapping them changes in the
 Many fits (settings x folds) grow side by side on one read of the lists: a list's row holds its binned features
 once and the scores of a block of fits. For each tree and level, tasks add up gradient histograms by (fit, node,
 feature, bin), one aggregation brings them together, and only the chosen splits reach the driver. A node of at most
-SMALL samples is not split level by level: its samples go to one task, which grows the rest of its tree.
+SMALL samples, or any node if the features have at most SMALL combinations of bins, is not split level by level: its
+samples, those of equal bins added up, go to one task, which grows the rest of its tree.
 
 Gradients are fixed-point integers (SCALE), so that sums do not depend on how the lists are dealt, and both ways of
 growing give the same tree. Scores are written to the shared folder every KEEP trees, or with every tree whose
@@ -15,6 +16,7 @@ root is not small; a lost executor costs the passes since.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import prod
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,10 @@ BINS = 32
 TOP = 30
 RIDGE = 1.0
 SCALE = 1 << 30  # of gradients as integers
-SMALL = 1 << 16  # samples of a node that one task grows to its end
+SMALL = 1 << 16  # samples of a node, or sums of samples of equal bins, that one task grows to its end
 KEEP = 8  # trees whose scores are worked out again before they are written
 CELLS = 1 << 21  # pairs, or histogram cells, that a task holds at once
+PIECE = 1 << 15  # pairs that are worked out together
 ACCURACY = 10_000  # of the quantiles that bound the bins
 
 
@@ -41,13 +44,17 @@ def lambdas(score: np.ndarray, label: np.ndarray, there: np.ndarray):
     worth, top = np.where(ok, 2.0**y - 1, 0.0), min(TOP, s.shape[1])
     discount = 1 / np.log2(np.arange(s.shape[1]) + 2)
     best = (-np.sort(-worth, axis=1) * discount).sum(axis=1)
-    higher = y[:, :top, None] - y[:, None, :]
-    pair = ok[:, :top, None] & ok[:, None, :] & (higher != 0)
-    pair &= np.arange(s.shape[1])[None, None] > np.arange(top)[None, :, None]
-    change = np.abs((worth[:, :top, None] - worth[:, None, :]) * (discount[None, :top, None] - discount[None, None])) / np.maximum(best, 1e-12)[:, None, None]
-    sign = np.sign(higher)
-    chance = 1 / (1 + np.exp(np.clip(sign * (s[:, :top, None] - s[:, None, :]), -50, 50)))
-    pull, bend = np.where(pair, change * chance * sign, 0.0), np.where(pair, change * chance * (1 - chance), 0.0)
+    pull, bend = np.empty((2, len(s), top, s.shape[1]))
+    step = max(1, PIECE // max(1, len(s) * top))
+    for at in range(0, s.shape[1], step):
+        part = slice(at, at + step)
+        higher = y[:, :top, None] - y[:, None, part]
+        pair = ok[:, :top, None] & ok[:, None, part] & (higher != 0)
+        pair &= np.arange(s.shape[1])[None, None, part] > np.arange(top)[None, :, None]
+        change = np.abs((worth[:, :top, None] - worth[:, None, part]) * (discount[None, :top, None] - discount[None, None, part])) / np.maximum(best, 1e-12)[:, None, None]
+        sign = np.sign(higher)
+        chance = 1 / (1 + np.exp(np.clip(sign * (s[:, :top, None] - s[:, None, part]), -50, 50)))
+        pull[..., part], bend[..., part] = np.where(pair, change * chance * sign, 0.0), np.where(pair, change * chance * (1 - chance), 0.0)
     first, second = -pull.sum(axis=1), bend.sum(axis=1)
     first[:, :top] += pull.sum(axis=2)
     second[:, :top] += bend.sum(axis=2)
@@ -90,12 +97,28 @@ def histograms(node: np.ndarray, binned: np.ndarray, weights: list[np.ndarray],
     """(nodes, features x BINS, weights) sums of integers, exact: parts of them are added as floats below 2^53."""
     width = binned.shape[1]
     cell = (node[:, None] * width + np.arange(width)) * BINS + binned
-    out = np.zeros((nodes * width * BINS, len(weights)), np.int64)
+    return totals(cell.ravel(), weights, nodes * width * BINS, width).reshape(nodes, width * BINS, len(weights))
+
+
+def totals(cell: np.ndarray, weights: list[np.ndarray], size: int, width: int = 1) -> np.ndarray:
+    """(size, weights) sums by cell, of weights that count for `width` cells each."""
+    out = np.zeros((size, len(weights)), np.int64)
     for k, weight in enumerate(weights):
         for half in (weight >> 26, weight & ((1 << 26) - 1)) if k < 2 else (weight,):
-            found = np.bincount(cell.ravel(), np.repeat(half.astype(float), width), len(out)).astype(np.int64)
+            found = np.bincount(cell, np.repeat(half.astype(float), width), size).astype(np.int64)
             out[:, k] = out[:, k] * (1 << 26) + found if k < 2 else found
-    return out.reshape(nodes, width * BINS, len(weights))
+    return out
+
+
+def merged(binned: np.ndarray, pull: np.ndarray, bend: np.ndarray, bins: tuple[int, ...]):
+    """The samples with those of equal bins added up, which grow the same tree."""
+    size = int(np.prod(bins))
+    if len(binned) <= size:
+        return binned, pull, bend
+    cell = np.ravel_multi_index(binned.T, bins)
+    there = np.flatnonzero(np.bincount(cell, minlength=size))
+    sums = totals(cell, [pull, bend], size)[there]
+    return np.stack(np.unravel_index(there, bins), axis=1).astype(np.uint8), sums[:, 0], sums[:, 1]
 
 
 @dataclass
@@ -198,6 +221,8 @@ class Fits:
         depth = max(s.max_depth for s in self.grown)
         self.block = max(1, CELLS // ((features * BINS * 3) << depth))
         self.edges = bin_edges(rows, features)
+        bins = tuple(len(e) + 1 for e in self.edges)
+        self.bins = bins if prod(bins) <= small else None  # where sums by all bins are few
         spark = rows.sparkSession
         tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
         first = ["symbol", "x", "y", "train", "test"]
@@ -217,13 +242,17 @@ class Fits:
             at_count(0)
         for tree in range(max(ends)):
             active = [k for k, (j, _) in enumerate(self.fits) if tree < self.grown[j].n_estimators]
-            large = any(self.sizes.get(self.fits[k][1], 0) > self.small for k in active)
+            large = any(not self._whole(self.sizes.get(self.fits[k][1], 0)) for k in active)
             if large or tree - self.since >= KEEP:
                 self.advance(tree, gradients=large)
             self.grow(tree, active)
             if tree + 1 in ends:
                 at_count(tree + 1)
 
+    def _whole(self, n: int) -> bool:
+        """Whether one task grows a node of n samples to its end."""
+        return n <= self.small or self.bins is not None
+
     def advance(self, tree: int, gradients: bool = False) -> None:
         """Writes the scores of the trees so far (and the gradients that the next one starts from)."""
         before, self.state = self.state, kept(self.state.mapInArrow(_advancing(self._shared({}, 0, tree), gradients), LISTS), "scores")
@@ -238,7 +267,7 @@ class Fits:
         while waiting := {key: n for key, n in waiting.items() if n}:
             todo: dict[int, dict[int, bool]] = {}
             for (k, node), n in waiting.items():
-                todo.setdefault(k, {})[node] = n <= self.small
+                todo.setdefault(k, {})[node] = self._whole(n)
             shared = self._shared(todo, level, tree, fresh)
             sums = self.state.mapInArrow(_emitting(shared), "fit int, node int, whole boolean, n int, payload binary")
             tasks = max(1, min(len(waiting), self.state.sparkSession.sparkContext.defaultParallelism))
@@ -270,7 +299,7 @@ class Fits:
         value = {
             "todo": todo, "level": level, "past": [_stacked(past[at : at + self.block], rates[at : at + self.block]) for at in range(0, len(past), self.block)],
             "fresh": fresh or {}, "columns": columns,
-            "folds": [fold for _, fold in self.fits], "block": self.block, "features": self.features, "stored": not any(past) and self.since == tree,
+            "folds": [fold for _, fold in self.fits], "block": self.block, "features": self.features, "bins": self.bins, "stored": not any(past) and self.since == tree,
         }
         return self.state.sparkSession.sparkContext.broadcast(value)
 
@@ -410,7 +439,10 @@ def _emitting(shared):
             out = [(k, node, False, 0, total.tobytes()) for (k, node), total in sums.items()]
             for (k, node), parts in rows.items():
                 bins, pull, bend = (np.concatenate(p) for p in zip(*parts, strict=True))
-                out.append((k, node, True, len(bins), bins.tobytes() + pull.tobytes() + bend.tobytes()))
+                bins = bins.reshape(-1, features)
+                if known["bins"]:
+                    bins, pull, bend = merged(bins, pull, bend, known["bins"])
+                out.append((k, node, True, bins.size, bins.tobytes() + pull.tobytes() + bend.tobytes()))
             sums.clear()
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SUMS.types, strict=True)], schema=_SUMS) if out else None
@@ -466,7 +498,11 @@ def _choosing(shared):
             for row in batch.to_pylist():
                 key, payload = (row["fit"], row["node"]), row["payload"]
                 if row["whole"]:
-                    rows.setdefault(key, []).append((row["n"], payload))
+                    n, parts = row["n"], rows.setdefault(key, [])
+                    parts.append((np.frombuffer(payload, np.uint8, n).reshape(-1, features), np.frombuffer(payload, np.int64, n // features, n),
+                                  np.frombuffer(payload, np.int64, n // features, n + 8 * (n // features))))
+                    if known["bins"] and sum(len(p[0]) for p in parts) > 2 * SMALL:
+                        rows[key] = [merged(*(np.concatenate(p) for p in zip(*parts, strict=True)), known["bins"])]
                 else:
                     sums[key] = sums.get(key, 0) + np.frombuffer(payload, np.int64).reshape(-1, 3)
         out = []
@@ -474,12 +510,10 @@ def _choosing(shared):
             feature, cut, below, above = best_splits(total.reshape(1, features, BINS, 3), known["columns"][k])
             out.append((k, node, False, np.concatenate([feature, cut, below[0], above[0]]).astype(np.int64).tobytes(), b""))
         for (k, node), parts in rows.items():
-            bins, pull, bend = [], [], []
-            for n, payload in parts:
-                bins.append(np.frombuffer(payload, np.uint8, n).reshape(-1, features))
-                pull.append(np.frombuffer(payload, np.int64, n // features, n))
-                bend.append(np.frombuffer(payload, np.int64, n // features, n + 8 * (n // features)))
-            tree = grown(np.concatenate(bins), np.concatenate(pull), np.concatenate(bend), known["columns"][k], known["fresh"][k].depth - level)
+            samples = tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+            if known["bins"]:
+                samples = merged(*samples, known["bins"])
+            tree = grown(*samples, known["columns"][k], known["fresh"][k].depth - level)
             out.append((k, node, True, np.concatenate(tree[:2]).astype(np.int64).tobytes(), tree[2].tobytes()))
         types = [pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
         columns = zip(*out, strict=True) if out else [[]] * 5

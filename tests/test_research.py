@@ -161,6 +161,42 @@ def test_fits_over_partitions_equal_one_place(spark, monkeypatch, small):
             assert fits.model(s, fold).predict(np.array([held[0][2]]))[0] == pytest.approx(want[held[0][:2]], abs=1e-12)
 
 
+@pytest.mark.parametrize("width", [1, 2])
+def test_samples_of_equal_bins_are_added_up(spark, monkeypatch, width):
+    """Trees over more samples than one task takes, whose features have few combinations: one pass a tree, no written gradients."""
+    rng = np.random.default_rng(11)
+    rows = [(f"2020-01-{d + 1:02d}", f"s{k:02d}", [float(v) for v in rng.integers(0, 4, width)], float(rng.integers(0, 4)), [0], [0]) for d in range(9) for k in range(12)]
+    df = spark.createDataFrame(rows, "list string, symbol string, x array<double>, y double, train array<int>, test array<int>").repartition(5)
+    written, levels, setting = [], [], ranking.Setting(0.3, 3, 5)
+    advance, shared = ranking.Fits.advance, ranking.Fits._shared
+    monkeypatch.setattr(ranking.Fits, "advance", lambda self, tree, gradients=False: (written.append(gradients), advance(self, tree, gradients))[1])
+    monkeypatch.setattr(ranking.Fits, "_shared", lambda self, todo, level, *more: (levels.append(level), shared(self, todo, level, *more))[1])
+    fits, found = ranking.Fits(df, [setting], 1, width, 40), []
+    fits.run(lambda n: found.extend(fits.scored(n).collect()))
+    assert written == [False] and set(levels) == {0}
+    rows.sort()
+    plain = plain_trees(np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), np.array([r[0] for r in rows]), setting, fits.edges)
+    want = dict(zip([(r[0], r[1]) for r in rows], plain.predict(np.array([r[2] for r in rows])), strict=True))
+    assert {(r["list"], r["symbol"]): r["score"] for r in found} == pytest.approx(want, abs=1e-12)
+
+
+def test_merged_samples_have_the_same_tree():
+    rng = np.random.default_rng(12)
+    binned, pull, bend = rng.integers(0, 5, (2000, 3)).astype(np.uint8), rng.integers(-(1 << 40), 1 << 40, 2000), rng.integers(0, 1 << 40, 2000)
+    few = ranking.merged(binned, pull, bend, (5, 5, 5))
+    assert len(few[0]) == 125 and few[1].sum() == pull.sum() and few[2].sum() == bend.sum()
+    for a, b in zip(ranking.grown(binned, pull, bend, np.arange(3), 4), ranking.grown(*few, np.arange(3), 4), strict=True):
+        assert a.tolist() == b.tolist()
+
+
+def test_gradients_in_pieces_equal_those_at_once(monkeypatch):
+    rng = np.random.default_rng(13)
+    score, label, there = rng.normal(size=(2, 900)).round(1), rng.integers(0, 4, (2, 900)).astype(float), rng.random((2, 900)) < 0.9
+    found = ranking.lambdas(score, label, there)
+    monkeypatch.setattr(ranking, "PIECE", 1 << 30)
+    assert all(np.array_equal(a, b) for a, b in zip(found, ranking.lambdas(score, label, there), strict=True))
+
+
 def test_sums_of_wide_integers_are_exact():
     weight = np.array([(1 << 45) + 3, -(1 << 44) - 7, 5, -1])
     found = ranking.histograms(np.array([0, 0, 0, 1]), np.array([[1], [1], [2], [0]], np.uint8), [weight, -weight, np.ones(4, np.int64)], 2)
