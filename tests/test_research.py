@@ -49,6 +49,24 @@ def test_cuts_from_two_sides_equal_one_place(spark):
     assert trimming.trimmed(df.limit(0), ["day"], "a", "b", 0.1, 5).count() == 0
 
 
+@pytest.mark.parametrize("small", [0, 40, 1 << 16])
+def test_cuts_end_in_one_task_of_what_is_left(spark, monkeypatch, small):
+    """By rounds only, by rounds first, and by one task for each group; only rounds write tables, and they write fewer rows."""
+    rng = np.random.default_rng(6)
+    cases = {f"day{d}": (rng.normal(size=n).round(1), rng.normal(size=n).round(2)) for d, n in enumerate((1, 30, 60, 400))}
+    cases["gone"] = (np.full(50, np.nan), np.arange(50.0))
+    rows = [(None if day == "day2" else day, i, float(x), float(y)) for day, (a, b) in cases.items() for i, (x, y) in enumerate(zip(a, b, strict=True))]
+    written, keep = [], trimming.kept
+    monkeypatch.setattr(trimming, "kept", lambda rows, name="kept": (written.append(name), keep(rows, name))[1])
+    monkeypatch.setattr(trimming, "SMALL", small)
+    found = {}
+    for r in trimming.trimmed(spark.createDataFrame(rows, "day string, i int, a double, b double").repartition(4), ["day"], "a", "b", 0.1, 16).collect():
+        found.setdefault(r.day or "day2", {})[r.i] = r.left
+    for day, (a, b) in cases.items():
+        assert [found[day][i] for i in range(len(a))] == plain_cuts(a, b, 0.1, 16).tolist(), day
+    assert len(written) == 3 if small > 400 else written.count("placed") > 1 and len(written) > 6
+
+
 def test_at_most_is_exact(spark):
     rows = spark.range(1000).select(F.lit("2020-01-31").cast("date").alias("timestamp"), F.col("id").cast("string").alias("symbol"))
     for n in (0, 1, 333, 1000, 5000):
