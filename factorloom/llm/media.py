@@ -136,8 +136,11 @@ THIN, PAIR, SHORT, EVERY_PLACE = range(4)
 
 
 def mixed(kind: int, *codes: np.ndarray) -> np.ndarray:
-    """A 64-bit key of a kind of posting and its integers."""
-    out = np.full(len(codes[0]), kind + 1, np.uint64)
+    """A 64-bit key of a kind of posting and its integers.
+
+    The kind lies above the bits of the first integer, so that keys of one integer differ if kind or integer do.
+    """
+    out = np.full(len(codes[0]), (kind + 1) << 32, np.uint64)
     for x in codes:
         out = (out ^ x.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)

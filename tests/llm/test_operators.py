@@ -101,6 +101,17 @@ def test_thinning_keeps_one_of_common_runs():
     assert set(media.thinned(a)[1].tolist()) & set(media.thinned(b)[1].tolist())
 
 
+def test_keys_meet_on_equal_integers_only():
+    """Fingerprints without a common integer share no key, whatever bits their integers differ in."""
+    codes = np.random.default_rng(2).integers(0, 2**32, 40, dtype=np.uint32)
+    kinds = [media.mixed(k, codes) for k in (media.THIN, media.SHORT, media.EVERY_PLACE)]
+    for flip in range(1, 64):
+        other = codes ^ np.uint32(flip)
+        assert not set(media.posted(codes, True)[0].tolist()) & set(media.posted(other, False)[0].tolist())
+        assert all(not set(a.tolist()) & set(media.mixed(k, other).tolist()) for a in kinds for k in (media.THIN, media.SHORT, media.EVERY_PLACE))
+    assert len(np.unique(np.concatenate(kinds))) == 3 * len(codes)
+
+
 # --- 3 ------------------------------------------------------------------------------------------
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(4)
