@@ -21,6 +21,10 @@ such that nothing can be lost:
 
 A rank is a 64-bit hash, of the bytes or of the pair, together with the 64-bit hash of the core.
 
+Repeats of under 400 bytes are kept, long as they may be in words. `shared_passages` finds the documents that
+hold PASSAGE (51) words in a row which another document holds too, by the same anchors: each passage has the least hashed
+SHINGLE of its words, runs of equal words settle their texts, and the passages of the others are compared one by one.
+
 Defined results: a null text counts as empty; texts under 400 bytes lose nothing; rows that repeat
 are texts of their own, so both lose all they share; other columns are ignored.
 """
@@ -36,13 +40,16 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, tidy, written
+from .common import discard, id_bitmap, perhaps_in, tidy, written
 
 LENGTH = 400
 CORE = 32
 CELL = 32
 SHARED = 352  # bytes that doubling ranks: all starts of a cell hold them, as SHARED + CELL <= LENGTH + 1
 SEGMENT = 1 << 19
+PASSAGE = 51  # words: maximal runs of bytes other than 0x20 and 0x09-0x0D
+SHINGLE = 16
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOW = np.uint64((1 << 20) - 1)
 
 
@@ -51,6 +58,10 @@ def _mix(x):
     return x ^ (x >> np.uint64(32))
 
 
+with np.errstate(over="ignore"):
+    _LETTERS = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def core_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash of the CORE bytes at each place."""
     n = len(data) - CORE + 1
@@ -63,21 +74,26 @@ def core_hashes(data: bytes) -> np.ndarray:
     return total
 
 
+def anchors(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least of each width hashes in a row, leftmost on ties."""
+    starts = len(hashes) - width + 1
+    keys = (hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64)
+    blocks = np.concatenate([keys, np.full(-len(keys) % width, ~np.uint64(0))]).reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return (np.minimum(back[:starts], ahead[width - 1 : width - 1 + starts]) & _LOW).astype(np.int64)
+
+
 def runs(data: bytes):
     """(anchor, first start, last start, core hash) of each run of starts in data."""
     parts = []
     for base in range(0, max(0, len(data) - LENGTH + 1), SEGMENT):
         piece = data[base : base + SEGMENT + LENGTH - 1]
         hashes = core_hashes(piece)
-        width, starts = LENGTH - CORE + 1, len(piece) - LENGTH + 1
-        keys = (hashes & ~_LOW) | np.arange(len(hashes), dtype=np.uint64)
-        blocks = np.concatenate([keys, np.full(-len(keys) % width, ~np.uint64(0))]).reshape(-1, width)
-        ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-        back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-        anchors = (np.minimum(back[:starts], ahead[width - 1 : width - 1 + starts]) & _LOW).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
-        last = np.r_[first[1:] - 1, starts - 1]
-        at = anchors[first]
+        places = anchors(hashes, LENGTH - CORE + 1)
+        first = np.flatnonzero(np.r_[True, places[1:] != places[:-1]])
+        last = np.r_[first[1:] - 1, len(places) - 1]
+        at = places[first]
         parts.append((at + base, first + base, last + base, hashes[at].view(np.int64)))
     return [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4
 
@@ -180,23 +196,47 @@ def doubled(ranks: DataFrame) -> DataFrame:
     return live
 
 
+def _bytes(column) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string or binary column, and the offsets of its values in them."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), offsets
+
+
+def end_ranks(data: np.ndarray, start: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Of each start in data, the rank of its LENGTH bytes without the SHARED that follow the first so many."""
+    at = np.arange(LENGTH - SHARED)
+    ends = data[start[:, None] + at + SHARED * (at >= before[:, None])].view(np.uint64)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(start), np.uint64)
+        for k in range(ends.shape[1]):
+            total = _mix(total + ends[:, k] * np.uint64(16 * k + 0x9E3779B1))
+    return total.view(np.int64)
+
+
 def _starts(batches):
     """Each start of the listed cells: its distance to the anchor, the cell's rank, and the rank of the ends."""
     for batch in batches:
-        for row in batch.to_pylist():
-            far, near, anchor, data = (row["place"] >> 10) & 1023, row["place"] & 1023, row["place"] >> 20, row["bytes"]
-            distances, shared, ends = [], [], []
-            for cell in row["cells"]:
-                at = far - cell["cell"] * CELL
-                for d in range(max(near, cell["cell"] * CELL), min(far, cell["cell"] * CELL + CELL - 1) + 1):
-                    ends.append(rank(data[far - d : at] + data[at + SHARED : far - d + LENGTH]))
-                    shared.append(cell["shared"])
-                    distances.append(d)
-            n = len(ends)
+        if not batch.num_rows:
+            continue
+        data, offsets = _bytes(batch.column("bytes"))
+        place, listed = batch.column("place").to_numpy(), batch.column("cells")
+        far, near, anchor = (place >> 10) & 1023, place & 1023, place >> 20
+        row = np.repeat(np.arange(batch.num_rows), listed.value_lengths().to_numpy())
+        cell, shared = (listed.flatten().field(k).to_numpy() for k in ("cell", "shared"))
+        low = cell.astype(np.int64) * CELL
+        first = np.maximum(near[row], low)
+        count = np.minimum(far[row], low + CELL - 1) - first + 1
+        for k in range(0, len(row), 1024):
+            of = np.repeat(np.arange(k, min(k + 1024, len(row))), count[k : k + 1024])
+            within = np.arange(len(of)) - np.repeat(np.cumsum(count[k : k + 1024]) - count[k : k + 1024], count[k : k + 1024])
+            distance, at = first[of] + within, row[of]
+            rows = pa.array(at)
             yield _table({
-                "core": np.full(n, row["core"], np.int64), "distance": np.array(distances, np.int32), "shared": np.array(shared, np.int64),
-                "ends": np.array(ends, np.int64), "id": np.full(n, row["id"], np.int64), "v": np.full(n, row["v"], np.int64),
-                "start": anchor - np.array(distances, np.int64), "asks": np.full(n, row["n"] == 1),
+                "core": batch.column("core").take(rows), "distance": distance.astype(np.int32), "shared": shared[of],
+                "ends": end_ranks(data, offsets[at] + far[at] - distance, distance - low[of]), "id": batch.column("id").take(rows),
+                "v": batch.column("v").take(rows), "start": anchor[at] - distance, "asks": (batch.column("n").to_numpy() == 1)[at],
             })
 
 
@@ -260,28 +300,126 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return written(every.groupBy("id", "v").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
 
 
-def union(spans) -> list[tuple[int, int]]:
-    """Maximal runs of the bytes that (start, end) spans cover."""
-    out: list = []
-    for start, end in sorted(spans):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end])
-    return [tuple(s) for s in out]
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of the texts that lie in data between the offsets, and the text's index."""
+    inside = ~_SPACE[data]
+    before, after = np.r_[False, inside[:-1]], np.r_[inside[1:], False]
+    before[offsets[:-1][offsets[:-1] < len(data)]] = False  # words end with their text
+    after[offsets[1:][offsets[1:] > 0] - 1] = False
+    starts = np.flatnonzero(inside & ~before)
+    length = np.flatnonzero(inside & ~after) - starts + 1
+    at, letters = np.cumsum(length) - length, data[inside]
+    hashes = np.zeros(len(starts), np.uint64)
+    edges = np.unique(np.r_[np.searchsorted(at, np.arange(0, len(letters), SEGMENT)), len(at)])
+    with np.errstate(over="ignore"):
+        weights = _mix(np.arange(1, length.max(initial=0) + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            first, n = at[a:b] - at[a], length[a:b]
+            terms = _LETTERS[letters[at[a] : at[a] + n.sum()]] * weights[np.arange(n.sum()) - np.repeat(first, n)]
+            hashes[a:b] = _mix(np.add.reduceat(terms, first) + n.astype(np.uint64))
+    return hashes, np.searchsorted(offsets, starts, "right") - 1
+
+
+def passage_runs(words: np.ndarray, owner: np.ndarray):
+    """(first passage, last passage, core hash) of each run of passages that lie in one text and share their anchor."""
+    parts = []
+    for base in range(0, max(0, len(words) - PASSAGE + 1), SEGMENT):
+        piece = words[base : base + SEGMENT + PASSAGE - 1]
+        n, starts = len(piece) - SHINGLE + 1, len(piece) - PASSAGE + 1
+        with np.errstate(over="ignore"):
+            hashes = np.zeros(n, np.uint64)
+            for k in range(SHINGLE):
+                hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + piece[k : k + n]
+            hashes = _mix(_mix(hashes))
+        one = np.flatnonzero(owner[base : base + starts] == owner[base + PASSAGE - 1 : base + PASSAGE - 1 + starts])
+        if not len(one):
+            continue
+        places = anchors(hashes, PASSAGE - SHINGLE + 1)[one]
+        new = np.r_[True, places[1:] != places[:-1]]
+        parts.append((one[new] + base, one[np.r_[new[1:], True]] + base, hashes[places[new]].view(np.int64)))
+    return [np.concatenate(p) for p in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3
+
+
+def _passages(batches):
+    """The runs of passages of each text: their core, the rank of all their words, and which they are."""
+    for batch in batches:
+        data, offsets = _bytes(batch.column("text"))
+        lo = 0
+        while lo < batch.num_rows:  # as many texts as SEGMENT bytes hold, but one at least
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SEGMENT, "right")) - 1)
+            words, owner = word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            first, last, core = passage_runs(words, owner)
+            if len(first):
+                view, begin = memoryview(words).cast("B"), np.searchsorted(owner, owner[first])
+                whole = [rank(view[8 * a : 8 * b]) for a, b in zip(first.tolist(), (last + PASSAGE).tolist(), strict=True)]
+                rows = pa.array(owner[first] + lo)
+                yield _table({
+                    "core": core, "whole": np.array(whole, np.int64), "id": batch.column("id").take(rows), "v": batch.column("v").take(rows),
+                    "at": first - begin, "n": (last - first + 1).astype(np.int32),
+                })
+            lo = hi
+
+
+def _each_passage(batches):
+    """The passages of the listed runs, each with its rank."""
+    for batch in batches:
+        data, offsets = _bytes(batch.column("text"))
+        for i, listed in enumerate(batch.column("listed")):
+            view = memoryview(word_hashes(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))[0]).cast("B")
+            for k in range(0, len(listed), 1024):
+                runs = listed.values[k : k + 1024].to_pylist()
+                found = [(r["core"], rank(view[8 * j : 8 * (j + PASSAGE)]), r["lo"], r["hi"]) for r in runs for j in range(r["at"], r["at"] + r["n"])]
+                yield _table({name: np.array(x, np.int64) for name, x in zip(("core", "passage", "lo", "hi"), zip(*found, strict=True), strict=True)})
+
+
+@tidy
+def shared_passages(docs: DataFrame) -> DataFrame:
+    """(id, v) of the documents that hold PASSAGE words in a row which another document, that is another row, holds too."""
+    rows = identified(docs).filter(F.octet_length("text") >= 2 * PASSAGE - 1).select("id", "v", "text")
+    sampled = written(rows.mapInArrow(_passages, "core long, whole long, id long, v long, at long, n int"), "passages")
+    classes = sampled.groupBy("core", "whole").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.min(F.struct("id", "v", "at", "n")).alias("one"))
+    classes = written(classes, "classes")
+    texts = sampled.filter("at = 0").select("id", "v")  # a row of each document that holds a passage
+    copies = texts.groupBy("v").agg(F.count("*").alias("k")).filter("k > 1").select("v")
+    equal = sampled.select("core", "whole", "v").join(classes.filter("lo < hi").select("core", "whole"), ["core", "whole"]).select("v")
+    held = written(equal.unionByName(copies).distinct(), "held")
+
+    # of texts that are not settled, all runs are of one text: their passages are compared with those of the core's other runs
+    several = classes.groupBy("core").agg(F.count("*").alias("k")).filter("k > 1").select("core")
+    met = written(classes.join(written(several, "several"), "core"), "met")
+    asking = met.filter("lo = hi").join(held.select(F.col("v").alias("lo")), "lo", "left_anti").select("core").distinct()
+    wanted = met.join(written(asking, "asking"), "core")
+    listed = wanted.groupBy("one.id", "one.v").agg(F.collect_list(F.struct("core", "lo", "hi", "one.at", "one.n")).alias("listed"))
+    listed = written(listed, "listed")
+    near = perhaps_in(rows, "v", id_bitmap(listed, "v")).join(listed, ["id", "v"]).dropDuplicates(["id", "v"])
+    passages = written(near.select("text", "listed").mapInArrow(_each_passage, "core long, passage long, lo long, hi long"), "each")
+    twice = passages.groupBy("core", "passage").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("core", "passage")
+    more = passages.filter("lo = hi").join(written(twice, "twice"), ["core", "passage"]).select(F.col("lo").alias("v"))
+    return texts.distinct().join(held.unionByName(more).distinct(), "v").select("id", "v")
+
+
+def unions(column) -> list[list[tuple[int, int]]]:
+    """Of each list of (start, end) spans, the maximal runs of the bytes that they cover."""
+    values, length = column.flatten(), column.value_lengths().fill_null(0).to_numpy()
+    row = np.repeat(np.arange(len(column)), length)
+    start, end = (values.field(k).to_numpy() + (row << 32) for k in ("start", "end"))
+    order = np.argsort(start, kind="stable")
+    start, end, out = start[order], np.maximum.accumulate(end[order]), [[] for _ in range(len(column))]
+    new = np.flatnonzero(np.r_[True, start[1:] > end[:-1]]) if len(start) else np.zeros(0, np.int64)
+    for a, b in zip(start[new].tolist(), end[np.r_[new[1:] - 1, len(end) - 1]].tolist() if len(new) else (), strict=True):
+        out[a >> 32].append((a & 0xFFFFFFFF, b & 0xFFFFFFFF))
+    return out
 
 
 def _cut(keep: bool):
     def run(batches):
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows = batch.to_pylist()
             out = []
-            for row in rows:
-                data = expand.decompress(row["data"]) if row["data"] else b""
-                gone = union((s["start"], s["end"]) for s in row["spans"] or ())
+            for packed, gone in zip(batch.column("data").to_pylist(), unions(batch.column("spans")), strict=True):
+                data = expand.decompress(packed) if packed else b""
                 edges = [0, *[x for s in gone for x in s], len(data)]
-                left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                left = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if gone else data
                 out.append((len(data), sum(b - a for a, b in gone), len(gone), hashlib.sha256(left).hexdigest(), left if keep else None, gone if keep else None))
             n_bytes, n_removed, n_spans, digest, left, gone = zip(*out, strict=True) if out else [()] * 6
             columns = {
@@ -290,22 +428,29 @@ def _cut(keep: bool):
             }
             if keep:
                 columns |= {"kept": pa.array(left, pa.binary()), "spans": pa.array([[{"start": a, "end": b} for a, b in g] for g in gone], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))}
+            if "shares_passage" in batch.schema.names:
+                columns["shares_passage"] = batch.column("shares_passage")
             yield _table(columns)
 
     return run
 
 
-def without_repeats(docs: DataFrame, keep: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with keep, kept bytes and spans."""
-    spans = repeated_spans(docs)
-    rows = identified(docs).select("doc_id", "id", "v", squeezed(F.col("text")).alias("data")).join(spans, ["id", "v"], "left")
+def without_repeats(docs: DataFrame, keep: bool = True, passages: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with keep, kept bytes and spans; with passages,
+    shares_passage: 1 if it holds PASSAGE words in a row that another document holds too, repeated bytes or not, else 0."""
+    marks, columns = repeated_spans(docs), ["doc_id", "data", "spans"]
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if keep:
         schema += ", kept binary, spans array<struct<start:long,end:long>>"
-    return rows.select("doc_id", "data", "spans").mapInArrow(_cut(keep), schema)
+    if passages:
+        marks = written(marks.join(shared_passages(docs).withColumn("share", F.lit(1)), ["id", "v"], "full"), "marks")
+        columns, schema = [*columns, F.coalesce("share", F.lit(0)).alias("shares_passage")], f"{schema}, shares_passage int"
+    rows = identified(docs).select("doc_id", "id", "v", squeezed(F.col("text")).alias("data")).join(marks, ["id", "v"], "left")
+    return rows.select(*columns).mapInArrow(_cut(keep), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """The contract's columns, and whether the document holds a repeated string."""
-    return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=False).withColumn("repeats", F.col("n_removed") > 0)
+    """The contract's columns, whether the document holds a repeated string, and whether it shares a passage of over 50 words."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return without_repeats(docs, keep=False, passages=True).withColumn("repeats", F.col("n_removed") > 0)

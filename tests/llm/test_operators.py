@@ -426,6 +426,44 @@ def test_repeats_of_rows_that_share_an_id(spark):
         [(1, 900, 500, 1), (1, 900, 600, 1), (1, 500, 500, 1), (0, 450, 450, 1), (0, 500, 500, 1), (0, 0, 0, 0), (2, 399, 0, 0)])
 
 
+def test_shared_passages_under_400_bytes_equal_brute_force(spark, tmp_path):
+    rng = random.Random(16)
+    draw = lambda n: [rng.choice(["be", "the", "on", "hé", "x", "of"]) + str(rng.randrange(60)) for _ in range(n)]
+    base, line = draw(400), draw(40)
+    texts = [None, "", " ".join(base), "\n".join(base[:50]), "\t ".join(base[100:151]), "a " * 300, "a b " * 26, "b a " * 25, " ".join(base[200:250]) + "z"]
+    for _ in range(40):
+        k, n = rng.randrange(340), rng.randrange(48, 55)
+        texts.append(" ".join(draw(rng.randrange(90)) + rng.choice([[], line]) + base[k : k + n] + draw(rng.randrange(90))))
+    alone = " ".join(draw(60))
+    texts += [alone + " " + alone, " ".join(draw(70)), " ".join(line + draw(30)), *[" ".join(draw(55))] * 2, *[" ".join(draw(50))] * 2]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    held = collections.defaultdict(set)
+    for i, w in enumerate(words):
+        for k in range(len(w) - 50):
+            held[tuple(w[k : k + 51])].add(i)
+    wanted = {i for at in held.values() if len(at) > 1 for i in at}
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = repeats.query(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows if r.shares_passage} == wanted and len(rows) == len(texts)
+    assert 10 < len([r for r in rows if r.shares_passage and not r.n_removed]) and len(wanted) < len(texts) - 10
+
+
+def test_passages_of_texts_over_several_segments(spark, monkeypatch):
+    rng = random.Random(17)
+    draw = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = draw(51)
+    texts = ["\v".join(draw(330) + shared + draw(400)), " ".join(draw(500) + shared + draw(9)), " ".join(draw(800)), "y" * 5000 + " " + " ".join(draw(60))]
+    monkeypatch.setattr(repeats, "SEGMENT", 256)
+    data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    words = [repeats.word_hashes(d, np.array([0, len(d)])) for d in data]
+    assert [len(set(w.tolist())) for w, _ in words] == [len(set(t.split())) for t in texts]
+    for w, owner in words:
+        first, last, _ = repeats.passage_runs(w, owner)
+        assert first[0] == 0 and last[-1] == len(w) - 51 and (first[1:] == last[:-1] + 1).all()
+    monkeypatch.undo()
+    assert sorted(r.id for r in repeats.shared_passages(documents(spark, texts)).collect()) == [0, 1]
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.without_repeats(documents(spark, [])).count() == 0
 
